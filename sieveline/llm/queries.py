@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, sharding
+from . import media, mixing, neardup, sharding
 from ._shared import table
 
 
+def op4_superminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles at 0.85; 25 bands of 6 slots miss a pair at the threshold with probability 7e-6."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, bands=25, width=6)
+
+
 def op6_min_cost_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve old shards by source, so of very unequal sizes, into sixteen of equal bytes."""
     docs = table(spark, sf_dir, "documents")
@@ -28,7 +33,7 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_min_cost_reshard, op8_ogg_media, op9_entropy_mix)}
+    return {f.__name__: f for f in (op4_superminhash_neardup, op6_min_cost_reshard, op8_ogg_media, op9_entropy_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
