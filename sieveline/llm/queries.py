@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, neardup, sharding
-from ._shared import table
+from . import ctw, media, mixing, neardup, sharding
+from ._shared import fold_of, table
 
 
 def op4_superminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +32,13 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ctw.score(docs, fold_of(docs["doc_id"], 7) != 2).withColumn("held_out", ~F.col("learned")).drop("learned")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_superminhash_neardup, op6_min_cost_reshard, op8_ogg_media, op9_entropy_mix)}
+    return {f.__name__: f for f in (op4_superminhash_neardup, op6_min_cost_reshard, op8_ogg_media, op9_entropy_mix, op10_context_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
