@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, media, mixing, neardup, sharding
+from . import ctw, media, mixing, neardup, pieces, sharding
 from ._shared import fold_of, table
 
 
@@ -16,6 +17,17 @@ def op4_superminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, bands=25, width=6)
 
 
+def tokenizer_model() -> str:
+    """The model file: $SIEVELINE_PIECE_MODEL or the public 32k model."""
+    import public_tokenizers
+
+    return os.environ.get("SIEVELINE_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_model(), pieces=False, digests=True)
+
+
 def op6_min_cost_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve old shards by source, so of very unequal sizes, into sixteen of equal bytes."""
     docs = table(spark, sf_dir, "documents")
@@ -38,7 +50,7 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_superminhash_neardup, op6_min_cost_reshard, op8_ogg_media, op9_entropy_mix, op10_context_tree)}
+    return {f.__name__: f for f in (op4_superminhash_neardup, op5_sentencepiece, op6_min_cost_reshard, op8_ogg_media, op9_entropy_mix, op10_context_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
