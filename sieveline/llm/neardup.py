@@ -35,6 +35,8 @@ from .graph import components
 BLOCK = 100
 #: Columns (distinct shingles) of the matrices that count common shingles.
 WIDTH = 4096
+#: Bits of the bitmap that tells which texts are read again (4 MB).
+BITS = 25
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -86,16 +88,31 @@ def _features(words: int, bands: int, width: int, slots: int):  # noqa: ANN202
     return run
 
 
-def _sets(words: int):  # noqa: ANN202
+def _sets(words: int, wanted):  # noqa: ANN001, ANN202
+    """Sets of the texts whose bit is set in the bitmap: all candidates, and few others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array(wanted.value[bit >> 3] >> (bit & 7) & 1 == 1))
             for part, texts in chunks(batch, "t"):
                 s, begin = Words(texts).shingles(words)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("root"), pa.array(np.diff(begin)), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(s.view(np.int64)))], names=["id", "root", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(begin)), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(s.view(np.int64)))], names=["id", "n", "shingles"])
 
     return run
 
 
+def bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the hashes of a column `id`; the driver gets 2 ** bits of them, however many ids there are."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(1 << bits)) + 1  # Spark's bitmaps count from one
+    rows = ids.groupBy(F.bitmap_bucket_number(spot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("b")).collect()
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for r in rows:
+        at = (r["k"] - 1) * len(r["b"])
+        out[at : at + len(r["b"])] |= np.frombuffer(r["b"], dtype=np.uint8)
+    return out
+
+
 def common(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each set of `left` with each of `right`; sets as (elements, begins)."""
     nl, nr = len(left[1]) - 1, len(right[1]) - 1
@@ -168,31 +185,33 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     banded = classes.select("id", F.explode("bands").alias("band"))
     buckets = scratch.table(banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("band", "least"), "buckets")
-    stars = banded.join(buckets, "band").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    stars = banded.join(buckets.hint("merge"), "band").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     groups = scratch.table(components(scratch, stars), "groups")
 
-    texts = narrow.join(groups, F.col("id") == F.col("node")).select("id", "root", "t")
-    sets = scratch.table(texts.mapInArrow(_sets(words), "id long, root long, n long, shingles array<long>").filter("n > 0"), "sets")
-    hubs = sets.filter("id = root").select("root", F.col("n").alias("hub_n"), F.col("shingles").alias("hub"))
+    wanted = spark.sparkContext.broadcast(bitmap(groups.select(F.col("node").alias("id")), BITS))
+    texts = narrow.filter("id is not null").select("id", F.pmod(F.xxhash64("id"), F.lit(1 << BITS)).alias("bit"), "t")
+    sets = scratch.table(texts.mapInArrow(_sets(words, wanted), "id long, n long, shingles array<long>").filter("n > 0"), "sets")
+    rooted = sets.join(groups.hint("merge"), F.col("id") == F.col("node")).drop("node")
+    hubs = scratch.table(groups.filter("node = root").select(F.col("node").alias("id")).join(sets.hint("merge"), "id").select(F.col("id").alias("root"), F.col("n").alias("hub_n"), F.col("shingles").alias("hub")), "hubs")
     both = F.size(F.array_intersect("shingles", "hub"))
-    stars = sets.join(hubs, "root").select("id", "root", ((F.col("id") == F.col("root")) | (100 * both >= percent * (F.col("n") + F.col("hub_n") - both))).alias("linked"))
+    stars = rooted.join(hubs.hint("merge"), "root").select("id", "root", ((F.col("id") == F.col("root")) | (100 * both >= percent * (F.col("n") + F.col("hub_n") - both))).alias("linked"))
     stars = scratch.table(stars.groupBy("id", "root").agg(F.max("linked").alias("linked")), "stars")
 
     left = stars.groupBy("root").agg(F.count("*").alias("all"), F.count_if(~F.col("linked")).alias("open")).filter("open > 0")
     left = scratch.table(left.select("root", F.ceil(F.col("all") / BLOCK).alias("wide"), F.ceil(F.col("open") / BLOCK).alias("deep")), "left")
     member = scratch.table(stars.join(left, "root"), "member")
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    every = member.select("id", F.lit(False).alias("open"), spot("wide").alias("x"), F.explode(F.sequence(F.lit(0), F.col("deep") - 1)).alias("y"))
-    open_ = member.filter(~F.col("linked")).select("id", F.lit(True).alias("open"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"), spot("deep").alias("y"))
-    tasks = every.unionByName(open_).join(sets, "id").select("root", "x", "y", "open", "id", "n", "shingles")
+    every = member.select("root", "id", F.lit(False).alias("open"), spot("wide").alias("x"), F.explode(F.sequence(F.lit(0), F.col("deep") - 1)).alias("y"))
+    open_ = member.filter(~F.col("linked")).select("root", "id", F.lit(True).alias("open"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"), spot("deep").alias("y"))
+    tasks = every.unionByName(open_).join(sets.hint("merge"), "id").select("root", "x", "y", "open", "id", "n", "shingles")
     links = tasks.groupBy("root", "x", "y").applyInArrow(_verify(percent), "a long, b long")
     links = links.unionByName(stars.filter("linked and id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     found = scratch.table(components(scratch, links), "components")
-    scratch.drop(sets, member, buckets)
+    scratch.drop(sets, member, buckets, hubs)
 
     named = classes.select("n", "k1", "k2", "id").join(found, F.col("id") == F.col("node"), "left")
     named = scratch.table(named.select("n", "k1", "k2", F.coalesce("root", "id").alias("component")), "named")
     scratch.drop(classes)
-    out = feats.select("id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
+    out = feats.select("id", "n", "k1", "k2").join(named.hint("merge"), ["n", "k1", "k2"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
