@@ -8,10 +8,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, media, mixing, neardup, pieces, sharding
+from . import ctw, media, mixing, neardup, pieces, sharding, toxicity, urls, vptree
 from ._shared import fold_of, table
 
 
+#: The contract's rules: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: Pruning factor of the nearest-neighbour search.
+NEAR_FACTOR = 1.15
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op2_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, fold_of(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, model)
+    worst = F.array_max(F.transform("offending", lambda s: F.struct(s["score"], s["begin"], s["end"])))
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"), worst["begin"].alias("worst_begin"), worst["end"].alias("worst_end"))
+
+
+def op3_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, factor=NEAR_FACTOR)
+
+
 def op4_superminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles at 0.85; 25 bands of 6 slots miss a pair at the threshold with probability 7e-6."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, bands=25, width=6)
@@ -50,7 +72,7 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_superminhash_neardup, op5_sentencepiece, op6_min_cost_reshard, op8_ogg_media, op9_entropy_mix, op10_context_tree)}
+    return {f.__name__: f for f in (op1_url_rules, op2_mil_toxicity, op3_vantage_point, op4_superminhash_neardup, op5_sentencepiece, op6_min_cost_reshard, op8_ogg_media, op9_entropy_mix, op10_context_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
