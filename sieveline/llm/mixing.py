@@ -79,13 +79,13 @@ class _Multiplier:
         self.at = new
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, ceiling: int = 2, carry: Sequence[str] = (), iterations: int = 60) -> DataFrame:
-    """Copies of each document: `doc_id, size, source_size, target, rate, copies, taken` and the columns in `carry`.
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, ceiling: int = 2, iterations: int = 60) -> DataFrame:
+    """Copies of each document: `doc_id, size, source_size, target, rate, copies, taken`.
 
     `weights` repeat over the sources in code-point order.  The number of sources (not of documents) must fit the driver.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
-    sized = docs.select(F.col(doc_id).alias("_id"), F.col(source).cast("string").alias("_source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    sized = docs.select(F.col(doc_id).alias("_id"), F.col(source).cast("string").alias("_source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
     sized = scratch.table(sized, "sized")
     classes = sized.groupBy("_source", "_size").agg(F.count("*").alias("n"))
     classes = scratch.table(classes, "classes")
@@ -128,4 +128,12 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     rank = F.row_number().over(Window.partitionBy("sid", "_size", "_part").orderBy(F.xxhash64("_id"), "_id"))
     out = placed.join(parts, ["sid", "_size", "_part"]).withColumn("_rank", rank)
     out = out.withColumn("copies", F.floor(F.col("got") / F.col("m")).cast("long") + (F.col("_rank") <= F.col("got") % F.col("m")).cast("long"))
-    return out.select(F.col("_id").alias(doc_id), F.col("_size").alias("size"), "source_size", "target", F.least(tilt, F.lit(float(ceiling))).alias("rate"), "copies", (F.col("copies") * F.col("_size")).alias("taken"), *[F.col(f"_carry_{c}").alias(c) for c in carry])
+    return out.select(F.col("_id").alias(doc_id), F.col("_size").alias("size"), "source_size", "target", F.least(tilt, F.lit(float(ceiling))).alias("rate"), "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+
+
+def copy_rows(docs: DataFrame, mixed: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of `docs`, each as often as `mixed` takes it.  Rows of one id get the rounded mean of the id's copies each."""
+    taken = mixed.groupBy(F.col(doc_id).alias("_mixed_id")).agg(F.round(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
+    taken = Scratch(docs.sparkSession, "copies").table(taken, "copies")
+    rows = docs.join(taken.hint("merge"), docs[doc_id].eqNullSafe(F.col("_mixed_id")))
+    return rows.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

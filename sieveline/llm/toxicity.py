@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,3 +166,16 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
             yield pd.DataFrame({doc_id: b["k"].array, "score": scores, "predicted": [int(s >= threshold) for s in scores], "offending": spans})
 
     return narrow.mapInPandas(run, f"`{doc_id}` {narrow.schema['k'].dataType.simpleString()}, score double, predicted int, offending array<struct<begin:int,end:int,score:double>>")
+
+
+def filter_clean(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose score is below the threshold, all columns as they are, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            keep = [m.document(t or "")[0] < threshold for t in b.column(text).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
