@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -77,13 +77,19 @@ class Model:
         return float(min(1.0, max(0.0, -math.expm1(clean)))), [(a, b, float(_sigmoid(z))) for a, b, z in found]
 
 
-def vocabulary(bags: Sequence[list[set[str]]], texts: Sequence[str], labels: np.ndarray, most: int) -> list[str]:
-    have: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for bag, y in zip(bags, labels, strict=True):
-        for w in set().union(*bag):
-            have[w][y] += 1
+def vocabulary(texts: Sequence[str], labels: np.ndarray, most: int) -> list[str]:
+    """Words by significance.  Only words of toxic documents are counted, so memory follows those."""
+    toxic: Counter[str] = Counter()
+    for text, y in zip(texts, labels, strict=True):
+        if y:
+            toxic.update(set(WORD.findall(text.lower())))
+    have = {w: [0, n] for w, n in toxic.items() if n >= SUPPORT}
+    for text, y in zip(texts, labels, strict=True):
+        if not y:
+            for w in have.keys() & set(WORD.findall(text.lower())):
+                have[w][0] += 1
     n0, n1 = int((labels == 0).sum()), int((labels == 1).sum())
-    maybe = {w for w, (a, b) in have.items() if b >= SUPPORT and b * n0 > a * n1}
+    maybe = {w for w, (a, b) in have.items() if b * n0 > a * n1}
     around: dict[str, set[tuple[str, str]]] = defaultdict(set)
     for text, y in zip(texts, labels, strict=True):
         if y:
@@ -111,12 +117,11 @@ def fit(texts: Sequence[str], labels: Sequence[int], *, most_words: int = 2000,
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return Model(leak=math.log(share / (1 - share)) if 0 < share < 1 else (30.0 if share else -30.0))
-    bags = [[w for _, _, w in sentences(t)] for t in texts]
-    words = vocabulary(bags, texts, y, most_words)
+    words = vocabulary(texts, y, most_words)
     index = {w: i for i, w in enumerate(words)}
     doc, sent, word, plain = [], [], [], np.zeros(len(y))
-    for d, bag in enumerate(bags):
-        for s in bag:
+    for d, text in enumerate(texts):
+        for _, _, s in sentences(text):
             own = sorted(index[w] for w in s if w in index)
             if own:
                 sent += [len(doc)] * len(own)
