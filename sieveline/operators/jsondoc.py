@@ -25,28 +25,21 @@ def kind(v: Column) -> Column:
 def walk(docs: DataFrame, doc: str = "doc", json: str = "json", max_depth: int = MAX_DEPTH) -> DataFrame:
     """`doc, place, path, parent, depth, type, value, index`: every node; `place` has array positions, `path` has [] for them.
 
-    A level is one explode of the variants of the level above; the levels' union is the result.  Subtrees below
-    `max_depth` are not entered.
+    A document is parsed once.  Each step replaces the nodes of the last level by themselves and their children, so
+    the plan is one chain of explodes without a shuffle.  Subtrees below `max_depth` are not entered.
     """
-    spark = docs.sparkSession
-    level = docs.select(F.col(doc).alias("doc"), F.lit("$").alias("place"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("index"), F.try_parse_json(F.col(json)).alias("v")).filter("v is not null")
-    out = None
-    for depth in range(max_depth + 1):
-        typed = level.withColumn("type", kind(F.col("v")))
-        rows = typed.select("doc", "place", "path", "parent", F.lit(depth).alias("depth"), "type", F.when(F.col("type").isin("object", "array"), F.lit(None)).otherwise(F.col("v").try_cast("string")).alias("value"), "index")
-        out = rows if out is None else out.unionByName(rows)
-        if depth == max_depth:
-            break
-        level = spark.sql(
-            """SELECT l.doc, l.place AS parent, e.pos AS index, e.value AS v,
-                      concat(l.place, CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END) AS place,
-                      CASE WHEN e.key IS NULL THEN concat(l.path, '[]') WHEN l.path = '' THEN e.key ELSE concat(l.path, '.', e.key) END AS path,
-                      e.key IS NULL AS element
-               FROM {l} l, LATERAL variant_explode(l.v) e""",
-            l=typed.filter(F.col("type").isin("object", "array")).select("doc", "place", "path", "v"),
+    nodes = docs.select(F.col(doc).alias("doc"), F.lit("$").alias("place"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("index"), F.try_parse_json(F.col(json)).alias("v")).filter("v is not null")
+    for depth in range(max_depth):
+        nodes = nodes.selectExpr(
+            "doc",
+            f"""inline(concat(array(struct(place, path, parent, depth, index, v)), if(depth < {depth}, array(), concat(
+              transform(coalesce(map_entries(try_variant_get(v, '$', 'map<string,variant>')), array()),
+                e -> struct(concat(place, '.', e.key) AS place, if(path = '', e.key, concat(path, '.', e.key)) AS path, place AS parent, depth + 1 AS depth, cast(null AS int) AS index, e.value AS v)),
+              transform(coalesce(try_variant_get(v, '$', 'array<variant>'), array()),
+                (e, i) -> struct(concat(place, '[', i, ']') AS place, concat(path, '[]') AS path, place AS parent, depth + 1 AS depth, i AS index, e AS v))))))""",
         )
-        level = level.withColumn("index", F.when(F.col("element"), F.col("index"))).drop("element")
-    return out
+    nodes = nodes.withColumn("type", kind(F.col("v")))
+    return nodes.select("doc", "place", "path", "parent", "depth", "type", F.when(F.col("type").isin("object", "array"), F.lit(None)).otherwise(F.col("v").try_cast("string")).alias("value"), "index")
 
 
 def type_counts(nodes: DataFrame) -> DataFrame:

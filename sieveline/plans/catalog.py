@@ -537,7 +537,7 @@ _TREE = f"""(SELECT doc, '$' || substr(fullkey, 2) AS place, regexp_replace(rege
 
 
 def _nodes(spark: SparkSession, sf: str, max_depth: int = jsondoc.MAX_DEPTH) -> DataFrame:
-    return jsondoc.walk(C.orders_json(spark, sf), max_depth=min(max_depth, 5))  # these documents have four levels; others are empty
+    return jsondoc.walk(C.orders_json(spark, sf), max_depth=max_depth)
 
 
 @query(f"SELECT doc, place, path, type, value FROM {_TREE}")

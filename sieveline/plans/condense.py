@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import detect, drain, fold, jsondoc, parse, render, score
 
@@ -30,11 +31,12 @@ class Options:
 
 
 def records(lines: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """Folded and parsed records of `file, line_no, line`, with `record_id` in the order of files and lines."""
+    """Folded and parsed records of `file, line_no, line`, with a long `record_id` in the order of files and lines."""
     folded = fold.fold(lines, options.multiline_start)
     form = options.format or detect.detect_format(lines)
     out = parse.parse(folded.withColumnRenamed("message", "line"), form) if form != "raw" else folded
-    return out.withColumn("record_id", F.struct("file", "record_id"))
+    files = lines.select("file").distinct().withColumn("place", F.row_number().over(Window.orderBy("file")).cast("long"))  # a row for each file
+    return out.join(files, "file").withColumn("record_id", F.shiftleft("place", 40) + F.col("record_id")).drop("place")
 
 
 def past_of(history: DataFrame, now: int, options: Options = Options()) -> DataFrame:  # noqa: B008
@@ -53,9 +55,9 @@ def condense(messages: DataFrame, past: DataFrame | None = None, options: Option
 
 
 def condense_json(docs: DataFrame, past: DataFrame | None = None, options: Options = Options()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """Schema of JSON documents `doc, json`, and scored templates of the texts in them."""
+    """Schema of JSON documents `doc, json`, and scored templates of the texts in them, which come in the order of a hash of their places."""
     nodes = jsondoc.walk(docs, max_depth=options.max_depth)
-    texts = jsondoc.text_records(nodes, options.entropy_threshold).withColumn("record_id", F.struct("doc", "place"))
+    texts = jsondoc.text_records(nodes, options.entropy_threshold).withColumn("record_id", F.xxhash64("doc", "place"))
     return jsondoc.schema(nodes), condense(texts.select("record_id", "message"), past, options)
 
 
