@@ -1,12 +1,15 @@
 """Toxicity by multiple-instance learning: labels are of documents, scores of sentences.
 
-A sentence is toxic with probability sigmoid(bias + weights of its words), and a document with the noisy-or of
+A sentence is toxic with probability sigmoid(PLAIN + weights of its words), and a document with the noisy-or of
 its sentences and of a leak, which stands for labels that no word explains:
-1 - (1 - leak) * prod(1 - p).  Weights, bias and leak are fitted to the document labels by gradient steps on the
-likelihood.  The fitted model then scores every sentence and so finds the offending ones.
+1 - (1 - leak) * prod(1 - p).  Weights and leak are fitted to the document labels by gradient steps on the
+likelihood; PLAIN keeps a sentence without evidence near zero, so that length alone makes no document toxic.  The
+fitted model then scores every sentence and so finds the offending ones.
 
-Words take part if toxic documents have them significantly more often; the support of a word counts the
-different pairs of neighbours it has there, so that copies of one document are one piece of evidence.
+A word's weight is the sum of those of its features: the word and its beginnings of three to six letters, so
+that inflected and unseen forms of an offence count.  A feature takes part if toxic documents have it
+significantly more often and most documents with it are toxic; its support counts the different pairs of
+neighbours it has there, so that copies of one document are one piece of evidence.
 
 Bounds: the model is fitted on the driver to at most `max_docs` labelled documents, the first in the order of a hash
 of their ids.  Scoring reads every text whole, in one pass without a shuffle.
@@ -33,8 +36,18 @@ from pyspark.sql import functions as F
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
-#: A word's G statistic against chance (about one in 10,000), and the least support.
-SIGNIFICANT, SUPPORT = 15.0, 3
+#: A feature's G statistic against chance (about one in 10,000), the least support, and the lengths of beginnings.
+SIGNIFICANT, SUPPORT, BEGINNINGS = 15.0, 3, (3, 4, 5, 6)
+#: Log odds of a sentence without evidence.
+PLAIN = -10.0
+#: Weight that a feature has without contrary evidence; the ridge draws to it.
+START = 4.0
+#: Weights of words that a worker remembers; then it starts anew.
+REMEMBERED = 300_000
+
+
+def features(word: str) -> list[str]:
+    return [word + "$", *[word[:k] for k in BEGINNINGS if len(word) >= k]]
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
@@ -56,97 +69,105 @@ def _sigmoid(x: np.ndarray | float) -> np.ndarray | float:
 @dataclass
 class Model:
     leak: float = -30.0  # log odds
-    bias: float = -30.0
     weights: dict[str, float] = field(default_factory=dict)
+    memory: dict[str, float] = field(default_factory=dict)
 
-    def sentence(self, words: set[str]) -> float:
-        return self.bias + sum(self.weights[w] for w in words & self.weights.keys())
+    def word(self, word: str) -> float:
+        w = self.memory.get(word)
+        if w is None:
+            w = sum(self.weights.get(f, 0.0) for f in features(word)) if self.weights else 0.0
+            if len(self.memory) >= REMEMBERED:
+                self.memory.clear()
+            self.memory[word] = w
+        return w
 
     def document(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """Score, and the sentences with a known word: begin, end, probability."""
+        """Score, and the sentences with a word of some weight: begin, end, probability."""
         plain, found = 0, []
-        if self.weights.keys() & set(WORD.findall(text.lower())):
+        if any(map(self.word, set(WORD.findall(text.lower())))):
             for a, b, words in sentences(text):
-                if words & self.weights.keys():
-                    found.append((a, b, self.sentence(words)))
+                weights = [w for w in map(self.word, sorted(words)) if w]
+                if weights:
+                    found.append((a, b, PLAIN + sum(weights)))
                 else:
                     plain += 1
         else:
             plain = sum(1 for s in SENTENCE.findall(text) if WORD.search(s))
-        clean = -_softplus(self.leak) - plain * _softplus(self.bias) - sum(_softplus(z) for _, _, z in found)
+        clean = -_softplus(self.leak) - plain * _softplus(PLAIN) - sum(_softplus(z) for _, _, z in found)
         return float(min(1.0, max(0.0, -math.expm1(clean)))), [(a, b, float(_sigmoid(z))) for a, b, z in found]
 
 
 def vocabulary(texts: Sequence[str], labels: np.ndarray, most: int) -> list[str]:
-    """Words by significance.  Only words of toxic documents are counted, so memory follows those."""
+    """Features by significance.  Only those of toxic documents are counted, so memory follows these."""
     toxic: Counter[str] = Counter()
     for text, y in zip(texts, labels, strict=True):
         if y:
-            toxic.update(set(WORD.findall(text.lower())))
-    have = {w: [0, n] for w, n in toxic.items() if n >= SUPPORT}
+            toxic.update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
+    have = {f: [0, n] for f, n in toxic.items() if n >= SUPPORT}
     for text, y in zip(texts, labels, strict=True):
         if not y:
-            for w in have.keys() & set(WORD.findall(text.lower())):
-                have[w][0] += 1
+            for f in {f for w in set(WORD.findall(text.lower())) for f in features(w)} & have.keys():
+                have[f][0] += 1
     n0, n1 = int((labels == 0).sum()), int((labels == 1).sum())
-    maybe = {w for w, (a, b) in have.items() if b * n0 > a * n1}
+    maybe = {f for f, (a, b) in have.items() if b > a and b * n0 > a * n1}
     around: dict[str, set[tuple[str, str]]] = defaultdict(set)
     for text, y in zip(texts, labels, strict=True):
         if y:
             words = ["", *WORD.findall(text.lower()), ""]
             for before, w, after in zip(words, words[1:], words[2:], strict=False):
-                if w in maybe:
-                    around[w].add((before, after))
+                for f in features(w):
+                    if f in maybe:
+                        around[f].add((before, after))
 
-    def g(w: str) -> float:
-        a, b = have[w][0], min(have[w][1], len(around[w]))
+    def g(f: str) -> float:
+        a, b = have[f][0], min(have[f][1], len(around[f]))
         out = 0.0
         for seen, total in ((a, n0), (b, n1)):
             share = (a + b) / (n0 + n1)
             for x, e in ((seen, total * share), (total - seen, total * (1 - share))):
                 out += 2 * x * math.log(x / e) if x > 0 else 0.0
-        return out if b >= SUPPORT and b * n0 > a * n1 else 0.0
+        return out if b >= SUPPORT and b > a and b * n0 > a * n1 else 0.0
 
-    scored = sorted(((g(w), w) for w in maybe), key=lambda x: (-x[0], x[1]))
-    return [w for s, w in scored[:most] if s >= SIGNIFICANT]
+    scored = sorted(((g(f), f) for f in maybe), key=lambda x: (-x[0], x[1]))
+    return [f for s, f in scored[:most] if s >= SIGNIFICANT]
 
 
-def fit(texts: Sequence[str], labels: Sequence[int], *, most_words: int = 2000, steps: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> Model:
+def fit(texts: Sequence[str], labels: Sequence[int], *, most_words: int = 4000, steps: int = 400, rate: float = 0.1, ridge: float = 1e-6) -> Model:
     """Maximum likelihood with a small ridge, by Adam on all documents."""
     y = np.asarray(labels, dtype=np.int64)
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return Model(leak=math.log(share / (1 - share)) if 0 < share < 1 else (30.0 if share else -30.0))
-    words = vocabulary(texts, y, most_words)
-    index = {w: i for i, w in enumerate(words)}
-    doc, sent, word, plain = [], [], [], np.zeros(len(y))
+    names = vocabulary(texts, y, most_words)
+    index = {f: i for i, f in enumerate(names)}
+    doc, sent, feat, plain = [], [], [], np.zeros(len(y))
     for d, text in enumerate(texts):
-        for _, _, s in sentences(text):
-            own = sorted(index[w] for w in s if w in index)
+        for _, _, words in sentences(text):
+            own = [index[f] for w in sorted(words) for f in features(w) if f in index]
             if own:
                 sent += [len(doc)] * len(own)
-                word += own
+                feat += own
                 doc.append(d)
             else:
                 plain[d] += 1
-    doc, sent, word = np.array(doc, np.int64), np.array(sent, np.int64), np.array(word, np.int64)
-    theta = np.concatenate([[math.log(share / (1 - share)) - 1, -6.0], np.full(len(words), 3.0)])
+    doc, sent, feat = np.array(doc, np.int64), np.array(sent, np.int64), np.array(feat, np.int64)
+    theta = np.concatenate([[math.log(share / (1 - share)) - 1], np.full(len(names), START)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        leak, bias, w = theta[0], theta[1], theta[2:]
-        z = bias + np.bincount(sent, weights=w[word], minlength=len(doc))
-        clean = -_softplus(leak) - plain * _softplus(bias) - np.bincount(doc, weights=_softplus(z), minlength=len(y))
+        leak, w = theta[0], theta[1:]
+        z = PLAIN + np.bincount(sent, weights=w[feat], minlength=len(doc))
+        clean = -_softplus(leak) - plain * _softplus(PLAIN) - np.bincount(doc, weights=_softplus(z), minlength=len(y))
         clean = np.minimum(clean, -1e-12)
         push = np.where(y == 1, np.exp(clean) / -np.expm1(clean), -1.0)  # of the loss by `clean`
         dz = -_sigmoid(z) * push[doc]
-        grad = np.concatenate([[-_sigmoid(leak) * push.sum(), -_sigmoid(bias) * (push * plain).sum() + dz.sum()], np.bincount(word, weights=dz[sent], minlength=len(words))]) / len(y)
-        grad[2:] += ridge * w
+        grad = np.concatenate([[-_sigmoid(leak) * push.sum()], np.bincount(feat, weights=dz[sent], minlength=len(names))]) / len(y)
+        grad[1:] += ridge * (w - START)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(float(theta[0]), float(theta[1]), dict(zip(words, theta[2:].tolist(), strict=True)))
+    return Model(float(theta[0]), dict(zip(names, theta[1:].tolist(), strict=True)))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 12_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 3000) -> Model:
     """Fit to at most `max_docs` labelled documents; `learn` is a condition on the label table's ids."""
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     known = known.filter(learn) if learn is not None else known
