@@ -84,6 +84,8 @@ class Model:
     def document(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Score, and the sentences with a word of some weight: begin, end, probability."""
         plain, found = 0, []
+        if not self.weights:
+            return float(_sigmoid(self.leak)), []
         if any(map(self.word, set(WORD.findall(text.lower())))):
             for a, b, words in sentences(text):
                 weights = [w for w in map(self.word, sorted(words)) if w]
