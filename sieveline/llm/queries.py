@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, media, mixing, neardup, pieces, sharding, toxicity, urls, vptree
+from . import ctw, media, mixing, neardup, pieces, sharding, tokens, toxicity, urls, vptree
 from ._shared import fold_of, table
 
 
@@ -58,6 +58,13 @@ def op6_min_cost_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the public 50k byte vocabulary in 16 bits; 50256, which it leaves free, ends a document."""
+    import public_tokenizers
+
+    return tokens.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+
+
 def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"))
 
@@ -72,7 +79,7 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_rules, op2_mil_toxicity, op3_vantage_point, op4_superminhash_neardup, op5_sentencepiece, op6_min_cost_reshard, op8_ogg_media, op9_entropy_mix, op10_context_tree)}
+    return {f.__name__: f for f in (op1_url_rules, op2_mil_toxicity, op3_vantage_point, op4_superminhash_neardup, op5_sentencepiece, op6_min_cost_reshard, op7_separator_scan, op8_ogg_media, op9_entropy_mix, op10_context_tree)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import _bytes, ctw, media, mixing, neardup, pieces, sharding, toxicity, urls, vptree
+from sieveline.llm import _bytes, ctw, media, mixing, neardup, pieces, sharding, tokens, toxicity, urls, vptree
 from sieveline.llm._shared import fold_of
 from sieveline.llm.graph import components
 from sieveline.llm._shared import Scratch
@@ -386,6 +386,39 @@ def test_reshard(spark, tmp_path):
     assert sharding.reshard(docs.limit(0), old, n_old=3, n_new=5).count() == 0
 
 
+# ---- 7
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 64, tokens.BLOCK])
+def test_token_counts(spark, block):
+    import public_tokenizers
+    import tiktoken
+    import base64
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(ranks, "rb") as f:
+        coder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    rows = [(i, t[:200] if t and block < 9 else t, s) for i, t, s in ODD] + [(20 + k, "word " * k, "a") for k in range(30)]
+    out = tokens.count(documents(spark, rows).repartition(3), ranks, public_tokenizers.PATTERN, 50256, block=block).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in out) == sorted((i or -1, len(coder.encode_ordinary(t or ""))) for i, t, _ in rows)
+    assert tokens.count(documents(spark, rows).limit(0), ranks, public_tokenizers.PATTERN, 50256).count() == 0
+
+
+@pytest.mark.parametrize("dtype,block", [("<u2", 5), (">u4", 7), ("<u4", 4), ("u1", 3), ("<u2", 1000)])
+def test_flat_files(spark, tmp_path, dtype, block):
+    rng = np.random.default_rng(block)
+    end, want = 9, set()
+    for k in range(4):
+        ids = rng.integers(0, 12, size=[0, 1, 57, 200][k])
+        ids.astype(dtype).tofile(tmp_path / f"{k}.bin")
+        cuts = [-1, *np.flatnonzero(ids == end).tolist()]
+        want |= {(f"{k}.bin", i, b - a - 1, False) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))}
+        if len(ids) - cuts[-1] - 1:
+            want.add((f"{k}.bin", len(cuts) - 1, len(ids) - cuts[-1] - 1, True))
+    out = tokens.scan(tokens.read_flat(spark, str(tmp_path), block), end, dtype=dtype).collect()
+    assert {(r.file.rsplit("/", 1)[1], r.place, r.n_tokens, r.open) for r in out} == want and len(out) == len(want)
+
+
 # ---- 8
 
 
