@@ -35,6 +35,17 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: Bytes of text that pass to a Python worker at once; the default of ten thousand rows has no bound in bytes.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, so that very long texts do not add up in a worker; never raises a bound."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES + 1)).rstrip("b") or 0)
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 class Scratch:
     """Tables written to the folder that the whole cluster shares (spark.checkpoint.dir).
 
@@ -44,6 +55,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str) -> None:
         self.spark = spark
+        small_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="sieveline-")

@@ -31,14 +31,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from ._bytes import chunks
+from ._shared import small_batches
 
 #: Fixed values of the formats: the visible blank, field numbers of the model and its normaliser, piece types.
 MARK = "▁"
 PIECES, NORMALIZER = 1, 3
 MAP, DUMMY_PREFIX, STRIP, ESCAPE = 2, 3, 4, 5
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
-#: Segmented runs that a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Segmented runs that a worker remembers, in two generations: the older one is dropped when the younger is full.
+REMEMBERED = 150_000
 
 
 def fields(data: bytes) -> list[tuple[int, int | bytes]]:
@@ -177,10 +178,11 @@ class Encoder:
         kinds = [p.get(3, NORMAL) for p in pieces]
         names = [p[1].decode() for p in pieces]
         self.cuts = self.normalize.escape and all(k in (NORMAL, UNKNOWN, BYTE, 3) for k in kinds) and not any(MARK in n.lstrip(MARK) for n, k in zip(names, kinds, strict=True) if k == NORMAL)
-        self.byte = {i: int(n[3:5], 16) for i, (n, k) in enumerate(zip(names, kinds, strict=True)) if k == BYTE}
-        self.sizes = [len(n.encode()) if k == NORMAL else 0 for n, k in zip(names, kinds, strict=True)]
-        self.unknown = kinds.index(UNKNOWN)
-        self.memory: dict[str, tuple[list[int], list[int], str]] = {}
+        # bytes of the normalised text that a piece takes; of a character in bytes, the first takes all
+        lead = lambda b: 1 if b < 0x80 else 0 if b < 0xC0 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
+        self.sizes = np.array([lead(int(n[3:5], 16)) if k == BYTE else len(n.encode()) if k == NORMAL else -1 for n, k in zip(names, kinds, strict=True)], dtype=np.int64)
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
 
     def _runs(self, text: str) -> list[str]:
         """Runs of MARK, each with what follows up to the next one."""
@@ -197,45 +199,30 @@ class Encoder:
                 lead = ""
         return [*out, lead] if lead else out
 
-    def _learn(self, run: str) -> tuple[list[int], list[int], str]:
-        """Ids of a run, the bytes of the normalised text that each takes, and the ids as text."""
-        ids = self.segment.encode(run)
-        data, at, sizes = run.encode(), 0, []
-        owed = 0
-        for i in ids:
-            if i in self.byte:  # the first byte of a character takes all of it
-                lead = 0
-                if not owed:
-                    lead = owed = 1 + sum(data[at] >= x for x in (0xC0, 0xE0, 0xF0))
-                owed -= 1
-                sizes.append(lead)
-            elif i == self.unknown:  # a run of unknown characters up to the next known piece
-                sizes.append(-1)
-            else:
-                sizes.append(self.sizes[i])
-            at += max(0, sizes[-1])
-        if -1 in sizes:
-            sizes = [len(p.encode()) for p in self.segment.encode(run, out_type=str)]
-        if len(self.memory) >= REMEMBERED:
-            self.memory.clear()
-        self.memory[run] = out = ids, sizes, ",".join(map(str, ids))
+    def _learn(self, run: str) -> tuple[bytes, str]:
+        """Ids of a run as 32-bit numbers and as text."""
+        out = self.old.get(run)
+        if out is None:
+            ids = self.segment.encode(run)
+            out = np.array(ids, dtype=np.int32).tobytes(), ",".join(map(str, ids))
+        if len(self.young) >= REMEMBERED // 2:
+            self.old, self.young = self.young, {}
+        if len(run) < 200:
+            self.young[run] = out
         return out
 
-    def encode(self, data: bytes) -> tuple[list[int], np.ndarray, np.ndarray, str]:
+    def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
         """Ids, begins and ends (bytes of the source) of the pieces, and the ids joined by commas."""
         normal, source = self.normalize(data)
-        ids: list[int] = []
-        sizes: list[int] = []
-        said: list[str] = []
-        get = self.memory.get
-        for run in self._runs(normal.decode()) if normal else ():
-            i, s, t = get(run) or self._learn(run)
-            ids += i
-            sizes += s
-            said.append(t)
-        ends = np.cumsum(np.array(sizes, dtype=np.int64))
-        spans = source[np.concatenate([np.zeros(1, np.int64), ends])]
-        return ids, spans[:-1], spans[1:], ",".join(said)
+        text = normal.decode()
+        get, learn = self.young.get, self._learn
+        parts = [get(run) or learn(run) for run in self._runs(text)] if text else []
+        ids = np.frombuffer(b"".join([p[0] for p in parts]), dtype=np.int32)
+        sizes = self.sizes[ids]
+        if (sizes < 0).any():  # unknown pieces without byte fallback: only the pieces' own texts tell
+            sizes = np.array([len(p.encode()) for p in self.segment.encode(text, out_type=str)], dtype=np.int64)
+        spans = source[np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])]
+        return ids, spans[:-1], spans[1:], ",".join([p[1] for p in parts])
 
 
 @lru_cache(maxsize=2)
@@ -250,6 +237,7 @@ def encode(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "
     spans follow one another from the first byte of the text to the last.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     spark.sparkContext.addFile(model)
     name = Path(model).name
     narrow = docs.select(docs[doc_id].alias("id"), docs[text].cast("string").alias("t"))
@@ -267,8 +255,8 @@ def encode(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "
                         cols[c] = pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.asarray(d[k], dtype=kind) for d in done])))
                 if digests:
                     cols["ids_sha256"] = pa.array([hashlib.sha256(d[3].encode()).hexdigest() for d in done])
-                    cols["decoded_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in coder.library.decode([d[0] for d in done])])
-                    cols["covered"] = pa.array([not d[0] if not x else bool(d[1][0] == 0 and d[2][-1] == len(x) and (d[1][1:] == d[2][:-1]).all()) for d, x in zip(done, texts, strict=True)])
+                    cols["decoded_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in coder.library.decode([d[0].tolist() for d in done])])
+                    cols["covered"] = pa.array([not len(d[0]) if not x else bool(d[1][0] == 0 and d[2][-1] == len(x) and (d[1][1:] == d[2][:-1]).all()) for d, x in zip(done, texts, strict=True)])
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return narrow.mapInArrow(run, schema)

@@ -341,9 +341,9 @@ def test_character_map_against_the_library():
         for _ in range(300):
             text = "".join(rng.choice([*swaps, "a", "the ", "  ", "②", "é", "中", "\n"]) for _ in range(rng.randint(0, 12)))
             ids, begins, ends, _ = ours.encode(text.encode())
-            assert ids == library.encode(text), text
+            assert ids.tolist() == library.encode(text), text
             assert (begins[1:] == ends[:-1]).all() and (begins <= ends).all()
-            if ids and not strip:
+            if len(ids) and not strip:
                 assert begins[0] == 0 and ends[-1] == len(text.encode())
 
 
