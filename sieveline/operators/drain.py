@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import ship
 
 #: Default parameters and the number of example records.
 DEPTH, MAX_CHILDREN, THRESHOLD, EXAMPLES = 4, 128, 0.5, 3
@@ -94,6 +95,8 @@ def online(messages: list[list[str]], threshold: float) -> tuple[list[list[str |
 def online_templates(routed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The templates of leaves by the online loop, with the columns of `closed_templates`."""
 
+    ship(routed.sparkSession)
+
     def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("record_id", kind="stable")
         templates, chosen = online([list(t) for t in pdf["tokens"]], threshold)
