@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A word is a run of anything but the six ASCII blanks; A-Z are the only letters that are folded.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,8 +41,12 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the session, so that very long texts do not add up in a worker; never raises a bound."""
+def prepare(spark: SparkSession) -> None:
+    """Make a session fit for Python functions: they get the package, and Arrow batches of bounded size, for long texts add up.
+
+    A lower bound that is set already stays.
+    """
+    ship(spark)
     now = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES + 1)).rstrip("b") or 0)
     if now <= 0 or now > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -55,7 +61,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str) -> None:
         self.spark = spark
-        small_batches(spark)
+        prepare(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="sieveline-")

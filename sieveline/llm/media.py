@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ._shared import small_batches
+from ._shared import prepare
 
 #: Fixed values of the format: page header layout, flags and the largest lacing value.
 HEADER = struct.Struct("<4sBBqIIIB")
@@ -183,7 +183,7 @@ def store(texts: pd.Series) -> Iterator[tuple[bytes, bytes, dict[int, Stream], i
 
 def media(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep_file: bool = False) -> DataFrame:
     """Store every text as an Ogg file and read it back: the digests of `COLUMNS`, and the file as `media` if kept."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     narrow = docs.select(docs[doc_id].alias("k"), docs[text].cast("string").alias("t"))
 

@@ -31,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from ._bytes import chunks
-from ._shared import small_batches
+from ._shared import prepare
 
 #: Fixed values of the formats: the visible blank, field numbers of the model and its normaliser, piece types.
 MARK = "▁"
@@ -237,7 +237,7 @@ def encode(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "
     spans follow one another from the first byte of the text to the last.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     spark.sparkContext.addFile(model)
     name = Path(model).name
     narrow = docs.select(docs[doc_id].alias("id"), docs[text].cast("string").alias("t"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._bytes import chunks
-from ._shared import Scratch
+from ._shared import Scratch, prepare
 
 #: Bytes of a block; odd, so that blocks end within tokens and the stitching is always at work.
 BLOCK = (1 << 20) + 1
@@ -47,6 +47,7 @@ def _tokenizer(name: str, pattern: str):  # noqa: ANN202
 def flatten(docs: DataFrame, ranks: str, pattern: str, end: int, *, doc_id: str = "doc_id", text: str = "text", dtype: str = "<u2", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Blocks `file, number, data` and documents `file, place, doc_id`; `end` is no id of the vocabulary in `ranks`."""
     spark = docs.sparkSession
+    prepare(spark)
     spark.sparkContext.addFile(ranks)
     name = ranks.rsplit("/", 1)[-1]
     narrow = docs.select(docs[doc_id].alias("id"), docs[text].cast("string").alias("t"))
@@ -116,6 +117,7 @@ def scan(blocks: DataFrame, end: int, *, dtype: str = "<u2") -> DataFrame:
 
     Blocks of a file must all have at least as many bytes as a token, but for the last.
     """
+    prepare(blocks.sparkSession)
     width = np.dtype(dtype).itemsize
     kind = blocks.schema["file"].dataType.simpleString()
     found = blocks.mapInArrow(_separators(dtype, end), f"file {kind}, number long, size long, found array<array<bigint>>, head binary, tail binary")

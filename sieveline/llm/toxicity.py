@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small_batches
+from ._shared import prepare
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, do
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """`doc_id, score, predicted, offending`: spans (characters) and scores of the sentences from the threshold on."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(docs[doc_id].alias("k"), docs[text].cast("string").alias("t"))
 
@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
 
 def filter_clean(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` whose score is below the threshold, all columns as they are, in one pass."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._shared import prepare
+
 SHARD, QUERIES, LEAF = 8192, 4096, 96
 #: Points kept beyond k, so that rounding in matrix products cannot push out one that is as near.
 SPARE = 4
@@ -129,6 +131,7 @@ def _answer(k: int, factor: float):  # noqa: ANN202
 
 def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, factor: float = 1.0, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
     """`query_id, rank, vec_id, score`: the k nearest by cosine of every row for which `is_query` holds, among all other rows."""
+    prepare(vectors.sparkSession)
     v = F.col(embedding).cast("array<double>")
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), v.alias("v")).filter("id is not null and v is not null")
     rows = rows.filter("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
