@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,12 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """For sessions without a shared folder, which then are on one machine."""
+    return "file://" + tempfile.mkdtemp(prefix="sieveline-")
+
+
 class Scratch:
     """Tables written to the folder that the whole cluster shares (spark.checkpoint.dir).
 
@@ -63,9 +70,7 @@ class Scratch:
         self.spark = spark
         prepare(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="sieveline-")
-            spark.conf.set("spark.checkpoint.dir", base)
+        base = base or _own_folder()
         self.root = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
         self.count = 0
         self.paths: dict[int, str] = {}
