@@ -177,9 +177,9 @@ def parse_logfmt(spark, sf):  # noqa: ANN001, ANN201
     return rows.select("record_id", "level", "message", "ts_text", F.array_join(F.transform("fields", lambda f: F.concat(f["key"], F.lit("="), f["value"])), "|").alias("fields"))
 
 
-@query(f"SELECT record_id, '10.0.0.' || (user_id % 256) AS host, 'user' || (user_id % 256) AS user, TIMESTAMP '2024-10-10 13:55:00' + to_seconds(10 + event_id % 50) AS ts, 'GET /' || event_type || '/' || record_id || ' HTTP/1.1' AS request, CAST(200 + record_id % 300 AS INT) AS status, CASE WHEN record_id % 7 <> 0 THEN record_id END AS bytes FROM (SELECT event_id AS record_id, * FROM events)")
+@query(f"SELECT record_id, '10.0.0.' || (user_id % 256) AS host, 'user' || (user_id % 256) AS user, CAST(epoch(TIMESTAMP '2024-10-10 13:55:00') AS BIGINT) + 10 + event_id % 50 AS ts, 'GET /' || event_type || '/' || record_id || ' HTTP/1.1' AS request, CAST(200 + record_id % 300 AS INT) AS status, CASE WHEN record_id % 7 <> 0 THEN record_id END AS bytes FROM (SELECT event_id AS record_id, * FROM events)")
 def parse_clf(spark, sf):  # noqa: ANN001, ANN201
-    return parse.common_log(C.events(spark, sf, C.COMMON_LOG, "line")).select("record_id", "host", "user", F.col("ts").cast("timestamp_ntz").alias("ts"), "request", "status", "bytes")
+    return parse.common_log(C.events(spark, sf, C.COMMON_LOG, "line")).select("record_id", "host", "user", F.unix_seconds("ts").alias("ts"), "request", "status", "bytes")
 
 
 _SEV = "[" + ", ".join(f"'{s}'" for s in parse.SEVERITIES) + "]"
