@@ -44,11 +44,18 @@ class State:
         return self._read("templates", TEMPLATES)
 
     def append(self, templates: DataFrame, run_id: str, run_ts: int) -> None:
-        """Write the counts of a run; its partition is replaced if the run is repeated."""
-        rows = templates.withColumns({"run_id": F.lit(run_id), "run_ts": F.lit(run_ts), "project": F.lit(self.project)})
-        for name, cols in (("history", ["template_id", "count"]), ("templates", ["template_id", "pattern", "count"])):
-            out = rows.groupBy(*[c for c in cols if c != "count"], "run_id", "run_ts", "project").agg(F.sum("count").alias("count"))
-            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project", "run_id").parquet(f"{self.root}/{name}")
+        """Write the counts of a run; its partition is replaced if the run is repeated.
+
+        `templates` may itself come from the history, so its rows are written beside that first, and the history is
+        then written from what was written: a table is never read and replaced at once.
+        """
+        rows = templates.groupBy("template_id", "pattern").agg(F.sum("count").alias("count"))
+        self._write(rows.withColumns({"run_id": F.lit(run_id), "run_ts": F.lit(run_ts), "project": F.lit(self.project)}), "templates")
+        own = self.templates().filter(F.col("run_id") == run_id)
+        self._write(own.groupBy("template_id", "run_id", "run_ts", "project").agg(F.sum("count").alias("count")), "history")
+
+    def _write(self, rows: DataFrame, name: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project", "run_id").parquet(f"{self.root}/{name}")
 
     def reset(self) -> None:
         """Forget the project."""

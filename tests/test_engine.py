@@ -263,3 +263,23 @@ def test_stream(spark, tmp_path):
         q.awaitTermination(120)
     last = {r.pattern: r.promotion for r in spark.read.parquet(str(tmp_path / "out" / "batch=1")).collect()}
     assert last == {"alpha one two": "normal", "brand new line here": "novelty"}
+
+
+def test_command_line(spark, tmp_path):
+    from sieveline.__main__ import run
+
+    log = tmp_path / "a.log"
+    log.write_text("".join(f"job {i} done in time\n" for i in range(200)) + "  trace\nodd line here\n")
+    state = ["--state-dir", str(tmp_path / "state"), "--project", "p"]
+    first = run(spark, [str(log), *state, "--max-children", "3", "-v"])
+    assert first[0] == "## NEW" and any("[NEW] job * done in time (count: 197)" in x for x in first) and "records: 201" in first
+    log.write_text("".join(f"job {i} done in time\n" for i in range(3, 200)))
+    again = run(spark, [str(log), *state, "--max-children", "3", "-f", "json"])
+    assert any('"historic_estimate":196' in x or '"historic_estimate":197' in x for x in again)  # seconds passed, and decay cuts
+    assert run(spark, [str(log), "--no-state", "-f", "raw"])[0].startswith('{"file"')
+    assert run(spark, [str(log), *state, "--reset-state"]) == [] and run(spark, [str(log), *state, "--max-children", "3"])[1].startswith("[NEW]")
+    doc = tmp_path / "d.json"
+    doc.write_text('{"rows":[\n{"k":1,"s":"a"},\n{"k":2,"s":"b"}]}')
+    out = run(spark, [str(doc), "--no-state"])
+    assert any(x.startswith("rows[].k: int ×2") for x in out)
+    assert run(spark, [str(doc), "--no-state", "--schema-only", "--json-path", "rows[*].s"]) == ["rows[].s: a ×1", "rows[].s: b ×1"]
