@@ -22,7 +22,7 @@ def probe_mode(head: Column, override: str | None = None) -> Column:
     """json_document, ndjson_log or log, from the first characters of an input."""
     if override:
         return F.lit(override)
-    head = F.regexp_replace(head, "^﻿", "")
+    head = F.regexp_replace(head, "^\ufeff", "")
     return F.when(F.regexp_like(head, F.lit(r"^[ \t\n\f\r]*[{\[]")), "json_document").when(ndjson_share(head) >= SHARE, "ndjson_log").otherwise("log")
 
 

@@ -216,7 +216,7 @@ _AGREE = "list_transform(range(1, len(a) + 1), lambda i: CASE WHEN a[i] = b[i] T
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Each event's words and those of the next event of its user's bucket, so that no window holds all events."""
+    """Each event's words and those of the next event, by a join on the number, so that no window holds all events."""
     rows = C.events(spark, sf, C.EVENT).withColumn("a", T.tokens("message"))
     after = rows.select((F.col("record_id") - 1).alias("record_id"), F.col("a").alias("b"))
     return rows.join(after, "record_id")

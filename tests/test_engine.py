@@ -41,7 +41,7 @@ def test_split_file_is_numbered_through(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-@pytest.mark.parametrize("head,mode", [('﻿{"a":1}', "json_document"), ("  [2026] x", "json_document"), ("plain\n" + '{"a":1}\n' * 4, "ndjson_log"), ("a\nb\n{", "log"), ("\n \n", "log"), ("", "log")])
+@pytest.mark.parametrize("head,mode", [('\ufeff{"a":1}', "json_document"), ("  [2026] x", "json_document"), ("plain\n" + '{"a":1}\n' * 4, "ndjson_log"), ("a\nb\n{", "log"), ("\n \n", "log"), ("", "log")])
 def test_mode(spark, head, mode):
     assert col(spark, [head], lambda c: detect.probe_mode(F.col(c))) == [mode]
 
