@@ -59,6 +59,12 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="sieveline-")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store that Spark knows, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Tables written to the folder that the whole cluster shares (spark.checkpoint.dir).
 
@@ -95,8 +101,6 @@ class Scratch:
 
     def _remove(self, path: str) -> None:
         try:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(self.spark, path)
         except Exception:  # the session may be gone already
             pass

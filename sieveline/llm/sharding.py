@@ -9,7 +9,7 @@ fullest and the emptiest shard as long as that evens them out.
 
 Defined cases: a null text counts as empty (size 1, checksum 0); rows with a null id form ordinary rows of the
 block of their hash; repeated rows are rows of their own, in any order among themselves; an empty table gives an
-empty result; columns of the input other than id, text and old shard are not read.
+empty result; reshard() reads no columns of the input other than id, text and old shard, rewrite() carries all.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import Scratch
+from ._shared import Scratch, remove
 
 BLOCKS = 4096
+#: Bytes of text in a file that rewrite() makes, about.
+FILE_BYTES = 16 << 20
 
 
 def min_cost_flow(supply: Sequence[int], capacity: Sequence[int], cost: Callable[[int, int], int]) -> dict[tuple[int, int], int]:
@@ -128,13 +130,37 @@ def reshard(docs: DataFrame, old: Column, *, n_old: int, n_new: int, doc_id: str
     return out.select(F.col("_id").alias(doc_id), "size", "text_crc32", "old_shard", "block", "shard", "slot")
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, *, doc_id: str = "doc_id") -> list[int]:
+def rewrite(docs: DataFrame, placed: DataFrame, path: str, *, old: Column | None = None, doc_id: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> list[int]:
     """Write the shards that a transfer touches, as folders shard=N under `path`; return their numbers.
 
-    A shard that neither gives nor receives a block keeps the files it has.
+    A shard that neither gives nor receives a block keeps the files it has; one that gives all it has loses its folder.
+    Files hold the columns of `docs` and `slot`, in the order of slots; columns `shard` and `slot` of `docs` are replaced.
+    `old` and `blocks` are what reshard() got: with them a row finds its block by itself.  Without `old` its old shard is
+    looked up by id and text, and rows of one id and text in several old shards are an error.
     """
-    moved = placed.filter("old_shard <> shard")
-    touched = sorted({x for r in moved.select("old_shard", "shard").distinct().collect() for x in r})
-    rows = docs.join(placed.filter(F.col("shard").isin(touched)).select(doc_id, "shard", "slot"), doc_id)
-    rows.repartition("shard", F.pmod(F.col("slot"), F.lit(8))).sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    spark = docs.sparkSession
+    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    rows = docs.withColumns({"_old": old.cast("int") if old is not None else F.lit(None).cast("int"), "_block": F.pmod(F.xxhash64(F.col(doc_id)), F.lit(blocks)).cast("int"), "_size": (F.octet_length(raw) + 1).cast("long"), "_crc": F.crc32(raw)})
+    if old is None:
+        lies = placed.groupBy(F.col(doc_id).alias("_id"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c")).agg(F.min("old_shard").alias("_least"), F.max("old_shard").alias("_most"))
+        lies = Scratch(spark, "sharding").table(lies, "old")
+        if not lies.filter("_least <> _most").isEmpty():
+            raise ValueError("rows of one id and text lie in several old shards: give `old`")
+        rows = rows.join(lies, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_s")) & (F.col("_crc") == F.col("_c"))).withColumn("_old", F.col("_least")).drop("_id", "_s", "_c", "_least", "_most")
+    plan_ = placed.groupBy("old_shard", "block").agg(F.min("shard").alias("shard"), F.min("slot").alias("first"), F.sum("size").alias("b"), F.count("*").alias("n")).collect()  # at most n_old * blocks rows
+    touched = sorted({x for r in plan_ if r["old_shard"] != r["shard"] for x in (r["old_shard"], r["shard"])})
+    load, count = defaultdict(int), defaultdict(int)
+    for r in plan_:
+        load[r["shard"]] += r["b"]
+        count[r["shard"]] += r["n"]
+    files = {j: -(-b // FILE_BYTES) for j, b in load.items()}
+    where = [(r["old_shard"], r["block"], r["shard"], r["first"], r["first"] * files[r["shard"]] // count[r["shard"]]) for r in plan_ if r["shard"] in set(touched)]
+    if where:
+        at = F.broadcast(spark.createDataFrame(where, "_old int, _block int, _shard int, _first long, _file long"))
+        rank = F.row_number().over(Window.partitionBy("_shard", "_file", "_old", "_block").orderBy(doc_id, "_crc"))
+        rows = rows.join(at, ["_old", "_block"]).repartition("_shard", "_file").withColumn("_slot", F.col("_first") + rank - 1)
+        out = rows.select(*[F.col(c) for c in docs.columns if c not in ("shard", "slot")], F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+        out.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for j in set(touched) - set(load):
+        remove(spark, f"{path}/shard={j}")
     return touched

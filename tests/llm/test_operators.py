@@ -386,6 +386,28 @@ def test_reshard(spark, tmp_path):
     assert sharding.reshard(docs.limit(0), old, n_old=3, n_new=5).count() == 0
 
 
+@pytest.mark.parametrize("n_new", [2, 5])
+def test_rewrite_keeps_every_row(spark, tmp_path, n_new):
+    rows = [(i, f"text {i}", "abc"[i % 3]) for i in range(300)] + [(None, f"null {i}", "abc"[i % 3]) for i in range(20)]
+    rows += [(7, "other text", "b"), (None, None, "a"), *[(8, "same", "a")] * 5, (8, "same", "b"), (8, "same", "c")]
+    docs = documents(spark, rows).drop("shard").withColumn("lang", F.col("source"))
+    old = F.when(F.col("source") == "a", 0).when(F.col("source") == "b", 1).otherwise(2)
+    placed, path = sharding.reshard(docs, old, n_old=3, n_new=n_new), str(tmp_path / "out")
+    docs.withColumn("shard", old).write.partitionBy("shard").parquet(path)
+    touched = sharding.rewrite(docs, placed, path, old=old)
+    back = spark.read.parquet(path).collect()
+    key = lambda rows: collections.Counter((r[0], r[1], r[2]) for r in rows)
+    assert key((r.doc_id, r.text, r.lang) for r in back) == key(rows) and {r.shard for r in back} <= set(range(n_new))
+    where = collections.Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in placed.collect() if r.shard in touched)
+    assert where == collections.Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in back if r.shard in touched)
+    with pytest.raises(ValueError):
+        sharding.rewrite(docs, placed, str(tmp_path / "none"))
+    few = docs.filter("doc_id is null or doc_id <> 8").unionByName(docs.filter("doc_id = 8 and source = 'a'"))
+    few.withColumn("shard", old).write.partitionBy("shard").parquet(path := str(tmp_path / "few"))
+    sharding.rewrite(few, sharding.reshard(few, old, n_old=3, n_new=n_new), path)
+    assert key((r.doc_id, r.text, r.lang) for r in spark.read.parquet(path).collect()) == key(x for x in rows if x[0] != 8 or x[2] == "a")
+
+
 # ---- 7
 
 
