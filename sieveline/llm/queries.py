@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ctw, media, mixing, neardup, pieces, sharding, tokens, toxicity, urls, vptree
-from ._shared import fold_of, table
+from ._shared import Scratch, fold_of, table
 
 
 #: The contract's rules: verdict, host, path.
@@ -51,11 +51,24 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_min_cost_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve old shards by source, so of very unequal sizes, into sixteen of equal bytes."""
+    """Twelve old shards by source, so of very unequal sizes, into sixteen of equal bytes.
+
+    The affected shards are written, and their rows come from the files read back; the rows of a shard that keeps its
+    files come from the table.
+    """
     docs = table(spark, sf_dir, "documents")
-    old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(12))
+    old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(12)).cast("int")
     placed = sharding.reshard(docs, old, n_old=12, n_new=16)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    files = Scratch(spark, "shards").path("new")
+    touched = sharding.rewrite(docs, placed, files, old=old)
+    columns = ["doc_id", "size", "text_crc32", "shard", "slot", "old_shard"]
+    rows = placed.filter(~F.col("shard").isin(touched)).select(columns)
+    if touched:
+        raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+        back = spark.read.schema(docs.drop("shard", "slot").withColumns({"slot": F.lit(0).cast("long"), "shard": F.lit(0)}).schema).parquet(files)
+        back = back.withColumns({"size": (F.octet_length(raw) + 1).cast("long"), "text_crc32": F.crc32(raw), "old_shard": old}).select(columns)
+        rows = back.unionByName(rows) if len(touched) < 16 else back
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,14 @@ def test_recall(results):
         near[i] = -2
         hits += len(set(own.vec_id) & set(ids[np.argsort(-near, kind="stable")[:5]]))
     assert hits >= 0.9 * len(results[3])
+
+
+def test_reshard_writes_the_shards(spark, monkeypatch):
+    made, rewrite = [], queries.sharding.rewrite
+    monkeypatch.setattr(queries.sharding, "rewrite", lambda docs, placed, path, **more: made.append(path) or rewrite(docs, placed, path, **more))
+    out = queries.op6_min_cost_reshard(spark, SF).toPandas()
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    files = spark.read.parquet(made[0]).toPandas()
+    key = lambda f, *c: sorted(map(tuple, f[list(c)].astype(str).to_numpy().tolist()))
+    assert key(files, "doc_id", "text", "source") == key(docs, "doc_id", "text", "source")
+    assert key(files, "doc_id", "shard", "slot") == key(out, "doc_id", "shard", "slot")
