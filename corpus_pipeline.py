@@ -1,8 +1,8 @@
 """A corpus pipeline over `documents`: reject toxic texts, keep one of each group of near-duplicates, mix the sources, tokenise.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again
-as the next stage's documents.  Rows with null ids pass the first stages like others with their own texts and are never
-duplicates of anything.  All but the last stage return the columns of `documents`; in the mixed corpus a
+as the next stage's documents.  Rows are judged one by one by their own texts, whether their ids are null, repeated or
+neither.  All but the last stage return the columns of `documents`; in the mixed corpus a
 document occurs once for each of its copies.
 """
 
@@ -23,11 +23,19 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more; the smallest id of a group stays, once if its row is repeated."""
-    groups = neardup.near_duplicates(docs, words=5, percent=80, bands=30, width=5)
-    kept = Scratch(spark, "kept").table(groups.filter("kept and doc_id is not null").select("doc_id").distinct(), "ids")
-    whole = docs.filter("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi")
-    return whole.unionByName(docs.filter("doc_id is null"))
+    """Five-word shingles, similarity 0.8 or more; one row of each group stays, that with the smallest id, null last.
+
+    Texts without shingles are alike only if id and text are equal or both null.
+    """
+    scratch = Scratch(spark, "kept")
+    rows = scratch.numbered(docs, "rows")
+    groups = neardup.near_duplicates(rows, doc_id="_row", words=5, percent=80, bands=30, width=5)
+    groups = scratch.table(groups.select("_row", "component_id", "n_shingles"), "groups")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row")
+    first = rows.select("_row", "doc_id").join(groups.filter("n_shingles > 0"), "_row").groupBy("component_id").agg(least).select("_row")
+    bare = rows.join(groups.filter("n_shingles = 0").select("_row").hint("merge"), "_row", "left_semi").groupBy("doc_id", "text").agg(F.min("_row").alias("_row"))
+    kept = scratch.table(first.unionByName(bare.select("_row")), "ids")
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,6 +93,10 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def numbered(self, df: DataFrame, name: str, key: str = "_row") -> DataFrame:
+        """The written table with a number of its own for every row."""
+        return self.table(df.withColumn(key, F.monotonically_increasing_id()), name)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing will read again."""
         for t in tables:

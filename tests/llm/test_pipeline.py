@@ -41,3 +41,14 @@ def test_stages(spark, folder, tmp_path):
     assert abs(sum(len(words(r.text)) for r in mixed) / (1.5 * total) - 1) < 0.01
     assert collections.Counter(r.doc_id for r in coded) == copies
     assert corpus_pipeline.run(spark, path).count() == len(coded)
+
+
+def test_one_row_of_each_group(spark):
+    body = " ".join(f"w{i}" for i in range(40))
+    near, other = body.replace("w39", "x"), "null alone with words of its own here"
+    rows = [(1, body)] * 50 + [(2, near), (None, body), (None, body), (4, near), (4, "quite different words stand here in this text")]
+    rows += [(5, ""), (5, ""), (5, None), (6, ""), (None, other), (None, other), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.one_of_each_group(spark, docs, "").collect()
+    want = [(1, body), (4, "quite different words stand here in this text"), (5, ""), (5, None), (6, ""), (None, other), (None, "")]
+    assert collections.Counter((r.doc_id, r.text) for r in out) == collections.Counter(want)
