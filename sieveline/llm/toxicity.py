@@ -1,10 +1,11 @@
 """Toxicity by multiple-instance learning: labels are of documents, scores of sentences.
 
 A sentence is toxic with probability sigmoid(PLAIN + weights of its words), and a document with the noisy-or of
-its sentences and of a leak, which stands for labels that no word explains:
-1 - (1 - leak) * prod(1 - p).  Weights and leak are fitted to the document labels by gradient steps on the
-likelihood; PLAIN keeps a sentence without evidence near zero, so that length alone makes no document toxic.  The
-fitted model then scores every sentence and so finds the offending ones.
+its sentences and of a leak, which stands for labels that no word explains: 1 - (1 - leak) * prod((1 - p) / (1 - p0)),
+where p0 = sigmoid(PLAIN) is a sentence's probability without evidence.  So sentences without evidence, or with more
+against than for it, count as nothing, and length alone makes no document toxic.  Weights and leak are fitted to the
+document labels by gradient steps on the likelihood.  The fitted model then scores every sentence and so finds the
+offending ones.
 
 A word's weight is the sum of those of its features: the word and its beginnings of three to six letters, so
 that inflected and unseen forms of an offence count.  A feature takes part if toxic documents have it
@@ -68,6 +69,11 @@ def _sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 0.5 * (1 + np.tanh(np.asarray(x) / 2))
 
 
+def _evidence(weight: np.ndarray | float) -> np.ndarray | float:
+    """What a sentence of that weight takes off the logarithm of the probability that its document is clean; nothing if it has none."""
+    return np.maximum(0.0, _softplus(PLAIN + weight) - _softplus(PLAIN))
+
+
 @dataclass
 class Model:
     leak: float = -30.0  # log odds
@@ -85,20 +91,16 @@ class Model:
 
     def document(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Score, and the sentences with a word of some weight: begin, end, probability."""
-        plain, found = 0, []
+        found = []
         if not self.weights:
             return float(_sigmoid(self.leak)), []
         if any(map(self.word, set(WORD.findall(text.lower())))):
             for a, b, words in sentences(text):
                 weights = [w for w in map(self.word, sorted(words)) if w]
                 if weights:
-                    found.append((a, b, PLAIN + sum(weights)))
-                else:
-                    plain += 1
-        else:
-            plain = sum(1 for s in SENTENCE.findall(text) if WORD.search(s))
-        clean = -_softplus(self.leak) - plain * _softplus(PLAIN) - sum(_softplus(z) for _, _, z in found)
-        return float(min(1.0, max(0.0, -math.expm1(clean)))), [(a, b, float(_sigmoid(z))) for a, b, z in found]
+                    found.append((a, b, sum(weights)))
+        clean = -_softplus(self.leak) - sum(_evidence(w) for _, _, w in found)
+        return float(min(1.0, max(0.0, -math.expm1(clean)))), [(a, b, float(_sigmoid(PLAIN + w))) for a, b, w in found]
 
 
 def vocabulary(texts: Sequence[str], labels: np.ndarray, most: int) -> list[str]:
@@ -144,7 +146,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], *, most_words: int = 4000,
         return Model(leak=math.log(share / (1 - share)) if 0 < share < 1 else (30.0 if share else -30.0))
     names = vocabulary(texts, y, most_words)
     index = {f: i for i, f in enumerate(names)}
-    doc, sent, feat, plain = [], [], [], np.zeros(len(y))
+    doc, sent, feat = [], [], []
     for d, text in enumerate(texts):
         for _, _, words in sentences(text):
             own = [index[f] for w in sorted(words) for f in features(w) if f in index]
@@ -152,18 +154,16 @@ def fit(texts: Sequence[str], labels: Sequence[int], *, most_words: int = 4000,
                 sent += [len(doc)] * len(own)
                 feat += own
                 doc.append(d)
-            else:
-                plain[d] += 1
     doc, sent, feat = np.array(doc, np.int64), np.array(sent, np.int64), np.array(feat, np.int64)
     theta = np.concatenate([[math.log(share / (1 - share)) - 1], np.full(len(names), START)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
         leak, w = theta[0], theta[1:]
-        z = PLAIN + np.bincount(sent, weights=w[feat], minlength=len(doc))
-        clean = -_softplus(leak) - plain * _softplus(PLAIN) - np.bincount(doc, weights=_softplus(z), minlength=len(y))
+        s = np.bincount(sent, weights=w[feat], minlength=len(doc))
+        clean = -_softplus(leak) - np.bincount(doc, weights=_evidence(s), minlength=len(y))
         clean = np.minimum(clean, -1e-12)
         push = np.where(y == 1, np.exp(clean) / -np.expm1(clean), -1.0)  # of the loss by `clean`
-        dz = -_sigmoid(z) * push[doc]
+        dz = -_sigmoid(PLAIN + s) * (s > 0) * push[doc]
         grad = np.concatenate([[-_sigmoid(leak) * push.sum()], np.bincount(feat, weights=dz[sent], minlength=len(names))]) / len(y)
         grad[1:] += ridge * (w - START)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2

@@ -131,6 +131,16 @@ def test_copies_are_one_piece_of_evidence():
     assert toxicity.fit(texts, labels).word("zebra") == 0
 
 
+def test_length_alone_is_not_toxic():
+    rows = toxic_corpus(300, 3)
+    model = toxicity.fit([t for _, t, _, _ in rows], [y for _, _, y, _ in rows])
+    leak = model.document("")[0]
+    assert leak < 0.2 and model.document("a plain one.\n" * 100_000) == (leak, [])
+    assert model.document("a plain one.\n" * 100_000 + "you idiot")[0] == model.document("you idiot")[0] > 0.5
+    model.weights["against$"], model.memory = -5.0, {}
+    assert model.document("against it.\n" * 100_000 + "you idiot")[0] == model.document("you idiot")[0]
+
+
 # ---- 3
 
 
