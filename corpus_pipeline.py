@@ -40,7 +40,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources weigh 5, 2, 1, repeating, and share 150% of all words; a row for every copy taken."""
-    return mixing.copy_rows(docs, mixing.mix(docs))
+    return mixing.mixed_rows(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,8 +133,15 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
 
 
 def copy_rows(docs: DataFrame, mixed: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of `docs`, each as often as `mixed` takes it.  Rows of one id get the rounded mean of the id's copies each."""
+    """The rows of `docs`, each as often as `mixed` takes it.  Rows of one id get the rounded mean of the id's copies each;
+    mixed_rows() is for tables in which ids are null or repeated."""
     taken = mixed.groupBy(F.col(doc_id).alias("_mixed_id")).agg(F.round(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
     taken = Scratch(docs.sparkSession, "copies").table(taken, "copies")
     rows = docs.join(taken.hint("merge"), docs[doc_id].eqNullSafe(F.col("_mixed_id")))
     return rows.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+
+
+def mixed_rows(docs: DataFrame, **how: Any) -> DataFrame:
+    """The rows of `docs`, each as often as mix() takes it; every row has its own copies, whatever its id."""
+    rows = Scratch(docs.sparkSession, "mixed").numbered(docs, "rows")
+    return copy_rows(rows, mix(rows, doc_id="_row", **how), doc_id="_row").select(docs.columns)

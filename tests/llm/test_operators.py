@@ -532,6 +532,16 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixed_rows_have_their_own_copies(spark):
+    rows = [(None, "w " * 10, s) for s in ("s1", "s2") for _ in range(200)] + [(i // 2, "w " * 5, "s3") for i in range(200)]
+    docs = documents(spark, rows)
+    got = {r.source: 0 for r in docs.select("source").distinct().collect()}
+    for r in mixing.mixed_rows(docs).collect():
+        got[r.source] += len(words(r.text))
+    goal = dict(zip(["s1", "s2", "s3"], mixing.targets([2000, 2000, 1000], [5, 2, 1], 1.5, 2), strict=True))
+    assert all(abs(got[s] - goal[s]) <= 10 for s in goal), (got, goal)
+
+
 # ---- 10
 
 
