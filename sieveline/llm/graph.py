@@ -15,14 +15,17 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     tables between steps are written, so neither lineage nor a single task grows with the graph.
     """
     edges = scratch.table(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    sign = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    sign = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.count_distinct("a")).first())
     before = sign(edges)
     while before[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = scratch.table(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        # stars of their least nodes are components: every node has one edge, and no end of an edge begins another
+        if before[0] == before[2] and edges.join(edges.select(F.col("a").alias("b")).hint("merge"), "b", "left_semi").isEmpty():
+            break
+        least = scratch.table(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+        up = least.select(F.col("a").alias("b"), "m").hint("merge")
+        large = scratch.table(edges.join(up, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), "large")
         lower = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")), "lower")
-        small = large.join(lower, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(lower.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = scratch.table(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "edges")
         scratch.drop(edges, least, large, lower)
         edges, after = new, sign(new)

@@ -8,10 +8,11 @@ same joint distribution of any two ranks as uniform permutations.  Values offere
 text stops as soon as all its slots are filled; long texts stop after one or two rounds.
 
 Steps: (1) signature, set size and a 128-bit key of each text's set; (2) equal sets become one class; (3) classes
-that agree in a band are candidates, linked through the bucket's smallest id and grouped; (4) inside a group, every
-set is verified against the group's smallest, and what is not linked to it against all others of the group, in
-blocks of bounded size; (5) components of the verified links.  No candidate is dropped, and no step forms all
-pairs of a group that one verified set already holds together.
+that agree in a band share a bucket, and each is verified, on whole sets, against the smallest id of all its buckets;
+(4) components of these links; (5) in buckets that still hold several components, sets of different components are
+verified against each other, in blocks of bounded size; (6) components of the components.  So every pair that
+shares a band is verified or already joined, no candidate is dropped, and no step forms all pairs of a bucket that
+verified sets already hold together.  A hot hub is a skewed join of two tables, which adaptive execution splits.
 
 Defined cases: null and empty texts and texts without words have no shingles and are linked with nothing, each its
 own component; rows with a null id take no part (component null, kept); rows that repeat an id are judged by their
@@ -24,15 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U64, Words, chunks, scramble
 from ._shared import Scratch
 from .graph import components
 
-#: Sets of a group are compared in blocks of about so many.
-BLOCK = 100
+#: Sets of a bucket are compared in blocks of about so many sets and shingles.
+BLOCK, BLOCK_SHINGLES = 100, 1_000_000
 #: Columns (distinct shingles) of the matrices that count common shingles.
 WIDTH = 4096
 #: Bits of the bitmap that tells which texts are read again (4 MB).
@@ -155,7 +156,7 @@ def spanning(pairs: np.ndarray) -> list[tuple[int, int]]:
 def _verify(percent: int):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
         side = table.column("open").to_numpy(zero_copy_only=False).astype(bool)
-        ids, sizes = table.column("id").to_numpy(), table.column("n").to_numpy()
+        ids, own, sizes = (table.column(c).to_numpy() for c in ("id", "c", "n"))
 
         def of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             lists = table.column("shingles").filter(pa.array(mask)).combine_chunks()
@@ -166,13 +167,41 @@ def _verify(percent: int):  # noqa: ANN202
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         both = common(of(side), of(~side))
         union = sizes[side][:, None] + sizes[~side][None, :] - both
-        i, j = np.nonzero((100 * both >= percent * union) & (ids[side][:, None] != ids[~side][None, :]))
-        found = spanning(np.stack([ids[side][i], ids[~side][j]], axis=1))
+        i, j = np.nonzero((100 * both >= percent * union) & (own[side][:, None] != own[~side][None, :]))
+        found = spanning(np.stack([own[side][i], own[~side][j]], axis=1))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     return run
 
 
+def _alike(n: str, own: str, other_n: str, other: str, percent: int) -> Column:
+    """Whether two sets are linked; sets of too different sizes are not compared."""
+    both = F.size(F.array_intersect(own, other))
+    return (100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)) & (100 * both >= percent * (F.col(n) + F.col(other_n) - both))
+
+
+def _join_blocks(scratch: Scratch, members: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Components `node, root` after comparing, in every bucket of `members` (band, id, c), all sets that are not yet in one component.
+
+    A bucket's commonest component is not compared with itself; the others meet everything, block by block.
+    """
+    sized = scratch.table(members.join(sets.groupBy("id").agg(F.max("n").alias("n")).hint("merge"), "id").select("band", "id", "c", "n"), "members")
+    by = sized.groupBy("band", "c").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    plan = by.groupBy("band").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "c", "n")).alias("m"))
+    blocks = lambda k, n: (F.ceil(k / BLOCK) + F.floor(n / BLOCK_SHINGLES)).cast("int")
+    plan = scratch.table(plan.select("band", "main", blocks(F.col("k"), F.col("n")).alias("wide"), blocks(F.col("k") - F.col("m.k"), F.col("n") - F.col("m.n")).alias("deep")), "plan")
+    member = scratch.table(sized.join(plan.hint("merge"), "band"), "spread")
+    spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = member.select("band", "id", "c", F.lit(False).alias("open"), spot("wide").alias("x"), F.explode(F.sequence(F.lit(0), F.col("deep") - 1)).alias("y"))
+    open_ = member.filter("c <> main").select("band", "id", "c", F.lit(True).alias("open"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"), spot("deep").alias("y"))
+    tasks = every.unionByName(open_).join(sets.hint("merge"), "id").select("band", "x", "y", "open", "id", "c", "n", "shingles")
+    links = scratch.table(tasks.groupBy("band", "x", "y").applyInArrow(_verify(percent), "a long, b long").distinct(), "links")
+    scratch.drop(sized, member, plan)
+    joined = components(scratch, links).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    known = found.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
+    return scratch.table(known.join(joined.hint("merge"), "root", "left").select("node", F.coalesce("least", "root").alias("root")), "joined")
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 30, width: int = 5, slots: int = 151) -> DataFrame:
     """`doc_id, n_shingles, component_id, kept`: texts whose sets have 100 * |both| >= percent * |either| are linked.
 
@@ -183,33 +212,29 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     feats = scratch.table(narrow.mapInArrow(_features(words, bands, width, slots), "id long, n long, k1 long, k2 long, bands array<long>"), "features")
     classes = scratch.table(feats.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands")), "classes")
 
+    # every class meets the least id of all its buckets
     banded = classes.select("id", F.explode("bands").alias("band"))
     buckets = scratch.table(banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("band", "least"), "buckets")
-    stars = banded.join(buckets.hint("merge"), "band").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    groups = scratch.table(components(scratch, stars), "groups")
-
-    wanted = spark.sparkContext.broadcast(bitmap(groups.select(F.col("node").alias("id")), BITS))
+    stars = scratch.table(banded.join(buckets.hint("merge"), "band").groupBy("id").agg(F.min("least").alias("hub")), "stars")
+    wanted = spark.sparkContext.broadcast(bitmap(stars.select("id"), BITS))
     texts = narrow.filter("id is not null").select("id", F.pmod(F.xxhash64("id"), F.lit(1 << BITS)).alias("bit"), "t")
+    # an id that is repeated with other texts is judged by the text of its class
     sets = scratch.table(texts.mapInArrow(_sets(words, wanted), "id long, n long, shingles array<long>").filter("n > 0"), "sets")
-    rooted = sets.join(groups.hint("merge"), F.col("id") == F.col("node")).drop("node")
-    hubs = scratch.table(groups.filter("node = root").select(F.col("node").alias("id")).join(sets.hint("merge"), "id").select(F.col("id").alias("root"), F.col("n").alias("hub_n"), F.col("shingles").alias("hub")), "hubs")
-    both = F.size(F.array_intersect("shingles", "hub"))
-    stars = rooted.join(hubs.hint("merge"), "root").select("id", "root", ((F.col("id") == F.col("root")) | (100 * both >= percent * (F.col("n") + F.col("hub_n") - both))).alias("linked"))
-    stars = scratch.table(stars.groupBy("id", "root").agg(F.max("linked").alias("linked")), "stars")
-
-    left = stars.groupBy("root").agg(F.count("*").alias("all"), F.count_if(~F.col("linked")).alias("open")).filter("open > 0")
-    left = scratch.table(left.select("root", F.ceil(F.col("all") / BLOCK).alias("wide"), F.ceil(F.col("open") / BLOCK).alias("deep")), "left")
-    member = scratch.table(stars.join(left, "root"), "member")
-    spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    every = member.select("root", "id", F.lit(False).alias("open"), spot("wide").alias("x"), F.explode(F.sequence(F.lit(0), F.col("deep") - 1)).alias("y"))
-    open_ = member.filter(~F.col("linked")).select("root", "id", F.lit(True).alias("open"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"), spot("deep").alias("y"))
-    tasks = every.unionByName(open_).join(sets.hint("merge"), "id").select("root", "x", "y", "open", "id", "n", "shingles")
-    links = tasks.groupBy("root", "x", "y").applyInArrow(_verify(percent), "a long, b long")
-    links = links.unionByName(stars.filter("linked and id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    found = scratch.table(components(scratch, links), "components")
-    scratch.drop(sets, member, buckets, hubs)
-
-    named = classes.select("n", "k1", "k2", "id").join(found, F.col("id") == F.col("node"), "left")
+    hubs = sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("shingles").alias("hub_set"))
+    met = sets.join(stars.filter("id <> hub").hint("merge"), "id").join(hubs.hint("merge"), "hub")
+    linked = scratch.table(met.filter(_alike("n", "shingles", "hub_n", "hub_set", percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")), "linked")
+    found = components(scratch, linked)
+
+    # buckets that still hold several components: pairs that share such a bucket are compared in blocks
+    several = banded.join(buckets.select("band").hint("merge"), "band").join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("c"))
+    several = scratch.table(several, "banded")
+    open_ = several.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s")).filter("low <> high")
+    open_ = scratch.table(open_.groupBy("n", "x", "s").agg(F.min("band").alias("band")).select("band"), "open")  # of buckets with equal members, one
+    if not open_.isEmpty():
+        found = _join_blocks(scratch, several.join(open_.hint("merge"), "band"), sets, found, percent)
+    scratch.drop(sets, several, buckets)
+
+    named = classes.select("n", "k1", "k2", "id").join(found.hint("merge"), F.col("id") == F.col("node"), "left")
     named = scratch.table(named.select("n", "k1", "k2", F.coalesce("root", "id").alias("component")), "named")
     scratch.drop(classes)
     out = feats.select("id", "n", "k1", "k2").join(named.hint("merge"), ["n", "k1", "k2"], "left")
