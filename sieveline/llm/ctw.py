@@ -8,15 +8,16 @@ context-tree weighting: a node weighs its own block probability against the prod
 ends at the deepest node that the training texts reached.  The sum of log2 is the code length; the score is its
 log10 and the length per byte is returned too.
 
-Distribution: one pass counts 6-grams of bytes (a context of DEPTH bytes and the byte) and words; rows of equal
-n-gram meet in a partial aggregation, so what is gathered grows with the corpus.  The tree below a two-byte
-context is worked out inside the group of that context; above it only 256 contexts remain, which the driver
-mixes.  The log-probability of every n-gram that occurs in the texts to be scored, trained or not, goes into a
-table.  It is broadcast in shards of at most `TABLE_ROWS` entries, by the hash of the two nearest bytes, and the
-texts are read once for each shard; so memory is bounded, and no context is dropped at any size.
+Distribution: one pass deals the texts to blocks of about `BLOCK` bytes and counts each block's distinct 6-grams of
+bytes (a context of DEPTH bytes and the byte) and words; rows of an equal n-gram meet in a partial aggregation, so
+what is gathered grows with the corpus.  The subtrees below the three nearest bytes are worked out in groups of about
+`GROUP` n-grams; the nodes at two bytes are sums over them, at most 2 ** 24 of them (256 * 256 contexts with 256 bit
+prefixes, whatever the input; some ten thousands in text), and the driver mixes these and the levels above.  The
+log-probability of every n-gram that occurs, trained or not, and the count of every word go back to the blocks in
+which they occur, by a join, and meet the texts there.  So texts are read once more, a task holds one block
+and its n-grams, and neither the table of n-grams nor that of words passes through the driver.
 
-Base score: the add-one unigram model of words.  Counts of the `COMMON` most frequent words are broadcast; the
-other tokens meet their counts in a join.
+Base score: the add-one unigram model of words.
 
 Defined cases: a null or empty text is its end token alone; without training texts every node is empty and each
 decision costs one bit; rows that repeat an id are scored each by its own text; rows with a null id belong to
@@ -30,16 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ._bytes import END, U64, Words, chunks, scramble
 from ._shared import Scratch
 
 DEPTH = 5
-#: Entries of a broadcast table of n-grams (12 bytes each), and words of the table of common words (16 bytes each).
-TABLE_ROWS = 6_000_000
-COMMON = 400_000
+#: Depth at which subtrees are handed out; the levels above are the crown.
+TOP = 3
+#: Bytes of text in a block, and n-grams in a group of subtrees, about.
+BLOCK, GROUP = 8 << 20, 250_000
 _GRAM = (1 << 48) - 1
 _TARGET = 40
 #: Word hashes carry the top bit, n-grams (48 bits) don't; the end token has a key of its own.
@@ -118,34 +123,32 @@ def mixed(code: np.ndarray, count: np.ndarray, top: int, deep: int) -> tuple[np.
 
 
 class Crown:
-    """Depths 1 and 0, from sums over the two-byte contexts."""
-
-    def __init__(self, rows: list[tuple[int, float, float, float]]) -> None:
-        # rows: one-byte context << 8 | prefix, zeros, ones, sum of the children's log weighted probabilities
-        self.levels = [np.zeros((256, 256, 2)), np.zeros((1, 256, 2))]  # counts
-        kids = [np.zeros((256, 256)), np.zeros((1, 256))]
-        for key, n0, n1, w in rows:
-            self.levels[0][key >> 8, key & 255] = n0, n1
-            kids[0][key >> 8, key & 255] = w
-        self.levels[1] = self.levels[0].sum(axis=0, keepdims=True)
-        own = [block(x[..., 0], x[..., 1]) for x in self.levels]
-        weighted = np.where(self.levels[0].sum(axis=2) > 0, math.log(0.5) + np.logaddexp(own[0], kids[0]), 0)
-        kids[1] = weighted.sum(axis=0, keepdims=True)
-        self.beta = [np.exp(np.clip(o - k, -700, 700)) for o, k in zip(own, kids, strict=True)]
+    """Depths TOP - 1 to 0, from the nodes at depth TOP - 1: keys (context << 8 | bit prefix), counts, sums of the children's log weighted probabilities."""
+
+    def __init__(self, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, kids: np.ndarray) -> None:
+        self.levels = []
+        for depth in range(TOP - 1, -1, -1):
+            keys, of = np.unique(keys, return_inverse=True)
+            n0, n1, kids = (np.bincount(of, weights=x, minlength=len(keys)) for x in (n0, n1, kids))
+            own = block(n0, n1)
+            self.levels.append((depth, keys, n0, n1, np.exp(np.clip(own - kids, -700, 700))))
+            kids = math.log(0.5) + np.logaddexp(own, kids)
+            keys = (keys >> 16) << 8 | (keys & 255)  # the nearest byte is highest
 
     def finish(self, code: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """log2 probability of the coded bytes from the bits' probabilities at depth 2."""
+        """log2 probability of the coded bytes from the bits' probabilities at depth TOP."""
         byte = code >> _TARGET
         total = np.zeros(len(code))
         for level in range(8):
             bit, prefix = (byte >> (7 - level)) & 1, _prefix(byte, level)
             q = p[:, level]
-            for counts, beta, ctx in ((self.levels[0], self.beta[0], context(code, 1)), (self.levels[1], self.beta[1], np.zeros_like(code))):
-                n = counts[ctx, prefix]
-                kt = (np.where(bit == 1, n[:, 1], n[:, 0]) + 0.5) / (n.sum(axis=1) + 1)
-                b = beta[ctx, prefix]
-                q = np.where(np.isnan(q), kt, (b * kt + q) / (b + 1))
-                q = np.where(n.sum(axis=1) > 0, q, np.nan)
+            for depth, keys, n0, n1, beta in self.levels:
+                if not len(keys):
+                    continue
+                key = context(code, depth) << 8 | prefix
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                kt = (np.where(bit == 1, n1[at], n0[at]) + 0.5) / (n0[at] + n1[at] + 1)
+                q = np.where(keys[at] == key, np.where(np.isnan(q), kt, (beta[at] * kt + q) / (beta[at] + 1)), np.nan)
             total += np.log2(np.where(np.isnan(q), 0.5, q))
         return total
 
@@ -169,149 +172,117 @@ def _word_keys(words: Words) -> np.ndarray:
     return ((words.hashes() >> U64(1)) | _TOP).view(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, trained, all: how often each n-gram, word and end token occurs, for every chunk of texts."""
+def _tally(values: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and how often each occurs where `learn` is set."""
+    d = pa.array(values).dictionary_encode()
+    return d.dictionary.to_numpy(), np.bincount(d.indices.to_numpy()[learn], minlength=len(d.dictionary))
 
-    def tally(values: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        d = pa.array(values).dictionary_encode()
-        of = d.indices.to_numpy()
-        n = len(d.dictionary)
-        return d.dictionary.to_numpy(), np.bincount(of[learn], minlength=n), np.bincount(of, minlength=n)
 
-    for batch in batches:
-        for part, texts in chunks(batch, "t"):
-            w = Words(texts)
-            learn = part.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-            sizes = np.diff(np.concatenate([[-1], w.ends]))
-            rows = [tally(grams(w), np.repeat(learn, sizes)), tally(_word_keys(w), learn[w.text_of]), (np.array([END_KEY]), np.array([learn.sum()]), np.array([w.n]))]
-            key, trained, every = (np.concatenate(x) for x in zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(trained.astype(np.int64)), pa.array(every.astype(np.int64))], names=["key", "trained", "every"])
+_ROWS = ["block", "id", "learn", "t", "key", "trained"]
+
+
+def _count(size: int):  # noqa: ANN202
+    """Rows of texts with their block, and rows of a block's distinct n-grams, words and end token with their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, room, kind = TaskContext.get().partitionId() << 32, [], size, None
+
+        def close() -> pa.RecordBatch:
+            keys, trained = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, of = np.unique(keys, return_inverse=True)
+            n = len(keys)
+            counts = pa.array(np.bincount(of, weights=trained, minlength=n).astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, kind), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string()), pa.array(keys), counts], names=_ROWS)
+
+        for batch in batches:
+            for part, texts in chunks(batch, "t"):
+                w, n, kind = Words(texts), part.num_rows, part.column("id").type
+                learn = part.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+                sizes = np.diff(np.concatenate([[-1], w.ends]))
+                held += [_tally(grams(w), np.repeat(learn, sizes)), _tally(_word_keys(w), learn[w.text_of]), (np.array([END_KEY]), np.array([learn.sum()]))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), part.column("id"), part.column("learn"), part.column("t").fill_null(""), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=_ROWS)
+                room -= sum(map(len, texts))
+                if room <= 0:
+                    yield close()
+                    number, held, room = number + 1, [], size
+        if held:
+            yield close()
+
+    return run
 
 
 def _summary(table: pa.Table) -> pa.Table:
-    """Of the subtree of a two-byte context: for each node at depth 2 its one-byte parent and prefix, counts, log weighted probability."""
+    """Of the subtrees of a group: for each node at depth TOP its parent, counts, log weighted probability."""
     code, count = table.column("key").to_numpy(), table.column("trained").to_numpy().astype(np.float64)
     code, count = code[count > 0], count[count > 0]
     if not len(code):
-        return pa.table({"node": pa.array([], pa.int64()), "n0": pa.array([], pa.float64()), "n1": pa.array([], pa.float64()), "w": pa.array([], pa.float64())})
-    _, tops = mixed(code, count, 2, DEPTH)
+        return pa.table({"node": pa.array([], pa.int64()), "n0": pa.array([], pa.int64()), "n1": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
+    _, tops = mixed(code, count, TOP, DEPTH)
     keys, n0, n1, w = (np.concatenate(x) for x in zip(*tops, strict=True))
-    near = (keys >> 16) & 255  # context(code, 2) has the nearest byte highest
-    return pa.table({"node": near << 8 | (keys & 255), "n0": n0, "n1": n1, "w": w})
+    return pa.table({"node": (keys >> 16) << 8 | (keys & 255), "n0": n0.astype(np.int64), "n1": n1.astype(np.int64), "w": w})
 
 
 def _logs(crown):  # noqa: ANN001, ANN202
     def run(table: pa.Table) -> pa.Table:
         code, count = table.column("key").to_numpy(), table.column("trained").to_numpy().astype(np.float64)
-        p, _ = mixed(code, count, 2, DEPTH)
-        return pa.table({"key": code, "bits": crown.value.finish(code, p)})
+        p, _ = mixed(code, count, TOP, DEPTH)
+        return pa.table({"key": code, "value": crown.value.finish(code, p)})
 
     return run
 
 
-class _Table:
-    """Sorted keys with values; looks up distinct keys."""
+def _score(total: int, distinct: int, schema: pa.Schema):  # noqa: ANN202
+    """The texts of a block, each with its sums; the block's table has the logarithms of n-grams and the counts of words."""
 
-    def __init__(self, table: pa.Table, key: str, value: str) -> None:
-        keys, values = table.column(key).to_numpy(), table.column(value).to_numpy()
+    def run(texts_: pa.Table, known: pa.Table) -> pa.Table:
+        keys, values = known.column("key").to_numpy(), known.column("value").to_numpy()
         order = np.argsort(keys, kind="stable")
-        self.keys, self.values = keys[order], values[order]
+        keys, values = keys[order], values[order]
 
-    def look(self, keys: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.full(len(keys), missing), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        return np.where(hit, self.values[at], missing), hit
+        def look(wanted: np.ndarray) -> np.ndarray:
+            d = pa.array(wanted).dictionary_encode()
+            return values[np.searchsorted(keys, d.dictionary.to_numpy())][d.indices.to_numpy()]
 
-
-def _score(common, shard, total: int, distinct: int, first: bool):  # noqa: ANN001, ANN202
-    """Per text its sums, and rows for words that are not common.  `bits` sums over this shard's n-grams only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        out, share = [], math.log10(total + distinct + 1)
+        for batch in texts_.to_batches():
             for part, texts in chunks(batch, "t"):
                 w = Words(texts)
-                d = pa.array(grams(w)).dictionary_encode()
-                bits, _ = shard.value.look(d.dictionary.to_numpy(), 0.0)
-                begin = np.concatenate([np.zeros(1, np.int64), w.ends[:-1] + 1])[: w.n]
-                sums = np.add.reduceat(bits.astype(np.float64)[d.indices.to_numpy()], begin) if w.n else np.zeros(0)
-                k = w.n
-                cols = [part.column("row"), pa.array(sums), pa.array(np.zeros(k)), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.int64())]
-                if first:
-                    d = pa.array(_word_keys(w)).dictionary_encode()
-                    counts, hit = common.value.look(d.dictionary.to_numpy(), 0.0)
-                    of = d.indices.to_numpy()
-                    logs = np.where(hit, np.log10((counts + 1) / (total + distinct + 1)), 0.0)
-                    end, _ = common.value.look(np.array([END_KEY]), 0.0)
-                    base = np.bincount(w.text_of, weights=logs[of], minlength=k) + math.log10((end[0] + 1) / (total + distinct + 1))
-                    known = np.bincount(w.text_of, weights=(counts > 0)[of], minlength=k).astype(np.int64) + int(end[0] > 0)
-                    cols[2:6] = pa.array(base), pa.array(w.counts + 1), pa.array(known), pa.array(np.diff(np.concatenate([[-1], w.ends])))
-                    rare = ~hit[of]
-                    at, key = w.text_of[rare], d.dictionary.to_numpy()[of[rare]]
-                    if len(at):
-                        t = pa.table({"at": at, "key": key}).group_by(["at", "key"]).aggregate([([], "count_all")])
-                        at, key, times = t.column("at").to_numpy(), t.column("key").to_numpy(), t.column("count_all").to_numpy()
-                        z = len(at)
-                        yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(at)), pa.array(np.zeros(z)), pa.array(np.zeros(z)), pa.array(np.zeros(z, np.int64)), pa.array(np.zeros(z, np.int64)), pa.array(times.astype(np.int64)), pa.array(key)], names=_SCORED)
-                yield pa.RecordBatch.from_arrays(cols, names=_SCORED)
+                bits = np.add.reduceat(look(grams(w)), np.concatenate([np.zeros(1, np.int64), w.ends[:-1] + 1]))
+                end, count = look(np.array([END_KEY]))[0], look(_word_keys(w))
+                base = np.bincount(w.text_of, weights=np.log10(count + 1) - share, minlength=w.n) + math.log10(end + 1) - share
+                seen = np.bincount(w.text_of, weights=count > 0, minlength=w.n).astype(np.int64) + int(end > 0)
+                size = np.diff(np.concatenate([[-1], w.ends]))
+                cols = [part.column("id"), part.column("learn"), w.counts + 1, seen, np.full(w.n, total), base, bits * math.log10(2), size, -bits / size]
+                out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=schema.names).cast(schema))
+        return pa.Table.from_batches(out, schema)
 
     return run
 
 
-#: n is the length in bytes in rows of a text, and the number of times a rare word occurs in it in rows of words.
-_SCORED = ["row", "bits", "base", "tokens", "known", "n", "key"]
-
-
-def _frequent(words: DataFrame, most: int) -> DataFrame:
-    """The end token and the most frequent words, at most `most`: all whose count is in the upper sixteenths of octaves."""
-    octave = F.floor(F.log2("trained") * 16)
-    sizes = words.filter("trained > 0").groupBy(octave.alias("o")).agg(F.count("*").alias("n")).collect()
-    least, room = math.inf, most
-    for r in sorted(sizes, key=lambda r: -r["o"]):
-        room -= r["n"]
-        if room < 0:
-            break
-        least = r["o"]
-    keep = F.col("key") == END_KEY
-    return words.filter(keep | ((F.col("trained") > 0) & (octave >= least)) if sizes and least < math.inf else keep).select("key", "trained")
-
-
-def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", table_rows: int = TABLE_ROWS, common_words: int = COMMON) -> DataFrame:
+def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """`doc_id, learned, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte` for every row.
 
     The model is trained on the rows for which `learn` holds.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ctw")
-    sc = spark.sparkContext
-    narrow = docs.select(F.struct(docs[doc_id].alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.xxhash64(docs[text]).alias("mark")).alias("row"), F.coalesce(learn, F.lit(False)).alias("learn"), docs[text].cast("string").alias("t"))
-    kind = narrow.schema["row"].dataType.simpleString()
-    counts = scratch.table(narrow.select("learn", "t").mapInArrow(_count, "key long, trained long, every long").groupBy("key").agg(F.sum("trained").alias("trained"), F.sum("every").alias("every")), "counts")
+    narrow = docs.select(docs[doc_id].alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), docs[text].cast("string").alias("t"))
+    kind = narrow.schema["id"].dataType.simpleString()
+    rows = scratch.table(narrow.mapInArrow(_count(block), f"block long, id {kind}, learn boolean, t string, key long, trained long"), "blocks")
+    held = rows.filter("key is not null").select("block", "key", "trained")
+    counts = scratch.table(held.groupBy("key").agg(F.sum("trained").alias("trained")), "counts")
     words, ngrams = counts.filter("key < 0"), counts.filter("key >= 0")
     total, distinct = words.filter("trained > 0").agg(F.coalesce(F.sum("trained"), F.lit(0)), F.count("*")).first()
-    common = sc.broadcast(_Table(_frequent(words, common_words).toArrow(), "key", "trained"))
-
-    near = F.shiftright("key", _TARGET - 16).bitwiseAND(F.lit(0xFFFF))
-    trees = ngrams.withColumn("near", near).groupBy("near")
-    crown = trees.applyInArrow(_summary, "node long, n0 double, n1 double, w double").groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("w"))
-    crown = sc.broadcast(Crown(sorted(tuple(r) for r in crown.collect())))  # at most 256 * 255 rows
-    logs = scratch.table(trees.applyInArrow(_logs(crown), "key long, bits double"), "logs")
-    shards = max(1, math.ceil(logs.count() / (table_rows * 0.9)))
-    scored = []
-    for s in range(shards):
-        own = logs if shards == 1 else logs.filter(F.pmod(F.xxhash64(near), F.lit(shards)) == s)
-        shard = sc.broadcast(_Table(own.select("key", F.col("bits").cast("float").alias("bits")).toArrow(), "key", "bits"))
-        run = _score(common, shard, total, distinct, s == 0)
-        scored.append(narrow.select("row", "t").mapInArrow(run, f"row {kind}, bits double, base double, tokens long, known long, n long, key long"))
-    rows = scored[0]
-    for x in scored[1:]:
-        rows = rows.unionByName(x)
-    rows = scratch.table(rows, "scored")
-    rare = rows.filter("key is not null").join(words.select("key", "trained"), "key", "left").withColumn("c", F.coalesce("trained", F.lit(0)))
-    zero = F.lit(0).cast("long")
-    rare = rare.select("row", F.lit(0.0).alias("bits"), (F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1)))).alias("base"), zero.alias("tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), zero.alias("n"))
-    every = rows.filter("key is null").select("row", "bits", "base", "tokens", "known", "n").unionByName(rare)
-    out = every.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("bits", "base", "tokens", "known", "n")], F.expr("count_if(tokens > 0)").alias("times"))
-    # rows of equal id and text were summed together: as many rows again, with their share
-    out = out.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row", *[(F.col(c) / F.col("times")).alias(c) for c in ("bits", "base", "tokens", "known", "n")])
-    return out.select(F.col("row.id").alias(doc_id), F.col("row.learn").alias("learned"), F.col("tokens").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("bits") * math.log10(2)).alias("score"), F.col("n").cast("long").alias("n_bytes"), (-F.col("bits") / F.col("n")).alias("bits_per_byte"))
+
+    near = F.shiftright("key", _TARGET - 8 * TOP).bitwiseAND(F.lit((1 << 8 * TOP) - 1))
+    parts = max(1, math.ceil(ngrams.count() / group))
+    trees = ngrams.groupBy(F.pmod(F.xxhash64(near), F.lit(parts)).alias("part"))
+    # decimals: a sum is the same in any order
+    nodes = trees.applyInArrow(_summary, "node long, n0 long, n1 long, w double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(F.col("w").cast("decimal(38,12)")).cast("double").alias("w")).toArrow()
+    crown = spark.sparkContext.broadcast(Crown(*[nodes.column(c).to_numpy().astype(t) for c, t in (("node", np.int64), ("n0", np.float64), ("n1", np.float64), ("w", np.float64))]))
+    values = trees.applyInArrow(_logs(crown), "key long, value double").unionByName(words.select("key", F.col("trained").cast("double").alias("value")))
+    values = scratch.table(values, "values")
+    known = held.select("block", "key").join(values.hint("merge"), "key").select("block", "key", "value")
+    texts = rows.filter("t is not null").select("block", "id", "learn", "t")
+    schema = f"`{doc_id}` {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
+    run = _score(int(total), int(distinct), to_arrow_schema(_parse_datatype_string(schema)))
+    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)

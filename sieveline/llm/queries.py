@@ -88,7 +88,8 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return ctw.score(docs, fold_of(docs["doc_id"], 7) != 2).withColumn("held_out", ~F.col("learned")).drop("learned")
+    scored = ctw.score(docs, fold_of(docs["doc_id"], 7) != 2)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), *scored.columns[2:])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

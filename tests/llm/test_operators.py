@@ -608,9 +608,9 @@ def test_context_tree(spark, monkeypatch):
     train = [canonical(t) for i, t, _ in rows if learn(i)]
     count = collections.Counter(w for i, t, _ in rows if learn(i) for w in [*words(t), "\n"])
     total, distinct = sum(count.values()), len(count)
-    for common in (5, 400_000):
+    for block, group in ((500, 300), (ctw.BLOCK, ctw.GROUP)):
         docs = documents(spark, rows)
-        out = ctw.score(docs, fold_of(docs["doc_id"], 7) != 2, common_words=common, table_rows=400 if common == 5 else ctw.TABLE_ROWS).collect()
+        out = ctw.score(docs, fold_of(docs["doc_id"], 7) != 2, block=block, group=group).collect()
         assert len(out) == len(rows)
         text = {i: t for i, t, _ in rows}
         for r in out:
@@ -619,7 +619,7 @@ def test_context_tree(spark, monkeypatch):
             assert abs(r.base_score - sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in own)) < 1e-8
             assert r.n_bytes == len(canonical(text[r.doc_id])) and r.learned == learn(r.doc_id)
     for r in rng.sample(out, 12):
-        assert abs(r.score - slow_ctw(train, canonical(text[r.doc_id]), ctw.DEPTH)) < 1e-3 * max(1, abs(r.score))
+        assert abs(r.score - slow_ctw(train, canonical(text[r.doc_id]), ctw.DEPTH)) < 1e-8 * max(1, abs(r.score))
     assert ctw.score(docs.limit(0), F.lit(True)).count() == 0
     blank = ctw.score(documents(spark, [(1, "ab", "a")]), F.lit(False)).first()
     assert blank.train_tokens == 0 and abs(blank.score + 24 * math.log10(2)) < 1e-6 and blank.base_score == 0
