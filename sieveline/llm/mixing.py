@@ -6,9 +6,9 @@ copies as the ceiling.  Their dual is convex, with one multiplier for each sourc
 rates exponentially: rate = min(ceiling, exp(multiplier * size / mean size)).  Newton's steps are sums over the
 (source, size) classes, which Spark makes; the driver holds one row for each source.
 
-Only DataFrame functions are used.  Rounding: the classes of a source are visited from long to short documents
-and the error in words is carried on, so that a source ends within half of its shortest documents of its target
-wherever the ceiling allows.  Within a class, copies go to documents in the order of a hash of their ids.
+Only DataFrame functions are used.  Rounding works on (source, size) classes by running sums (see _whole): a source ends
+within half of its shortest documents of its target wherever the ceiling allows.  Within a class, copies go to
+documents in the order of a hash of their ids.  Sums are taken in decimals, so that reruns agree.
 
 Defined cases: a null or empty text has size 0 and nothing is taken of it; null is a source of its own, the last
 in order; repeated rows are documents of their own; an empty table gives an empty result; only the named
@@ -21,14 +21,14 @@ import math
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._shared import WORD, Scratch, bounded
 
-#: Rows of equal source and size are ranked within this many parts, so that a large group of copies has no task of its own.
-PARTS = 64
+#: Rows of equal source and size that are ranked together, about, so that a large group of copies has no task of its own.
+PART = 50_000
 
 
 def targets(sizes: Sequence[float], weights: Sequence[float], share: float, ceiling: float) -> list[float]:
@@ -80,14 +80,65 @@ class _Multiplier:
         self.at = new
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, ceiling: int = 2, iterations: int = 60) -> DataFrame:
-    """Copies of each document: `doc_id, size, source_size, target, rate, copies, taken`.
+def _exact(value: Column) -> Column:
+    """A sum in decimals, which is the same in any order."""
+    return F.sum(value.cast("decimal(38,12)")).cast("double")
 
-    `weights` repeat over the sources in code-point order.  The number of sources (not of documents) must fit the driver.
+
+def _whole(rated: DataFrame, scratch: Scratch, goal: Sequence[float], ceiling: int) -> DataFrame:
+    """`sid, _size, k`: whole copies for the classes `sid, _size, n, rate`.
+
+    First the running sum of n * rate from long to short documents is rounded: as sizes only fall, a source then misses
+    its target by at most half of its longest document.  What is missing is spread over the room of classes that are short
+    beside it, again by rounded running sums, so it shrinks by half at least and mostly sixteenfold; the last step
+    moves a single copy.  All sums are windows and aggregates over narrow rows, a row for each source and size.
+    """
+    fall = Window.partitionBy("sid").orderBy(F.col("_size").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.sum((F.col("n") * F.col("rate")).cast("decimal(38,12)")).over(fall)
+    whole = lambda c: F.floor(c + F.lit(0.5)).cast("long")
+    got = rated.filter("_size > 0").withColumn("upto", upto).withColumn("upto", F.round("upto").cast("long"))
+    copies = got.withColumn("k", F.col("upto") - F.lag("upto", 1, 0).over(Window.partitionBy("sid").orderBy(F.col("_size").desc()))).select("sid", "_size", "n", "k")
+    copies = scratch.table(copies, "copies")
+    while True:
+        taken = {r["sid"]: r["t"] for r in copies.groupBy("sid").agg(F.sum(F.col("k") * F.col("_size")).alias("t")).collect()}
+        miss = [(i, goal[i] - t) for i, t in taken.items() if abs(goal[i] - t) > 0.5]
+        if not miss:
+            return copies
+        near = copies.join(bounded(copies.sparkSession.createDataFrame(miss, "sid int, miss double"), len(miss)), "sid")
+        near = near.withColumn("far", F.abs("miss")).withColumn("room", F.when(F.col("miss") > 0, ceiling * F.col("n") - F.col("k")).otherwise(F.col("k"))).filter("room > 0 and _size < 2 * far")
+        words = F.col("room") * F.col("_size")
+        found = near.groupBy("sid").agg(F.first("miss").alias("miss"), F.sum(F.when(F.col("_size") * 16 <= F.col("far"), words)).alias("short"), F.sum(F.when(F.col("_size") <= F.col("far"), words)).alias("fit"), F.min("_size").alias("least")).collect()
+        if not found:
+            return copies
+        steps = []  # sid, sign, greatest size that moves, share of the room
+        for r in found:
+            far = abs(r["miss"])
+            if not r["fit"]:
+                steps.append((r["sid"], math.copysign(1, r["miss"]), float(r["least"]), 0.0))
+            else:
+                words_, most = (r["short"], far / 16) if (r["short"] or 0) >= far else (r["fit"], far)
+                steps.append((r["sid"], math.copysign(1, r["miss"]), most, min(1.0, far / words_)))
+        plan = bounded(copies.sparkSession.createDataFrame(steps, "sid int, sign double, most double, share double"), len(steps))
+        moved = copies.join(plan, "sid", "left")
+        room = F.when((F.col("_size") <= F.col("most")), F.when(F.col("sign") > 0, ceiling * F.col("n") - F.col("k")).otherwise(F.col("k"))).otherwise(0)
+        moved = moved.withColumn("room", room).withColumn("upto", whole(F.sum("room").over(fall) * F.coalesce("share", F.lit(0.0))))
+        by = F.least("room", F.col("upto") - F.lag("upto", 1, 0).over(Window.partitionBy("sid").orderBy(F.col("_size").desc())))
+        one = (F.col("share") == 0) & (F.col("_size") == F.col("most"))
+        moved = moved.withColumn("by", F.when(one, F.lit(1)).otherwise(F.greatest(by, F.lit(0))))
+        after = scratch.table(moved.select("sid", "_size", "n", (F.col("k") + F.coalesce((F.col("by") * F.col("sign")).cast("long"), F.lit(0))).alias("k")), "copies")
+        scratch.drop(copies)
+        copies = after
+
+
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, ceiling: int = 2, iterations: int = 200) -> DataFrame:
+    """Copies of each document: `doc_id, size, source_size, target, taken, rate, copies`.
+
+    `weights` repeat over the sources in code-point order.  A source that Newton's steps, which bisect where they must, have not
+    solved after `iterations` is an error.  The number of sources (not of documents) must fit the driver.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
     sized = docs.select(F.col(doc_id).alias("_id"), F.col(source).cast("string").alias("_source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
-    sized = scratch.table(sized, "sized")
+    sized = scratch.numbered(sized, "sized", "_number")
     classes = sized.groupBy("_source", "_size").agg(F.count("*").alias("n"))
     classes = scratch.table(classes, "classes")
     sums = classes.groupBy("_source").agg(F.sum(F.col("_size") * F.col("n")).alias("total"), F.sum("n").alias("docs"), F.min(F.when(F.col("_size") > 0, F.col("_size"))).alias("least")).collect()
@@ -106,20 +157,18 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
         if all(m.done for m in solve):
             break
         rate = F.least(tilt, F.lit(float(ceiling)))
-        sums_now = classes.join(known(False), F.col("_source").eqNullSafe(F.col("k"))).groupBy("sid").agg(F.sum(F.col("n") * F.col("_size") * rate).alias("value"), F.sum(F.when(tilt < ceiling, F.col("n") * F.col("_size") * x * tilt).otherwise(0.0)).alias("slope"))
+        sums_now = classes.join(known(False), F.col("_source").eqNullSafe(F.col("k"))).groupBy("sid").agg(_exact(F.col("n") * F.col("_size") * rate).alias("value"), _exact(F.when(tilt < ceiling, F.col("n") * F.col("_size") * x * tilt).otherwise(0.0)).alias("slope"))
         for r in sums_now.collect():
             solve[r["sid"]].step(r["value"], r["slope"])
+    else:
+        raise RuntimeError(f"no solution within {iterations} steps for the sources {[r['_source'] for r, m in zip(sums, solve, strict=True) if not m.done]}")
 
     rated = classes.join(known(True), F.col("_source").eqNullSafe(F.col("k"))).select("sid", "_size", "n", F.least(tilt, F.lit(float(ceiling))).alias("rate"))
-    lists = rated.filter("_size > 0").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("_size", "n", "rate")), asc=False).alias("a"))
-    copies = lists.select("sid", F.expr(f"""
-        aggregate(a, named_struct('err', 0D, 'out', cast(array() as array<struct<_size:bigint,copies:bigint>>)),
-          (s, c) -> transform(array(least({ceiling} * c.n, greatest(0L, cast(round((c.n * c.rate * c._size + s.err) / c._size) as bigint)))),
-            k -> named_struct('err', s.err + c.n * c.rate * c._size - cast(k * c._size as double),
-                              'out', concat(s.out, array(named_struct('_size', c._size, 'copies', k)))))[0]).out""").alias("o")).select("sid", F.inline("o"))
-    copies = scratch.table(copies, "copies")
+    copies = _whole(scratch.table(rated, "rated"), scratch, goal, ceiling).select("sid", "_size", F.col("k").alias("copies"))
 
-    part = F.pmod(F.xxhash64("_id"), F.lit(PARTS))
+    # rows of equal source and size are ranked in parts of about PART rows; rows without an id spread by their own number
+    most = classes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    part = F.pmod(F.coalesce(F.when(F.col("_id").isNotNull(), F.xxhash64("_id")), F.xxhash64("_number")), F.lit(max(1, math.ceil(most / PART))))
     placed = sized.withColumn("_part", part).join(known(True).select("k", "sid", "source_size", "target", "scale", "tilt"), F.col("_source").eqNullSafe(F.col("k"))).drop("k")
     parts = placed.groupBy("sid", "_size", "_part").agg(F.count("*").alias("m"))
     upto = Window.partitionBy("sid", "_size").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -129,7 +178,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     rank = F.row_number().over(Window.partitionBy("sid", "_size", "_part").orderBy(F.xxhash64("_id"), "_id"))
     out = placed.join(parts, ["sid", "_size", "_part"]).withColumn("_rank", rank)
     out = out.withColumn("copies", F.floor(F.col("got") / F.col("m")).cast("long") + (F.col("_rank") <= F.col("got") % F.col("m")).cast("long"))
-    return out.select(F.col("_id").alias(doc_id), F.col("_size").alias("size"), "source_size", "target", F.least(tilt, F.lit(float(ceiling))).alias("rate"), "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+    return out.select(F.col("_id").alias(doc_id), F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"), F.least(tilt, F.lit(float(ceiling))).alias("rate"), "copies")
 
 
 def copy_rows(docs: DataFrame, mixed: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
