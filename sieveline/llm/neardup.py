@@ -9,9 +9,11 @@ text stops as soon as all its slots are filled; long texts stop after one or two
 
 Steps: (1) signature, set size and a 128-bit key of each text's set; (2) equal sets become one class; (3) classes
 that agree in a band share a bucket, and each is verified, on whole sets, against the smallest id of all its buckets;
-(4) components of these links; (5) in buckets that still hold several components, sets of different components are
-verified against each other, in blocks of bounded size; (6) components of the components.  So every pair that
-shares a band is verified or already joined, no candidate is dropped, and no step forms all pairs of a bucket that
+(4) components of these links; (5) in buckets that still hold several components, sets leave that have too few
+shingles in common with all other components together to be linked with any; (6) the others meet up to HUBS members
+that are not in their component yet; (7) (5) again, and what is left is verified against all sets of other
+components in its bucket, in blocks of bounded size.  So every pair that
+shares a band is verified, ruled out by counting or already joined, no candidate is dropped, and no step forms all pairs of a bucket that
 verified sets already hold together.  A hot hub is a skewed join of two tables, which adaptive execution splits.
 
 Defined cases: null and empty texts and texts without words have no shingles and are linked with nothing, each its
@@ -34,6 +36,8 @@ from .graph import components
 
 #: Sets of a bucket are compared in blocks of about so many sets and shingles.
 BLOCK, BLOCK_SHINGLES = 100, 1_000_000
+#: Members of its buckets that a set meets in the second round.
+HUBS = 8
 #: Columns (distinct shingles) of the matrices that count common shingles.
 WIDTH = 4096
 #: Bits of the bitmap that tells which texts are read again (4 MB).
@@ -180,26 +184,79 @@ def _alike(n: str, own: str, other_n: str, other: str, percent: int) -> Column:
     return (100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)) & (100 * both >= percent * (F.col(n) + F.col(other_n) - both))
 
 
-def _join_blocks(scratch: Scratch, members: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Components `node, root` after comparing, in every bucket of `members` (band, id, c), all sets that are not yet in one component.
+def _open(scratch: Scratch, members: DataFrame, found: DataFrame) -> DataFrame:
+    """`band, id, n, c, least_n` of the buckets (band, id, n) that hold several components c; of buckets with equal members, one."""
+    own = members.join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("root", "id").alias("c"))
+    own = scratch.table(own, "own")
+    sums = own.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least_n"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    kept = sums.filter("low <> high").groupBy("k", "x", "y").agg(F.min(F.struct("band", "least_n")).alias("b")).select("b.*")
+    out = scratch.table(own.join(scratch.table(kept, "open").hint("merge"), "band"), "several")
+    scratch.drop(own)
+    return out
+
+
+def _linkable(scratch: Scratch, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members `band, id, n` that can be linked with another component of their bucket, judged by shingles that no other component has.
 
-    A bucket's commonest component is not compared with itself; the others meet everything, block by block.
+    A set's intersection with any set of another component is at most the number of its shingles that several of
+    all these components have; its partner has at least the bucket's least size.
     """
-    sized = scratch.table(members.join(sets.groupBy("id").agg(F.max("n").alias("n")).hint("merge"), "id").select("band", "id", "c", "n"), "members")
-    by = sized.groupBy("band", "c").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-    plan = by.groupBy("band").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "c", "n")).alias("m"))
+    own = open_.select("id", "c").distinct().join(sets.hint("merge"), "id").select("id", "c", F.explode("shingles").alias("s"))
+    shared = scratch.table(own.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("s"), "shared")
+    support = scratch.table(own.join(shared.hint("merge"), "s").groupBy("id").agg(F.count("*").alias("support")), "support")
+    partner = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))
+    fits = F.col("support") * (100 + percent) >= percent * (F.col("n") + partner)
+    out = scratch.table(open_.join(support.hint("merge"), "id").filter(fits).select("band", "id", "n"), "linkable")
+    scratch.drop(shared, support)
+    return out
+
+
+def _linked(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs `id, hub, ...` whose sets are alike."""
+    hubs = sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("shingles").alias("hub_set"))
+    met = sets.join(pairs.hint("merge"), "id").join(hubs.hint("merge"), "hub")
+    return scratch.table(met.filter(_alike("n", "shingles", "hub_n", "hub_set", percent)).select(*pairs.columns), "linked")
+
+
+def _more_hubs(scratch: Scratch, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links `a, b` of components: every set meets up to HUBS members of its buckets that are in other components.
+
+    A hub is a bucket's least member in an order of its own, so most of what is like a large component joins it here.
+    """
+    order = lambda k, who: F.xxhash64(who, F.lit(k))
+    hubs = open_.groupBy("band").agg(F.array(*[F.min_by(F.struct("id", "c"), order(k, "id")) for k in range(HUBS)]).alias("hubs"))
+    hubs = scratch.table(hubs, "hubs")
+    seen = open_.join(hubs.hint("merge"), "band")
+    best = [F.min_by(F.get("hubs", F.lit(k)), F.when(F.get("hubs", F.lit(k))["c"] != F.col("c"), order(k, F.get("hubs", F.lit(k))["id"]))) for k in range(HUBS)]
+    one = seen.groupBy("id", "c").agg(F.array_distinct(F.array(*best)).alias("hubs")).select("id", "c", F.inline("hubs").alias("hub", "hub_c"))
+    pairs = scratch.table(one.filter("hub is not null and hub_c <> c"), "pairs")
+    return _linked(scratch, pairs, sets, percent).select(F.col("c").alias("a"), F.col("hub_c").alias("b"))
+
+
+def _blocks(scratch: Scratch, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links `a, b` of components: in every bucket of `band, id, c`, all sets of different components are compared, block by block.
+
+    A bucket's commonest component is not compared with itself; the others meet everything.
+    """
+    by = open_.groupBy("band", "c").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    plan = by.groupBy("band").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "c", "n")).alias("m"))
     blocks = lambda k, n: (F.ceil(k / BLOCK) + F.floor(n / BLOCK_SHINGLES)).cast("int")
-    plan = scratch.table(plan.select("band", "main", blocks(F.col("k"), F.col("n")).alias("wide"), blocks(F.col("k") - F.col("m.k"), F.col("n") - F.col("m.n")).alias("deep")), "plan")
-    member = scratch.table(sized.join(plan.hint("merge"), "band"), "spread")
+    plan = scratch.table(plan.select("band", F.col("m.c").alias("main"), blocks(F.col("k"), F.col("n")).alias("wide"), blocks(F.col("k") - F.col("m.k"), F.col("n") - F.col("m.n")).alias("deep")), "plan")
+    member = scratch.table(open_.drop("n").join(plan.hint("merge"), "band"), "spread")
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = member.select("band", "id", "c", F.lit(False).alias("open"), spot("wide").alias("x"), F.explode(F.sequence(F.lit(0), F.col("deep") - 1)).alias("y"))
-    open_ = member.filter("c <> main").select("band", "id", "c", F.lit(True).alias("open"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"), spot("deep").alias("y"))
-    tasks = every.unionByName(open_).join(sets.hint("merge"), "id").select("band", "x", "y", "open", "id", "c", "n", "shingles")
-    links = scratch.table(tasks.groupBy("band", "x", "y").applyInArrow(_verify(percent), "a long, b long").distinct(), "links")
-    scratch.drop(sized, member, plan)
-    joined = components(scratch, links).select(F.col("node").alias("root"), F.col("root").alias("least"))
-    known = found.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
-    return scratch.table(known.join(joined.hint("merge"), "root", "left").select("node", F.coalesce("least", "root").alias("root")), "joined")
+    rest = member.filter("c <> main").select("band", "id", "c", F.lit(True).alias("open"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"), spot("deep").alias("y"))
+    tasks = every.unionByName(rest).join(sets.hint("merge"), "id").select("band", "x", "y", "open", "id", "c", "n", "shingles")
+    links = scratch.table(tasks.groupBy("band", "x", "y").applyInArrow(_verify(percent), "a long, b long"), "links")
+    scratch.drop(member, plan)
+    return links
+
+
+def _joined(scratch: Scratch, found: DataFrame, links: DataFrame) -> DataFrame:
+    """`node, root` after links `a, b` between roots; a root may be a node that `found` does not have."""
+    over = components(scratch, links).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("root"))
+    return scratch.table(found.unionByName(new).join(over.hint("merge"), "root", "left").select("node", F.coalesce("least", "root").alias("root")), "joined")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 30, width: int = 5, slots: int = 151) -> DataFrame:
@@ -220,19 +277,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts = narrow.filter("id is not null").select("id", F.pmod(F.xxhash64("id"), F.lit(1 << BITS)).alias("bit"), "t")
     # an id that is repeated with other texts is judged by the text of its class
     sets = scratch.table(texts.mapInArrow(_sets(words, wanted), "id long, n long, shingles array<long>").filter("n > 0"), "sets")
-    hubs = sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("shingles").alias("hub_set"))
-    met = sets.join(stars.filter("id <> hub").hint("merge"), "id").join(hubs.hint("merge"), "hub")
-    linked = scratch.table(met.filter(_alike("n", "shingles", "hub_n", "hub_set", percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")), "linked")
-    found = components(scratch, linked)
-
-    # buckets that still hold several components: pairs that share such a bucket are compared in blocks
-    several = banded.join(buckets.select("band").hint("merge"), "band").join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("c"))
-    several = scratch.table(several, "banded")
-    open_ = several.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s")).filter("low <> high")
-    open_ = scratch.table(open_.groupBy("n", "x", "s").agg(F.min("band").alias("band")).select("band"), "open")  # of buckets with equal members, one
-    if not open_.isEmpty():
-        found = _join_blocks(scratch, several.join(open_.hint("merge"), "band"), sets, found, percent)
-    scratch.drop(sets, several, buckets)
+    linked = _linked(scratch, stars.filter("id <> hub"), sets, percent)
+    found = components(scratch, linked.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+
+    # buckets that still hold several components: more hubs for what can be linked, then blocks for the rest
+    members = scratch.table(classes.select("id", "n", F.explode("bands").alias("band")).join(buckets.select("band").hint("merge"), "band"), "members")
+    for links_of in (_more_hubs, _blocks):
+        open_ = _open(scratch, members, found)
+        if open_.isEmpty():
+            break
+        members = _linkable(scratch, open_, sets, percent)
+        found = _joined(scratch, found, links_of(scratch, _open(scratch, members, found), sets, percent))
+    scratch.drop(sets, members, buckets)
 
     named = classes.select("n", "k1", "k2", "id").join(found.hint("merge"), F.col("id") == F.col("node"), "left")
     named = scratch.table(named.select("n", "k1", "k2", F.coalesce("root", "id").alias("component")), "named")
