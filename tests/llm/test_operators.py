@@ -152,7 +152,7 @@ def test_exact_search(spark):
     rows = [(i, v.tolist(), 0, 0) for i, v in enumerate(x)] + [(700, None, 0, 0), (701, [], 0, 0), (702, [1.0] * 7 + [None], 0, 0), (703, [1.0] * 7 + [math.inf], 0, 0), (704, [math.nan] * 8, 0, 0), (750, [1.0, 2.0], 0, 0), (None, [1.0] * 8, 0, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, id int")
     got = collections.defaultdict(list)
-    for r in vptree.search(df, F.col("vec_id") % 50 == 0, shard=200, queries=5).orderBy("query_id", "rank").collect():
+    for r in vptree.search(df, F.col("vec_id") % 50 == 0, shard=100).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     d = x.astype(np.float64)
     norm = np.sqrt((d * d).sum(axis=1))
@@ -166,6 +166,40 @@ def test_exact_search(spark):
     assert vptree.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_extreme_numbers_ties_and_repeated_ids(spark):
+    x = [[1.0, 0.0], [1e200, 1e200], [1e-200, 1e-200], [0.0, 5e-324], [1e308, -1e308]]
+    rows = [(i, v) for i, v in enumerate(x)] + [(100 + i, [float(i + 1), float(i + 1)]) for i in range(40)] + [(200, [0.0, 1.0]), (200, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = vptree.search(df, F.col("vec_id").isin(0, 1, 200), shard=8).collect()
+    got = collections.defaultdict(list)
+    for r in sorted(out, key=lambda r: (r.query_id, -r.score, r.vec_id)):
+        got[r.query_id].append((r.vec_id, round(r.score, 12)))
+    assert got[1] == [(2, 1.0), (100, 1.0), (101, 1.0), (102, 1.0), (103, 1.0)]  # scaled copies tie
+    assert got[0] == [(200, 1.0), (1, 0.707106781187), (2, 0.707106781187), (4, 0.707106781187), (100, 0.707106781187)]
+    assert len(got[200]) == 10 and (3, 1.0) in got[200] and (0, 1.0) in got[200]
+
+
+def test_far_cells_are_not_visited(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 12))
+    x = centres[rng.integers(0, 30, 3000)] + 0.02 * rng.normal(size=(3000, 12))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pivots, seen = u[:60], []
+    d = vptree.distance(u @ pivots.T)
+    cell = d.argmin(axis=1)
+    low, high = (np.array([f(d[cell == j, j]) for j in range(60)]) for f in (np.min, np.max))
+    share = lambda x: type("B", (), {"value": x})()
+    import pyarrow as pa
+
+    kth = np.sort(u[:100] @ u.T, axis=1)[:, -6]
+    batch = pa.RecordBatch.from_pydict({"dim": pa.array([12] * 100, pa.int32()), "cell": pa.array(cell[:100].astype(np.int32)), "known": vptree.distance(kth), "v": x[:100].tolist()})
+    for row, i in zip(next(vptree._visits(share({12: pivots}), share({12: (low, high)}), 1.0)(iter([batch]))).column("cells").to_pylist(), range(100)):
+        near = set(cell[np.argsort(-(u @ u[i]), kind="stable")[:6]].tolist())
+        assert near <= {*row, cell[i]}
+        seen.append(len(row))
+    assert np.mean(seen) < 15
+
+
 def test_relaxed_search_visits_less():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16))
