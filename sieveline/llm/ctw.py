@@ -281,8 +281,8 @@ def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str =
     crown = spark.sparkContext.broadcast(Crown(*[nodes.column(c).to_numpy().astype(t) for c, t in (("node", np.int64), ("n0", np.float64), ("n1", np.float64), ("w", np.float64))]))
     values = trees.applyInArrow(_logs(crown), "key long, value double").unionByName(words.select("key", F.col("trained").cast("double").alias("value")))
     values = scratch.table(values, "values")
-    known = held.select("block", "key").join(values.hint("merge"), "key").select("block", "key", "value")
+    known = held.select("block", "key").join(values.hint("merge"), "key").select(F.col("block").alias("home"), "key", "value")
     texts = rows.filter("t is not null").select("block", "id", "learn", "t")
     schema = f"`{doc_id}` {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     run = _score(int(total), int(distinct), to_arrow_schema(_parse_datatype_string(schema)))
-    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
+    return texts.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(run, schema)
