@@ -2,13 +2,16 @@
 
 Normalisation is done here: at every place the longest prefix that the model's compiled character map knows (a
 double-array trie and a pool of replacements) is replaced, and for every byte of the normalised text the place in
-the source text is recorded.  Blanks become U+2581 and a leading one is added, as the model's flags say.
+the source text is recorded.  Places where nothing known begins are found by the first bytes of all that the map
+knows and copied as they are, so a model with an empty map goes the same way.  Blanks become U+2581 and a leading one is
+added, as the model's flags say.
 
 The normalised text is then cut into runs of U+2581 and what follows them.  If no piece of the vocabulary goes on
 with U+2581 after another character, no merge crosses such a cut, so every run is segmented on its own and
 remembered; the library's merges do that, on the model with its own normaliser switched off.  If some piece does,
 the whole text is one run.  The lengths of the pieces then give places in the normalised text, and these give
-spans of bytes of the source; spans of one text follow one another and cover it.  A byte-fallback character's
+spans of bytes of the source; spans of one text follow one another and cover it, but for blanks at its ends that the
+normaliser drops.  A byte-fallback character's
 bytes share its span: the first piece has it, the others are empty.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; texts of any length are encoded
@@ -89,6 +92,14 @@ class CharacterMap:
         self.units = struct.unpack_from(f"<{size // 4}I", blob, 4) if blob else ()
         self.pool = blob[4 + size :]
 
+    def leads(self) -> np.ndarray:
+        """For every byte, whether something the map knows begins with it."""
+        out = np.zeros(256, dtype=bool)
+        for byte in range(256 if self.units else 0):
+            node = self._offset(self.units[0]) ^ byte
+            out[byte] = node < len(self.units) and self.units[node] & 0x800000FF == byte
+        return out
+
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest known prefix of data[at:] and its replacement."""
         if not self.units:
@@ -118,50 +129,42 @@ class Normalizer:
     def __init__(self, spec: bytes) -> None:
         flags = dict(fields(spec))
         self.map = CharacterMap(flags.get(MAP, b""))
+        self.leads = self.map.leads()
         self.dummy, self.strip, self.escape = (bool(flags.get(k, 1)) for k in (DUMMY_PREFIX, STRIP, ESCAPE))
         self.blank = MARK.encode() if self.escape else b" "
 
     def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        if self.map.units or self.strip:
-            return self._by_prefix(data)
-        if not data:
-            return b"", np.zeros(1, np.int64)
-        lead = self.blank if self.dummy else b""
         raw = np.frombuffer(data, dtype=np.uint8)
-        source = np.repeat(np.arange(len(raw)), np.where(raw == 0x20, len(self.blank), 1))
-        return lead + data.replace(b" ", self.blank), np.concatenate([np.zeros(len(lead), np.int64), source, [len(data)]])
-
-    def _by_prefix(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        parts: list[tuple[bytes, int]] = []
-        at = 0
-        while at < len(data):
-            hit = self.map.longest(data, at)
-            if hit:
-                size, new = hit
-            else:
-                size = 1 + sum(data[at] >= x for x in (0xC0, 0xE0, 0xF0))
-                new = data[at : at + size]
-            parts.append((new, at))
-            at += size
-        out, source = bytearray(), []
-        blank, end = self.strip, len(data)  # at the begin a blank is extra, too
-        kept = 0
-        for new, place in parts:
-            for byte in new:
-                if byte == 0x20 and self.strip and blank:
-                    continue
-                blank = byte == 0x20
-                add = self.blank if blank else bytes([byte])
-                out += add
-                source += [place] * len(add)
-                kept = len(out) if not blank else kept
-        if self.strip and len(out) > kept:
-            end = source[kept]
-            del out[kept:], source[kept:]
-        if out and self.dummy:
-            out[:0] = self.blank
-            source[:0] = [source[0]] * len(self.blank)
-        return bytes(out), np.array([*source, end], dtype=np.int64)
+        raw, source = self._replace(data, raw)
+        end = len(data)
+        if self.strip and len(raw):
+            blank = raw == 0x20
+            extra = blank & np.concatenate([[True], blank[:-1]])  # at the begin and after another one
+            raw, source = raw[~extra], source[~extra]
+            if len(raw) and raw[-1] == 0x20:
+                end, raw, source = int(source[-1]), raw[:-1], source[:-1]
+        if not len(raw):
+            return b"", np.full(1, end, dtype=np.int64)
+        lead = self.blank if self.dummy else b""
+        source = np.repeat(source, np.where(raw == 0x20, len(self.blank), 1))
+        return lead + raw.tobytes().replace(b" ", self.blank), np.concatenate([np.full(len(lead), source[0]), source, [end]])
+
+    def _replace(self, data: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest known prefix is replaced at every place where one can begin; what it becomes lies where it began."""
+        size, new, at = np.ones(len(raw), dtype=np.int64), [], 0
+        for place in np.flatnonzero(self.leads[raw]).tolist() if self.leads.any() else ():
+            if place >= at and (hit := self.map.longest(data, place)):
+                at = place + hit[0]
+                size[place:at] = 0
+                size[place] = len(hit[1])
+                new.append((place, hit[1]))
+        source = np.repeat(np.arange(len(raw)), size)
+        if not new:
+            return raw, source
+        out, begin = np.repeat(raw, size), np.cumsum(size) - size
+        for place, text in new:
+            out[begin[place] : begin[place] + len(text)] = np.frombuffer(text, dtype=np.uint8)
+        return out, source
 
 
 class Encoder:
@@ -231,17 +234,18 @@ def _encoder(path: str) -> Encoder:
 
 
 def encode(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text", pieces: bool = True, digests: bool = False) -> DataFrame:
-    """`doc_id, n_tokens`, with `pieces` the arrays `ids, begins, ends`, with `digests` `ids_sha256, decoded_sha256, covered`.
+    """`doc_id, n_tokens`, with `pieces` the arrays `ids, begins, ends`, with `digests` `ids_sha256, decoded_sha256, spans_sha256, covered`.
 
-    `model` is the path of a model file on the driver, which is sent to the executors.  `covered` says that the
-    spans follow one another from the first byte of the text to the last.
+    `model` is the path of a model file on the driver, which is sent to the executors.  `spans_sha256` is of
+    the spans as pairs of little-endian 32-bit numbers, begin and end.  `covered` says that the spans follow one another from
+    the first byte of the text to the last, which they do unless the model's normaliser drops blanks at the ends.
     """
     spark = docs.sparkSession
     prepare(spark)
     spark.sparkContext.addFile(model)
     name = Path(model).name
     narrow = docs.select(docs[doc_id].alias("id"), docs[text].cast("string").alias("t"))
-    schema = f"`{doc_id}` {narrow.schema['id'].dataType.simpleString()}, n_tokens long" + ", ids array<int>, begins array<long>, ends array<long>" * pieces + ", ids_sha256 string, decoded_sha256 string, covered boolean" * digests
+    schema = f"`{doc_id}` {narrow.schema['id'].dataType.simpleString()}, n_tokens long" + ", ids array<int>, begins array<int>, ends array<int>" * pieces + ", ids_sha256 string, decoded_sha256 string, spans_sha256 string, covered boolean" * digests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(name)
@@ -251,11 +255,12 @@ def encode(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "
                 cols = {doc_id: part.column("id"), "n_tokens": pa.array([len(d[0]) for d in done], pa.int64())}
                 if pieces:
                     at = pa.array(np.concatenate([[0], np.cumsum([len(d[0]) for d in done])]).astype(np.int32))
-                    for k, (c, kind) in enumerate((("ids", np.int32), ("begins", np.int64), ("ends", np.int64))):
-                        cols[c] = pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.asarray(d[k], dtype=kind) for d in done])))
+                    for k, c in enumerate(("ids", "begins", "ends")):
+                        cols[c] = pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.asarray(d[k], dtype=np.int32) for d in done])))
                 if digests:
                     cols["ids_sha256"] = pa.array([hashlib.sha256(d[3].encode()).hexdigest() for d in done])
                     cols["decoded_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in coder.library.decode([d[0].tolist() for d in done])])
+                    cols["spans_sha256"] = pa.array([hashlib.sha256(np.stack([d[1], d[2]], axis=1).astype("<i4").tobytes()).hexdigest() for d in done])
                     cols["covered"] = pa.array([not len(d[0]) if not x else bool(d[1][0] == 0 and d[2][-1] == len(x) and (d[1][1:] == d[2][:-1]).all()) for d, x in zip(done, texts, strict=True)])
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 

@@ -47,6 +47,7 @@ def tokenizer_model() -> str:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans go into `spans_sha256`."""
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_model(), pieces=False, digests=True)
 
 
