@@ -12,8 +12,9 @@ that inflected and unseen forms of an offence count.  A feature takes part if to
 significantly more often and most documents with it are toxic; its support counts the different pairs of
 neighbours it has there, so that copies of one document are one piece of evidence.
 
-Bounds: the model is fitted on the driver to at most `max_docs` labelled documents, the first in the order of a hash
-of their ids.  Scoring reads every text whole, in one pass without a shuffle.
+Bounds: the model is fitted on the driver to at most `max_docs` labelled documents that are in the input, the first
+in the order of a hash of their ids, and to at most `max_bytes` of their texts; it keeps the `most_words` most
+significant features.  Scoring reads every text whole, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no sentences and the score of the leak alone; several labels of one id
 count as toxic if one is; null labels and labels of unknown ids are left out; without labels of both kinds the
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import prepare
+from ._shared import Scratch, prepare
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -171,15 +172,23 @@ def fit(texts: Sequence[str], labels: Sequence[int], *, most_words: int = 4000,
     return Model(float(theta[0]), dict(zip(names, theta[1:].tolist(), strict=True)))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 3000) -> Model:
-    """Fit to at most `max_docs` labelled documents; `learn` is a condition on the label table's ids."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 3000, max_bytes: int = 64 << 20, most_words: int = 4000) -> Model:
+    """Fit to labelled documents of `docs`, at most `max_docs` and `max_bytes` of text; `learn` is a condition on the label table's ids."""
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     known = known.filter(learn) if learn is not None else known
     known = known.groupBy(F.col(doc_id).alias("_id")).agg((F.max(label) > 0).cast("int").alias("_y"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_t")).join(F.broadcast(known), "_id").groupBy("_t").agg(F.max("_y").alias("_y")).collect()
-    rows = sorted((r["_t"] or "", r["_y"]) for r in rows)
-    return fit([t for t, _ in rows], [y for _, y in rows])
+    known = known.join(docs.select(F.col(doc_id).alias("_id")), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(known), "_id").groupBy("_t").agg(F.max("_y").alias("_y"))
+    rows = Scratch(docs.sparkSession, "toxicity").table(rows.withColumn("_h", F.xxhash64("_t")), "labelled")
+    # of the texts in the order of a hash, those that fit: one that is too long is passed over
+    left, taken = max_bytes, []
+    for r in sorted(rows.select("_h", F.octet_length("_t").alias("n")).collect()):
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.append((r["_h"],))
+    chosen = docs.sparkSession.createDataFrame(sorted(set(taken)), "_h long")
+    found = sorted((r["_t"], r["_y"]) for r in rows.join(F.broadcast(chosen), "_h", "left_semi").select("_t", "_y").collect())
+    return fit([t for t, _ in found], [y for _, y in found], most_words=most_words)
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
