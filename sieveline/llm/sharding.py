@@ -1,14 +1,14 @@
 """Resharding by minimum-cost flow.
 
 Documents lie in old shards and are to lie in new ones of equal capacity.  Every old shard is cut into at most
-`BLOCKS` blocks by a hash of the ids; the sizes of the blocks are the only thing the driver sees, at most
+`BLOCKS` blocks by a hash of ids and texts; the sizes of the blocks are the only thing the driver sees, at most
 `n_old * BLOCKS` rows whatever the input.  On the graph source - old shards - new shards - sink a byte that
 leaves its shard costs one (or what `cost` says), and successive shortest paths find the transfers that move the
 fewest bytes.  Whole blocks then fill the transfers, largest first, and a last pass trades blocks between the
 fullest and the emptiest shard as long as that evens them out.
 
-Defined cases: a null text counts as empty (size 1, checksum 0); rows with a null id form ordinary rows of the
-block of their hash; repeated rows are rows of their own, in any order among themselves; an empty table gives an
+Defined cases: a null text counts as empty (size 1, checksum 0); rows with a null id go by their
+texts; repeated rows are rows of their own, in any order among themselves; an empty table gives an
 empty result; reshard() reads no columns of the input other than id, text and old shard, rewrite() carries all.
 """
 
@@ -116,11 +116,16 @@ def plan(blocks: Sequence[tuple[int, int, int, int]], n_old: int, n_new: int, co
     return out, flow
 
 
+def _block(doc_id: str, raw: Column, blocks: int) -> Column:
+    """By id and text, so that rows with null or repeated ids spread over the blocks unless they are wholly equal."""
+    return F.pmod(F.xxhash64(F.col(doc_id), raw), F.lit(blocks)).cast("int")
+
+
 def reshard(docs: DataFrame, old: Column, *, n_old: int, n_new: int, doc_id: str = "doc_id", text: str = "text", blocks: int = BLOCKS, cost: Callable[[int, int], int] | None = None) -> DataFrame:
     """`doc_id, size, text_crc32, old_shard, block, shard, slot` of every row; `old` gives the old shard, 0 to n_old - 1."""
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(doc_id).alias("_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), old.cast("int").alias("old_shard"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(blocks)).cast("int").alias("block"))
+    rows = docs.select(F.col(doc_id).alias("_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), old.cast("int").alias("old_shard"), _block(doc_id, raw, blocks).alias("block"))
     rows = Scratch(spark, "sharding").table(rows, "rows")
     sizes = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
     placed, _ = plan(sorted((r["old_shard"], r["block"], r["b"], r["n"]) for r in sizes), n_old, n_new, cost)
@@ -140,7 +145,7 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str, *, old: Column | None
     """
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.withColumns({"_old": old.cast("int") if old is not None else F.lit(None).cast("int"), "_block": F.pmod(F.xxhash64(F.col(doc_id)), F.lit(blocks)).cast("int"), "_size": (F.octet_length(raw) + 1).cast("long"), "_crc": F.crc32(raw)})
+    rows = docs.withColumns({"_old": old.cast("int") if old is not None else F.lit(None).cast("int"), "_block": _block(doc_id, raw, blocks), "_size": (F.octet_length(raw) + 1).cast("long"), "_crc": F.crc32(raw)})
     if old is None:
         lies = placed.groupBy(F.col(doc_id).alias("_id"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c")).agg(F.min("old_shard").alias("_least"), F.max("old_shard").alias("_most"))
         lies = Scratch(spark, "sharding").table(lies, "old")
