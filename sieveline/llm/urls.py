@@ -2,8 +2,8 @@
 
 Curated rules (host and path prefix, the longest wins) judge the URLs they cover.  The others are judged by
 association rules: the judged URLs are transactions of tokens and their verdict, Spark's FP-growth mines the
-combinations of at least `min_support`, and rules `tokens -> verdict` of at least `min_confidence` are kept unless
-one with fewer of the same tokens is as sure.  A URL gets the verdict of its surest rule (then the best supported,
+combinations of at least `min_support`, and rules `tokens -> verdict` of at most `max_tokens` tokens and at least
+`min_confidence` are kept unless one with fewer of the same tokens is as sure.  A URL gets the verdict of its surest rule (then the best supported,
 then block before allow), or `default` if none matches.
 
 Matching uses an inverted index: a rule is filed under the rarest of its tokens, so that a URL meets only rules
@@ -18,15 +18,19 @@ extra columns are not read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._shared import BROADCAST_ROWS, Scratch, fold_case
+from ._shared import Scratch, bounded, fold_case
 
 VERDICT = "verdict="
+#: Bytes of the index of rules that are broadcast at most; a larger one is joined.
+INDEX_BYTES = 16 << 20
 
 
 def split_url(df: DataFrame, url: str) -> DataFrame:
@@ -37,13 +41,20 @@ def split_url(df: DataFrame, url: str) -> DataFrame:
     return out.withColumn("host", fold_case(F.col("_host"))).withColumn("path", F.regexp_extract("_tail", "^[^?#]*", 0)).withColumn("query", F.regexp_extract("_tail", "^[^?#]*[?]([^#]*)", 1)).drop("_rest", "_host", "_tail")
 
 
-def curated(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """Rule string and verdict of the longest of the rules (verdict, host, path) that fits, else null."""
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for say, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):
-        fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
-        rule, verdict = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(say)).otherwise(verdict)
-    return rule, verdict
+def curated(rules: Sequence[tuple[str, str, str]]) -> Column:
+    """`rule, verdict` of the longest of the rules (verdict, host, path) that fits, else null.
+
+    Rules are looked up by every suffix of the host that begins after a dot, so the expression does not grow with their number.
+    """
+    by: dict[str, list[dict]] = {}
+    for say, host, path in rules:
+        by.setdefault(host, []).append({"size": len(host + path), "verdict": say, "host": host, "path": path})
+    known = F.from_json(F.lit(json.dumps(by)), "map<string,array<struct<size:int,verdict:string,host:string,path:string>>>")
+    labels = F.split("host", "[.]")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    near = F.flatten(F.transform(suffixes, lambda s: F.coalesce(F.try_element_at(known, s), F.from_json(F.lit("[]"), "array<struct<size:int,verdict:string,host:string,path:string>>"))))
+    best = F.array_max(F.filter(near, lambda r: F.col("path").startswith(r["path"])))
+    return F.when(best.isNotNull(), F.struct(F.concat(best["host"], best["path"]).alias("rule"), best["verdict"].alias("verdict")))
 
 
 def tokens() -> Column:
@@ -58,53 +69,71 @@ def tokens() -> Column:
         ), x -> x is not null)))""")
 
 
+def _same(labelled: DataFrame, least: float) -> DataFrame:
+    """`token, rep`: tokens in at least `least` rows; `rep` is the least of those that occur in exactly the same rows.
+
+    There are at most (tokens of a row) / (share of the rows) of them.
+    """
+    sets = labelled.groupBy("tokens").agg(F.count("*").alias("n"))
+    own = sets.select("n", F.xxhash64("tokens").alias("x"), F.xxhash64("tokens", F.lit(1)).alias("y"), F.explode("tokens").alias("token"))
+    own = own.groupBy("token").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter(F.col("n") >= least)
+    return own.select("token", F.min("token").over(Window.partitionBy("n", "x", "y")).alias("rep"))
+
+
 def mine(labelled: DataFrame, *, min_support: float = 0.01, min_confidence: float = 0.8, max_tokens: int = 3) -> DataFrame:
-    """Rules `tokens, verdict, confidence, support` from rows with `tokens` (array) and `verdict`."""
-    items = labelled.filter(F.size("tokens") > 0).select(F.concat("tokens", F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items"))
+    """Rules `tokens, verdict, confidence, support` from rows with `tokens` (sorted array) and `verdict`; rules have at most `max_tokens` tokens.
+
+    FP-growth sees frequent tokens only, and one for all that occur in the same rows, for n of these alone would make 2 ** n
+    sets; they take its place in the rules again.
+    """
+    scratch = Scratch(labelled.sparkSession, "mining")
+    labelled = scratch.table(labelled.filter(F.size("tokens") > 0).select("tokens", "verdict", F.xxhash64("tokens").alias("set")), "labelled")
+    total = labelled.count()
+    same = scratch.table(_same(labelled, min_support * total), "same")
+    few = bounded(same, same.count())
+    reps = labelled.select("set", "tokens").distinct().select("set", F.explode("tokens").alias("token")).join(few, "token").groupBy("set").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
+    none = F.expr("cast(array() as array<string>)")
+    items = labelled.join(scratch.table(reps, "reps").hint("merge"), "set", "left").select(F.concat(F.coalesce("reps", none), F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     sets = model.freqItemsets.filter(F.size("items") <= max_tokens + 1)
-    total = items.count()
     is_verdict = lambda x: x.startswith(VERDICT)
     sets = sets.select(F.array_sort(F.filter("items", lambda x: ~is_verdict(x))).alias("tokens"), F.element_at(F.concat(F.filter("items", is_verdict), F.array(F.lit(""))), 1).alias("verdict"), "freq")
     base = sets.filter("verdict = ''").select("tokens", F.col("freq").alias("all"))
     rules = sets.filter("verdict <> '' and size(tokens) > 0").join(base, "tokens").withColumn("confidence", F.col("freq") / F.col("all")).filter(F.col("confidence") >= min_confidence)
-    return rules.select("tokens", F.expr(f"substring(verdict, {len(VERDICT) + 1})").alias("verdict"), "confidence", (F.col("freq") / F.lit(max(1, total))).alias("support"))
+    rules = scratch.table(rules.select("tokens", F.expr(f"substring(verdict, {len(VERDICT) + 1})").alias("verdict"), "confidence", (F.col("freq") / F.lit(max(1, total))).alias("support")), "rules")
+    for k in range(max_tokens):
+        at = F.get("tokens", F.lit(k))
+        other = few.select(F.col("rep"), F.col("token").alias("other"))
+        rules = rules.withColumn("rep", at).join(other, "rep", "left").withColumn("tokens", F.when(F.col("other").isNotNull(), F.expr(f"transform(tokens, (t, i) -> if(i = {k}, other, t))")).otherwise(F.col("tokens"))).drop("rep", "other")
+    # sets of tokens that occur in the same rows: two and three of one group are as sure as one, so pruning needs none of them
+    return rules.withColumn("tokens", F.array_sort("tokens"))
 
 
-def prune(rules: list[tuple[tuple[str, ...], str, float, float]]) -> list[tuple[tuple[str, ...], str, float, float]]:
+def prune(rules: DataFrame) -> DataFrame:
     """Without rules of which one on fewer of the tokens says the same at least as surely; that one matches wherever they do."""
-    out: list[tuple[tuple[str, ...], str, float, float]] = []
-    kept: dict[tuple[frozenset[str], str], float] = {}
-    for r in sorted(rules, key=lambda r: (len(r[0]), -r[2], r[0], r[1])):
-        own = sorted(r[0])
-        parts = [frozenset(t for i, t in enumerate(own) if m >> i & 1) for m in range(1, (1 << len(own)) - 1)]
-        if all(kept.get((p, r[1]), -1.0) < r[2] for p in parts):
-            kept[frozenset(own), r[1]] = r[2]
-            out.append(r)
-    return out
+    parts = F.expr("transform(sequence(1, shiftleft(1, size(tokens)) - 2), m -> filter(tokens, (t, i) -> getbit(m, i) = 1))")
+    wide = rules.filter("size(tokens) > 1").select("tokens", "verdict", "confidence", F.explode(parts).alias("part"))
+    less = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("sure"))
+    beaten = wide.join(less, ["part", "verdict"]).filter("sure >= confidence").select("tokens", "verdict").distinct()
+    return rules.join(beaten, ["tokens", "verdict"], "left_anti")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], *, page_id: str = "page_id", url: str = "url", default: str = "allow", **mining: float) -> DataFrame:
     """`page_id, host, path, rule, verdict, mined`: `mined` is the association rule that decided, if one did."""
-    spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "urls")
-    rule, verdict = curated(rules)
+    scratch = Scratch(pages.sparkSession, "urls")
     rows = split_url(pages.select(F.col(page_id).alias("_id"), F.col(url)), url)
-    rows = rows.select("_id", "host", "path", rule.alias("rule"), verdict.alias("said"), tokens().alias("tokens"))
-    rows = scratch.table(rows.withColumn("set", F.xxhash64("tokens")), "rows")
+    rows = rows.select("_id", "host", "path", curated(rules).alias("_by"), tokens().alias("tokens"))
+    rows = scratch.table(rows.select("_id", "host", "path", "_by.rule", F.col("_by.verdict").alias("said"), "tokens", F.xxhash64("tokens").alias("set")), "rows")
     mined = scratch.table(mine(rows.filter("said is not null").select("tokens", F.col("said").alias("verdict")), **mining), "rules")
-    count = mined.count()
-    if count <= BROADCAST_ROWS:
-        small = prune([(tuple(r["tokens"]), r["verdict"], r["confidence"], r["support"]) for r in mined.collect()])
-        mined = spark.createDataFrame([(list(t), v, c, s) for t, v, c, s in small], "tokens array<string>, verdict string, confidence double, support double")
+    mined = scratch.table(prune(mined).withColumn("r", F.xxhash64("tokens", "verdict")), "pruned")
     sets = scratch.table(rows.filter("said is null and size(tokens) > 0").select("set", "tokens").distinct(), "sets")
     # a rule is filed under its rarest token among the sets to be judged
     often = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("often"))
-    numbered = mined.withColumn("r", F.xxhash64("tokens", "verdict"))
-    filed = numbered.select("*", F.explode("tokens").alias("token")).join(often, "token", "left")
+    filed = mined.select("*", F.explode("tokens").alias("token")).join(often, "token", "left")
     filed = filed.groupBy("r").agg(F.min_by("token", F.struct(F.coalesce("often", F.lit(0)), "token")).alias("token"), *[F.first(c).alias(c) for c in ("tokens", "verdict", "confidence", "support")])
     filed = scratch.table(filed.withColumnRenamed("tokens", "needs").drop("r"), "index")
-    seen = sets.select("set", "tokens", F.explode("tokens").alias("token"))
-    hits = seen.join(F.broadcast(filed) if count <= BROADCAST_ROWS else filed, "token").filter(F.size(F.array_except("needs", "tokens")) == 0)
+    size = filed.agg(F.coalesce(F.sum(F.octet_length(F.array_join("needs", "")) + F.octet_length("token") + 64), F.lit(0))).first()[0]
+    hits = sets.select("set", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(filed) if size <= INDEX_BYTES else filed.hint("merge"), "token").filter(F.size(F.array_except("needs", "tokens")) == 0)
     best = F.struct("confidence", "support", (F.col("verdict") == "block").alias("strict"), F.array_join("needs", " ").alias("needs"), "verdict")
     chosen = scratch.table(hits.groupBy("set", "tokens").agg(F.max(best).alias("best")).select("set", "tokens", F.col("best.verdict").alias("guess"), F.col("best.needs").alias("mined")), "chosen")
     out = rows.join(chosen.hint("merge"), ["set", "tokens"], "left")
