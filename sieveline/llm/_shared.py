@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -55,7 +56,7 @@ def prepare(spark: SparkSession) -> None:
 
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
-    """For sessions without a shared folder, which then are on one machine."""
+    """For sessions on one machine without a shared folder, as in tests."""
     return "file://" + tempfile.mkdtemp(prefix="sieveline-")
 
 
@@ -76,6 +77,8 @@ class Scratch:
         self.spark = spark
         prepare(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = base or _own_folder()
         self.root = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
         self.count = 0

@@ -80,10 +80,44 @@ def test_rules_against_counting(spark):
                 if n >= 0.05 * 300 and n / len(own) >= 0.6:
                     want[s, v] = round(n / len(own), 9), round(n / 300, 9)
     assert got == want
-    kept = urls.prune([(t, v, c, s) for (t, v), (c, s) in got.items()])
+    kept = [(t, v, c, s) for t, v, c, s in urls.prune(urls.mine(df, min_support=0.05, min_confidence=0.6)).select("tokens", "verdict", "confidence", "support").collect()]
     for t in ({"a", "b", "c"}, {"d", "e"}, set("abcdef")):
         best = lambda rules: max((c for r, _, c, _ in rules if set(r) <= t), default=0)  # noqa: E731, B023
-        assert best(kept) == best([(t2, v, c, s) for (t2, v), (c, s) in got.items()])
+        assert abs(best(kept) - best([(t2, v, c, s) for (t2, v), (c, s) in got.items()])) < 1e-8
+    beaten = lambda r: any(set(t) < set(r[0]) and v == r[1] and c >= r[2] for t, v, c, _ in kept)
+    assert kept and not any(map(beaten, kept))
+
+
+def test_tokens_of_the_same_rows_do_not_multiply_sets(spark):
+    many = [f"t{i:02d}" for i in range(24)]  # alone they would make 2 ** 24 sets
+    df = spark.createDataFrame([([*many, "z"], "block")] * 20 + [(["z"], "allow")] * 20, "tokens array<string>, verdict string")
+    got = {(tuple(r.tokens), r.verdict): r.confidence for r in urls.prune(urls.mine(df, min_support=0.05, min_confidence=0.8)).collect()}
+    assert got == {((t,), "block"): 1.0 for t in many}
+
+
+def test_judging_against_every_rule(spark):
+    rng = random.Random(8)
+    urls_ = [f"http://{rng.choice(['a', 'www', 'm'])}.{rng.choice(['example', 'shop', 'news'])}.{rng.choice(['com', 'net', 'org', 'de'])}/{rng.choice(['en', 'es', 'fr'])}/{rng.choice(['x', 'y', '7', 'a/b/c'])}{rng.choice(['', '.html', '?id=1', '?id=1&q=2'])}" for _ in range(500)]
+    urls_ += ["http://long.net/" + "seg/" * 5000, "http://long.org/" + "p" * 100_000, urls_[0], urls_[0], None, ""]
+    df = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    out = {r.page_id: r for r in urls.judge(df, URL_RULES).collect()}
+    rows = urls.split_url(df, "url").select("page_id", urls.tokens().alias("tokens")).collect()
+    own = {r.page_id: r.tokens for r in rows}
+    said = {i: reference_judge(u)[3] for i, u in enumerate(urls_)}
+    labelled = spark.createDataFrame([(own[i], v) for i, v in said.items() if v], "tokens array<string>, verdict string")
+    rules = urls.mine(labelled).collect()
+    used = 0
+    for i in out:
+        fits = [(r.confidence, r.support, r.verdict == "block", " ".join(r.tokens), r.verdict) for r in rules if set(r.tokens) <= set(own[i])]
+        if said[i]:
+            assert out[i].verdict == said[i] and out[i].mined is None
+        elif not fits:
+            assert out[i].verdict == "allow" and out[i].mined is None
+        else:
+            # of rules as sure and as well supported the shorter one may decide, with the same verdict
+            assert out[i].verdict == max(fits)[4] and max(f[:3] for f in fits if f[3] == out[i].mined) == max(fits)[:3]
+            used += 1
+    assert used > 50
 
 
 # ---- 2
@@ -131,6 +165,42 @@ def test_copies_are_one_piece_of_evidence():
     assert toxicity.fit(texts, labels).word("zebra") == 0
 
 
+def test_scores_against_a_slow_noisy_or(spark):
+    corpus = toxic_corpus(200, 7)
+    model = toxicity.fit([t for _, t, _, _ in corpus], [y for _, _, y, _ in corpus])
+    odd = [(900, None), (901, ""), (902, "Idiot"), (903, "no marks at all " * 2000 + "scum"), (904, "x" * 200_000), (None, "moron. moron"), (900, "fine.")]
+    rows = [(i, t) for i, t, _, _ in corpus[:60]] + odd
+    docs = spark.createDataFrame([(i, t, 0.5, 1, "a") for i, t in rows], "doc_id long, text string, score double, predicted int, offending string")
+    got = sorted(((r.doc_id, round(r.score, 12), r.predicted) for r in toxicity.score(docs, model).collect()), key=str)
+
+    def slow(text):
+        clean, p0 = 1 - 1 / (1 + math.exp(-model.leak)), 1 / (1 + math.exp(-toxicity.PLAIN))
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            weight = 0.0
+            for w in {x.lower() for x in re.findall(r"[^\W\d_]+", sentence)}:
+                weight += sum(model.weights.get(f, 0.0) for f in [w + "$", *(w[:k] for k in toxicity.BEGINNINGS if len(w) >= k)])
+            p = max(p0, 1 / (1 + math.exp(-toxicity.PLAIN - weight)))
+            clean *= (1 - p) / (1 - p0)
+        return 1 - clean
+
+    assert got == sorted(((i, round(slow(t), 12), int(slow(t) >= 0.5)) for i, t in rows), key=str)
+
+
+def test_training_bounds(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 100, "a") for i in range(50)] + [(60, "long " * 100_000, "a"), (None, "null", "a")], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(70)] + [(None, 1), (3, None), (5, 0), (5, 1)], "doc_id long, toxic int")
+    seen = []
+    fit, toxicity.fit = toxicity.fit, lambda texts, y, **how: seen.append((len(texts), sum(map(len, texts)))) or fit(texts, y, **how)
+    try:
+        toxicity.train(docs, labels, max_docs=40)
+        toxicity.train(docs, labels, max_bytes=10_000)
+        toxicity.train(docs, labels)
+        toxicity.train(docs.limit(0), labels)
+    finally:
+        toxicity.fit = fit
+    assert seen[0][0] == 40 and 8_000 < seen[1][1] <= 10_000 and seen[2][0] == 51 and seen[3] == (0, 0)
+
+
 def test_length_alone_is_not_toxic():
     rows = toxic_corpus(300, 3)
     model = toxicity.fit([t for _, t, _, _ in rows], [y for _, _, y, _ in rows])
