@@ -44,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and digests of every row."""
-    return pieces.encode(docs, tokenizer_model(), pieces=True, digests=True).drop("begins", "ends")
+    """Ids, spans of bytes in the text, and digests of every row."""
+    return pieces.encode(docs, tokenizer_model(), pieces=True, digests=True)
 
 
 STAGES = [("toxicity", reject_toxic), ("near_duplicates", one_of_each_group), ("mix", mix_sources), ("sentencepiece", tokenise)]
