@@ -5,12 +5,13 @@ from __future__ import annotations
 import argparse
 import sys
 import time
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import detect, fold, jsondoc, render, score
-from .plans.condense import Options, condense, condense_json, past_of, records, summary
+from .plans.condense import Options, condense, condense_json, entries, past_of, records, summary
 from .sources.lines import read_documents, read_lines, write_text
 from .sources.state import State
 
@@ -21,7 +22,7 @@ SHOWN_PATHS = 200
 def arguments(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="sieveline", description=__doc__)
     p.add_argument("file", nargs="?", default="-", help="file, folder or pattern that Spark can read; - is standard input")
-    p.add_argument("-o", "--output", default="-")
+    p.add_argument("-o", "--output", default="-", help="a file, or for json and raw a folder that Spark writes")
     p.add_argument("-f", "--format", choices=["text", "json", "human", "raw", "report"], default="text")
     p.add_argument("--mode", choices=["auto", "log", "json"], default="auto")
     p.add_argument("--project", help="whose history is used; by default that of the working folder")
@@ -33,6 +34,8 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--depth", type=int, default=Options.depth)
     p.add_argument("--multiline-start")
     p.add_argument("--min-cluster-size", type=int, default=1)
+    p.add_argument("--merge", action="store_true", help="join templates that differ in one word")
+    p.add_argument("--examples", action="store_true", help="first records, values at wildcards and times of each template, in json and report")
     p.add_argument("--half-life", type=float, default=Options.half_life, help="hours")
     p.add_argument("--history-runs", type=int)
     p.add_argument("--tokens", type=int)
@@ -62,32 +65,40 @@ def schema_lines(schema: DataFrame, samples: bool) -> list[str]:
     return [*out, f"... ({more} more paths) ..."] if more > 0 else out
 
 
-def shown(scored: DataFrame, form: str, options: Options, title: str, stats: dict | None) -> list[str]:
-    if form == "json":
-        rows = scored.orderBy(*score.ranking())
-        return [r["json"] for r in render.ndjson(rows).collect()]
+def shown(scored: DataFrame, form: str, options: Options, title: str, stats: dict | None) -> Iterator[str]:
     if form == "human":
-        return render.render_human(scored)
-    if form == "report":
-        return render.render_report(scored, title)
-    return summary(scored, options) + (["## Run Stats", *[f"{k}: {v}" for k, v in stats.items()]] if stats else [])
+        yield from render.render_human(scored)
+    elif form == "report":
+        yield from render.render_report(scored, title)
+    else:
+        yield from summary(scored, options)
+        if stats:
+            yield from ["## Run Stats", *[f"{k}: {v}" for k, v in stats.items()]]
 
 
-def run(spark: SparkSession, argv: list[str]) -> list[str]:
-    a = arguments(argv)
+def objects(rows: DataFrame, output: str) -> Iterator[str]:
+    """Rows of `json` in their order: to the folder `output` by Spark's writer, or one after the other if it is standard output."""
+    if output != "-":
+        rows.select("json").write.mode("overwrite").text(output)
+    else:
+        yield from (r["json"] for r in rows.select("json").toLocalIterator())
+
+
+def lines_of(spark: SparkSession, a: argparse.Namespace) -> Iterator[str]:
+    """The output of a run, line by line; what Spark itself writes is not among it."""
     state = State(spark, a.state_dir, a.project)
     if a.reset_state:
         state.reset()
-        return []
-    options = Options(a.depth, a.max_children, a.sim_threshold, a.multiline_start, a.half_life, a.history_runs, a.min_cluster_size, a.entropy_threshold, a.max_depth, tokens=a.tokens, bytes_per_token=a.bytes_per_token)
+        return
+    options = Options(a.depth, a.max_children, a.sim_threshold, a.multiline_start, a.half_life, a.history_runs, a.min_cluster_size, a.entropy_threshold, a.max_depth, tokens=a.tokens, bytes_per_token=a.bytes_per_token, merge=a.merge)
     now = int(time.time())
     past = None if a.no_state else past_of(state.history(), now, options)
     lines = read_lines(spark, a.file)
     if a.mode == "auto":
-        head = "\n".join(r["line"] for r in lines.orderBy("file", "line_no").limit(detect.NDJSON_LINES).collect())[: detect.HEAD]
-        found = spark.createDataFrame([(head,)], "head string").select(detect.probe_mode(F.col("head"))).first()[0]
+        head = "\n".join(r["line"] for r in lines.orderBy("file", "line_no").limit(detect.NDJSON_LINES).collect())
+        found = spark.createDataFrame([(head,)], "head string").select(detect.probe_mode(detect.head_of(F.col("head")))).first()[0]
         a.mode = "json" if found == "json_document" else "log"
-    stats = None
+    stats, out = None, []
     if a.mode == "json":
         docs = lines.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("content")) if a.file == "-" else read_documents(spark, a.file)
         docs = docs.select(F.col("file").alias("doc"), F.col("content").alias("json"))
@@ -97,27 +108,49 @@ def run(spark: SparkSession, argv: list[str]) -> list[str]:
         else:
             out = schema_lines(schema, not a.schema_only)
         if a.schema_only:
-            return out
+            yield from out
+            return
     else:
-        rows, out = records(lines, options), []
+        rows = records(lines, options)
         if a.format == "raw":
-            return [r["json"] for r in rows.select("record_id", F.to_json(F.struct(*[c for c in rows.columns if c != "record_id"])).alias("json")).orderBy("record_id").toLocalIterator()]
+            yield from objects(rows.select("record_id", F.to_json(F.struct(*[c for c in rows.columns if c != "record_id"])).alias("json")).orderBy("record_id"), a.output)
+            return
         stats = fold.run_stats(lines, detect.detect_format(lines), a.multiline_start).first().asDict() if a.verbose else None
-        scored = condense(rows.select("record_id", "message"), past, options)
+        if a.examples:
+            extra = [c for c in ("ts",) if c in rows.columns]
+            scored = entries(rows.select("record_id", "message", *extra), past, options)
+        else:
+            scored = condense(rows.select("record_id", "message"), past, options)
     scored = scored.persist()
     try:
-        out += shown(scored, a.format, options, a.file, stats)
+        yield from out
+        yield from objects(render.ndjson(scored.orderBy(*score.ranking())), a.output) if a.format == "json" else shown(scored, a.format, options, a.file, stats)
         if not a.no_state:
             state.append(scored.select("template_id", "pattern", "count"), f"run-{now}", now)
+            state.refresh_dictionary(lines.select("line"))
     finally:
         scored.unpersist()
+
+
+def run(spark: SparkSession, argv: list[str]) -> list[str]:
+    """The lines of a run; none if it is to be quiet."""
+    a = arguments(argv)
+    out = list(lines_of(spark, a))
     return [] if a.quiet else out
 
 
 def main() -> None:
     spark = SparkSession.builder.appName("sieveline").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    write_text(run(spark, sys.argv[1:]), arguments(sys.argv[1:]).output)
+    a = arguments(sys.argv[1:])
+    out = lines_of(spark, a)
+    if a.quiet:
+        for _ in out:
+            pass
+    elif a.output != "-" and a.format in ("json", "raw") and not a.reset_state:
+        write_text(out, "-")  # Spark writes the objects, what is left is the schema of documents
+    else:
+        write_text(out, a.output)
 
 
 if __name__ == "__main__":

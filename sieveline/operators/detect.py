@@ -18,8 +18,14 @@ def ndjson_share(head: Column) -> Column:
     return F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"^[ \t\n\f\r]*\{")))) / F.when(F.size(lines) > 0, F.size(lines))
 
 
+def head_of(text: Column) -> Column:
+    """The first HEAD bytes of a text; a character that is cut goes."""
+    cut = F.make_valid_utf8(F.substring(text.cast("binary"), 1, HEAD).cast("string"))
+    return F.when(F.octet_length(text) > HEAD, F.regexp_replace(cut, "\ufffd+\\z", "")).otherwise(text)
+
+
 def probe_mode(head: Column, override: str | None = None) -> Column:
-    """json_document, ndjson_log or log, from the first characters of an input."""
+    """json_document, ndjson_log or log, from the first bytes of an input (head_of)."""
     if override:
         return F.lit(override)
     head = F.regexp_replace(head, "^\ufeff", "")

@@ -12,9 +12,10 @@ in one Python group each.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -28,6 +29,12 @@ def tokenised(records: DataFrame, message: str = "message") -> DataFrame:
     return records.withColumn("tokens", T.tokens(message)).withColumn("word_count", F.size("tokens"))
 
 
+def shard(path: Column, level: Column, words: Column, shards: int) -> Column:
+    """A number below `shards` from a record's path, level (perhaps null) and word count, for merge_similar()."""
+    key = F.concat_ws("|", F.coalesce(path, F.lit("")), F.coalesce(level, F.lit("")), words.cast("string"))
+    return (F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % shards).cast("int")
+
+
 def route(records: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN) -> DataFrame:
     """Adds `path` (array of L + word, or W for the shared child) to records with `record_id, tokens, word_count`."""
     head = F.slice("tokens", 1, max(1, depth))
@@ -92,20 +99,28 @@ def online(messages: list[list[str]], threshold: float) -> tuple[list[list[str |
     return templates, chosen
 
 
-def online_templates(routed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The templates of leaves by the online loop, with the columns of `closed_templates`."""
+def online_assigned(routed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Records of leaves that go through the online loop, with `template` (of the whole run) and `template_id`; further columns stay.
 
+    A leaf is one group, for each of its messages depends on those before; equal messages are looked up, not compared again.
+    """
     ship(routed.sparkSession)
 
-    def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("record_id", kind="stable")
-        templates, chosen = online([list(t) for t in pdf["tokens"]], threshold)
-        own = pd.Series(chosen, index=pdf.index)
-        count, first = own.value_counts(), pdf["record_id"].groupby(own).min()
-        n = range(len(templates))
-        return pd.DataFrame({"word_count": pdf["word_count"].iloc[0], "path": [list(pdf["path"].iloc[0])] * len(templates), "tokens": templates, "count": [int(count[i]) for i in n], "first_record_id": [int(first[i]) for i in n]})
+    def leaf(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("record_id")
+        templates, chosen = online(rows.column("tokens").to_pylist(), threshold)
+        found = pa.array(templates, pa.list_(pa.string())).take(pa.array(chosen, pa.int64()))
+        return rows.append_column("template", found)
+
+    schema = T_.StructType([*routed.schema.fields, T_.StructField("template", T_.ArrayType(T_.StringType()))])
+    out = routed.groupBy("word_count", "path").applyInArrow(leaf, schema)
+    return out.withColumn("template_id", T.template_id("template"))
+
 
-    out = routed.select("record_id", "word_count", "path", "tokens").groupBy("word_count", "path").applyInPandas(leaf, "word_count int, path array<string>, tokens array<string>, count long, first_record_id long")
+def online_templates(routed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The templates of leaves by the online loop, with the columns of `closed_templates`."""
+    own = online_assigned(routed.select("record_id", "word_count", "path", "tokens"), threshold)
+    out = own.groupBy("word_count", "path", F.col("template").alias("tokens")).agg(F.count("*").alias("count"), F.min("record_id").alias("first_record_id"))
     return _finish(out)
 
 
@@ -117,6 +132,20 @@ def mine(records: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDRE
     return closed_templates(routed.filter(closed)).select(*cols).unionByName(online_templates(routed.filter(~closed), threshold).select(*cols))
 
 
+def assigned(records: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, threshold: float = THRESHOLD) -> DataFrame:
+    """Every record of `record_id, message, ...` with `tokens`, its `template` and `template_id`."""
+    routed = route(tokenised(records), depth, max_children)
+    closed = literal_share(F.col("path"), F.col("word_count")) >= threshold
+    shut = routed.filter(closed)
+    return assign(shut, closed_templates(shut)).unionByName(online_assigned(routed.filter(~closed), threshold))
+
+
+def templates_of(assigned_: DataFrame) -> DataFrame:
+    """`template_id, pattern, tokens, word_count, wildcard_count, count, first_record_id` of assigned records, a row for each pattern."""
+    out = assigned_.groupBy("template_id", "word_count").agg(F.first("template").alias("tokens"), F.count("*").alias("count"), F.min("record_id").alias("first_record_id"))
+    return _finish(out)
+
+
 def assign(routed: DataFrame, templates: DataFrame) -> DataFrame:
     """Records of closed leaves with their template's id."""
     return routed.join(templates.select("word_count", "path", "template_id", F.col("tokens").alias("template")), ["word_count", "path"])
@@ -136,26 +165,37 @@ def source_paths(assigned: DataFrame, path: str = "source_path") -> DataFrame:
     return by.groupBy("template_id").agg(F.transform(ordered, lambda s: F.struct(s["path"], s["n"])).alias("paths"), F.sum("n").alias("count"))
 
 
-def merge_similar(templates: DataFrame, groups: list[str] | None = None) -> DataFrame:
+def _families(templates: DataFrame, groups: list[str], shard: str | None) -> DataFrame:
+    """Templates with the `family` they belong to and, as `tokens`, what its members have in common."""
+    masked = templates.select("template_id", *groups, *([shard] if shard else []), F.posexplode("tokens").alias("pos", "tok"), "tokens")
+    masked = masked.withColumn("mask", F.expr("transform(tokens, (t, i) -> if(i = pos, 'W', coalesce('L' || t, 'W')))"))
+    keys = [*groups, "pos", "mask"]
+    met = masked.groupBy(*keys).agg(F.countDistinct("template_id").alias("n"), F.countDistinct(shard).alias("shards") if shard else F.lit(2).alias("shards"))
+    first = masked.join(met.filter("n > 1 and shards > 1"), keys).groupBy("template_id").agg(F.min(F.struct("pos", F.array_join("mask", " ").alias("mask"))).alias("m"))
+    out = templates.join(first, "template_id", "left")
+    named = F.coalesce(F.concat(F.col("m.pos").cast("string"), F.lit(":"), F.col("m.mask")), F.concat(F.lit("-:"), F.col("template_id").cast("string")))
+    return out.withColumn("family", named).withColumn("tokens", F.when(F.col("m").isNotNull(), F.expr("transform(tokens, (t, i) -> if(i = m.pos, null, t))")).otherwise(F.col("tokens"))).drop("m")
+
+
+def merge_similar(templates: DataFrame, groups: list[str] | None = None, shard: str | None = None) -> DataFrame:
     """One pass that joins templates which differ in one word.
 
     Every template is filed under itself with one position masked, lowest first; the lowest position under which it
-    meets another decides.  `groups` are columns that must agree, e.g. none, or the shard key.  A key has as many rows as a position has
-    words; nothing is compared pair by pair.
+    meets another decides.  `groups` are columns that must agree.  With `shard`, a column, templates only meet others of another shard.
+    A key has as many rows as a position has words; nothing is compared pair by pair.
     """
     groups = groups or []
-    masked = templates.select("template_id", *groups, F.posexplode("tokens").alias("pos", "tok"), "tokens")
-    masked = masked.withColumn("mask", F.expr("transform(tokens, (t, i) -> if(i = pos, 'W', coalesce('L' || t, 'W')))"))
-    keys = [*groups, "pos", "mask"]
-    met = masked.groupBy(*keys).agg(F.countDistinct("template_id").alias("n")).filter("n > 1")
-    first = masked.join(met, keys).groupBy("template_id").agg(F.min(F.struct("pos", F.array_join("mask", " ").alias("mask"))).alias("m"))
-    out = templates.join(first, "template_id", "left")
-    named = F.coalesce(F.concat(F.col("m.pos").cast("string"), F.lit(":"), F.col("m.mask")), F.concat(F.lit("-:"), F.col("template_id").cast("string")))
-    out = out.withColumn("family", named).withColumn("tokens", F.when(F.col("m").isNotNull(), F.expr("transform(tokens, (t, i) -> if(i = m.pos, null, t))")).otherwise(F.col("tokens")))
+    out = _families(templates, groups, shard)
     merged = out.groupBy(*groups, "family").agg(F.min_by("tokens", "first_record_id").alias("tokens"), F.sum("count").alias("count"), F.min("first_record_id").alias("first_record_id"), F.count("*").alias("members"))
     return _finish(merged.drop("family"))
 
 
+def merged_records(assigned_: DataFrame) -> DataFrame:
+    """Assigned records whose templates went through the merge pass."""
+    out = _families(templates_of(assigned_), [], None).select("template_id", F.col("tokens").alias("template"))
+    return assigned_.drop("template").join(out, "template_id").withColumn("template_id", T.template_id("template"))
+
+
 def verbatim_small(templates: DataFrame, examples: DataFrame, least: int) -> DataFrame:
     """Templates with fewer records than `least` show their first record instead of the pattern."""
     return templates.join(examples, "template_id", "left").withColumn("shown", F.when(F.col("count") < least, F.col("examples")[0]).otherwise(F.col("pattern")))

@@ -2,7 +2,7 @@
 
 A line begins a record if it is empty or its indentation is at most that of the last record's first line.  Those
 first lines never gain indentation, so that is the least indentation of all earlier lines: one running minimum.
-A file is one window; `fold_large` splits a huge file first and passes only each part's minimum on.
+A file is one window; `number_large` splits huge files first and passes only each part's minimum and sums on.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 
+#: Lines of a part of a huge file.
+PART_LINES = 1_000_000
+
 
 def _order():  # noqa: ANN202
     return Window.partitionBy("file").orderBy("line_no")
@@ -41,25 +44,29 @@ def number_records(lines: DataFrame, start: str | None = None) -> DataFrame:
     return out.withColumn("record_id", F.sum(F.col("begins").cast("long")).over(_upto()) - 1)
 
 
-def number_large(lines: DataFrame, parts: int) -> DataFrame:
-    """`number_records` by indentation for files too large for one window: parts of consecutive lines first, then their minima."""
-    span = lines.groupBy("file").agg(F.max("line_no").alias("most"))
-    cut = lines.join(span, "file").withColumn("part", F.floor(F.col("line_no") * parts / (F.col("most") + 1))).withColumn("pad", T.indent("line"))
-    least = cut.groupBy("file", "part").agg(F.min("pad").alias("least"))
+def number_large(lines: DataFrame, start: str | None = None, part_lines: int = PART_LINES) -> DataFrame:
+    """`number_records` for files too large for one window: parts of `part_lines` consecutive lines, of which only sums and minima pass on."""
+    first = lines.groupBy("file").agg(F.min("line_no").alias("first"))
+    cut = lines.withColumn("part", F.floor(F.col("line_no") / part_lines)).withColumn("pad", T.indent("line"))
     earlier = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.join(least.withColumn("floor", F.min("least").over(earlier)).drop("least"), ["file", "part"])
+    least = cut.groupBy("file", "part").agg(F.min("pad").alias("least"), F.sum(F.octet_length("line") + 1).alias("bytes"))
+    least = least.select("file", "part", F.min("least").over(earlier).alias("floor"), F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("ahead"))
+    cut = cut.join(least.join(first, "file"), ["file", "part"])
     within = Window.partitionBy("file", "part").orderBy("line_no")
-    bound = F.least(F.min("pad").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("floor"))
-    cut = cut.withColumn("begins", bound.isNull() | (F.col("line") == "") | (F.col("pad") <= bound))
+    before, upto = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_first = F.col("line_no") == F.col("first")
+    bound = F.least(F.min("pad").over(before), F.col("floor"))
+    begins_ = is_first | (F.col("line").startswith(start) if start else (F.col("line") == "") | (F.col("pad") <= bound))
+    cut = cut.withColumn("begins", begins_).withColumn("byte_offset", F.col("ahead") + F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)))
     starts = cut.groupBy("file", "part").agg(F.sum(F.col("begins").cast("long")).alias("n"))
-    cut = cut.join(starts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"), ["file", "part"])
-    here = F.sum(F.col("begins").cast("long")).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return cut.withColumn("record_id", F.col("base") + here - 1).select("file", "line_no", "line", "begins", "record_id")
+    cut = cut.join(starts.select("file", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), ["file", "part"])
+    out = cut.withColumn("record_id", F.col("base") + F.sum(F.col("begins").cast("long")).over(upto) - 1)
+    return out.drop("part", "pad", "floor", "ahead", "first", "base")
 
 
-def fold(lines: DataFrame, start: str | None = None) -> DataFrame:
+def fold(lines: DataFrame, start: str | None = None, large: bool = False) -> DataFrame:
     """`file, record_id, message, raw_line, n_lines, byte_offset`: the first line is the message, all lines the raw line."""
-    rows = number_records(lines, start).groupBy("file", "record_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "byte_offset"))).alias("rows"))
+    rows = (number_large if large else number_records)(lines, start).groupBy("file", "record_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "byte_offset"))).alias("rows"))
     return rows.select("file", "record_id", F.col("rows")[0]["line"].alias("message"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("raw_line"), F.size("rows").alias("n_lines"), F.col("rows")[0]["byte_offset"].alias("byte_offset"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from . import fold
 
 #: The types in the order that breaks ties (the later one wins), greatest depth, samples, inline elements.
 TYPES = ["null", "bool", "int", "float", "string", "object", "array"]
@@ -23,7 +24,8 @@ def kind(v: Column) -> Column:
 
 
 def walk(docs: DataFrame, doc: str = "doc", json: str = "json", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """`doc, place, path, parent, depth, type, value, index`: every node; `place` has array positions, `path` has [] for them.
+    """`doc, place, path, parent, depth, type, value, index, size`: every node; `place` has array positions, `path` has [] for them,
+    `size` is the number of elements or keys.
 
     A document is parsed once.  Each step replaces the nodes of the last level by themselves and their children, so
     the plan is one chain of explodes without a shuffle.  Subtrees below `max_depth` are not entered.
@@ -39,7 +41,7 @@ def walk(docs: DataFrame, doc: str = "doc", json: str = "json", max_depth: int =
                 (e, i) -> struct(concat(place, '[', i, ']') AS place, concat(path, '[]') AS path, place AS parent, depth + 1 AS depth, i AS index, e AS v))))))""",
         )
     nodes = nodes.withColumn("type", kind(F.col("v")))
-    return nodes.select("doc", "place", "path", "parent", "depth", "type", F.when(F.col("type").isin("object", "array"), F.lit(None)).otherwise(F.col("v").try_cast("string")).alias("value"), "index")
+    return nodes.select("doc", "place", "path", "parent", "depth", "type", F.when(F.col("type").isin("object", "array"), F.lit(None)).otherwise(F.col("v").try_cast("string")).alias("value"), "index", F.expr("cast(coalesce(size(try_variant_get(v, '$', 'array<variant>')), size(try_variant_get(v, '$', 'map<string,variant>'))) as bigint)").alias("size"))
 
 
 def type_counts(nodes: DataFrame) -> DataFrame:
@@ -72,24 +74,22 @@ def cardinality(nodes: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def array_lengths(nodes: DataFrame) -> DataFrame:
-    """Of each array path: arrays, and the least, greatest and middle length."""
-    arrays = nodes.filter("type = 'array'").select("doc", "place", "path")
-    elements = nodes.filter("index is not null").groupBy("doc", F.col("parent").alias("place")).agg(F.count("*").alias("n"))
-    return arrays.join(elements, ["doc", "place"], "left").na.fill(0, ["n"]).groupBy("path").agg(F.count("*").alias("arrays"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("total"))
+    """Of each array path: arrays, and the least, greatest and summed length."""
+    return nodes.filter("type = 'array'").groupBy("path").agg(F.count("*").alias("arrays"), F.min("size").alias("least"), F.max("size").alias("most"), F.sum("size").alias("total"))
 
 
 def array_samples(nodes: DataFrame, samples: int = ARRAY_SAMPLES, inline: int = INLINE) -> DataFrame:
     """Positions of arrays that a summary shows: all of short ones, else the first, evenly spread ones and the last."""
-    size = nodes.filter("index is not null").groupBy("doc", F.col("parent").alias("array")).agg(F.count("*").alias("n"))
-    spread = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.floor(k * (F.col("n") - 1) / max(1, samples - 1)).cast("int"))
-    shown = F.when(F.col("n") <= inline, F.sequence(F.lit(0), F.col("n").cast("int") - 1)).otherwise(F.array_distinct(spread))
-    return size.select("doc", "array", "n", F.explode(shown).alias("index"))
+    n = F.col("n")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.floor(k * (n - 1) / max(1, samples - 1)).cast("int"))
+    shown = F.when(n <= inline, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array_distinct(spread))
+    return nodes.filter("type = 'array' and size > 0").select("doc", F.col("place").alias("array"), F.col("size").alias("n")).withColumn("index", F.explode(shown))
 
 
 def depth_notes(nodes: DataFrame, limit: int) -> DataFrame:
-    """Objects at the limit and how many keys they hide."""
-    hidden = nodes.filter(F.col("depth") == limit + 1).groupBy("doc", F.col("parent").alias("place")).agg(F.count("*").alias("keys"))
-    return hidden.withColumn("note", F.concat(F.lit("[depth limit reached: subtree has "), F.col("keys").cast("string"), F.lit(" keys]")))
+    """Objects and arrays at the limit, how many keys they hide, and where to look on."""
+    note = F.concat(F.lit("[depth limit reached — subtree has "), F.col("size").cast("string"), F.lit(' keys, use --json-path "'), F.col("path"), F.lit('" to expand]'))
+    return nodes.filter((F.col("depth") == limit) & (F.col("size") > 0)).select("doc", "place", F.col("size").alias("keys"), note.alias("note"))
 
 
 def steps(path: str) -> list[str | int | None]:
@@ -153,7 +153,14 @@ def schema_depth(nodes: DataFrame) -> DataFrame:
 def text_records(nodes: DataFrame, threshold: float = T.DENSE) -> DataFrame:
     """Strings that read like messages, as records: first line, whole text, path, position, and the scalars beside them."""
     strings = nodes.filter("type = 'string'").withColumn("class", T.text_class("value", threshold)).filter("class <> 'scalar'")
-    beside = nodes.filter("type not in ('object', 'array')").groupBy("doc", "parent").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("all"))
-    out = strings.join(beside, ["doc", "parent"], "left")
+    # elements of an array are no fields of one another
+    beside = nodes.filter("type not in ('object', 'array') and index is null").groupBy("doc", "parent").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("all"))
+    out = strings.join(beside, ["doc", "parent"], "left").withColumn("all", F.when(F.col("index").isNull(), F.col("all")).otherwise(F.expr("cast(array() as array<struct<place:string,value:string>>)")))
     siblings = F.transform(F.filter("all", lambda s: s["place"] != F.col("place")), lambda s: F.struct(F.regexp_extract(s["place"], r"[^.\[\]]+\z", 0).alias("key"), s["value"].alias("value")))
     return out.select("doc", "place", F.col("path").alias("source_path"), F.regexp_extract("place", r"\[([0-9]+)\][^\[]*\z", 1).try_cast("long").alias("json_index"), "class", F.substring_index("value", "\n", 1).alias("message"), F.col("value").alias("raw_line"), siblings.alias("fields"))
+
+
+def fold_texts(texts: DataFrame) -> DataFrame:
+    """Multiline texts folded by indentation: `doc, place, source_path, record_id, message, raw_line, n_lines`, a row for each record of a text."""
+    rows = texts.filter("class = 'multiline'").select(F.struct("doc", "place", "source_path").alias("file"), F.posexplode(F.split("raw_line", "\n", -1)).alias("line_no", "line"))
+    return fold.fold(rows.withColumn("line_no", F.col("line_no").cast("long"))).select("file.*", "record_id", "message", "raw_line", "n_lines")

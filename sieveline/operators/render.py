@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,11 +37,27 @@ def slot_words(assigned: DataFrame) -> DataFrame:
     return words.join(few, ["template_id", "pos"]).groupBy("template_id", "pos").agg(F.array_sort(F.collect_list("tok")).alias("words"))
 
 
-def gaps(assigned: DataFrame, ts: str = "ts") -> DataFrame:
-    """Quantiles of the milliseconds between records of a template, and when it was last seen."""
+def gaps(assigned: DataFrame, ts: str = "ts", exact: bool = False) -> DataFrame:
+    """Quantiles of the milliseconds between records of a template, and when it was first and last seen."""
     before = F.lag(ts).over(Window.partitionBy("template_id").orderBy("record_id"))
     ms = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1000
-    return assigned.select("template_id", ts, ms.alias("ms")).groupBy("template_id").agg(F.percentile("ms", 0.5).alias("p50"), F.percentile("ms", 0.99).alias("p99"), F.max(ts).alias("last_seen"))
+    q = lambda p: F.percentile("ms", p) if exact else F.percentile_approx("ms", p, F.lit(10000))
+    return assigned.select("template_id", ts, ms.alias("ms")).groupBy("template_id").agg(q(0.5).alias("p50"), q(0.99).alias("p99"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
+
+
+def slot_summaries(assigned: DataFrame, exact: bool = False) -> DataFrame:
+    """`template_id, slots`: of each wildcard its place, range and quantiles if all are numbers, else its words if they are few, and how many."""
+    both = slot_stats(assigned, exact).join(slot_words(assigned), ["template_id", "pos"], "left")
+    number = lambda c: F.when(F.col("is_numeric"), F.col(c)).alias(c)
+    one = F.struct("pos", "n", "is_numeric", *[number(c) for c in ("min", "max", "p50", "p99")], "distinct", F.when(~F.col("is_numeric"), F.col("words")).alias("words"))
+    return both.groupBy("template_id").agg(F.array_sort(F.collect_list(one)).alias("slots"))  # as many as the template has wildcards
+
+
+def slot_text(slot: Column) -> Column:
+    """A wildcard in words: its range, its values, or their number."""
+    n = lambda c: F.format_string("%.6g", slot[c])
+    numeric = F.concat(n("min"), F.lit(".."), n("max"), F.lit(" p50="), n("p50"), F.lit(" p99="), n("p99"))
+    return F.concat(F.lit("slot "), slot["pos"].cast("string"), F.lit(": "), F.when(slot["is_numeric"], numeric).when(slot["words"].isNotNull(), F.array_join(slot["words"], ", ")).otherwise(F.concat(F.lit("("), slot["distinct"].cast("string"), F.lit(" distinct values)"))))
 
 
 def changes(assigned: DataFrame) -> DataFrame:
@@ -76,21 +94,47 @@ def within_budget(scored: DataFrame, tokens: int, bytes_per_token: float = 4.0)
     """All novelties and anomalies, then the others by count while their estimated tokens fit; `kept` marks them."""
     must = F.col("promotion").isin("novelty", "anomaly")
     out = scored.withColumn("tokens_needed", T.token_estimate(F.concat(line(), F.lit("\n")), bytes_per_token))
-    order = Window.orderBy(must.desc(), F.col("count").desc(), "pattern", "template_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return out.withColumn("used", F.sum("tokens_needed").over(order)).withColumn("kept", must | (F.col("used") <= tokens))
-
-
-def render_text(scored: DataFrame, stats: dict | None = None) -> list[str]:
-    """The plain summary, collected: all novelties and anomalies and a bounded number of others."""
-    rows = summary_lines(scored).orderBy("section", "place").collect()
+    # the order is by count and pattern; sums of equal counts and first letters are summed up first, so no window holds all templates
+    out = out.withColumn("_must", must).withColumn("_head", F.left("pattern", F.lit(3)))
+    keys = ["_must", "count", "_head"]
+    sums = out.groupBy(*keys).agg(F.sum("tokens_needed").alias("_sum"))
+    order = [F.col("_must").desc(), F.col("count").desc(), F.col("_head")]
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    within = Window.partitionBy(*keys).orderBy("pattern", "template_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = out.join(sums, keys).withColumn("used", F.col("_base") + F.sum("tokens_needed").over(within))
+    return out.withColumn("kept", F.col("_must") | (F.col("used") <= tokens)).drop("_must", "_head", "_base")
+
+
+def text_lines(scored: DataFrame, stats: dict | None = None) -> Iterator[str]:
+    """The lines of the plain summary one after the other: all novelties and anomalies, and a bounded number of others."""
     normal = scored.filter(F.col("promotion").isin("normal", "elevated")).count()
-    out = []
     for name in ("NEW", "ANOMALY", "NORMAL"):
-        out += [f"## {name}", *[r["line"] for r in rows if r["section"] == name]]
+        yield f"## {name}"
+        for r in summary_lines(scored).filter(F.col("section") == name).orderBy("place").toLocalIterator():
+            yield r["line"]
     if normal > NORMAL_LINES:
-        out.append(f"{normal - NORMAL_LINES} normal patterns omitted for brevity")
+        yield f"{normal - NORMAL_LINES} normal patterns omitted for brevity"
     if stats:
-        out += ["## Run Stats", *[f"{k}: {v}" for k, v in stats.items()]]
+        yield "## Run Stats"
+        yield from (f"{k}: {v}" for k, v in stats.items())
+
+
+def render_text(scored: DataFrame, stats: dict | None = None) -> list[str]:
+    """The plain summary as a list."""
+    return list(text_lines(scored, stats))
+
+
+def details(scored: DataFrame) -> Column:
+    """Lines below an entry: times, gaps, wildcards, paths, as far as `scored` has them."""
+    lines = []
+    if "first_seen" in scored.columns:
+        lines.append(F.concat(F.lit("first: "), F.col("first_seen").cast("string"), F.lit("  last: "), F.col("last_seen").cast("string")))
+        lines.append(F.format_string("delta_p50=%.6gms  delta_p99=%.6gms", "p50", "p99"))
+    out = F.filter(F.array(*lines), lambda x: x.isNotNull()) if lines else F.expr("cast(array() as array<string>)")
+    if "slots" in scored.columns:
+        out = F.concat(out, F.coalesce(F.transform("slots", slot_text), F.expr("cast(array() as array<string>)")))
+    if "paths" in scored.columns:
+        out = F.concat(out, F.coalesce(F.transform("paths", lambda p: F.concat(F.lit("path: "), p["path"], F.lit(" ×"), p["n"].cast("string"))), F.expr("cast(array() as array<string>)")))
     return out
 
 
@@ -98,13 +142,15 @@ def render_report(scored: DataFrame, title: str, shown: int = 50) -> list[str]:
     """A fuller report with a header, counts in front, and how often a pattern was usual."""
     totals = {r["promotion"]: r["n"] for r in scored.groupBy("promotion").agg(F.count("*").alias("n")).collect()}
     rule = "═" * 51
+    detailed = scored.withColumn("_details", details(scored))
     out = [rule, f"SUMMARY  {title}", f"Templates: {sum(totals.values())}  │  Novel: {totals.get('novelty', 0)}  │  Anomalous: {totals.get('anomaly', 0)}", rule]
     for names, head in ((["novelty"], "[NEW] NOVEL PATTERNS"), (["anomaly"], "[ANOMALY] UNUSUAL PATTERNS"), (["elevated", "normal"], "NORMAL PATTERNS")):
         out.append(f"── {head} " + "─" * max(0, 45 - len(head)))
-        for r in scored.filter(F.col("promotion").isin(names)).orderBy(*S.ranking()).limit(shown).collect():
+        for r in detailed.filter(F.col("promotion").isin(names)).orderBy(*S.ranking()).limit(shown).collect():
             tag = S.PROMOTIONS[r["promotion"]]
             usual = f"  (usual: ~{r['historic_estimate']}/run)" if r["promotion"] == "anomaly" else ""
             out.append(f"{tag + ' ' if tag else ''}[×{r['count']:,}] {r['pattern']}{usual}")
+            out += [f"    {x}" for x in r["_details"]]
         more = sum(totals.get(n, 0) for n in names) - shown
         if more > 0:
             out.append(f"... ({more} more templates) ...")
@@ -113,11 +159,15 @@ def render_report(scored: DataFrame, title: str, shown: int = 50) -> list[str]:
 
 def render_human(scored: DataFrame) -> list[str]:
     """The plain summary in colours."""
-    colour = lambda x: next((S.COLOURS[k] + x + "\x1b[0m" for k, t in S.PROMOTIONS.items() if t and x.startswith(t)), x)
-    return [colour(x) for x in render_text(scored)]
+    colour = lambda x: next((S.COLOURS[k] + x + S.COLOURS["normal"] for k, t in S.PROMOTIONS.items() if t and x.startswith(t)), x)
+    return [colour(x) for x in text_lines(scored)]
+
+
+#: Parts of an entry that are shown where they are there.
+PARTS = ["examples", "slots", "paths", "first_seen", "last_seen", "p50", "p99"]
 
 
 def ndjson(scored: DataFrame) -> DataFrame:
-    """`template_id, json`: one object for each template."""
-    out = scored.select("template_id", F.to_json(F.struct("pattern", "count", "promotion", "historic_estimate")).alias("json"))
-    return out
+    """`template_id, json`: one object for each template, with the parts of an entry that `scored` has."""
+    more = [c for c in PARTS if c in scored.columns]
+    return scored.select("template_id", F.to_json(F.struct("pattern", "count", "promotion", "historic_estimate", *more)).alias("json"))

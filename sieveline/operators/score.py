@@ -13,7 +13,7 @@ ROWS, COLUMN_BITS, COUNTER_MAX = 5, 20, 4294967295
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0x6C62272E07BB0142, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xE37E28C8BB4EC5EA]
 #: Promotions from the least, their tags, colours, and least bits of surprise.
 PROMOTIONS = {"normal": "", "elevated": "[ELEVATED]", "anomaly": "[ANOMALY]", "novelty": "[NEW]"}
-COLOURS = {"normal": "", "elevated": "\x1b[33m", "anomaly": "\x1b[31m", "novelty": "\x1b[36m"}
+COLOURS = {"normal": "\x1b[0m", "elevated": "\x1b[1;33m", "anomaly": "\x1b[1;31m", "novelty": "\x1b[1;35m"}
 ELEVATED_BITS, ANOMALY_BITS = 1.0, 3.0
 HALF_LIFE_HOURS = 168.0
 
@@ -50,6 +50,12 @@ def decayed(history: DataFrame, now: int, half_life: float = HALF_LIFE_HOURS) ->
     return history.groupBy("template_id").agg(F.floor(F.sum(F.col("count") * decay_factor(F.lit(now), F.col("run_ts"), half_life))).cast("long").alias("past"))
 
 
+def flush(history: DataFrame, counts: DataFrame, now: int, half_life: float = HALF_LIFE_HOURS) -> DataFrame:
+    """`template_id, count`: the history decayed to now, and then this run's counts added."""
+    both = decayed(history, now, half_life).withColumnRenamed("past", "count").unionByName(run_counts(counts))
+    return run_counts(both)
+
+
 def last_runs(history: DataFrame, runs: int) -> DataFrame:
     """History of the latest runs only; a run has one time, so the ranked table is that of runs."""
     kept = history.select("run_ts").distinct().orderBy(F.col("run_ts").desc()).limit(runs)
@@ -121,5 +127,6 @@ def estimate(ids: DataFrame, cells: DataFrame) -> DataFrame:
 
 def sample(df: DataFrame, by: list[str], index: str, size: int = 200, seed: int = 0) -> DataFrame:
     """A repeatable uniform sample of at most `size` rows of each group."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *by, index), index))
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*by, index)]))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(draw, index))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= size).drop("_rank")

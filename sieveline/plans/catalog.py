@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,12 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import detect, drain, fold, jsondoc, parse, render, score
+from ..session import shared_folder
 from ..sources import corpora as C
+from ..sources import dictionary as D
 from ..sources import lines as L
-from .condense import Options, condense
+from ..sources import state as S
+from .condense import Options, condense, entries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,15 +66,64 @@ def first_nonempty(spark, sf):  # noqa: ANN001, ANN201
     return L.first_nonempty(C.lines(spark, sf, "doc"), 3).drop("rank")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A folder for one call, removed when the session ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def _written(compression: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Event lines, a file for each kind, read back with their numbers."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        path = _folder(spark, compression)
+        rows = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_type AS kind", "event_id", f"{C.EVENT} AS line")
+        rows.repartition("kind").sortWithinPartitions("kind", "event_id").select("kind", "line").write.option("compression", compression).partitionBy("kind").text(path)
+        out = L.read_lines(spark, f"{path}/*/*")
+        return out.select(F.regexp_extract("file", "kind=([^/]*)", 1).alias("kind"), "line_no", "line")
+
+    return run
+
+
+_FILES = f"SELECT event_type AS kind, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS BIGINT) AS line_no, {C.EVENT} AS line FROM events"
+for _name, _compression in (("read_text", "none"), ("read_gzip", "gzip"), ("read_bzip2", "bzip2")):
+    _run = _written(_compression)
+    _run.__name__ = _name
+    query(_FILES)(_run)
+
+
+@query("""SELECT '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '","none":null}' AS line FROM events""")
+def sink_ndjson(spark, sf):  # noqa: ANN001, ANN201
+    path = _folder(spark, "ndjson")
+    L.write_ndjson(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type", F.lit(None).cast("string").alias("none")), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("SELECT p AS folder, left(md5(p), 16) AS slug FROM (VALUES ('/'), ('/srv/logs'), ('/var/log/app')) t(p)")
+def project_slug(spark, sf):  # noqa: ANN001, ANN201
+    return spark.createDataFrame([(p, S.project_slug(p)) for p in ("/", "/srv/logs", "/var/log/app")], "folder string, slug string")
+
+
+@query(f"SELECT event_id AS record_id, {C.EVENT} AS line FROM events")
+def dictionary_roundtrip(spark, sf):  # noqa: ANN001, ANN201
+    """Lines packed with a dictionary that was trained on them, and unpacked again."""
+    rows = C.events(spark, sf, C.EVENT, "line")
+    made = D.train(rows)
+    packed = rows.select("record_id", D.pack(F.col("line"), made, rows).alias("packed"))
+    return packed.select("record_id", D.unpack(F.col("packed"), made, rows).alias("line"))
+
+
 # ---- detection -----------------------------------------------------------------------------------------------
 
-_HEADS = "(SELECT 'doc' AS kind, doc_id AS id, left(text, 4096) AS head FROM documents UNION ALL SELECT 'props', event_id, props FROM events)"
+_HEADS = "(SELECT 'doc' AS kind, doc_id AS id, CASE WHEN strlen(text) <= 4096 THEN text ELSE left(text, len(list_filter(range(1, 4097), lambda i: strlen(left(text, i)) <= 4096))) END AS head FROM documents UNION ALL SELECT 'props', event_id, props FROM events)"
 _BRACE = rf"regexp_matches(x, '^{B}*\{{')"
 _SHARE = f"(SELECT kind, id, head, list_filter(string_split(head, chr(10)), lambda x: NOT regexp_full_match(x, '{B}*'))[1:200] AS l FROM {_HEADS})"
 
 
 def _heads(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.left("text", F.lit(detect.HEAD)).alias("head"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), detect.head_of(F.col("text")).alias("head"))
     return docs.unionByName(spark.read.parquet(f"{sf}/events.parquet").select(F.lit("props").alias("kind"), F.col("event_id").alias("id"), F.col("props").alias("head")))
 
 
@@ -150,7 +203,7 @@ def fold_char(spark, sf):  # noqa: ANN001, ANN201
 
 @query(f"SELECT file, record_id, CAST(count(*) AS BIGINT) AS n FROM {_numbered(CHAT, _BY_INDENT)} GROUP BY file, record_id")
 def fold_large_file(spark, sf):  # noqa: ANN001, ANN201
-    return fold.number_large(C.lines(spark, sf, "chat"), 4).groupBy("file", "record_id").agg(F.count("*").alias("n"))
+    return fold.number_large(C.lines(spark, sf, "chat"), part_lines=4).groupBy("file", "record_id").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT file, line_no, byte_offset FROM {_numbered(DOC, _BY_INDENT)}")
@@ -308,9 +361,9 @@ def drain_closed(spark, sf):  # noqa: ANN001, ANN201
     return drain.closed_templates(_routed(spark, sf)).select("template_id", "pattern", "wildcard_count", "word_count", F.array_join("path", " ").alias("path"), "count", "first_record_id")
 
 
-@query()
+@query(_routed_sql(_EVENT, 4, 3) + "SELECT template_id, pattern, wildcard_count, word_count, array_to_string(path, ' ') AS path, count, first_record_id FROM tpl")
 def drain_general(spark, sf):  # noqa: ANN001, ANN201
-    """The online loop on twelve-word lines; tests hold it against a plain model."""
+    """The online loop on twelve-word lines, which are alike enough to make one template a leaf; tests hold it against a plain model."""
     return drain.online_templates(_routed(spark, sf, C.EVENT, 4, 3)).select("template_id", "pattern", "wildcard_count", "word_count", F.array_join("path", " ").alias("path"), "count", "first_record_id")
 
 
@@ -320,6 +373,13 @@ def template_examples(spark, sf):  # noqa: ANN001, ANN201
     return drain.examples(drain.assign(routed, drain.closed_templates(routed))).select("template_id", F.array_join("examples", "|").alias("examples"))
 
 
+@query(_routed_sql(_EVENT, 4, 3) + "SELECT record_id, template_id, array_to_string(list_transform(t.tokens, lambda x: coalesce(x, '*')), ' ') AS template FROM r4 JOIN tpl t USING (word_count, path)")
+def assigned_records(spark, sf):  # noqa: ANN001, ANN201
+    """Every record of long lines with its template."""
+    own = drain.assigned(C.events(spark, sf, C.EVENT), 4, 3)
+    return own.select("record_id", "template_id", F.array_join(F.transform("template", lambda x: F.coalesce(x, F.lit("*"))), " ").alias("template"))
+
+
 _PATHED = "CASE record_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'a.b' WHEN 2 THEN 'a[].c' ELSE 'd' END"
 
 
@@ -357,23 +417,34 @@ def run_counts(spark, sf):  # noqa: ANN001, ANN201
     return score.run_counts(drain.closed_templates(_routed(spark, sf, children=3)))
 
 
+@query(f"SELECT record_id, CAST(('0x' || substr(md5(concat_ws('|', {_PATHED}, '', CAST(len({TOK}) AS VARCHAR))), 1, 15))::BIGINT % 128 AS INT) AS shard FROM {_SHORT}")
+def shard_key(spark, sf):  # noqa: ANN001, ANN201
+    rows = drain.tokenised(C.events(spark, sf, C.SHORT)).withColumn("source_path", F.expr(_PATHED))
+    return rows.select("record_id", drain.shard(F.col("source_path"), F.lit(None).cast("string"), F.col("word_count"), 128).alias("shard"))
+
+
 # ---- history, sketches, scores -------------------------------------------------------------------------------
 
-#: The past: nine of ten events, of fewer kinds, in nine runs a day apart; the present: the tenth.
+#: The past: nine of ten events, in nine runs a day apart; the present: the tenth.  Purchases of the present are of kinds of their
+#: own, and most clicks of the past too, so that some templates are new and some more frequent than before.
 NOW = 1_700_000_000
-_KEY = "('0x' || substr(md5(concat('L', event_type, ' L', CAST(event_id % 17 AS STRING))), 1, 15))::BIGINT"
-_NAME = "concat(event_type, ' ', CAST(event_id % 17 AS STRING))"
-_HIST = f"(SELECT {_KEY} AS template_id, {NOW} - 86400 * (event_id % 10 + 1) AS run_ts, count(*) AS count FROM events WHERE event_id % 10 <> 9 AND event_type <> 'purchase' AND NOT (event_type = 'click' AND event_id % 7 <> 0) GROUP BY ALL)"
+_NAME = "concat(event_type, ' ', CASE WHEN event_type = 'purchase' AND event_id % 10 = 9 THEN 'new ' WHEN event_type = 'click' AND event_id % 10 <> 9 AND event_id % 7 <> 0 THEN 'old ' ELSE '' END, CAST(event_id % 17 AS STRING))"
+_KEY = f"('0x' || substr(md5(concat('L', replace({_NAME}, ' ', ' L'))), 1, 15))::BIGINT"
+_HIST = f"(SELECT {_KEY} AS template_id, {NOW} - 86400 * (event_id % 10 + 1) AS run_ts, count(*) AS count FROM events WHERE event_id % 10 <> 9 GROUP BY ALL)"
 _CUR = f"(SELECT {_KEY} AS template_id, {_NAME} AS pattern, count(*) AS count FROM events WHERE event_id % 10 = 9 GROUP BY ALL)"
 _LAMBDA = "(ln(2) / 168.0)"
 _PAST = f"(SELECT template_id, CAST(floor(sum(count * exp(-{_LAMBDA} * ({NOW} - run_ts) / 3600.0))) AS BIGINT) AS past FROM {_HIST} GROUP BY template_id)"
 
 
+def _named(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").selectExpr("*", f"{_NAME} AS pattern").withColumn("template_id", T.template_id(T.tokens("pattern")))
+
+
 def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Counts of the present with patterns, and the history."""
-    ev = spark.read.parquet(f"{sf}/events.parquet").selectExpr("*", f"{_NAME} AS pattern").withColumn("template_id", T.template_id(T.tokens("pattern")))
+    ev = _named(spark, sf)
     now = ev.filter("event_id % 10 = 9").groupBy("template_id", "pattern").agg(F.count("*").alias("count"))
-    old = ev.filter("event_id % 10 <> 9 AND event_type <> 'purchase' AND NOT (event_type = 'click' AND event_id % 7 <> 0)")
+    old = ev.filter("event_id % 10 <> 9")
     return now, old.withColumn("run_ts", F.lit(NOW) - 86400 * (F.col("event_id") % 10 + 1)).groupBy("template_id", "run_ts").agg(F.count("*").alias("count"))
 
 
@@ -429,7 +500,7 @@ def surprise(spark, sf):  # noqa: ANN001, ANN201
     return _scored(spark, sf).select("template_id", _finite())
 
 
-@query(f"SELECT template_id, promotion, CAST(promotion_rank AS INT) AS promotion_rank, CASE promotion WHEN 'novelty' THEN '[NEW]' WHEN 'anomaly' THEN '[ANOMALY]' WHEN 'elevated' THEN '[ELEVATED]' ELSE '' END AS tag, CASE promotion WHEN 'novelty' THEN chr(27) || '[36m' WHEN 'anomaly' THEN chr(27) || '[31m' WHEN 'elevated' THEN chr(27) || '[33m' ELSE '' END AS colour FROM {_SCORED}")
+@query(f"SELECT template_id, promotion, CAST(promotion_rank AS INT) AS promotion_rank, CASE promotion WHEN 'novelty' THEN '[NEW]' WHEN 'anomaly' THEN '[ANOMALY]' WHEN 'elevated' THEN '[ELEVATED]' ELSE '' END AS tag, CASE promotion WHEN 'novelty' THEN chr(27) || '[1;35m' WHEN 'anomaly' THEN chr(27) || '[1;31m' WHEN 'elevated' THEN chr(27) || '[1;33m' ELSE chr(27) || '[0m' END AS colour FROM {_SCORED}")
 def promotion(spark, sf):  # noqa: ANN001, ANN201
     p = F.col("promotion")
     return _scored(spark, sf).select("template_id", "promotion", "promotion_rank", score.lookup(score.PROMOTIONS, p).alias("tag"), score.lookup(score.COLOURS, p).alias("colour"))
@@ -459,12 +530,40 @@ def novel_anti_join(spark, sf):  # noqa: ANN001, ANN201
     return score.novel(now, score.decayed(old, NOW)).select("template_id", "pattern")
 
 
-@query()
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY md5(concat_ws(':', '0', o_custkey, o_orderkey)), o_orderkey) <= 5")
 def reservoir_sample(spark, sf):  # noqa: ANN001, ANN201
     """A sample of each customer's orders; which rows is the hash's choice."""
     return score.sample(spark.read.parquet(f"{sf}/orders.parquet"), ["o_custkey"], "o_orderkey", 5).select("o_custkey", "o_orderkey")
 
 
+def _state(spark: SparkSession, sf: str) -> S.State:
+    """The past as runs in a state of its own."""
+    state = S.State(spark, _folder(spark, "state"), "catalog")
+    old = _named(spark, sf).filter("event_id % 10 <> 9").withColumn("run", F.col("event_id") % 3)
+    for k in range(3):
+        state.append(old.filter(F.col("run") == k).groupBy("template_id", "pattern").agg(F.count("*").alias("count")), f"r{k}", NOW - 3600 * (k + 1))
+    return state
+
+
+_RUNS = f"(SELECT {_KEY} AS template_id, {_NAME} AS pattern, count(*) AS count, 'r' || (event_id % 3) AS run_id, {NOW} - 3600 * (event_id % 3 + 1) AS run_ts FROM events WHERE event_id % 10 <> 9 GROUP BY ALL)"
+
+
+@query(f"SELECT template_id, count, run_id, run_ts FROM {_RUNS}")
+def state_history(spark, sf):  # noqa: ANN001, ANN201
+    return _state(spark, sf).history()
+
+
+@query(f"SELECT template_id, pattern, count, run_id, run_ts FROM {_RUNS}")
+def state_templates(spark, sf):  # noqa: ANN001, ANN201
+    return _state(spark, sf).templates().drop("project")
+
+
+@query(f"SELECT template_id, CAST(sum(c) AS BIGINT) AS count FROM (SELECT template_id, floor(sum(count * exp(-{_LAMBDA} * ({NOW} - run_ts) / 3600.0))) AS c FROM {_RUNS} GROUP BY template_id UNION ALL SELECT template_id, count FROM {_CUR}) GROUP BY template_id")
+def flush(spark, sf):  # noqa: ANN001, ANN201
+    """Counts of the past, decayed, and those of the present in one."""
+    return score.flush(_state(spark, sf).history(), _split(spark, sf)[0], NOW)
+
+
 # ---- compression and rendering -------------------------------------------------------------------------------
 
 
@@ -492,7 +591,7 @@ _GAPS = _routed_sql(_SHORT, 4, 3) + ", a AS (SELECT template_id, record_id, e.ts
 @query(_GAPS + "SELECT template_id, round(quantile_cont(ms, 0.5), 4) AS p50, round(quantile_cont(ms, 0.99), 4) AS p99, max(ts) AS last_seen FROM (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY template_id ORDER BY record_id))) / 1000 AS ms FROM a) GROUP BY template_id")
 def delta_quantiles(spark, sf):  # noqa: ANN001, ANN201
     ts = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("record_id"), "ts")
-    out = render.gaps(_assigned(spark, sf).join(ts, "record_id"))
+    out = render.gaps(_assigned(spark, sf).join(ts, "record_id"), exact=True)
     return out.select("template_id", F.round("p50", 4).alias("p50"), F.round("p99", 4).alias("p99"), "last_seen")
 
 
@@ -586,9 +685,9 @@ def json_array_sample(spark, sf):  # noqa: ANN001, ANN201
     return jsondoc.array_samples(_nodes(spark, sf), inline=8)
 
 
-@query(f"SELECT doc, parent AS place, count(*) AS keys, '[depth limit reached: subtree has ' || count(*) || ' keys]' AS note FROM {_TREE} WHERE len(regexp_extract_all(place, '\\.|\\[')) = 3 GROUP BY doc, parent")
+@query(f"SELECT doc, parent AS place, count(*) AS keys, '[depth limit reached — subtree has ' || count(*) || ' keys, use --json-path \"' || regexp_replace(regexp_replace(parent, '\\[[0-9]+\\]', '[]', 'g'), '^\\$\\.?', '') || '\" to expand]' AS note FROM {_TREE} WHERE len(regexp_extract_all(place, '\\.|\\[')) = 3 GROUP BY doc, parent")
 def json_depth_limit(spark, sf):  # noqa: ANN001, ANN201
-    return jsondoc.depth_notes(_nodes(spark, sf, 3), 2)
+    return jsondoc.depth_notes(_nodes(spark, sf, 2), 2)
 
 
 @query(f"SELECT doc, place, type, value FROM {_TREE} WHERE regexp_matches(place, '^\\$\\.orders\\[[0-9]+\\]\\.status([.\\[].*)?$')")
@@ -654,7 +753,48 @@ def condense_first_run(spark, sf):  # noqa: ANN001, ANN201
     return condense(C.events(spark, sf, C.SHORT)).select("template_id", "pattern", "count", "promotion")
 
 
-_THEN, _NOWQ = f"(SELECT * FROM {_SHORT} WHERE record_id % 10 <> 9 AND record_id % 50 > 10)", f"(SELECT * FROM {_SHORT} WHERE record_id % 10 = 9)"
+@query(_routed_sql(_SHORT, 4, 128) + "SELECT template_id, CAST(sum(t.count) AS BIGINT) AS count, CASE WHEN sum(t.count) < 10 THEN any_value(m.message) ELSE any_value(t.pattern) END AS pattern FROM tpl t JOIN r4 m ON m.record_id = t.first_record_id GROUP BY t.template_id")
+def condense_small_verbatim(spark, sf):  # noqa: ANN001, ANN201
+    return condense(C.events(spark, sf, C.SHORT), None, Options(min_cluster_size=10)).select("template_id", "count", "pattern")
+
+
+@query(SQL["merge_pass"].replace("SELECT array_to_string(list_transform(tokens", "SELECT pattern, CAST(sum(count) AS BIGINT) AS count, min(first_record_id) AS first_record_id FROM (SELECT array_to_string(list_transform(tokens", 1) + ") GROUP BY pattern")
+def condense_merged(spark, sf):  # noqa: ANN001, ANN201
+    return condense(C.events(spark, sf, C.PAIRS), None, Options(merge=True)).select("pattern", "count", "first_record_id")
+
+
+_LONG = _routed_sql(_EVENT, 4, 3) + f", a AS (SELECT t.template_id, record_id, message, e.ts, r.tokens, t.tokens AS template, {_PATHED} AS source_path FROM r4 r JOIN tpl t USING (word_count, path) JOIN events e ON e.event_id = r.record_id) "
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of twelve-word lines, which go through the online loop."""
+    ts = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("record_id"), "ts")
+    rows = C.events(spark, sf, C.EVENT).withColumn("source_path", F.expr(_PATHED)).join(ts, "record_id")
+    return entries(rows, None, Options(max_children=3), exact=True)
+
+
+@query(_LONG + "SELECT template_id, array_to_string(list(message ORDER BY record_id)[1:3], '|') AS examples FROM a GROUP BY template_id")
+def entry_examples(spark, sf):  # noqa: ANN001, ANN201
+    return _entries(spark, sf).select("template_id", F.array_join("examples", "|").alias("examples"))
+
+
+@query(_LONG + ", s AS (SELECT template_id, unnest(tokens) AS tok, unnest(template) AS lit, CAST(generate_subscripts(tokens, 1) - 1 AS INT) AS pos FROM a) SELECT template_id, pos, n, is_numeric, CASE WHEN is_numeric THEN lo END AS min, CASE WHEN is_numeric THEN p50 END AS p50, CASE WHEN is_numeric THEN hi END AS max, \"distinct\", CASE WHEN NOT is_numeric AND \"distinct\" <= 20 THEN words END AS words FROM (SELECT template_id, pos, count(*) AS n, count(v) = count(*) AS is_numeric, min(v) AS lo, max(v) AS hi, round(quantile_cont(v, 0.5), 6) AS p50, count(DISTINCT tok) AS \"distinct\", string_agg(DISTINCT tok, '|' ORDER BY tok) AS words FROM (SELECT *, try_cast(tok AS DOUBLE) AS v FROM s WHERE lit IS NULL) GROUP BY template_id, pos)")
+def entry_slots(spark, sf):  # noqa: ANN001, ANN201
+    out = _entries(spark, sf).select("template_id", F.inline("slots"))
+    return out.select("template_id", "pos", "n", "is_numeric", "min", F.round("p50", 6).alias("p50"), "max", "distinct", F.array_join("words", "|").alias("words"))
+
+
+@query(_LONG + "SELECT template_id, round(quantile_cont(ms, 0.5), 4) AS p50, round(quantile_cont(ms, 0.99), 4) AS p99, min(ts) AS first_seen, max(ts) AS last_seen FROM (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY template_id ORDER BY record_id))) / 1000 AS ms FROM a) GROUP BY template_id")
+def entry_times(spark, sf):  # noqa: ANN001, ANN201
+    return _entries(spark, sf).select("template_id", F.round("p50", 4).alias("p50"), F.round("p99", 4).alias("p99"), "first_seen", "last_seen")
+
+
+@query(_LONG + ", p AS (SELECT template_id, source_path AS path, min(record_id) AS first, count(*) AS n FROM a WHERE source_path <> '' GROUP BY 1, 2) SELECT template_id, string_agg(path || ':' || n, '|' ORDER BY first) AS paths FROM p GROUP BY template_id")
+def entry_paths(spark, sf):  # noqa: ANN001, ANN201
+    return _entries(spark, sf).filter("paths is not null").select("template_id", F.array_join(F.transform("paths", lambda p: F.concat(p["path"], F.lit(":"), p["n"].cast("string"))), "|").alias("paths"))
+
+
+_THEN, _NOWQ = f"(SELECT * FROM {_SHORT} WHERE record_id % 10 <> 9)", f"(SELECT * FROM {_SHORT} WHERE record_id % 10 = 9)"
 _TWO = (
     _routed_sql(_NOWQ, 4, 16)
     + ", cur AS (SELECT template_id, pattern, CAST(sum(count) AS BIGINT) AS count FROM tpl GROUP BY ALL), past AS (SELECT template_id, CAST(sum(count) AS BIGINT) AS past FROM ("
@@ -668,6 +808,6 @@ _TWO = (
 def condense_with_history(spark, sf):  # noqa: ANN001, ANN201
     """Two runs: the first makes the history of the second."""
     rows, options = C.events(spark, sf, C.SHORT), Options(max_children=16)
-    first = condense(rows.filter("record_id % 10 <> 9 AND record_id % 50 > 10"), None, options)
+    first = condense(rows.filter("record_id % 10 <> 9"), None, options)
     past = score.run_counts(first).withColumnRenamed("count", "past")
     return condense(rows.filter("record_id % 10 = 9"), past, options).select("template_id", "pattern", "count", "historic_estimate", "promotion", _finite())

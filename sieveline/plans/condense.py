@@ -13,7 +13,8 @@ from ..operators import detect, drain, fold, jsondoc, parse, render, score
 
 @dataclass(frozen=True)
 class Options:
-    """Parameters of a run; `mode` and `format` override what is detected."""
+    """Parameters of a run; `mode` and `format` override what is detected, `merge` joins templates that differ in one word, and
+    templates with fewer records than `min_cluster_size` show their first record."""
 
     depth: int = drain.DEPTH
     max_children: int = drain.MAX_CHILDREN
@@ -28,11 +29,13 @@ class Options:
     format: str | None = None
     tokens: int | None = None
     bytes_per_token: float = 4.0
+    merge: bool = False
 
 
 def records(lines: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
     """Folded and parsed records of `file, line_no, line`, with a long `record_id` in the order of files and lines."""
-    folded = fold.fold(lines, options.multiline_start)
+    large = (lines.agg(F.max("line_no")).first()[0] or 0) >= fold.PART_LINES
+    folded = fold.fold(lines, options.multiline_start, large)
     form = options.format or detect.detect_format(lines)
     out = parse.parse(folded.withColumnRenamed("message", "line"), form) if form != "raw" else folded
     files = lines.select("file").distinct().withColumn("place", F.row_number().over(Window.orderBy("file")).cast("long"))  # a row for each file
@@ -48,12 +51,44 @@ def condense(messages: DataFrame, past: DataFrame | None = None, options: Option
     """Scored templates of `record_id, message`; `past` is `template_id, past`, by default nothing."""
     templates = drain.mine(messages, options.depth, options.max_children, options.sim_threshold)
     # one pattern can come from several leaves
-    merged = templates.groupBy("template_id", "pattern", "word_count", "wildcard_count").agg(F.sum("count").alias("count"), F.min("first_record_id").alias("first_record_id"))
+    keys = ["template_id", "pattern", "word_count", "wildcard_count"]
+    merged = templates.groupBy(*keys).agg(F.first("tokens").alias("tokens"), F.sum("count").alias("count"), F.min("first_record_id").alias("first_record_id"))
+    if options.merge:
+        joined = drain.merge_similar(merged).withColumn("word_count", F.size("tokens"))
+        merged = joined.groupBy(*keys).agg(F.sum("count").alias("count"), F.min("first_record_id").alias("first_record_id"))
+    merged = merged.drop("tokens")
+    if options.min_cluster_size > 1:
+        shown = messages.select(F.col("record_id").alias("first_record_id"), F.col("message").alias("_shown"))
+        small = merged.join(shown, "first_record_id", "left")
+        merged = small.withColumn("pattern", F.when(F.col("count") < options.min_cluster_size, F.col("_shown")).otherwise(F.col("pattern"))).drop("_shown")
     if past is None:
         past = messages.sparkSession.createDataFrame([], "template_id long, past long")
     return score.score(merged, past)
 
 
+def entries(messages: DataFrame, past: DataFrame | None = None, options: Options = Options(), exact: bool = False) -> DataFrame:  # noqa: B008
+    """`condense` with the parts of each entry: `examples`, `slots`, and where `messages` has the columns, `paths` of `source_path`
+    and `first_seen, last_seen` and quantiles `p50, p99` of the gaps of `ts`.
+
+    Every record is assigned to its template, so this reads more than `condense`; the lists are bounded by the template's words,
+    the examples and the distinct paths.
+    """
+    own = drain.assigned(messages, options.depth, options.max_children, options.sim_threshold)
+    own = drain.merged_records(own) if options.merge else own
+    templates = drain.templates_of(own)
+    if past is None:
+        past = messages.sparkSession.createDataFrame([], "template_id long, past long")
+    parts = [drain.examples(own), render.slot_summaries(own, exact)]
+    if "source_path" in messages.columns:
+        parts.append(drain.source_paths(own).select("template_id", "paths"))
+    if "ts" in messages.columns:
+        parts.append(render.gaps(own, exact=exact))
+    out = score.score(templates.drop("tokens"), past)
+    for part in parts:
+        out = out.join(part, "template_id", "left")
+    return out.withColumn("pattern", F.when(F.col("count") < options.min_cluster_size, F.col("examples")[0]).otherwise(F.col("pattern")))
+
+
 def condense_json(docs: DataFrame, past: DataFrame | None = None, options: Options = Options()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """Schema of JSON documents `doc, json`, and scored templates of the texts in them, which come in the order of a hash of their places."""
     nodes = jsondoc.walk(docs, max_depth=options.max_depth)
@@ -64,7 +99,7 @@ def condense_json(docs: DataFrame, past: DataFrame | None = None, options: Optio
 def summary(scored: DataFrame, options: Options = Options()) -> list[str]:  # noqa: B008
     """The rendered summary within the token budget, if there is one."""
     if options.tokens is None:
-        return render.render_text(scored)
+        return list(render.text_lines(scored))
     fitted = render.within_budget(scored, options.tokens, options.bytes_per_token)
     left = fitted.filter(~F.col("kept")).count()
     return render.render_text(fitted.filter("kept")) + ([f"[...truncated: {left} templates omitted]"] if left else [])

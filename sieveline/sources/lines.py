@@ -3,26 +3,43 @@
 from __future__ import annotations
 
 import sys
+import uuid
+from collections.abc import Iterable
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import shared_folder
+
 
 def strip_return(line: str = "line") -> F.Column:
     """A return before the line feed goes; one elsewhere is data."""
     return F.when(F.col(line).endswith("\r"), F.expr(f"left({line}, length({line}) - 1)")).otherwise(F.col(line))
 
 
+def spool(spark: SparkSession, stream: BinaryIO, size: int = 8 << 20) -> str:
+    """A stream copied, piece by piece, to a file in the folder that the cluster shares."""
+    path = f"{shared_folder(spark)}/stdin-{uuid.uuid4().hex}.log"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    try:
+        while piece := stream.read(size):
+            out.write(bytearray(piece))
+    finally:
+        out.close()
+    return path
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """`file, line_no, line` of text files; .gz, .bz2 and .zst are unpacked by their names, `-` is standard input.
 
     Splits of a file are numbered by the offset at which they begin, so only the numbers, not the lines, pass the window.
     """
     if path == "-":
-        rows = [("-", i, x) for i, x in enumerate(sys.stdin.buffer.read().decode(errors="replace").split("\n"))]
-        rows = rows[:-1] if rows and rows[-1][2] == "" else rows
-        return spark.createDataFrame(rows, "file string, line_no long, line string").withColumn("line", strip_return())
+        return read_lines(spark, spool(spark, sys.stdin.buffer)).withColumn("file", F.lit("-"))
     raw = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
     first = raw.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,18 +63,17 @@ def first_nonempty(lines: DataFrame, n: int = 1000) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """`file, content` of whole files, for JSON documents."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("content"))
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def write_ndjson(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_text(lines: list[str], path: str) -> None:
-    """A rendered summary, which is bounded, to a file or to standard output."""
-    data = "".join(x + "\n" for x in lines)
+def write_text(lines: Iterable[str], path: str) -> None:
+    """Lines of a rendered summary, one after the other, to a file or to standard output."""
     if path == "-":
-        sys.stdout.write(data)
+        sys.stdout.writelines(x + "\n" for x in lines)
     else:
         with open(path, "w", encoding="utf-8") as f:
-            f.write(data)
+            f.writelines(x + "\n" for x in lines)

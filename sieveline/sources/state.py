@@ -9,7 +9,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import score
+from . import dictionary
+
 HISTORY = "template_id long, count long, run_id string, run_ts long, project string"
+DICTIONARIES = "data binary, runs long, run_id string, project string"
 TEMPLATES = "template_id long, pattern string, count long, run_id string, run_ts long, project string"
 
 
@@ -54,12 +58,37 @@ class State:
         own = self.templates().filter(F.col("run_id") == run_id)
         self._write(own.groupBy("template_id", "run_id", "run_ts", "project").agg(F.sum("count").alias("count")), "history")
 
+    def dictionary(self) -> bytes:
+        """The project's compression dictionary; empty without one."""
+        row = self._read("dictionaries", DICTIONARIES).orderBy(F.col("runs").desc()).first()
+        return bytes(row["data"]) if row else b""
+
+    def refresh_dictionary(self, lines: DataFrame) -> bool:
+        """Train a dictionary on `lines` if there is none, or if it is time to (score.needs_retraining): many runs since, or
+        templates far from those of the run it was made after.  Says whether it did."""
+        runs = self.history().select("run_id", "run_ts").distinct().orderBy(F.col("run_ts").desc(), F.col("run_id").desc())
+        count = runs.count()
+        last = self._read("dictionaries", DICTIONARIES).select("runs", "run_id").orderBy(F.col("runs").desc()).first()
+        now = runs.first()
+        if now is None:
+            return False
+        if last is not None:
+            counts = lambda run: self.history().filter(F.col("run_id") == run).select("template_id", "count")
+            far = score.cosine_distance(counts(now["run_id"]), counts(last["run_id"])).first()["distance"]
+            if not score.needs_retraining(count - last["runs"], far):
+                return False
+        data = dictionary.train(lines)
+        if data:
+            row = self.spark.createDataFrame([(bytearray(data), count, now["run_id"], self.project)], DICTIONARIES)
+            self._write(row, "dictionaries")
+        return bool(data)
+
     def _write(self, rows: DataFrame, name: str) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project", "run_id").parquet(f"{self.root}/{name}")
 
     def reset(self) -> None:
         """Forget the project."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in ("history", "templates"):
+        for name in ("history", "templates", "dictionaries"):
             p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/project={self.project}")
             p.getFileSystem(conf).delete(p, True)

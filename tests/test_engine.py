@@ -98,7 +98,7 @@ def test_folding(spark, start):
     assert got == {f: [(x[0], "\n".join(x)) for x in folded(rows, start)] for f, rows in files.items()}
     if start is None:
         a = {tuple(r) for r in fold.number_records(df).select("file", "line_no", "record_id").collect()}
-        assert a == {tuple(r) for r in fold.number_large(df, 3).select("file", "line_no", "record_id").collect()}
+        assert a == {tuple(r) for r in fold.number_large(df, part_lines=3).select("file", "line_no", "record_id").collect()}
 
 
 class Model:
