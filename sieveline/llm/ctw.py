@@ -14,7 +14,7 @@ what is gathered grows with the corpus.  The subtrees below the three nearest by
 `GROUP` n-grams; the nodes at two bytes are sums over them, at most 2 ** 24 of them (256 * 256 contexts with 256 bit
 prefixes, whatever the input; some ten thousands in text), and the driver mixes these and the levels above.  The
 log-probability of every n-gram that occurs, trained or not, and the count of every word go back to the blocks in
-which they occur, by a join, and meet the texts there.  So texts are read once more, a task holds one block
+which they occur, by a join, and meet the texts, which travel compressed, there.  So texts are read once more, a task holds one block
 and its n-grams, and neither the table of n-grams nor that of words passes through the driver.
 
 Base score: the add-one unigram model of words.
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ DEPTH = 5
 #: Depth at which subtrees are handed out; the levels above are the crown.
 TOP = 3
 #: Bytes of text in a block, and n-grams in a group of subtrees, about.
-BLOCK, GROUP = 8 << 20, 250_000
+BLOCK, GROUP = 32 << 20, 250_000
 _GRAM = (1 << 48) - 1
 _TARGET = 40
 #: Word hashes carry the top bit, n-grams (48 bits) don't; the end token has a key of its own.
@@ -178,31 +179,50 @@ def _tally(values: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return d.dictionary.to_numpy(), np.bincount(d.indices.to_numpy()[learn], minlength=len(d.dictionary))
 
 
-_ROWS = ["block", "id", "learn", "t", "key", "trained"]
+_ROWS = ["block", "ids", "learn", "texts", "key", "trained"]
+
+
+def _packed(texts: list[bytes]) -> bytes:
+    return zstandard.compress(np.array([len(t) for t in texts], dtype=np.int64).tobytes() + b"".join(texts))
+
+
+def _unpacked(data: bytes, n: int) -> list[bytes]:
+    data = zstandard.decompress(data)
+    ends = (np.cumsum(np.frombuffer(data, dtype=np.int64, count=n)) + 8 * n).tolist()
+    return [data[a:b] for a, b in zip([8 * n, *ends], ends, strict=False)]
 
 
 def _count(size: int):  # noqa: ANN202
-    """Rows of texts with their block, and rows of a block's distinct n-grams, words and end token with their training counts."""
+    """Rows of packed texts with their block, and rows of a block's distinct n-grams, words and end token with their training counts.
+
+    A block is closed when it has `size` bytes, or n-grams and words for an eighth of that.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, room, kind = TaskContext.get().partitionId() << 32, [], size, None
 
-        def close() -> pa.RecordBatch:
+        def merged() -> tuple[np.ndarray, np.ndarray]:
             keys, trained = (np.concatenate(x) for x in zip(*held, strict=True))
             keys, of = np.unique(keys, return_inverse=True)
+            return keys, np.bincount(of, weights=trained, minlength=len(keys)).astype(np.int64)
+
+        def close() -> pa.RecordBatch:
+            keys, trained = merged()
             n = len(keys)
-            counts = pa.array(np.bincount(of, weights=trained, minlength=n).astype(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, kind), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string()), pa.array(keys), counts], names=_ROWS)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, pa.list_(kind)), pa.nulls(n, pa.list_(pa.bool_())), pa.nulls(n, pa.binary()), pa.array(keys), pa.array(trained)], names=_ROWS)
 
         for batch in batches:
             for part, texts in chunks(batch, "t"):
-                w, n, kind = Words(texts), part.num_rows, part.column("id").type
+                w, kind = Words(texts), part.column("id").type
                 learn = part.column("learn").to_numpy(zero_copy_only=False).astype(bool)
                 sizes = np.diff(np.concatenate([[-1], w.ends]))
                 held += [_tally(grams(w), np.repeat(learn, sizes)), _tally(_word_keys(w), learn[w.text_of]), (np.array([END_KEY]), np.array([learn.sum()]))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), part.column("id"), part.column("learn"), part.column("t").fill_null(""), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=_ROWS)
+                whole = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(whole, part.column("id")), pa.ListArray.from_arrays(whole, part.column("learn")), pa.array([_packed(texts)], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=_ROWS)
                 room -= sum(map(len, texts))
-                if room <= 0:
+                if len(held) > 24:
+                    held = [merged()]
+                if room <= 0 or 8 * len(held[0][0]) > size:
                     yield close()
                     number, held, room = number + 1, [], size
         if held:
@@ -244,16 +264,16 @@ def _score(total: int, distinct: int, schema: pa.Schema):  # noqa: ANN202
             return values[np.searchsorted(keys, d.dictionary.to_numpy())][d.indices.to_numpy()]
 
         out, share = [], math.log10(total + distinct + 1)
-        for batch in texts_.to_batches():
-            for part, texts in chunks(batch, "t"):
-                w = Words(texts)
-                bits = np.add.reduceat(look(grams(w)), np.concatenate([np.zeros(1, np.int64), w.ends[:-1] + 1]))
-                end, count = look(np.array([END_KEY]))[0], look(_word_keys(w))
-                base = np.bincount(w.text_of, weights=np.log10(count + 1) - share, minlength=w.n) + math.log10(end + 1) - share
-                seen = np.bincount(w.text_of, weights=count > 0, minlength=w.n).astype(np.int64) + int(end > 0)
-                size = np.diff(np.concatenate([[-1], w.ends]))
-                cols = [part.column("id"), part.column("learn"), w.counts + 1, seen, np.full(w.n, total), base, bits * math.log10(2), size, -bits / size]
-                out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=schema.names).cast(schema))
+        for ids, learn, data in zip(*(texts_.column(c) for c in ("ids", "learn", "texts")), strict=True):
+            n = len(ids)
+            w = Words(_unpacked(data.as_py(), n))
+            bits = np.add.reduceat(look(grams(w)), np.concatenate([np.zeros(1, np.int64), w.ends[:-1] + 1]))
+            end, count = look(np.array([END_KEY]))[0], look(_word_keys(w))
+            base = np.bincount(w.text_of, weights=np.log10(count + 1) - share, minlength=n) + math.log10(end + 1) - share
+            seen = np.bincount(w.text_of, weights=count > 0, minlength=n).astype(np.int64) + int(end > 0)
+            size = np.diff(np.concatenate([[-1], w.ends]))
+            cols = [ids.values, learn.values, w.counts + 1, seen, np.full(n, total), base, bits * math.log10(2), size, -bits / size]
+            out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=schema.names).cast(schema))
         return pa.Table.from_batches(out, schema)
 
     return run
@@ -267,7 +287,7 @@ def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str =
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ctw")
     narrow = docs.select(docs[doc_id].alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), docs[text].cast("string").alias("t"))
     kind = narrow.schema["id"].dataType.simpleString()
-    rows = scratch.table(narrow.mapInArrow(_count(block), f"block long, id {kind}, learn boolean, t string, key long, trained long"), "blocks")
+    rows = scratch.table(narrow.mapInArrow(_count(block), f"block long, ids array<{kind}>, learn array<boolean>, texts binary, key long, trained long"), "blocks", compression="zstd")
     held = rows.filter("key is not null").select("block", "key", "trained")
     counts = scratch.table(held.groupBy("key").agg(F.sum("trained").alias("trained")), "counts")
     words, ngrams = counts.filter("key < 0"), counts.filter("key >= 0")
@@ -282,7 +302,7 @@ def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str =
     values = trees.applyInArrow(_logs(crown), "key long, value double").unionByName(words.select("key", F.col("trained").cast("double").alias("value")))
     values = scratch.table(values, "values")
     known = held.select("block", "key").join(values.hint("merge"), "key").select(F.col("block").alias("home"), "key", "value")
-    texts = rows.filter("t is not null").select("block", "id", "learn", "t")
+    texts = rows.filter("texts is not null").select("block", "ids", "learn", "texts")
     schema = f"`{doc_id}` {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     run = _score(int(total), int(distinct), to_arrow_schema(_parse_datatype_string(schema)))
     return texts.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(run, schema)
