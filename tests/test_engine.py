@@ -1,6 +1,8 @@
 """Edges that the tables do not hold, plain models, sources, state, rendering, streaming."""
 
+import collections
 import gzip
+import io
 import math
 import random
 
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
 from sieveline.operators import detect, drain, fold, jsondoc, parse, render, score
-from sieveline.plans.condense import Options, condense, condense_json, past_of, records, summary
+from sieveline.plans.condense import Options, condense, condense_json, entries, past_of, records, summary
+from sieveline.sources import dictionary
 from sieveline.sources import lines as L
 from sieveline.sources.state import State, project_slug
 
@@ -96,9 +99,9 @@ def test_folding(spark, start):
     for r in fold.fold(df, start).orderBy("file", "record_id").collect():
         got[r.file].append((r.message, r.raw_line))
     assert got == {f: [(x[0], "\n".join(x)) for x in folded(rows, start)] for f, rows in files.items()}
-    if start is None:
-        a = {tuple(r) for r in fold.number_records(df).select("file", "line_no", "record_id").collect()}
-        assert a == {tuple(r) for r in fold.number_large(df, part_lines=3).select("file", "line_no", "record_id").collect()}
+    columns = ["file", "line_no", "begins", "record_id", "byte_offset"]
+    whole = {tuple(r) for r in fold.number_records(df, start).select(columns).collect()}
+    assert whole == {tuple(r) for r in fold.number_large(df, start, part_lines=3).select(columns).collect()}
 
 
 class Model:
@@ -145,6 +148,81 @@ def test_mining_against_the_model(spark, children, depth, longest):
     assert got == model.result()
 
 
+def test_entries_of_leaves_with_several_templates(spark):
+    rng = random.Random(9)
+    messages = [" ".join(rng.choice("a b c d".split()) for _ in range(9)) for _ in range(200)] + ["x y"] * 5
+    rows = [(i, m, f"p{i % 3}", 1_700_000_000 + 10 * i) for i, m in enumerate(messages)]
+    df = spark.createDataFrame(rows, "record_id long, message string, source_path string, seconds long").withColumn("ts", F.timestamp_seconds("seconds")).drop("seconds")
+    own = drain.assigned(df, 2, 2).collect()
+    assert sorted(r.record_id for r in own) == list(range(205))
+    assert all(a is None or a == b for r in own for a, b in zip(r.template, r.message.split(), strict=True))
+    model = Model(2, 2, 0.5)
+    for m in messages:
+        model.add(m)
+    patterns = collections.Counter(" ".join(x or "*" for x in r.template) for r in own)
+    want = collections.Counter()
+    for p, n in model.result():
+        want[p] += n
+    assert patterns == want
+    by = collections.defaultdict(list)
+    for r in sorted(own, key=lambda r: r.record_id):
+        by[r.template_id].append(r)
+    for e in entries(df, None, Options(depth=2, max_children=2, min_cluster_size=4), exact=True).collect():
+        mine = by[e.template_id]
+        assert e["count"] == len(mine) and e.examples == [r.message for r in mine[:3]]
+        assert e.pattern == (mine[0].message if len(mine) < 4 else " ".join(x or "*" for x in mine[0].template))
+        assert {p.path: p.n for p in e.paths} == collections.Counter(r.source_path for r in mine)
+        spots = [i for i, x in enumerate(mine[0].template) if x is None]
+        assert [s.pos for s in e.slots or []] == spots
+        assert all(s.words == sorted({r.message.split()[s.pos] for r in mine}) and s.n == len(mine) for s in e.slots or [])
+        assert (e.last_seen - e.first_seen).total_seconds() == 10 * (mine[-1].record_id - mine[0].record_id)
+    lines = render.render_report(entries(df, None, Options(depth=2, max_children=2)), "x")
+    assert any(x.startswith("    slot 3: a") for x in lines) and any(x.startswith("    path: p0 ×") for x in lines)
+
+
+def test_merge_pass(spark):
+    rows = [(1, ["a", "b", "c"], 5, 0, "s"), (2, ["a", "x", "c"], 7, 1, "s"), (3, ["k", "l"], 1, 2, "s"), (4, ["k", "m"], 1, 3, "t")]
+    df = spark.createDataFrame(rows, "template_id long, tokens array<string>, count long, first_record_id long, shard string")
+    got = lambda **how: sorted((r.pattern, r["count"]) for r in drain.merge_similar(df, **how).collect())
+    assert got() == [("a * c", 12), ("k *", 2)]
+    assert got(shard="shard") == [("a b c", 5), ("a x c", 7), ("k *", 2)]
+    messages = spark.createDataFrame([(0, "go north now"), (1, "go north now"), (2, "go south now"), (3, "stop")], "record_id long, message string")
+    assert sorted((r.pattern, r["count"]) for r in condense(messages, None, Options(merge=True)).collect()) == [("go * now", 3), ("stop", 1)]
+    assert {(r.pattern, r["count"], len(r.examples)) for r in entries(messages, None, Options(merge=True)).collect()} == {("go * now", 3, 3), ("stop", 1, 1)}
+
+
+def test_dictionary(spark, tmp_path):
+    lines = spark.createDataFrame([(f"service=payments host=db-{i % 7} request {i} took {i * 3} ms",) for i in range(3000)] + [("",), (None,)], "line string")
+    made = dictionary.train(lines)
+    assert 0 < len(made) <= dictionary.SIZE and dictionary.train(lines) == made
+    packed = lines.select("line", dictionary.pack(F.col("line"), made, lines).alias("p"), dictionary.pack(F.col("line"), b"", lines).alias("plain"))
+    back = packed.select("line", dictionary.unpack(F.col("p"), made, lines).alias("u"), F.length("p").alias("a"), F.length("plain").alias("b")).collect()
+    assert all(r.line == r.u for r in back) and sum(r.a or 0 for r in back) < 0.7 * sum(r.b or 0 for r in back)
+    assert dictionary.train(lines.limit(0)) == b""
+    state = State(spark, str(tmp_path / "state"), "p")
+    assert not state.refresh_dictionary(lines) and state.dictionary() == b""
+    run = lambda k, ids: state.append(spark.createDataFrame([(i, str(i), 5) for i in ids], "template_id long, pattern string, count long"), f"r{k}", 1000 + k)
+    run(0, [1, 2])
+    assert state.refresh_dictionary(lines) and len(state.dictionary()) > 0
+    run(1, [1, 2])
+    assert not state.refresh_dictionary(lines)
+    run(2, [1, 7, 8, 9])  # far from what it was made after
+    assert state.refresh_dictionary(lines)
+
+
+def test_multiline_texts_are_folded(spark):
+    text = "NullPointerException: Cannot invoke foo()\\n\\tat com.example.Svc.handle(Svc.java:42)\\n\\tat com.example.Main"
+    nodes = jsondoc.walk(spark.createDataFrame([(1, f'{{"error":"{text}","tags":["one two three four five six seven eight nine ten eleven twelve 13","{text}"],"n":3}}')], "doc long, json string"))
+    texts = jsondoc.text_records(nodes)
+    assert {r.place: {f.key: f.value for f in r.fields} for r in texts.collect()} == {"$.error": {"n": "3"}, "$.tags[0]": {}, "$.tags[1]": {}}
+    assert [(r.place, r.message, r.n_lines) for r in jsondoc.fold_texts(texts).orderBy("place").collect()] == [(p, "NullPointerException: Cannot invoke foo()", 3) for p in ("$.error", "$.tags[1]")]
+
+
+def test_spooled_input(spark):
+    path = L.spool(spark, io.BytesIO(b"one\r\n\ntwo"), size=4)
+    assert [(r.line_no, r.line) for r in L.read_lines(spark, path).orderBy("line_no").collect()] == [(0, "one"), (1, ""), (2, "two")]
+
+
 def test_literal_star_is_no_wildcard(spark):
     ids = col(spark, [["a", "*"], ["a", None]], T.template_id, "array<string>")
     assert ids[0] != ids[1]
@@ -277,6 +355,9 @@ def test_command_line(spark, tmp_path):
     again = run(spark, [str(log), *state, "--max-children", "3", "-f", "json"])
     assert any('"historic_estimate":196' in x or '"historic_estimate":197' in x for x in again)  # seconds passed, and decay cuts
     assert run(spark, [str(log), "--no-state", "-f", "raw"])[0].startswith('{"file"')
+    assert run(spark, [str(log), "--no-state", "-f", "json", "-o", str(tmp_path / "out")]) == []
+    assert spark.read.text(str(tmp_path / "out")).count() == len(run(spark, [str(log), "--no-state", "-f", "json"])) > 0
+    assert '"examples":["job 3 done in time"' in run(spark, [str(log), "--no-state", "-f", "json", "--examples"])[0]
     assert run(spark, [str(log), *state, "--reset-state"]) == [] and run(spark, [str(log), *state, "--max-children", "3"])[1].startswith("[NEW]")
     doc = tmp_path / "d.json"
     doc.write_text('{"rows":[\n{"k":1,"s":"a"},\n{"k":2,"s":"b"}]}')
