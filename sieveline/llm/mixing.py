@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from ._shared import WORD, Scratch, bounded
 
 #: Rows of equal source and size that are ranked together, about, so that a large group of copies has no task of its own.
-PART = 50_000
+PART = 1_000
 
 
 def targets(sizes: Sequence[float], weights: Sequence[float], share: float, ceiling: float) -> list[float]:
