@@ -172,11 +172,11 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     placed = sized.withColumn("_part", part).join(known(True).select("k", "sid", "source_size", "target", "scale", "tilt"), F.col("_source").eqNullSafe(F.col("k"))).drop("k")
     parts = placed.groupBy("sid", "_size", "_part").agg(F.count("*").alias("m"))
     upto = Window.partitionBy("sid", "_size").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = parts.join(copies, ["sid", "_size"], "left").withColumn("upto", F.sum("m").over(upto)).withColumn("all", F.sum("m").over(Window.partitionBy("sid", "_size")))
+    parts = parts.join(copies.hint("merge"), ["sid", "_size"], "left").withColumn("upto", F.sum("m").over(upto)).withColumn("all", F.sum("m").over(Window.partitionBy("sid", "_size")))
     share_of = lambda rows: F.floor(F.coalesce("copies", F.lit(0)).cast("decimal(20,0)") * rows / F.col("all")).cast("long")
     parts = scratch.table(parts.select("sid", "_size", "_part", "m", (share_of(F.col("upto")) - share_of(F.col("upto") - F.col("m"))).alias("got")), "parts")
     rank = F.row_number().over(Window.partitionBy("sid", "_size", "_part").orderBy(F.xxhash64("_id"), "_id"))
-    out = placed.join(parts, ["sid", "_size", "_part"]).withColumn("_rank", rank)
+    out = placed.join(parts.hint("merge"), ["sid", "_size", "_part"]).withColumn("_rank", rank)
     out = out.withColumn("copies", F.floor(F.col("got") / F.col("m")).cast("long") + (F.col("_rank") <= F.col("got") % F.col("m")).cast("long"))
     return out.select(F.col("_id").alias(doc_id), F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"), F.least(tilt, F.lit(float(ceiling))).alias("rate"), "copies")
 
