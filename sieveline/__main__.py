@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import detect, fold, jsondoc, render, score
-from .plans.condense import Options, condense, condense_json, entries, past_of, records, summary
+from .plans.condense import Options, condense, condense_json, entries, is_large, past_of, records, summary
 from .sources.lines import read_documents, read_lines, write_text
 from .sources.state import State
 
@@ -115,7 +115,7 @@ def lines_of(spark: SparkSession, a: argparse.Namespace) -> Iterator[str]:
         if a.format == "raw":
             yield from objects(rows.select("record_id", F.to_json(F.struct(*[c for c in rows.columns if c != "record_id"])).alias("json")).orderBy("record_id"), a.output)
             return
-        stats = fold.run_stats(lines, detect.detect_format(lines), a.multiline_start).first().asDict() if a.verbose else None
+        stats = fold.run_stats(lines, detect.detect_format(lines), a.multiline_start, is_large(lines)).first().asDict() if a.verbose else None
         if a.examples:
             extra = [c for c in ("ts",) if c in rows.columns]
             scored = entries(rows.select("record_id", "message", *extra), past, options)

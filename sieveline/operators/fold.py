@@ -70,8 +70,8 @@ def fold(lines: DataFrame, start: str | None = None, large: bool = False) -> Dat
     return rows.select("file", "record_id", F.col("rows")[0]["line"].alias("message"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("raw_line"), F.size("rows").alias("n_lines"), F.col("rows")[0]["byte_offset"].alias("byte_offset"))
 
 
-def run_stats(lines: DataFrame, format: str = "raw", start: str | None = None) -> DataFrame:
+def run_stats(lines: DataFrame, format: str = "raw", start: str | None = None, large: bool = False) -> DataFrame:
     """Bytes, lines, records and records that fell back to raw: all of them if a structured format was found, else none."""
-    numbered = number_records(lines, start)
+    numbered = (number_large if large else number_records)(lines, start)
     records = F.sum(F.col("begins").cast("long"))
     return numbered.agg(F.sum(F.octet_length("line") + 1).alias("bytes"), F.count("*").alias("lines"), records.alias("records"), (records if format != "raw" else F.lit(0).cast("long")).alias("unparseable"))

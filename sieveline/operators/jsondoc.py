@@ -17,35 +17,46 @@ MAX_DEPTH, SAMPLES, INLINE, ARRAY_SAMPLES = 12, 5, 20, 3
 
 
 def kind(v: Column) -> Column:
-    """The type of a variant; a decimal without a fraction that is too long for a long is an integer."""
+    """The type of a scalar variant; a decimal without a fraction that is too long for a long is an integer."""
     s = F.schema_of_variant(v)
     whole = F.regexp_like(s, F.lit(r"^DECIMAL\((19|[23][0-9]),0\)"))
-    return F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "bool").when(s == "VOID", "null").when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | whole, "int").otherwise("float")
+    return F.when(s == "STRING", "string").when(s == "BOOLEAN", "bool").when(s == "VOID", "null").when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | whole, "int").otherwise("float")
 
 
 def walk(docs: DataFrame, doc: str = "doc", json: str = "json", max_depth: int = MAX_DEPTH) -> DataFrame:
     """`doc, place, path, parent, depth, type, value, index, size`: every node; `place` has array positions, `path` has [] for them,
     `size` is the number of elements or keys.
 
-    A document is parsed once.  Each step replaces the nodes of the last level by themselves and their children, so
-    the plan is one chain of explodes without a shuffle.  Subtrees below `max_depth` are not entered.
+    A document is parsed once, and its nodes are found level by level within its row: what the last level had is replaced by its
+    children, and one explode brings all of them out.  Subtrees below `max_depth` are not entered.
     """
-    nodes = docs.select(F.col(doc).alias("doc"), F.lit("$").alias("place"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("index"), F.try_parse_json(F.col(json)).alias("v")).filter("v is not null")
-    for depth in range(max_depth):
-        nodes = nodes.selectExpr(
-            "doc",
-            f"""inline(concat(array(struct(place, path, parent, depth, index, v)), if(depth < {depth}, array(), concat(
-              transform(coalesce(map_entries(try_variant_get(v, '$', 'map<string,variant>')), array()),
-                e -> struct(concat(place, '.', e.key) AS place, if(path = '', e.key, concat(path, '.', e.key)) AS path, place AS parent, depth + 1 AS depth, cast(null AS int) AS index, e.value AS v)),
-              transform(coalesce(try_variant_get(v, '$', 'array<variant>'), array()),
-                (e, i) -> struct(concat(place, '[', i, ']') AS place, concat(path, '[]') AS path, place AS parent, depth + 1 AS depth, i AS index, e AS v))))))""",
-        )
-    nodes = nodes.withColumn("type", kind(F.col("v")))
-    return nodes.select("doc", "place", "path", "parent", "depth", "type", F.when(F.col("type").isin("object", "array"), F.lit(None)).otherwise(F.col("v").try_cast("string")).alias("value"), "index", F.expr("cast(coalesce(size(try_variant_get(v, '$', 'array<variant>')), size(try_variant_get(v, '$', 'map<string,variant>'))) as bigint)").alias("size"))
+    node = "struct<place:string,path:string,parent:string,depth:int,index:int,v:variant>"
+    children = """concat(
+        transform(coalesce(map_entries(try_variant_get(x.v, '$', 'map<string,variant>')), array()),
+          e -> named_struct('place', concat(x.place, '.', e.key), 'path', if(x.path = '', e.key, concat(x.path, '.', e.key)), 'parent', x.place, 'depth', d, 'index', cast(null AS int), 'v', e.value)),
+        transform(coalesce(try_variant_get(x.v, '$', 'array<variant>'), array()),
+          (e, i) -> named_struct('place', concat(x.place, '[', i, ']'), 'path', concat(x.path, '[]'), 'parent', x.place, 'depth', d, 'index', i, 'v', e)))"""
+    nodes = docs.select(F.col(doc).alias("doc"), F.try_parse_json(F.col(json)).alias("v")).filter("v is not null")
+    nodes = nodes.selectExpr(
+        "doc",
+        f"""inline(aggregate(sequence(1, {max_depth}),
+          named_struct('done', cast(array() as array<{node}>), 'front', cast(array(named_struct('place', '$', 'path', '', 'parent', cast(null as string), 'depth', 0, 'index', cast(null as int), 'v', v)) as array<{node}>)),
+          (a, d) -> named_struct('done', concat(a.done, a.front), 'front', flatten(transform(a.front, x -> {children}))),
+          a -> concat(a.done, a.front)))""",
+    )
+    arrays, objects = "size(try_variant_get(v, '$', 'array<variant>'))", "size(try_variant_get(v, '$', 'map<string,variant>'))"
+    nodes = nodes.withColumns({"_a": F.expr(f"cast({arrays} as bigint)"), "_o": F.expr(f"cast({objects} as bigint)")})
+    scalar = F.col("_a").isNull() & F.col("_o").isNull()
+    nodes = nodes.withColumn("type", F.when(F.col("_a").isNotNull(), "array").when(F.col("_o").isNotNull(), "object").otherwise(kind(F.col("v"))))
+    return nodes.select("doc", "place", "path", "parent", "depth", "type", F.when(scalar, F.col("v").try_cast("string")).alias("value"), "index", F.coalesce("_a", "_o").alias("size"))
+
+
+def _type_counts() -> list[Column]:
+    return [*[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in TYPES], F.count("*").alias("observed")]
 
 
 def type_counts(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("path").agg(*[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in TYPES], F.count("*").alias("observed"))
+    return nodes.groupBy("path").agg(*_type_counts())
 
 
 def dominant(counts: DataFrame) -> DataFrame:
@@ -118,11 +129,13 @@ def leaf_scan(nodes: DataFrame, path: str) -> DataFrame:
 
 
 def key_tiers(nodes: DataFrame) -> DataFrame:
-    """How many of the objects at a path have a key, and the tier that share gives."""
-    objects = nodes.filter("type = 'object'").groupBy(F.col("path").alias("object")).agg(F.count("*").alias("total"))
-    member = nodes.filter("index is null and parent is not null").withColumn("object", F.regexp_replace("path", r"\.?[^.\[\]]+\z", ""))
-    keys = member.groupBy("object", "path").agg(F.count("*").alias("seen"))
-    return keys.join(objects, "object").withColumn("tier", T.key_tier("seen", "total"))
+    """How many of the objects at a path have a key, and the tier that share gives; one pass over the nodes."""
+    is_object = F.when(F.col("type") == "object", F.struct(F.col("path").alias("object"), F.lit(None).cast("string").alias("path")))
+    is_key = F.when(F.col("index").isNull() & F.col("parent").isNotNull(), F.struct(F.regexp_replace("path", r"\.?[^.\[\]]+\z", "").alias("object"), "path"))
+    counts = nodes.select(F.inline(F.filter(F.array(is_object, is_key), lambda x: x.isNotNull()))).groupBy("object", "path").agg(F.count("*").alias("seen"))
+    total = F.max(F.when(F.col("path").isNull(), F.col("seen"))).over(Window.partitionBy("object"))  # a row for each key of an object path
+    keys = counts.withColumn("total", total).filter("path is not null")
+    return keys.withColumn("tier", T.key_tier("seen", "total"))
 
 
 def type_variance(counts: DataFrame) -> DataFrame:
@@ -141,8 +154,12 @@ def evict(counts: DataFrame, least_seen: int = 5, least_children: int = 2) -> Da
 
 
 def schema(nodes: DataFrame, samples: bool = True) -> DataFrame:
-    """One row for each path with all statistics; without samples if only the schema is asked for."""
-    out = dominant(type_counts(nodes)).join(numeric_stats(nodes).drop("n"), "path", "left").join(cardinality(nodes), "path", "left")
+    """One row for each path with all statistics, in one aggregate; without samples if only the schema is asked for."""
+    number = F.when(F.col("type").isin("int", "float"), F.col("value").try_cast("double"))
+    scalar = F.when(~F.col("type").isin("object", "array", "null"), F.col("value"))
+    q = lambda p: F.percentile_approx(number, p, F.lit(10000))
+    stats = [F.min(number).alias("min"), F.max(number).alias("max"), q(0.5).alias("p50"), q(0.99).alias("p99"), F.when(F.count(scalar) > 0, F.approx_count_distinct(scalar, 0.008)).alias("distinct")]
+    out = dominant(nodes.groupBy("path").agg(*_type_counts(), *stats))
     return out.join(string_samples(nodes), "path", "left") if samples else out
 
 

@@ -32,10 +32,14 @@ class Options:
     merge: bool = False
 
 
+def is_large(lines: DataFrame) -> bool:
+    """Whether a file has more lines than one window should hold."""
+    return (lines.agg(F.max("line_no")).first()[0] or 0) >= fold.PART_LINES
+
+
 def records(lines: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
     """Folded and parsed records of `file, line_no, line`, with a long `record_id` in the order of files and lines."""
-    large = (lines.agg(F.max("line_no")).first()[0] or 0) >= fold.PART_LINES
-    folded = fold.fold(lines, options.multiline_start, large)
+    folded = fold.fold(lines, options.multiline_start, is_large(lines))
     form = options.format or detect.detect_format(lines)
     out = parse.parse(folded.withColumnRenamed("message", "line"), form) if form != "raw" else folded
     files = lines.select("file").distinct().withColumn("place", F.row_number().over(Window.orderBy("file")).cast("long"))  # a row for each file

@@ -212,12 +212,23 @@ def test_dictionary(spark, tmp_path):
 
 def test_multiline_texts_are_folded(spark):
     text = "NullPointerException: Cannot invoke foo()\\n\\tat com.example.Svc.handle(Svc.java:42)\\n\\tat com.example.Main"
-    nodes = jsondoc.walk(spark.createDataFrame([(1, f'{{"error":"{text}","tags":["one two three four five six seven eight nine ten eleven twelve 13","{text}"],"n":3}}')], "doc long, json string"))
+    nodes = jsondoc.walk(spark.createDataFrame([(1, f'{{"error":"{text}","tags":["aaaa aaaa aaaa bbbb bbbb bbbb aaaa bbbb aaaa bbbb aaaa bbbb aaaa","{text}"],"n":3}}')], "doc long, json string"))
     texts = jsondoc.text_records(nodes)
     assert {r.place: {f.key: f.value for f in r.fields} for r in texts.collect()} == {"$.error": {"n": "3"}, "$.tags[0]": {}, "$.tags[1]": {}}
     assert [(r.place, r.message, r.n_lines) for r in jsondoc.fold_texts(texts).orderBy("place").collect()] == [(p, "NullPointerException: Cannot invoke foo()", 3) for p in ("$.error", "$.tags[1]")]
 
 
+def test_large_arrays_are_read_by_element(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"k":1,"s":["x"]},\n {"k":2} ,\n[3,\n[4]],\n{"k":5}]\n')
+    (tmp_path / "b.json").write_text('[{"k":7}]')
+    both = lambda **how: jsondoc.walk(L.read_documents(spark, str(tmp_path), **how).select(F.col("file").alias("doc"), F.col("content").alias("json")))
+    got = {r.path: r.observed for r in jsondoc.type_counts(both(whole=20)).filter("path <> ''").collect()}
+    assert got == {"[]": 5, "[].k": 4, "[].s": 1, "[].s[]": 1, "[][]": 1}  # the element on two lines is broken but for its second line
+    (tmp_path / "a.json").write_text('[{"k":1,"s":["x"]},\n {"k":2} ,\n[3],\n{"k":5}\n]')
+    counts = lambda nodes: {(r.path, r.n_int, r.n_string, r.observed) for r in jsondoc.type_counts(nodes).filter("path <> ''").collect()}
+    assert counts(both(whole=20)) == counts(both())
+
+
 def test_spooled_input(spark):
     path = L.spool(spark, io.BytesIO(b"one\r\n\ntwo"), size=4)
     assert [(r.line_no, r.line) for r in L.read_lines(spark, path).orderBy("line_no").collect()] == [(0, "one"), (1, ""), (2, "two")]
