@@ -254,7 +254,7 @@ def _blocks(scratch: Scratch, open_: DataFrame, sets: DataFrame, percent: int) -
 
 def _joined(scratch: Scratch, found: DataFrame, links: DataFrame) -> DataFrame:
     """`node, root` after links `a, b` between roots; a root may be a node that `found` does not have."""
-    over = components(scratch, links).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    over = scratch.table(components(scratch, links).select(F.col("node").alias("root"), F.col("root").alias("least")), "over")
     new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("root"))
     return scratch.table(found.unionByName(new).join(over.hint("merge"), "root", "left").select("node", F.coalesce("least", "root").alias("root")), "joined")
 
