@@ -13,6 +13,8 @@ from . import score as S
 
 #: Lines of the normal section, and distinct words that a slot lists.
 NORMAL_LINES, LISTED = 50, 20
+#: Record ids that a window over a template's records spans.
+SPAN = 1_000_000
 SECTIONS = {"novelty": "NEW", "anomaly": "ANOMALY", "elevated": "NORMAL", "normal": "NORMAL"}
 
 
@@ -37,12 +39,27 @@ def slot_words(assigned: DataFrame) -> DataFrame:
     return words.join(few, ["template_id", "pos"]).groupBy("template_id", "pos").agg(F.array_sort(F.collect_list("tok")).alias("words"))
 
 
+def previous(assigned: DataFrame, column: str, span: int = SPAN) -> DataFrame:
+    """Adds `before`: the column of the template's record before this one.
+
+    Windows hold a template's records of `span` consecutive record ids, so that a frequent template is not one task; what
+    crosses from one span to the next is one value for each template and span.
+    """
+    out = assigned.withColumn("_span", F.floor(F.col("record_id") / span))
+    near = F.lag(F.struct(column)).over(Window.partitionBy("template_id", "_span").orderBy("record_id"))
+    out = out.withColumn("_near", near)
+    last = out.groupBy("template_id", "_span").agg(F.max_by(F.struct(column), "record_id").alias("_last"))
+    last = last.select("template_id", "_span", F.lag("_last").over(Window.partitionBy("template_id").orderBy("_span")).alias("_far"))
+    out = out.join(last, ["template_id", "_span"])
+    return out.withColumn("before", F.coalesce("_near", "_far")[column]).drop("_span", "_near", "_far")
+
+
 def gaps(assigned: DataFrame, ts: str = "ts", exact: bool = False) -> DataFrame:
     """Quantiles of the milliseconds between records of a template, and when it was first and last seen."""
-    before = F.lag(ts).over(Window.partitionBy("template_id").orderBy("record_id"))
-    ms = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1000
+    own = previous(assigned.select("template_id", "record_id", ts), ts)
+    ms = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))) / 1000
     q = lambda p: F.percentile("ms", p) if exact else F.percentile_approx("ms", p, F.lit(10000))
-    return assigned.select("template_id", ts, ms.alias("ms")).groupBy("template_id").agg(q(0.5).alias("p50"), q(0.99).alias("p99"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
+    return own.select("template_id", ts, ms.alias("ms")).groupBy("template_id").agg(q(0.5).alias("p50"), q(0.99).alias("p99"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
 
 
 def slot_summaries(assigned: DataFrame, exact: bool = False) -> DataFrame:
@@ -62,8 +79,7 @@ def slot_text(slot: Column) -> Column:
 
 def changes(assigned: DataFrame) -> DataFrame:
     """Positions and words in which a record differs from the one before it of the same template."""
-    before = F.lag("tokens").over(Window.partitionBy("template_id").orderBy("record_id"))
-    out = assigned.withColumn("before", before).filter("before is not null")
+    out = previous(assigned.select("template_id", "record_id", "tokens"), "tokens").filter("before is not null")
     diff = F.expr("filter(transform(tokens, (t, i) -> if(t = before[i], null, concat(cast(i as string), '=', t))), x -> x is not null)")
     return out.select("template_id", "record_id", diff.alias("changed"))
 

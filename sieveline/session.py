@@ -13,11 +13,15 @@ _shipped: set[str] = set()
 _own: list[str] = []
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset and the session is on one machine, a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        if not on_one_machine(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="sieveline-"))

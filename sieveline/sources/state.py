@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import score
+from ..session import on_one_machine, shared_folder
 from . import dictionary
 
 HISTORY = "template_id long, count long, run_id string, run_ts long, project string"
@@ -28,10 +29,11 @@ def project_slug(folder: str | None = None) -> str:
 
 
 class State:
-    """History of one project.  Scoring reads it before the run's own counts are appended, else nothing would be new."""
+    """History of one project, by default in the user's state folder, or on a cluster in the folder that it shares.  Scoring reads it before the run's own counts are appended, else nothing would be new."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, project: str | None = None) -> None:
-        self.spark, self.root, self.project = spark, root or state_root(), project or project_slug()
+        home = state_root() if on_one_machine(spark) else f"{shared_folder(spark)}/sieveline"
+        self.spark, self.root, self.project = spark, root or home, project or project_slug()
 
     def _read(self, name: str, schema: str) -> DataFrame:
         try:

@@ -180,6 +180,17 @@ def test_entries_of_leaves_with_several_templates(spark):
     assert any(x.startswith("    slot 3: a") for x in lines) and any(x.startswith("    path: p0 ×") for x in lines)
 
 
+def test_previous_records_across_spans(spark):
+    rng = random.Random(4)
+    rows = sorted((i, rng.choice([1, 1, 1, 2, 3]), rng.choice(["a", "b", None])) for i in rng.sample(range(500), 120))
+    df = spark.createDataFrame(rows, "record_id long, template_id long, x string")
+    seen, want = {}, set()
+    for i, t, x in rows:
+        want.add((i, seen.get(t)))
+        seen[t] = x
+    assert {(r.record_id, r.before) for r in render.previous(df, "x", 7).collect()} == want
+
+
 def test_merge_pass(spark):
     rows = [(1, ["a", "b", "c"], 5, 0, "s"), (2, ["a", "x", "c"], 7, 1, "s"), (3, ["k", "l"], 1, 2, "s"), (4, ["k", "m"], 1, 3, "t")]
     df = spark.createDataFrame(rows, "template_id long, tokens array<string>, count long, first_record_id long, shard string")
@@ -368,7 +379,7 @@ def test_command_line(spark, tmp_path):
     assert run(spark, [str(log), "--no-state", "-f", "raw"])[0].startswith('{"file"')
     assert run(spark, [str(log), "--no-state", "-f", "json", "-o", str(tmp_path / "out")]) == []
     assert spark.read.text(str(tmp_path / "out")).count() == len(run(spark, [str(log), "--no-state", "-f", "json"])) > 0
-    assert '"examples":["job 3 done in time"' in run(spark, [str(log), "--no-state", "-f", "json", "--examples"])[0]
+    assert '"examples":["job 131 done in time",' in run(spark, [str(log), "--no-state", "-f", "json", "--examples"])[0]
     assert run(spark, [str(log), *state, "--reset-state"]) == [] and run(spark, [str(log), *state, "--max-children", "3"])[1].startswith("[NEW]")
     doc = tmp_path / "d.json"
     doc.write_text('{"rows":[\n{"k":1,"s":"a"},\n{"k":2,"s":"b"}]}')
