@@ -504,12 +504,13 @@ def test_reshard(spark, tmp_path):
 def test_rewrite_keeps_every_row(spark, tmp_path, n_new):
     rows = [(i, f"text {i}", "abc"[i % 3]) for i in range(300)] + [(None, f"null {i}", "abc"[i % 3]) for i in range(20)]
     rows += [(7, "other text", "b"), (None, None, "a"), *[(8, "same", "a")] * 5, (8, "same", "b"), (8, "same", "c")]
+    rows += [(901, "long " * 40_000, "b"), (None, "x" * 200_000, "c"), (902, "", "a"), (903, None, "b")]
     docs = documents(spark, rows).drop("shard").withColumn("lang", F.col("source"))
     old = F.when(F.col("source") == "a", 0).when(F.col("source") == "b", 1).otherwise(2)
     placed, path = sharding.reshard(docs, old, n_old=3, n_new=n_new), str(tmp_path / "out")
     docs.withColumn("shard", old).write.partitionBy("shard").parquet(path)
     touched = sharding.rewrite(docs, placed, path, old=old)
-    back = spark.read.parquet(path).collect()
+    back = spark.read.option("mergeSchema", "true").parquet(path).collect()  # files that were not touched have no slots
     key = lambda rows: collections.Counter((r[0], r[1], r[2]) for r in rows)
     assert key((r.doc_id, r.text, r.lang) for r in back) == key(rows) and {r.shard for r in back} <= set(range(n_new))
     where = collections.Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in placed.collect() if r.shard in touched)
@@ -636,6 +637,41 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_rates_against_bisection(spark):
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.choice([1, 2, 5, 17, 90, 400]), rng.choices(["a", "b", "c", None], [50, 20, 5, 3])[0]) for i in range(400)]
+    sizes = collections.defaultdict(list)
+    for _, t, s in rows:
+        sizes[s].append(len(words(t)))
+    got = collections.defaultdict(set)
+    for r, s in [(r, rows[r.doc_id][2]) for r in mixing.mix(documents(spark, rows)).collect()]:
+        got[s].add((r["size"], round(r.rate, 6), r.target))
+    for s, own in sizes.items():
+        (target,) = {t for _, _, t in got[s]}
+        scale, low, high = max(1.0, sum(own) / len(own)), -200.0, 200.0
+        for _ in range(200):
+            m = (low + high) / 2
+            low, high = (m, high) if sum(x * min(2.0, math.exp(min(50.0, m * x / scale))) for x in own) < target else (low, m)
+        assert all(abs(rate - min(2.0, math.exp(min(50.0, m * x / scale)))) < 1e-5 for x, rate, _ in got[s])
+
+
+def test_whole_copies_meet_the_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 7)
+    rng = random.Random(12)
+    rows = [(k, "w " * n, "a") for k, n in enumerate([20_000, 9_000, 9_000, 3_001, *range(1, 250)])]
+    rows += [(1000 + k, "w " * rng.choice([40, 400, 4000]), "b") for k in range(200)] + [(2000 + k, "w " * 10, "c") for k in range(300)] + [(None, "w " * 10, "c")] * 100
+    out = mixing.mix(documents(spark, rows)).collect()
+    source = dict((i, s) for i, _, s in rows)
+    taken, goal, least = collections.Counter(), {}, {"a": 1, "b": 40, "c": 10}
+    for r in out:
+        taken[source[r.doc_id]] += r.taken
+        goal[source[r.doc_id]] = r.target
+        assert 0 <= r.taken <= 2 * r["size"]
+    assert all(abs(taken[s] - goal[s]) <= least[s] / 2 + 1e-6 for s in goal), (taken, goal)
+    equal = {r.copies for r in out if source[r.doc_id] == "c"}
+    assert max(equal) - min(equal) <= 1
+
+
 def test_mixed_rows_have_their_own_copies(spark):
     rows = [(None, "w " * 10, s) for s in ("s1", "s2") for _ in range(200)] + [(i // 2, "w " * 5, "s3") for i in range(200)]
     docs = documents(spark, rows)
