@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._bytes import U64, Words, chunks, scramble
 from ._shared import Scratch
@@ -202,12 +203,13 @@ def _linkable(scratch: Scratch, open_: DataFrame, sets: DataFrame, percent: int)
     all these components have; its partner has at least the bucket's least size.
     """
     own = open_.select("id", "c").distinct().join(sets.hint("merge"), "id").select("id", "c", F.explode("shingles").alias("s"))
-    shared = scratch.table(own.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("s"), "shared")
-    support = scratch.table(own.join(shared.hint("merge"), "s").groupBy("id").agg(F.count("*").alias("support")), "support")
+    same = Window.partitionBy("s")  # a set has a shingle once, so no shingle has more than a small share of the rows
+    shared = own.withColumns({"low": F.min("c").over(same), "high": F.max("c").over(same)}).filter("low <> high")
+    support = scratch.table(shared.groupBy("id").agg(F.count("*").alias("support")), "support")
     partner = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))
     fits = F.col("support") * (100 + percent) >= percent * (F.col("n") + partner)
     out = scratch.table(open_.join(support.hint("merge"), "id").filter(fits).select("band", "id", "n"), "linkable")
-    scratch.drop(shared, support)
+    scratch.drop(support)
     return out
 
 
@@ -270,9 +272,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = scratch.table(feats.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands")), "classes")
 
     # every class meets the least id of all its buckets
-    banded = classes.select("id", F.explode("bands").alias("band"))
+    banded = classes.select("id", "n", F.explode("bands").alias("band"))
     buckets = scratch.table(banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("band", "least"), "buckets")
-    stars = scratch.table(banded.join(buckets.hint("merge"), "band").groupBy("id").agg(F.min("least").alias("hub")), "stars")
+    members = scratch.table(banded.join(buckets.hint("merge"), "band"), "members")
+    scratch.drop(buckets)
+    stars = scratch.table(members.groupBy("id").agg(F.min("least").alias("hub")), "stars")
     wanted = spark.sparkContext.broadcast(bitmap(stars.select("id"), BITS))
     texts = narrow.filter("id is not null").select("id", F.pmod(F.xxhash64("id"), F.lit(1 << BITS)).alias("bit"), "t")
     # an id that is repeated with other texts is judged by the text of its class
@@ -281,14 +285,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     found = components(scratch, linked.select(F.col("id").alias("a"), F.col("hub").alias("b")))
 
     # buckets that still hold several components: more hubs for what can be linked, then blocks for the rest
-    members = scratch.table(classes.select("id", "n", F.explode("bands").alias("band")).join(buckets.select("band").hint("merge"), "band"), "members")
     for links_of in (_more_hubs, _blocks):
         open_ = _open(scratch, members, found)
         if open_.isEmpty():
             break
         members = _linkable(scratch, open_, sets, percent)
         found = _joined(scratch, found, links_of(scratch, _open(scratch, members, found), sets, percent))
-    scratch.drop(sets, members, buckets)
+    scratch.drop(sets, members)
 
     named = classes.select("n", "k1", "k2", "id").join(found.hint("merge"), F.col("id") == F.col("node"), "left")
     named = scratch.table(named.select("n", "k1", "k2", F.coalesce("root", "id").alias("component")), "named")
