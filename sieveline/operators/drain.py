@@ -140,6 +140,31 @@ def assigned(records: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHI
     return assign(shut, closed_templates(shut)).unionByName(online_assigned(routed.filter(~closed), threshold))
 
 
+def parsed(templates: DataFrame) -> DataFrame:
+    """`template_id, template, word_count` of `template_id, pattern`; the id tells which of the stars are wildcards."""
+    words = F.when(F.col("pattern") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("pattern", " "))
+    # a star is a wildcard in most templates; where all stars are words, the id is that of the words alone
+    open_ = F.transform(words, lambda t: F.when(t != "*", t))
+    template = F.when(T.template_id(open_) == F.col("template_id"), open_).when(T.template_id(words) == F.col("template_id"), words)
+    return templates.select("template_id", "pattern").distinct().select("template_id", template.alias("template")).filter("template is not null").withColumn("word_count", F.size("template"))
+
+
+def covered(tokenised_: DataFrame, known: DataFrame) -> DataFrame:
+    """Records `record_id, tokens, word_count` that a known template (see `parsed`) has all words of: `record_id, template_id`.
+
+    The one with the fewest wildcards, then the least id, has the record.  Templates meet records by their number of words and their
+    first word where that is no wildcard.
+    """
+    rows = tokenised_.select("record_id", "tokens", "word_count").withColumn("first", F.get("tokens", F.lit(0)))
+    known = known.withColumn("first", F.get("template", F.lit(0)))
+    fits = F.forall(F.arrays_zip("tokens", "template"), lambda z: z["template"].isNull() | (z["template"] == z["tokens"]))
+    by_word = rows.join(known.filter("first is not null"), ["word_count", "first"])
+    by_size = rows.join(known.filter("first is null").drop("first"), "word_count")
+    hits = by_word.select("record_id", "tokens", "template", "template_id").unionByName(by_size.select("record_id", "tokens", "template", "template_id")).filter(fits)
+    best = F.min(F.struct(F.size(F.filter("template", lambda t: t.isNull())).alias("wild"), "template_id"))["template_id"]
+    return hits.groupBy("record_id").agg(best.alias("template_id"))
+
+
 def templates_of(assigned_: DataFrame) -> DataFrame:
     """`template_id, pattern, tokens, word_count, wildcard_count, count, first_record_id` of assigned records, a row for each pattern."""
     out = assigned_.groupBy("template_id", "word_count").agg(F.first("template").alias("tokens"), F.count("*").alias("count"), F.min("record_id").alias("first_record_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
 from ..operators import detect, drain, fold, jsondoc, parse, render, score
 
 
@@ -70,6 +71,20 @@ def condense(messages: DataFrame, past: DataFrame | None = None, options: Option
     return score.score(merged, past)
 
 
+def condense_onward(messages: DataFrame, earlier: DataFrame, past: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """`condense` of the next part of a stream: what a template of `earlier` (`template_id, pattern`) has all words of counts for it, and
+    only the rest is mined, so templates stay what they were from batch to batch."""
+    rows = drain.tokenised(messages)
+    hits = drain.covered(rows, drain.parsed(earlier))
+    counts = hits.groupBy("template_id").agg(F.count("*").alias("count"), F.min("record_id").alias("first_record_id"))
+    old = drain.parsed(earlier).join(counts, "template_id").select("template_id", F.col("template").alias("tokens"), "word_count", "count", "first_record_id")
+    old = old.withColumn("pattern", T.render("tokens")).withColumn("wildcard_count", T.wildcards("tokens"))
+    keys = ["template_id", "pattern", "word_count", "wildcard_count"]
+    new = drain.mine(messages.join(hits, "record_id", "left_anti"), options.depth, options.max_children, options.sim_threshold)
+    both = old.select(*keys, "count", "first_record_id").unionByName(new.select(*keys, "count", "first_record_id"))
+    return score.score(both.groupBy(*keys).agg(F.sum("count").alias("count"), F.min("first_record_id").alias("first_record_id")), past)
+
+
 def entries(messages: DataFrame, past: DataFrame | None = None, options: Options = Options(), exact: bool = False) -> DataFrame:  # noqa: B008
     """`condense` with the parts of each entry: `examples`, `slots`, and where `messages` has the columns, `paths` of `source_path`
     and `first_seen, last_seen` and quantiles `p50, p99` of the gaps of `ts`.

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.condense import Options, condense, past_of
+from ..plans.condense import Options, condense_onward, past_of
 from ..sources.state import State
 
 
 def condense_stream(spark: SparkSession, folder: str, state: State, out: str, checkpoint: str, options: Options = Options(), clock=None) -> StreamingQuery:  # noqa: ANN001, B008
     """Condense text files as they arrive in `folder`; scored templates go to `out`, a folder for each batch.
 
+    Templates of earlier batches go on: what they have all words of counts for them, the rest makes new ones.
+
     A batch that is repeated after a failure replaces its own output and its own rows of the history, and is scored
     against earlier batches only.
     """
@@ -22,7 +24,8 @@ def condense_stream(spark: SparkSession, folder: str, state: State, out: str, ch
         now = clock(number) if clock else int(spark.sql("SELECT unix_timestamp()").first()[0])
         messages = batch.select(F.monotonically_increasing_id().alias("record_id"), F.regexp_replace("value", "\r$", "").alias("message"))
         earlier = state.history().filter(F.col("run_id") < f"batch-{number:09d}")
-        scored = condense(messages, past_of(earlier, now, options), options).persist()
+        known = state.templates().filter(F.col("run_id") < f"batch-{number:09d}").select("template_id", "pattern")
+        scored = condense_onward(messages, known, past_of(earlier, now, options), options).persist()
         try:
             scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
             state.append(scored.select("template_id", "pattern", "count"), f"batch-{number:09d}", now)

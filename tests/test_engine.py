@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
 from sieveline.operators import detect, drain, fold, jsondoc, parse, render, score
-from sieveline.plans.condense import Options, condense, condense_json, entries, past_of, records, summary
+from sieveline.plans.condense import Options, condense, condense_json, condense_onward, entries, past_of, records, summary
 from sieveline.sources import dictionary
 from sieveline.sources import lines as L
 from sieveline.sources.state import State, project_slug
@@ -365,6 +365,15 @@ def test_stream(spark, tmp_path):
     assert last == {"alpha one two": "normal", "brand new line here": "novelty"}
 
 
+def test_templates_go_on(spark):
+    first = spark.createDataFrame([(i, f"job {i} done") for i in range(5)] + [(9, "a * b"), (10, "")], "record_id long, message string")
+    old = condense(first, None, Options(max_children=2)).select("template_id", "pattern", "count")
+    assert sorted(r.pattern for r in old.collect()) == ["", "a * b", "job * done", "job 0 done", "job 1 done"]
+    second = spark.createDataFrame([(0, "job 0 done"), (1, "job 77 done"), (2, "a x b"), (3, "a * b"), (4, "job 5 failed"), (5, ""), (6, "job 78 done")], "record_id long, message string")
+    got = condense_onward(second, old, old.select("template_id", F.col("count").alias("past")), Options(max_children=2))
+    assert {(r.pattern, r["count"], r.promotion == "novelty") for r in got.collect()} == {("job 0 done", 1, False), ("job * done", 2, False), ("a * b", 1, False), ("a x b", 1, True), ("job 5 failed", 1, True), ("", 1, False)}
+
+
 def test_command_line(spark, tmp_path):
     from sieveline.__main__ import run
 
