@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -41,8 +42,8 @@ MARK = "▁"
 PIECES, NORMALIZER = 1, 3
 MAP, DUMMY_PREFIX, STRIP, ESCAPE = 2, 3, 4, 5
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
-#: Segmented runs that a worker remembers, in two generations: the older one is dropped when the younger is full.
-REMEMBERED = 150_000
+#: Segmented runs that a worker remembers; beyond, it goes on with those of the last texts.
+REMEMBERED = 300_000
 
 
 def fields(data: bytes) -> list[tuple[int, int | bytes]]:
@@ -184,8 +185,11 @@ class Encoder:
         # bytes of the normalised text that a piece takes; of a character in bytes, the first takes all
         lead = lambda b: 1 if b < 0x80 else 0 if b < 0xC0 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
         self.sizes = np.array([lead(int(n[3:5], 16)) if k == BYTE else len(n.encode()) if k == NORMAL else -1 for n, k in zip(names, kinds, strict=True)], dtype=np.int64)
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        # every id as digits and a comma, in rows of equal width
+        digits = [f"{i},".encode() for i in range(len(names))]
+        width = max(map(len, digits), default=0)
+        self.digits = np.frombuffer(b"".join([d.ljust(width, b"\0") for d in digits]), dtype=np.uint8).reshape(-1, width)
+        self.memory: dict[str, bytes] = {}
 
     def _runs(self, text: str) -> list[str]:
         """Runs of MARK, each with what follows up to the next one."""
@@ -202,30 +206,37 @@ class Encoder:
                 lead = ""
         return [*out, lead] if lead else out
 
-    def _learn(self, run: str) -> tuple[bytes, str]:
-        """Ids of a run as 32-bit numbers and as text."""
-        out = self.old.get(run)
-        if out is None:
-            ids = self.segment.encode(run)
-            out = np.array(ids, dtype=np.int32).tobytes(), ",".join(map(str, ids))
-        if len(self.young) >= REMEMBERED // 2:
-            self.old, self.young = self.young, {}
-        if len(run) < 200:
-            self.young[run] = out
+    def _learn(self, runs: list[str]) -> None:
+        """Remember the ids of runs as 32-bit numbers, by one call of the library."""
+        for r, ids in zip(runs, self.segment.encode(runs, num_threads=1), strict=True):
+            self.memory[r] = array("i", ids).tobytes()
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """Ids in decimals, joined by commas."""
+        rows = self.digits[ids]
+        return rows[rows > 0].tobytes()[:-1]
+
+    def encode_all(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
+        """Of each text ids, begins and ends (bytes of the source) of the pieces, and the ids joined by commas."""
+        normal = [self.normalize(x) for x in texts]
+        runs = [self._runs(n.decode()) if n else [] for n, _ in normal]
+        memory = self.memory
+        if new := {r for own in runs for r in own if r not in memory}:
+            self._learn(list(new))
+        out = []
+        for (text, source), own in zip(normal, runs, strict=True):
+            ids = np.frombuffer(b"".join([memory[r] for r in own]), dtype=np.int32)
+            sizes = self.sizes[ids]
+            if (sizes < 0).any():  # unknown pieces without byte fallback: only the pieces' own texts tell
+                sizes = np.array([len(p.encode()) for p in self.segment.encode(text.decode(), out_type=str)], dtype=np.int64)
+            spans = source[np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])]
+            out.append((ids, spans[:-1], spans[1:], self.joined(ids).decode()))
+        if len(memory) > REMEMBERED:
+            self.memory = {r: memory[r] for own in runs for r in own if len(r) < 200}
         return out
 
     def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
-        """Ids, begins and ends (bytes of the source) of the pieces, and the ids joined by commas."""
-        normal, source = self.normalize(data)
-        text = normal.decode()
-        get, learn = self.young.get, self._learn
-        parts = [get(run) or learn(run) for run in self._runs(text)] if text else []
-        ids = np.frombuffer(b"".join([p[0] for p in parts]), dtype=np.int32)
-        sizes = self.sizes[ids]
-        if (sizes < 0).any():  # unknown pieces without byte fallback: only the pieces' own texts tell
-            sizes = np.array([len(p.encode()) for p in self.segment.encode(text, out_type=str)], dtype=np.int64)
-        spans = source[np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])]
-        return ids, spans[:-1], spans[1:], ",".join([p[1] for p in parts])
+        return self.encode_all([data])[0]
 
 
 @lru_cache(maxsize=2)
@@ -251,7 +262,7 @@ def encode(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "
         coder = _encoder(name)
         for batch in batches:
             for part, texts in chunks(batch, "t"):
-                done = [coder.encode(x) for x in texts]
+                done = coder.encode_all(texts)
                 cols = {doc_id: part.column("id"), "n_tokens": pa.array([len(d[0]) for d in done], pa.int64())}
                 if pieces:
                     at = pa.array(np.concatenate([[0], np.cumsum([len(d[0]) for d in done])]).astype(np.int32))
