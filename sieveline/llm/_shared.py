@@ -34,6 +34,14 @@ def fold_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast `df` if its known number of rows is small, else leave the join to Spark."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import WORD, Scratch, bounded
+from ._shared import WORD, Scratch, bounded, fresh
 
 #: Rows of equal source and size that are ranked together, about, so that a large group of copies has no task of its own.
 PART = 1_000
@@ -186,11 +186,12 @@ def copy_rows(docs: DataFrame, mixed: DataFrame, *, doc_id: str = "doc_id") -> D
     mixed_rows() is for tables in which ids are null or repeated."""
     taken = mixed.groupBy(F.col(doc_id).alias("_mixed_id")).agg(F.round(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
     taken = Scratch(docs.sparkSession, "copies").table(taken, "copies")
-    rows = docs.join(taken.hint("merge"), docs[doc_id].eqNullSafe(F.col("_mixed_id")))
-    return rows.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(docs[doc_id].alias("_doc_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc")).join(taken.hint("merge"), F.col("_doc_id").eqNullSafe(F.col("_mixed_id")))
+    return rows.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 
 
 def mixed_rows(docs: DataFrame, **how: Any) -> DataFrame:
     """The rows of `docs`, each as often as mix() takes it; every row has its own copies, whatever its id."""
-    rows = Scratch(docs.sparkSession, "mixed").numbered(docs, "rows")
-    return copy_rows(rows, mix(rows, doc_id="_row", **how), doc_id="_row").select(docs.columns)
+    key = fresh(docs, "_row")
+    rows = Scratch(docs.sparkSession, "mixed").numbered(docs, "rows", key)
+    return copy_rows(rows, mix(rows, doc_id=key, **how), doc_id=key).select(docs.columns)

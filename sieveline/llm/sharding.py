@@ -145,13 +145,14 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str, *, old: Column | None
     """
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.withColumns({"_old": old.cast("int") if old is not None else F.lit(None).cast("int"), "_block": _block(doc_id, raw, blocks), "_size": (F.octet_length(raw) + 1).cast("long"), "_crc": F.crc32(raw)})
+    # the row goes along whole, so its columns can have any names
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), docs[doc_id].alias("_key"), (old if old is not None else F.lit(None)).cast("int").alias("_old"), _block(doc_id, raw, blocks).alias("_block"), (F.octet_length(raw) + 1).cast("long").alias("_size"), F.crc32(raw).alias("_crc"))
     if old is None:
         lies = placed.groupBy(F.col(doc_id).alias("_id"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c")).agg(F.min("old_shard").alias("_least"), F.max("old_shard").alias("_most"))
         lies = Scratch(spark, "sharding").table(lies, "old")
         if not lies.filter("_least <> _most").isEmpty():
             raise ValueError("rows of one id and text lie in several old shards: give `old`")
-        rows = rows.join(lies, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_s")) & (F.col("_crc") == F.col("_c"))).withColumn("_old", F.col("_least")).drop("_id", "_s", "_c", "_least", "_most")
+        rows = rows.join(lies, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_s")) & (F.col("_crc") == F.col("_c"))).withColumn("_old", F.col("_least")).drop("_id", "_s", "_c", "_least", "_most")
     plan_ = placed.groupBy("old_shard", "block").agg(F.min("shard").alias("shard"), F.min("slot").alias("first"), F.sum("size").alias("b"), F.count("*").alias("n")).collect()  # at most n_old * blocks rows
     touched = sorted({x for r in plan_ if r["old_shard"] != r["shard"] for x in (r["old_shard"], r["shard"])})
     load, count = defaultdict(int), defaultdict(int)
@@ -162,9 +163,9 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str, *, old: Column | None
     where = [(r["old_shard"], r["block"], r["shard"], r["first"], r["first"] * files[r["shard"]] // count[r["shard"]]) for r in plan_ if r["shard"] in set(touched)]
     if where:
         at = F.broadcast(spark.createDataFrame(where, "_old int, _block int, _shard int, _first long, _file long"))
-        rank = F.row_number().over(Window.partitionBy("_shard", "_file", "_old", "_block").orderBy(doc_id, "_crc"))
+        rank = F.row_number().over(Window.partitionBy("_shard", "_file", "_old", "_block").orderBy("_key", "_crc"))
         rows = rows.join(at, ["_old", "_block"]).repartition("_shard", "_file").withColumn("_slot", F.col("_first") + rank - 1)
-        out = rows.select(*[F.col(c) for c in docs.columns if c not in ("shard", "slot")], F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+        out = rows.select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")], F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
         out.sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     for j in set(touched) - set(load):
         remove(spark, f"{path}/shard={j}")

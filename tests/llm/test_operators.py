@@ -505,7 +505,7 @@ def test_rewrite_keeps_every_row(spark, tmp_path, n_new):
     rows = [(i, f"text {i}", "abc"[i % 3]) for i in range(300)] + [(None, f"null {i}", "abc"[i % 3]) for i in range(20)]
     rows += [(7, "other text", "b"), (None, None, "a"), *[(8, "same", "a")] * 5, (8, "same", "b"), (8, "same", "c")]
     rows += [(901, "long " * 40_000, "b"), (None, "x" * 200_000, "c"), (902, "", "a"), (903, None, "b")]
-    docs = documents(spark, rows).drop("shard").withColumn("lang", F.col("source"))
+    docs = documents(spark, rows).drop("shard").withColumns({"lang": F.col("source"), "_old": F.lit(-1), "_block": F.lit(-1), "_first": F.lit(-1), "_doc": F.lit(-1)})
     old = F.when(F.col("source") == "a", 0).when(F.col("source") == "b", 1).otherwise(2)
     placed, path = sharding.reshard(docs, old, n_old=3, n_new=n_new), str(tmp_path / "out")
     docs.withColumn("shard", old).write.partitionBy("shard").parquet(path)
@@ -513,6 +513,7 @@ def test_rewrite_keeps_every_row(spark, tmp_path, n_new):
     back = spark.read.option("mergeSchema", "true").parquet(path).collect()  # files that were not touched have no slots
     key = lambda rows: collections.Counter((r[0], r[1], r[2]) for r in rows)
     assert key((r.doc_id, r.text, r.lang) for r in back) == key(rows) and {r.shard for r in back} <= set(range(n_new))
+    assert {(r._old, r._block, r._first, r._doc) for r in back} == {(-1, -1, -1, -1)}
     where = collections.Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in placed.collect() if r.shard in touched)
     assert where == collections.Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in back if r.shard in touched)
     with pytest.raises(ValueError):
