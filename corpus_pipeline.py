@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm import mixing, neardup, pieces, toxicity
-from sieveline.llm._shared import Scratch, fold_of, table
+from sieveline.llm._shared import Scratch, fold_of, fresh, table
 from sieveline.llm.queries import tokenizer_model
 
 
@@ -28,14 +28,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Texts without shingles are alike only if id and text are equal or both null.
     """
     scratch = Scratch(spark, "kept")
-    rows = scratch.numbered(docs, "rows")
-    groups = neardup.near_duplicates(rows, doc_id="_row", words=5, percent=80, bands=30, width=5)
-    groups = scratch.table(groups.select("_row", "component_id", "n_shingles"), "groups")
+    row = fresh(docs, "_row")
+    rows = scratch.numbered(docs, "rows", row)
+    groups = neardup.near_duplicates(rows, doc_id=row, words=5, percent=80, bands=30, width=5)
+    groups = scratch.table(groups.select(F.col(row).alias("_row"), "component_id", "n_shingles"), "groups")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row")
-    first = rows.select("_row", "doc_id").join(groups.filter("n_shingles > 0"), "_row").groupBy("component_id").agg(least).select("_row")
-    bare = rows.join(groups.filter("n_shingles = 0").select("_row").hint("merge"), "_row", "left_semi").groupBy("doc_id", "text").agg(F.min("_row").alias("_row"))
+    narrow = rows.select(F.col(row).alias("_row"), "doc_id", "text")
+    first = narrow.select("_row", "doc_id").join(groups.filter("n_shingles > 0"), "_row").groupBy("component_id").agg(least).select("_row")
+    bare = narrow.join(groups.filter("n_shingles = 0").select("_row").hint("merge"), "_row", "left_semi").groupBy("doc_id", "text").agg(F.min("_row").alias("_row"))
     kept = scratch.table(first.unionByName(bare.select("_row")), "ids")
-    return rows.join(kept.hint("merge"), "_row", "left_semi").select(docs.columns)
+    return rows.join(kept.withColumnRenamed("_row", row).hint("merge"), row, "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
