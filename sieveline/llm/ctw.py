@@ -14,9 +14,8 @@ what is gathered grows with the corpus.  The subtrees below the three nearest by
 `GROUP` n-grams; the nodes at two bytes are sums over them, at most 2 ** 24 of them (256 * 256 contexts with 256 bit
 prefixes, whatever the input; some ten thousands in text), and the driver mixes these and the levels above.  The
 log-probability of every n-gram that occurs, trained or not, and the count of every word go back to the blocks in
-which they occur, by a join, and meet the texts, which travel compressed, there; only those of the most blocks, at most
-`COMMON` of them, go to all workers at once.  So texts are read once more, a task holds one block and its n-grams, and
-nothing that grows with the corpus passes through the driver.
+which they occur, by a join, and meet the texts, which travel compressed, there.  So texts are read once more, a task holds one block and its n-grams, and nothing that grows with the corpus
+passes through the driver or is broadcast.
 
 Base score: the add-one unigram model of words.
 
@@ -47,8 +46,6 @@ DEPTH = 5
 TOP = 3
 #: Bytes of text in a block, and n-grams in a group of subtrees, about.
 BLOCK, GROUP = 32 << 20, 250_000
-#: N-grams and words, those of the most blocks, that every worker gets (16 bytes each).
-COMMON = 500_000
 _GRAM = (1 << 48) - 1
 _TARGET = 40
 #: Word hashes carry the top bit, n-grams (48 bits) don't; the end token has a key of its own.
@@ -249,13 +246,13 @@ def _logs(crown):  # noqa: ANN001, ANN202
     def run(table: pa.Table) -> pa.Table:
         code, count = table.column("key").to_numpy(), table.column("trained").to_numpy().astype(np.float64)
         p, _ = mixed(code, count, TOP, DEPTH)
-        return pa.table({"key": code, "value": crown.value.finish(code, p), "blocks": table.column("blocks")})
+        return pa.table({"key": code, "value": crown.value.finish(code, p)})
 
     return run
 
 
-def _score(total: int, distinct: int, common, schema: pa.Schema):  # noqa: ANN001, ANN202
-    """The texts of a block, each with its sums; its table and the common one have the logarithms of n-grams and the counts of words."""
+def _score(total: int, distinct: int, schema: pa.Schema):  # noqa: ANN202
+    """The texts of a block, each with its sums; the block's table has the logarithms of n-grams and the counts of words."""
 
     def run(texts_: pa.Table, known: pa.Table) -> pa.Table:
         keys, values = known.column("key").to_numpy(), known.column("value").to_numpy()
@@ -264,13 +261,7 @@ def _score(total: int, distinct: int, common, schema: pa.Schema):  # noqa: ANN00
 
         def look(wanted: np.ndarray) -> np.ndarray:
             d = pa.array(wanted).dictionary_encode()
-            own = d.dictionary.to_numpy()
-            out = np.zeros(len(own))
-            for k, v in ((keys, values), common.value):
-                if len(k):
-                    at = np.minimum(np.searchsorted(k, own), len(k) - 1)
-                    out = np.where(k[at] == own, v[at], out)
-            return out[d.indices.to_numpy()]
+            return values[np.searchsorted(keys, d.dictionary.to_numpy())][d.indices.to_numpy()]
 
         out, share = [], math.log10(total + distinct + 1)
         for ids, learn, data in zip(*(texts_.column(c) for c in ("ids", "learn", "texts")), strict=True):
@@ -288,19 +279,7 @@ def _score(total: int, distinct: int, common, schema: pa.Schema):  # noqa: ANN00
     return run
 
 
-def _common(values: DataFrame, most: int) -> Column:
-    """A condition on `key, value, blocks` that holds for the keys of the most blocks, at most `most` of them: whole sixteenths of octaves."""
-    octave = F.floor(F.log2("blocks") * 16)
-    least, room = math.inf, most
-    for r in sorted(values.filter("blocks > 1").groupBy(octave.alias("o")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["o"]):
-        room -= r["n"]
-        if room < 0:
-            break
-        least = r["o"]
-    return (F.col("blocks") > 1) & (octave >= least) if least < math.inf else F.lit(False)
-
-
-def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, group: int = GROUP, common_keys: int = COMMON) -> DataFrame:
+def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """`doc_id, learned, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte` for every row.
 
     The model is trained on the rows for which `learn` holds.
@@ -310,7 +289,7 @@ def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str =
     kind = narrow.schema["id"].dataType.simpleString()
     rows = scratch.table(narrow.mapInArrow(_count(block), f"block long, ids array<{kind}>, learn array<boolean>, texts binary, key long, trained long"), "blocks", compression="zstd")
     held = rows.filter("key is not null").select("block", "key", "trained")
-    counts = scratch.table(held.groupBy("key").agg(F.sum("trained").alias("trained"), F.count("*").alias("blocks")), "counts")
+    counts = scratch.table(held.groupBy("key").agg(F.sum("trained").alias("trained")), "counts")
     words, ngrams = counts.filter("key < 0"), counts.filter("key >= 0")
     total, distinct = words.filter("trained > 0").agg(F.coalesce(F.sum("trained"), F.lit(0)), F.count("*")).first()
 
@@ -320,16 +299,11 @@ def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str =
     # decimals: a sum is the same in any order
     nodes = trees.applyInArrow(_summary, "node long, n0 long, n1 long, w double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(F.col("w").cast("decimal(38,12)")).cast("double").alias("w")).toArrow()
     crown = spark.sparkContext.broadcast(Crown(*[nodes.column(c).to_numpy().astype(t) for c, t in (("node", np.int64), ("n0", np.float64), ("n1", np.float64), ("w", np.float64))]))
-    values = trees.applyInArrow(_logs(crown), "key long, value double, blocks long").unionByName(words.select("key", F.col("trained").cast("double").alias("value"), "blocks"))
+    values = trees.applyInArrow(_logs(crown), "key long, value double").unionByName(words.select("key", F.col("trained").cast("double").alias("value")))
     values = scratch.table(values, "values")
     scratch.drop(counts)
-    often = _common(values, common_keys)
-    few = values.filter(often).select("key", "value")
-    sent = few.toArrow().sort_by("key")
-    common = spark.sparkContext.broadcast((sent.column("key").to_numpy(), sent.column("value").to_numpy()))
-    held = held.select("block", "key").join(F.broadcast(few.select("key")), "key", "left_anti")  # at most `common_keys` rows
-    known = held.join(values.filter(~often).select("key", "value").hint("merge"), "key").select(F.col("block").alias("home"), "key", "value")
+    known = held.select("block", "key").join(values.hint("merge"), "key").select(F.col("block").alias("home"), "key", "value")
     texts = rows.filter("texts is not null").select("block", "ids", "learn", "texts")
     schema = f"`{doc_id}` {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    run = _score(int(total), int(distinct), common, to_arrow_schema(_parse_datatype_string(schema)))
+    run = _score(int(total), int(distinct), to_arrow_schema(_parse_datatype_string(schema)))
     return texts.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(run, schema)

@@ -749,9 +749,9 @@ def test_context_tree(spark, monkeypatch):
     train = [canonical(t) for i, t, _ in rows if learn(i)]
     count = collections.Counter(w for i, t, _ in rows if learn(i) for w in [*words(t), "\n"])
     total, distinct = sum(count.values()), len(count)
-    for block, group, common in ((500, 300, 0), (500, 300, 40), (500, 300, 10**6), (ctw.BLOCK, ctw.GROUP, ctw.COMMON)):
+    for block, group in ((500, 300), (2000, 50), (ctw.BLOCK, ctw.GROUP)):
         docs = documents(spark, rows)
-        out = ctw.score(docs, fold_of(docs["doc_id"], 7) != 2, block=block, group=group, common_keys=common).collect()
+        out = ctw.score(docs, fold_of(docs["doc_id"], 7) != 2, block=block, group=group).collect()
         assert len(out) == len(rows)
         text = {i: t for i, t, _ in rows}
         for r in out:
@@ -760,7 +760,7 @@ def test_context_tree(spark, monkeypatch):
             assert abs(r.base_score - sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in own)) < 1e-8
             assert r.n_bytes == len(canonical(text[r.doc_id])) and r.learned == learn(r.doc_id)
         scores = {r.doc_id: r.score for r in out}
-        first = scores if block == 500 and not common else first
+        first = scores if block == 500 else first
         assert all(abs(scores[i] - first[i]) < 1e-9 * max(1, abs(first[i])) for i in first)
     for r in rng.sample(out, 12):
         assert abs(r.score - slow_ctw(train, canonical(text[r.doc_id]), ctw.DEPTH)) < 1e-8 * max(1, abs(r.score))
