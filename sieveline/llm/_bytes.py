@@ -11,7 +11,7 @@ import pyarrow as pa
 U64 = np.uint64
 BLANK, END = 0x20, 0x0A
 #: Texts are worked on in groups of about so many bytes; a longer text is a group of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Words longer than this are hashed one by one.
 LONG_WORD = 512
 
