@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +38,22 @@ def fold_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def lean(run: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """`run`, after which a worker gives back the memory that it has freed; workers live on for the stages that follow."""
+
+    def go(batches: Iterator[Any]) -> Iterator[Any]:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries than GNU's
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return go
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that `df` does not have."""
     have = {c.lower() for c in df.columns}

@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ._bytes import END, U64, Words, chunks, scramble
-from ._shared import Scratch
+from ._shared import Scratch, lean
 
 DEPTH = 5
 #: Depth at which subtrees are handed out; the levels above are the crown.
@@ -287,7 +287,7 @@ def score(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str =
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ctw")
     narrow = docs.select(docs[doc_id].alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), docs[text].cast("string").alias("t"))
     kind = narrow.schema["id"].dataType.simpleString()
-    rows = scratch.table(narrow.mapInArrow(_count(block), f"block long, ids array<{kind}>, learn array<boolean>, texts binary, key long, trained long"), "blocks", compression="zstd")
+    rows = scratch.table(narrow.mapInArrow(lean(_count(block)), f"block long, ids array<{kind}>, learn array<boolean>, texts binary, key long, trained long"), "blocks", compression="zstd")
     held = rows.filter("key is not null").select("block", "key", "trained")
     counts = scratch.table(held.groupBy("key").agg(F.sum("trained").alias("trained")), "counts")
     words, ngrams = counts.filter("key < 0"), counts.filter("key >= 0")

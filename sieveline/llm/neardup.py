@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._bytes import U64, Words, chunks, scramble
-from ._shared import Scratch
+from ._shared import Scratch, lean
 from .graph import components
 
 #: Sets of a bucket are compared in blocks of about so many sets and shingles.
@@ -257,8 +257,10 @@ def _blocks(scratch: Scratch, open_: DataFrame, sets: DataFrame, percent: int) -
 def _joined(scratch: Scratch, found: DataFrame, links: DataFrame) -> DataFrame:
     """`node, root` after links `a, b` between roots; a root may be a node that `found` does not have."""
     over = scratch.table(components(scratch, links).select(F.col("node").alias("root"), F.col("root").alias("least")), "over")
-    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("root"))
-    return scratch.table(found.unionByName(new).join(over.hint("merge"), "root", "left").select("node", F.coalesce("least", "root").alias("root")), "joined")
+    # by one aggregate: a large component's root occurs in most links
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(None).cast("long").alias("root"))
+    known = found.unionByName(ends).groupBy("node").agg(F.coalesce(F.max("root"), F.col("node")).alias("root"))
+    return scratch.table(known.join(over.hint("merge"), "root", "left").select("node", F.coalesce("least", "root").alias("root")), "joined")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 30, width: int = 5, slots: int = 151) -> DataFrame:
@@ -268,7 +270,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "neardup")
     narrow = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("string").alias("t"))
-    feats = scratch.table(narrow.mapInArrow(_features(words, bands, width, slots), "id long, n long, k1 long, k2 long, bands array<long>"), "features")
+    feats = scratch.table(narrow.mapInArrow(lean(_features(words, bands, width, slots)), "id long, n long, k1 long, k2 long, bands array<long>"), "features")
     classes = scratch.table(feats.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands")), "classes")
 
     # every class meets the least id of all its buckets
@@ -280,7 +282,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     wanted = spark.sparkContext.broadcast(bitmap(stars.select("id"), BITS))
     texts = narrow.filter("id is not null").select("id", F.pmod(F.xxhash64("id"), F.lit(1 << BITS)).alias("bit"), "t")
     # an id that is repeated with other texts is judged by the text of its class
-    sets = scratch.table(texts.mapInArrow(_sets(words, wanted), "id long, n long, shingles array<long>").filter("n > 0"), "sets")
+    sets = scratch.table(texts.mapInArrow(lean(_sets(words, wanted)), "id long, n long, shingles array<long>").filter("n > 0"), "sets")
     linked = _linked(scratch, stars.filter("id <> hub"), sets, percent)
     found = components(scratch, linked.select(F.col("id").alias("a"), F.col("hub").alias("b")))
 

@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from ._bytes import chunks
-from ._shared import prepare
+from ._shared import lean, prepare
 
 #: Fixed values of the formats: the visible blank, field numbers of the model and its normaliser, piece types.
 MARK = "▁"
@@ -43,7 +43,7 @@ PIECES, NORMALIZER = 1, 3
 MAP, DUMMY_PREFIX, STRIP, ESCAPE = 2, 3, 4, 5
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: Segmented runs that a worker remembers; beyond, it goes on with those of the last texts.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def fields(data: bytes) -> list[tuple[int, int | bytes]]:
@@ -275,4 +275,4 @@ def encode(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "
                     cols["covered"] = pa.array([not len(d[0]) if not x else bool(d[1][0] == 0 and d[2][-1] == len(x) and (d[1][1:] == d[2][:-1]).all()) for d, x in zip(done, texts, strict=True)])
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(lean(run), schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, prepare
+from ._shared import Scratch, lean, prepare
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
             scores = [s for s, _ in done]
             yield pd.DataFrame({doc_id: b["k"].array, "score": scores, "predicted": [int(s >= threshold) for s in scores], "offending": spans})
 
-    return narrow.mapInPandas(run, f"`{doc_id}` {narrow.schema['k'].dataType.simpleString()}, score double, predicted int, offending array<struct<begin:int,end:int,score:double>>")
+    return narrow.mapInPandas(lean(run), f"`{doc_id}` {narrow.schema['k'].dataType.simpleString()}, score double, predicted int, offending array<struct<begin:int,end:int,score:double>>")
 
 
 def filter_clean(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -219,4 +219,4 @@ def filter_clean(docs: DataFrame, model: Model, *, text: str = "text", threshold
             keep = [m.document(t or "")[0] < threshold for t in b.column(text).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
