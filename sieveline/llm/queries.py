@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, media, mixing, neardup, pieces, sharding, tokens, toxicity, urls, vptree
-from ._shared import Scratch, fold_of, table
+from . import ctw, fim, media, merkle, mixing, neardup, pieces, sharding, tokens, toxicity, urls, vptree
+from ._shared import Scratch, fold_case, fold_of, table
 
 
 #: The contract's rules: verdict, host, path.
@@ -93,8 +93,25 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), *scored.columns[2:])
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fim.restored(F.col("fim.output"), F.col("fim.form"))
+    return done.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the rows are tampered with: their texts are lower-cased before they are checked against the manifest."""
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda text: [docs["doc_id"], docs["source"], docs["lang"], docs["n_chars"], text]
+    checked = F.when(fold_of(docs["doc_id"], 5) == 0, merkle.leaf(fields(fold_case(docs["text"]))))
+    out = merkle.manifest(docs, merkle.leaf(fields(docs["text"])), group="source", key="doc_id", carry=[("tampered", checked)])
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = out.withColumns({"proof_sha256": merkle.proof(F.col("path")), "folded_root": folded})
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_rules, op2_mil_toxicity, op3_vantage_point, op4_superminhash_neardup, op5_sentencepiece, op6_min_cost_reshard, op7_separator_scan, op8_ogg_media, op9_entropy_mix, op10_context_tree)}
+    return {f.__name__: f for f in (op1_url_rules, op2_mil_toxicity, op3_vantage_point, op4_superminhash_neardup, op5_sentencepiece, op6_min_cost_reshard, op7_separator_scan, op8_ogg_media, op9_entropy_mix, op10_context_tree, op11_fill_in_middle, op12_merkle_manifest)}
 
 
 #: All pairs that share a shingle, then the smallest id that can be reached; for small tables only.
