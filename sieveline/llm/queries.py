@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, fim, media, merkle, mixing, neardup, pieces, sharding, tokens, toxicity, urls, vptree
+from . import ctw, fim, media, merkle, mixing, neardup, pieces, sharding, suffixes, tokens, toxicity, urls, vptree
 from ._shared import Scratch, fold_case, fold_of, table
 
 
@@ -110,8 +110,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return done.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", "repeats.kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_rules, op2_mil_toxicity, op3_vantage_point, op4_superminhash_neardup, op5_sentencepiece, op6_min_cost_reshard, op7_separator_scan, op8_ogg_media, op9_entropy_mix, op10_context_tree, op11_fill_in_middle, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_url_rules, op2_mil_toxicity, op3_vantage_point, op4_superminhash_neardup, op5_sentencepiece, op6_min_cost_reshard, op7_separator_scan, op8_ogg_media, op9_entropy_mix, op10_context_tree, op11_fill_in_middle, op12_merkle_manifest, op13_repeated_windows)}
 
 
 #: All pairs that share a shingle, then the smallest id that can be reached; for small tables only.
