@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, fim, media, merkle, mixing, neardup, pieces, sharding, suffixes, tokens, toxicity, urls, vptree
+from . import ctw, fim, media, merkle, mixing, neardup, oracles, pieces, sharding, suffixes, tokens, toxicity, urls, vptree
 from ._shared import Scratch, fold_case, fold_of, table
 
 
@@ -119,17 +119,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_rules, op2_mil_toxicity, op3_vantage_point, op4_superminhash_neardup, op5_sentencepiece, op6_min_cost_reshard, op7_separator_scan, op8_ogg_media, op9_entropy_mix, op10_context_tree, op11_fill_in_middle, op12_merkle_manifest, op13_repeated_windows)}
 
 
-#: All pairs that share a shingle, then the smallest id that can be reached; for small tables only.
-NEARDUP_SQL = r"""
-    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-    s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
-    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-    e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
-    r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id WHERE r.root < e.y)
-    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id, c.root = d.doc_id AS kept
-    FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) c USING (doc_id)"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op4_superminhash_neardup": NEARDUP_SQL}
+    return {"op4_superminhash_neardup": oracles.NEARDUP, "op11_fill_in_middle": oracles.FILL_IN_MIDDLE, "op12_merkle_manifest": oracles.merkle(), "op13_repeated_windows": oracles.repeated_windows()}

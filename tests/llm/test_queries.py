@@ -20,6 +20,9 @@ COLUMNS = {
     8: "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
     9: "doc_id size source_size target taken",
     10: "doc_id held_out n_tokens n_known train_tokens base_score score",
+    11: "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    12: "doc_id leaf subroot root proof_sha256 folded_root verified",
+    13: "doc_id n_bytes n_removed n_spans kept_sha256",
 }
 
 
