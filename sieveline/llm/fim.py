@@ -103,7 +103,8 @@ def transform(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", se
 
 
 def restored(output: Column, form: Column, marks: Sequence[str] = MARKS) -> Column:
-    """The text that an output was made of."""
-    parts = F.split(output, "|".join(f"\\Q{m}\\E" for m in marks), -1)
-    first, second, middle = (F.get(parts, F.lit(k)) for k in (1, 2, 3))
-    return F.when(form == "plain", output).when(form == "spm", F.concat(second, middle, first)).otherwise(F.concat(first, middle, second))
+    """The text that an output was made of, byte by byte."""
+    p, s, m = marks
+    between = lambda a, b: F.substring_index(F.substring_index(output, a, -1), b, 1)
+    middle = F.substring_index(output, m, -1)
+    return F.when(form == "plain", output).when(form == "spm", F.concat(between(p, m), middle, between(s, p))).otherwise(F.concat(between(p, s), middle, between(s, m)))
