@@ -7,10 +7,12 @@ consecutive bytes in it.  Consecutive windows with one anchor are a run, which t
 
 1. Runs are counted by anchor.  One that occurs once has no repeated windows.  One whose runs all have equal bytes has only
    repeated ones; nothing is sorted for these, so copies of texts cost no more than others.
-2. The other runs are brought together by anchor, each distinct content once, and with its bytes.  Anchors with many contents
-   are split into blocks of about BLOCK.  A block is sorted by digits of eight bytes; in every pass only groups of several
-   windows go on.
-3. Distinct windows of split anchors are counted over the blocks by a hash of 128 bits.
+2. The other runs are brought together by anchor, each distinct content once, and with its bytes.  They are sorted by digits of
+   eight bytes; in every pass only groups of several windows go on.
+3. An anchor with more than LARGE contents is not sorted in one task.  Its windows are compared in cells of consecutive
+   distances to the anchor, by hashes of 128 bits that are counted over all contents: a cell's windows are all repeated if the bytes of
+   all of them occur twice, and none is if the bytes that they have in common occur once.  Other cells are cut into smaller ones,
+   down to single windows; contents that are equal there go on as one.
 
 Texts are known by a hash of 128 bits, so equal ones are read once in step 2.  A window is looked for in all texts, its own included, and
 matches never cross texts.  Null texts count as empty, shorter ones than `length` have no windows.
@@ -33,8 +35,8 @@ from pyspark.sql import types as T
 from ._bytes import U64, chunks, scramble
 from ._shared import Scratch, fresh, lean
 
-#: Contents of an anchor that are sorted together.
-BLOCK = 512
+#: Contents of an anchor that are sorted in one task, and windows of a cell in each pass over those of larger ones.
+LARGE, CELLS = 512, (16, 4, 1)
 #: Windows of a text that are hashed at once.
 PIECE = 1 << 18
 #: Bytes of contents that are sorted at once.
@@ -115,99 +117,109 @@ def _runs(length: int):  # noqa: ANN202
                 own = np.repeat(np.arange(len(texts)), sizes)
                 content = np.fromiter((xxhash.xxh3_64_intdigest(texts[i][f : f + w + length - 1], p - f) for i, p, f, w in zip(own.tolist(), at.tolist(), first.tolist(), width.tolist(), strict=True)), U64, len(own))
                 k1, k2 = (part.column(c).take(pa.array(own)) for c in ("k1", "k2"))
-                yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(content), k1, k2, pa.array(first), pa.array(width)], ["a", "c", "k1", "k2", "first", "width"])
+                yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(content), k1, k2, pa.array(first), pa.array(at - first), pa.array(width)], ["a", "c", "k1", "k2", "first", "place", "width"])
 
     return run
 
 
 def _contents(length: int):  # noqa: ANN202
-    """The bytes of picked runs, from texts with the runs `picks` (a, c, first, width, block, blocks) in them."""
+    """The bytes of picked runs, from texts with the runs `picks` in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch, "t"):
                 rows = [(p, x) for x, own in zip(texts, part.column("picks").to_pylist(), strict=True) for p in own]
-                cols = {c: pa.array([p[c] for p, _ in rows], pa.int64()) for c in ("a", "c", "width", "block", "blocks")}
+                cols = {c: pa.array([p[c] for p, _ in rows], pa.int64()) for c in ("a", "c", "place", "width", "several")}
                 cols["data"] = pa.array([x[p["first"] : p["first"] + p["width"] + length - 1] for p, x in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
 
 
-FOUND = "a long, c long, low long, high long, w1 long, w2 long"
-
-
-def _sorted_blocks(length: int):  # noqa: ANN202
-    """For contents that come sorted by anchor and block: repeated windows as `a, c, low, high` (numbers within the content), and of
-    blocks of split anchors `w1, w2`, the hash of each distinct window, with its place if it is the only one."""
+def _sorted(length: int):  # noqa: ANN202
+    """Of contents that come sorted by anchor the repeated windows, as ranges `a, c, low, high` of numbers within the content."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
-        a, c, block, blocks, width = (rows.column(k).to_numpy() for k in ("a", "c", "block", "blocks", "width"))
+        a, c, width = (rows.column(k).to_numpy() for k in ("a", "c", "width"))
         joined = rows.column("data").combine_chunks()
         ends = np.frombuffer(joined.buffers()[1], dtype=np.int32)[joined.offset : joined.offset + len(joined) + 1].astype(np.int64)
-        raw = joined.buffers()[2]
-        data = np.frombuffer(raw, dtype=np.uint8)[ends[0] : ends[-1]]
-        base = ends[:-1] - ends[0]
+        data = np.frombuffer(joined.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
         owner = np.repeat(np.arange(len(a)), width)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(width) - width, width)
-        starts = base[owner] + number
-        group = np.cumsum(np.concatenate([[True], (a[1:] != a[:-1]) | (block[1:] != block[:-1])]))[owner]
-        left, classes = equal_windows(data, starts, group, length)
-        order = np.argsort(left)
-        hit = left[order]
-        # consecutive windows of a content as one row
+        group = np.cumsum(np.concatenate([[True], a[1:] != a[:-1]]))[owner]
+        hit = np.sort(equal_windows(data, (ends[:-1] - ends[0])[owner] + number, group, length)[0])
         new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])]) if len(hit) else np.zeros(0, bool)
-        lows, highs = hit[new], hit[np.concatenate([new[1:], [True]])] if len(hit) else hit
-        cols = [a[owner[lows]], c[owner[lows]], number[lows], number[highs]]
-        null = np.zeros(len(lows), bool)
-        found = [pa.array(x, pa.int64()) for x in cols] + [pa.nulls(len(null), pa.int64())] * 2
-
-        split = blocks[owner] > 1
-        alone = np.ones(len(owner), bool)
-        alone[left] = False
-        singles = np.flatnonzero(split & alone)
-        one_each = left[np.concatenate([[True], classes[1:] != classes[:-1]])] if len(left) else left
-        shared = one_each[split[one_each]]
-        sent = np.concatenate([singles, shared])
-        view = memoryview(data)
-        hashes = np.array([divmod(xxhash.xxh3_128_intdigest(view[s : s + length]), 1 << 64) for s in starts[sent].tolist()], dtype=U64).reshape(-1, 2)
-        known = np.arange(len(sent)) >= len(singles)
-        place = lambda x: pa.array(x[owner[sent]] if len(x) == len(a) else x[sent], pa.int64(), mask=known)
-        other = [pa.array(a[owner[sent]], pa.int64(), mask=known), pa.array(c[owner[sent]], pa.int64(), mask=known), pa.array(number[sent], pa.int64(), mask=known), pa.array(number[sent], pa.int64(), mask=known), _signed(hashes[:, 0]), _signed(hashes[:, 1])]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(found, other, strict=True)], ["a", "c", "low", "high", "w1", "w2"])
+        low, high = (hit[new], hit[np.concatenate([new[1:], [True]])]) if len(hit) else (hit, hit)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a[owner[low]], c[owner[low]], number[low], number[high])], ["a", "c", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         size = 0
 
         def whole(last: bool) -> pa.Table | None:
-            """What is kept, up to the last complete block; the rest stays."""
+            """What is kept, up to the last complete anchor; the rest stays."""
             nonlocal kept, size
             rows = pa.Table.from_batches(kept).combine_chunks()
-            a, block = rows.column("a").to_numpy(), rows.column("block").to_numpy()
-            to = len(a)
-            if not last:
-                new = np.flatnonzero((a[1:] != a[:-1]) | (block[1:] != block[:-1]))
-                to = int(new[-1]) + 1 if len(new) else 0
+            a = rows.column("a").to_numpy()
+            new = np.flatnonzero(a[1:] != a[:-1])
+            to = len(a) if last else int(new[-1]) + 1 if len(new) else 0
             kept = rows.slice(to).to_batches()
             size = 0
             return rows.slice(0, to) if to else None
 
         for batch in batches:
-            at = 0
-            while at < len(batch):
+            for at in range(0, len(batch), 2048):
                 part = batch.slice(at, 2048)
-                at += 2048
                 kept.append(part)
                 size += int(np.sum(part.column("width").to_numpy())) + length * len(part)
                 if size >= SORTED_BYTES and (rows := whole(False)) is not None:
                     yield work(rows)
-        if kept and (rows := whole(True)) is not None and len(rows):
+        if kept and (rows := whole(True)) is not None:
             yield work(rows)
 
     return run
 
 
+CELL = ["a", "cell", "k1", "k2", "o1", "o2"]
+
+
+def _cells(length: int, size: int):  # noqa: ANN202
+    """Cells of `size` windows of contents `a, c, place, data` in their `ranges`: hashes of what all windows of a cell have in common (k1,
+    k2), and of the bytes of those that are in the range and where these lie in the cell (o1, o2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, hashes = [], []
+            for a, c, place, data, ranges in zip(*(batch.column(k).to_pylist() for k in ("a", "c", "place", "data", "ranges")), strict=True):
+                for r in ranges:
+                    for cell in range((place - r["high"]) // size, (place - r["low"]) // size + 1):
+                        first, last = place - (cell * size + size - 1), place - cell * size
+                        low, high = max(first, r["low"]), min(last, r["high"])
+                        rows.append((a, c, cell, low, high))
+                        common = xxhash.xxh3_128_intdigest(data[last : max(last, first + length)])
+                        hashes.append((*divmod(common, 1 << 64), *divmod(xxhash.xxh3_128_intdigest(data[low : high + length], (low - first) * size + high - first), 1 << 64)))
+            cols = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.nulls(0, pa.int64())] * 5
+            marks = np.array(hashes, dtype=U64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*cols, *(_signed(marks[:, k]) for k in range(4))], ["a", "c", "cell", "low", "high", "k1", "k2", "o1", "o2"])
+
+    return run
+
+
+def _large(scratch: Scratch, data: DataFrame, length: int) -> DataFrame:
+    """The repeated windows of contents `a, c, place, width, data` of large anchors, by passes over cells."""
+    todo = data.select("a", "c", "place", "data", F.array(F.struct(F.lit(0).cast("long").alias("low"), (F.col("width") - 1).alias("high"))).alias("ranges"))
+    found = None
+    for size in CELLS:
+        cells = scratch.table(todo.mapInArrow(lean(_cells(length, size)), "a long, c long, cell long, low long, high long, k1 long, k2 long, o1 long, o2 long"), f"cells{size}")
+        equal = scratch.table(cells.groupBy(*CELL).agg(F.count("*").alias("n"), F.min(F.struct("c", "low", "high")).alias("one")), f"equal{size}")
+        here = cells.join(equal.filter("n > 1").select(*CELL), CELL).select("a", "c", "low", "high")
+        found = here if found is None else found.unionByName(here)
+        unlike = equal.groupBy(*CELL[:4]).agg(F.count("*").alias("m")).filter("m > 1").drop("m")
+        ranges = equal.join(unlike, CELL[:4]).groupBy("a", "one.c").agg(F.collect_list(F.struct("one.low", "one.high")).alias("ranges"))  # of one content
+        todo = data.select("a", "c", "place", "data").join(ranges, ["a", "c"])
+    return found
+
+
 def spans_of(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal spans of bytes that windows from the first to the last of each run cover."""
     out: list[tuple[int, int]] = []
@@ -242,26 +254,20 @@ def repeated_runs(scratch: Scratch, texts: DataFrame, length: int) -> DataFrame:
     """`k1, k2, low, high`: distinct ranges of starts of repeated windows, of the texts `k1, k2, t`."""
     long = texts.filter(F.octet_length("t") >= length)
     table = lambda df, name: _release(scratch.table(df, name))
-    runs = table(long.mapInArrow(lean(_runs(length)), "a long, c long, k1 long, k2 long, first long, width long"), "runs")
+    runs = table(long.mapInArrow(lean(_runs(length)), "a long, c long, k1 long, k2 long, first long, place long, width long"), "runs")
     anchors = runs.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1")
     anchors = table(anchors.select("a", (F.col("low") != F.col("high")).alias("mixed")), "anchors")
     repeated = table(runs.join(anchors, "a"), "repeated")
     scratch.drop(runs)
 
-    contents = repeated.filter("mixed").groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "width")).alias("pick"))
+    contents = repeated.filter("mixed").groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "place", "width")).alias("pick"))
     contents = table(contents.select("a", "c", "n", "pick.*"), "contents")
     several = contents.groupBy("a").agg(F.count("*").alias("several"))
-    blocks = F.ceil(F.col("several") / BLOCK)
-    picks = contents.join(several, "a").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")))
-    picks = picks.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "c", "first", "width", "block", "blocks")).alias("picks"))  # at most a text's own runs
+    picks = contents.join(several, "a").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "c", "first", "place", "width", "several")).alias("picks"))  # at most a text's own runs
     once = long.dropDuplicates(["k1", "k2"]).join(picks.hint("merge"), ["k1", "k2"]).select("t", "picks")
-    data = table(once.mapInArrow(lean(_contents(length)), "a long, c long, width long, block long, blocks long, data binary"), "data")
-    found = data.repartition("a", "block").sortWithinPartitions("a", "block").mapInArrow(lean(_sorted_blocks(length)), FOUND)
-    found = table(found, "found")
-
-    across = found.filter("w1 is not null")
-    met = across.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    places = found.filter("w1 is null").select("a", "c", "low", "high").unionByName(across.filter("a is not null").join(met, ["w1", "w2"]).select("a", "c", "low", "high"))
+    data = table(once.mapInArrow(lean(_contents(length)), "a long, c long, place long, width long, several long, data binary"), "data")
+    small = data.filter(F.col("several") <= LARGE).repartition("a").sortWithinPartitions("a").mapInArrow(lean(_sorted(length)), "a long, c long, low long, high long")
+    places = table(small.unionByName(_large(scratch, data.filter(F.col("several") > LARGE), length)), "places")
     single = contents.filter("n = 1").join(places, ["a", "c"]).select("k1", "k2", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
     whole = repeated.filter("not mixed").select("k1", "k2", "first", "width").unionByName(repeated.filter("mixed").join(contents.filter("n > 1").select("a", "c"), ["a", "c"]).select("k1", "k2", "first", "width"))
     whole = whole.select("k1", "k2", F.col("first").alias("low"), (F.col("first") + F.col("width") - 1).alias("high"))

@@ -156,9 +156,9 @@ def plain_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "block"), [(20, 512), (20, 2), (7, 1), (1, 512), (33, 3)])
-def test_repeated_windows(spark, monkeypatch, length, block):
-    monkeypatch.setattr(suffixes, "BLOCK", block)
+@pytest.mark.parametrize(("length", "large"), [(20, 512), (20, 2), (7, 0), (1, 512), (33, 0)])
+def test_repeated_windows(spark, monkeypatch, length, large):
+    monkeypatch.setattr(suffixes, "LARGE", large)
     rng = random.Random(13)
     word = lambda: "".join(rng.choice("abcdé中") for _ in range(rng.randrange(1, 7)))
     passage = " ".join(word() for _ in range(12))
