@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import detect, fold, jsondoc, render, score
 from .plans.condense import Options, condense, condense_json, entries, is_large, past_of, records, summary
-from .sources.lines import read_documents, read_lines, write_text
+from .sources.lines import read_lines, spool, write_text
 from .sources.state import State
 
 #: Paths that a summary of a document shows.
@@ -93,23 +93,26 @@ def lines_of(spark: SparkSession, a: argparse.Namespace) -> Iterator[str]:
     options = Options(a.depth, a.max_children, a.sim_threshold, a.multiline_start, a.half_life, a.history_runs, a.min_cluster_size, a.entropy_threshold, a.max_depth, tokens=a.tokens, bytes_per_token=a.bytes_per_token, merge=a.merge)
     now = int(time.time())
     past = None if a.no_state else past_of(state.history(), now, options)
-    lines = read_lines(spark, a.file)
+    source = spool(spark, sys.stdin.buffer) if a.file == "-" else a.file
+    lines = read_lines(spark, source)
     if a.mode == "auto":
-        head = "\n".join(r["line"] for r in lines.orderBy("file", "line_no").limit(detect.NDJSON_LINES).collect())
+        # a document can be one line: its beginning is enough
+        first = lines.select("file", "line_no", F.left("line", F.lit(detect.HEAD)).alias("line")).orderBy("file", "line_no").limit(detect.NDJSON_LINES)
+        head = "\n".join(r["line"] for r in first.collect())
         found = spark.createDataFrame([(head,)], "head string").select(detect.probe_mode(detect.head_of(F.col("head")))).first()[0]
         a.mode = "json" if found == "json_document" else "log"
     stats, out = None, []
     if a.mode == "json":
-        docs = lines.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("content")) if a.file == "-" else read_documents(spark, a.file)
-        docs = docs.select(F.col("file").alias("doc"), F.col("content").alias("json"))
-        schema, scored = condense_json(docs, past, options)
+        nodes = jsondoc.walk_files(spark, source, a.max_depth)
         if a.json_path:
-            out = [f"{r['path']}: {r['value']} ×{r['n']}" for r in jsondoc.leaf_scan(jsondoc.walk(docs, max_depth=a.max_depth), a.json_path).orderBy(F.col("n").desc(), "path", "value").limit(SHOWN_PATHS).collect()]
+            values = jsondoc.leaf_scan(nodes, a.json_path).orderBy(F.col("n").desc(), "path", "value")
+            out = (f"{r['path']}: {r['value']} ×{r['n']}" for r in values.toLocalIterator())  # all of them, one after the other
         else:
-            out = schema_lines(schema, not a.schema_only)
+            out = schema_lines(jsondoc.schema(nodes), not a.schema_only)
         if a.schema_only:
             yield from out
             return
+        scored = condense_json(nodes, past, options)
     else:
         rows = records(lines, options)
         if a.format == "raw":

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources import jsonparts
 from . import fold
 
 #: The types in the order that breaks ties (the later one wins), greatest depth, samples, inline elements.
@@ -30,18 +31,35 @@ def walk(docs: DataFrame, doc: str = "doc", json: str = "json", max_depth: int =
     A document is parsed once, and its nodes are found level by level within its row: what the last level had is replaced by its
     children, and one explode brings all of them out.  Subtrees below `max_depth` are not entered.
     """
+    start = "named_struct('place', '$', 'path', '', 'parent', cast(null as string), 'depth', 0, 'index', cast(null as int), 'v', v)"
+    return _nodes(docs.select(F.col(doc).alias("doc"), F.try_parse_json(F.col(json)).alias("v")).filter("v is not null"), start, max_depth)
+
+
+def walk_parts(values: DataFrame, around: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """walk() of documents that come cut into parts (see sources.jsonparts), with the same result."""
+    start = "named_struct('place', place, 'path', path, 'parent', parent, 'depth', depth, 'index', index, 'v', v)"
+    inner = _nodes(values.filter(F.col("depth") <= max_depth), start, max_depth)
+    outer = around.filter(F.col("depth") <= max_depth).withColumn("value", F.lit(None).cast("string"))
+    return inner.unionByName(outer.select(inner.columns))
+
+
+def walk_files(spark: SparkSession, path: str, max_depth: int = MAX_DEPTH, block: int = jsonparts.BLOCK) -> DataFrame:
+    """walk() of files of any size, cut wherever Spark cuts them."""
+    return walk_parts(*jsonparts.cut(spark, path, block), max_depth)
+
+
+def _nodes(rows: DataFrame, start: str, max_depth: int) -> DataFrame:
     node = "struct<place:string,path:string,parent:string,depth:int,index:int,v:variant>"
     children = """concat(
         transform(coalesce(map_entries(try_variant_get(x.v, '$', 'map<string,variant>')), array()),
-          e -> named_struct('place', concat(x.place, '.', e.key), 'path', if(x.path = '', e.key, concat(x.path, '.', e.key)), 'parent', x.place, 'depth', d, 'index', cast(null AS int), 'v', e.value)),
+          e -> named_struct('place', concat(x.place, '.', e.key), 'path', if(x.path = '', e.key, concat(x.path, '.', e.key)), 'parent', x.place, 'depth', x.depth + 1, 'index', cast(null AS int), 'v', e.value)),
         transform(coalesce(try_variant_get(x.v, '$', 'array<variant>'), array()),
-          (e, i) -> named_struct('place', concat(x.place, '[', i, ']'), 'path', concat(x.path, '[]'), 'parent', x.place, 'depth', d, 'index', i, 'v', e)))"""
-    nodes = docs.select(F.col(doc).alias("doc"), F.try_parse_json(F.col(json)).alias("v")).filter("v is not null")
-    nodes = nodes.selectExpr(
+          (e, i) -> named_struct('place', concat(x.place, '[', i, ']'), 'path', concat(x.path, '[]'), 'parent', x.place, 'depth', x.depth + 1, 'index', i, 'v', e)))"""
+    nodes = rows.selectExpr(
         "doc",
         f"""inline(aggregate(sequence(1, {max_depth}),
-          named_struct('done', cast(array() as array<{node}>), 'front', cast(array(named_struct('place', '$', 'path', '', 'parent', cast(null as string), 'depth', 0, 'index', cast(null as int), 'v', v)) as array<{node}>)),
-          (a, d) -> named_struct('done', concat(a.done, a.front), 'front', flatten(transform(a.front, x -> {children}))),
+          named_struct('done', cast(array() as array<{node}>), 'front', cast(array({start}) as array<{node}>)),
+          (a, d) -> named_struct('done', concat(a.done, a.front), 'front', flatten(transform(filter(a.front, x -> x.depth < {max_depth}), x -> {children}))),
           a -> concat(a.done, a.front)))""",
     )
     arrays, objects = "size(try_variant_get(v, '$', 'array<variant>'))", "size(try_variant_get(v, '$', 'map<string,variant>'))"

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from . import score as S
+from .prefix import running_sum
 
 #: Lines of the normal section, and distinct words that a slot lists.
 NORMAL_LINES, LISTED = 50, 20
@@ -110,15 +111,8 @@ def within_budget(scored: DataFrame, tokens: int, bytes_per_token: float = 4.0)
     """All novelties and anomalies, then the others by count while their estimated tokens fit; `kept` marks them."""
     must = F.col("promotion").isin("novelty", "anomaly")
     out = scored.withColumn("tokens_needed", T.token_estimate(F.concat(line(), F.lit("\n")), bytes_per_token))
-    # the order is by count and pattern; sums of equal counts and first letters are summed up first, so no window holds all templates
-    out = out.withColumn("_must", must).withColumn("_head", F.left("pattern", F.lit(3)))
-    keys = ["_must", "count", "_head"]
-    sums = out.groupBy(*keys).agg(F.sum("tokens_needed").alias("_sum"))
-    order = [F.col("_must").desc(), F.col("count").desc(), F.col("_head")]
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    within = Window.partitionBy(*keys).orderBy("pattern", "template_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = out.join(sums, keys).withColumn("used", F.col("_base") + F.sum("tokens_needed").over(within))
-    return out.withColumn("kept", F.col("_must") | (F.col("used") <= tokens)).drop("_must", "_head", "_base")
+    order = [must.desc(), F.col("count").desc(), F.col("pattern"), F.col("template_id")]
+    return running_sum(out, "tokens_needed", order, "used").withColumn("kept", must | (F.col("used") <= tokens))
 
 
 def text_lines(scored: DataFrame, stats: dict | None = None) -> Iterator[str]:
@@ -126,8 +120,9 @@ def text_lines(scored: DataFrame, stats: dict | None = None) -> Iterator[str]:
     normal = scored.filter(F.col("promotion").isin("normal", "elevated")).count()
     for name in ("NEW", "ANOMALY", "NORMAL"):
         yield f"## {name}"
-        for r in summary_lines(scored).filter(F.col("section") == name).orderBy("place").toLocalIterator():
-            yield r["line"]
+        rows = scored.filter(F.col("promotion").isin(*[k for k, v in SECTIONS.items() if v == name])).orderBy(*S.ranking())
+        rows = rows.limit(NORMAL_LINES) if name == "NORMAL" else rows
+        yield from (r["line"] for r in rows.select(line().alias("line")).toLocalIterator())
     if normal > NORMAL_LINES:
         yield f"{normal - NORMAL_LINES} normal patterns omitted for brevity"
     if stats:
@@ -154,23 +149,25 @@ def details(scored: DataFrame) -> Column:
     return out
 
 
-def render_report(scored: DataFrame, title: str, shown: int = 50) -> list[str]:
-    """A fuller report with a header, counts in front, and how often a pattern was usual."""
+def render_report(scored: DataFrame, title: str, shown: int = NORMAL_LINES) -> Iterator[str]:
+    """A fuller report with a header, counts in front, and how often a pattern was usual: all novelties and anomalies, and `shown` others."""
     totals = {r["promotion"]: r["n"] for r in scored.groupBy("promotion").agg(F.count("*").alias("n")).collect()}
     rule = "═" * 51
     detailed = scored.withColumn("_details", details(scored))
-    out = [rule, f"SUMMARY  {title}", f"Templates: {sum(totals.values())}  │  Novel: {totals.get('novelty', 0)}  │  Anomalous: {totals.get('anomaly', 0)}", rule]
+    yield from [rule, f"SUMMARY  {title}", f"Templates: {sum(totals.values())}  │  Novel: {totals.get('novelty', 0)}  │  Anomalous: {totals.get('anomaly', 0)}", rule]
     for names, head in ((["novelty"], "[NEW] NOVEL PATTERNS"), (["anomaly"], "[ANOMALY] UNUSUAL PATTERNS"), (["elevated", "normal"], "NORMAL PATTERNS")):
-        out.append(f"── {head} " + "─" * max(0, 45 - len(head)))
-        for r in detailed.filter(F.col("promotion").isin(names)).orderBy(*S.ranking()).limit(shown).collect():
+        yield f"── {head} " + "─" * max(0, 45 - len(head))
+        rows = detailed.filter(F.col("promotion").isin(names)).orderBy(*S.ranking())
+        rows = rows.limit(shown) if "normal" in names else rows
+        for r in rows.toLocalIterator():
             tag = S.PROMOTIONS[r["promotion"]]
             usual = f"  (usual: ~{r['historic_estimate']}/run)" if r["promotion"] == "anomaly" else ""
-            out.append(f"{tag + ' ' if tag else ''}[×{r['count']:,}] {r['pattern']}{usual}")
-            out += [f"    {x}" for x in r["_details"]]
+            yield f"{tag + ' ' if tag else ''}[×{r['count']:,}] {r['pattern']}{usual}"
+            yield from (f"    {x}" for x in r["_details"])
         more = sum(totals.get(n, 0) for n in names) - shown
-        if more > 0:
-            out.append(f"... ({more} more templates) ...")
-    return [*out, rule]
+        if "normal" in names and more > 0:
+            yield f"... ({more} more templates) ..."
+    yield rule
 
 
 def render_human(scored: DataFrame) -> list[str]:

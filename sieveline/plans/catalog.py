@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import detect, drain, fold, jsondoc, parse, render, score
-from ..session import shared_folder
+from ..session import folder
 from ..sources import corpora as C
 from ..sources import dictionary as D
 from ..sources import lines as L
@@ -66,19 +65,11 @@ def first_nonempty(spark, sf):  # noqa: ANN001, ANN201
     return L.first_nonempty(C.lines(spark, sf, "doc"), 3).drop("rank")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A folder for one call, removed when the session ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def _written(compression: str) -> Callable[[SparkSession, str], DataFrame]:
     """Event lines, a file for each kind, read back with their numbers."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        path = _folder(spark, compression)
+        path = folder(spark, compression)
         rows = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_type AS kind", "event_id", f"{C.EVENT} AS line")
         rows.repartition("kind").sortWithinPartitions("kind", "event_id").select("kind", "line").write.option("compression", compression).partitionBy("kind").text(path)
         out = L.read_lines(spark, f"{path}/*/*")
@@ -96,7 +87,7 @@ for _name, _compression in (("read_text", "none"), ("read_gzip", "gzip"), ("read
 
 @query("""SELECT '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '","none":null}' AS line FROM events""")
 def sink_ndjson(spark, sf):  # noqa: ANN001, ANN201
-    path = _folder(spark, "ndjson")
+    path = folder(spark, "ndjson")
     L.write_ndjson(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type", F.lit(None).cast("string").alias("none")), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
@@ -538,7 +529,7 @@ def reservoir_sample(spark, sf):  # noqa: ANN001, ANN201
 
 def _state(spark: SparkSession, sf: str) -> S.State:
     """The past as runs in a state of its own."""
-    state = S.State(spark, _folder(spark, "state"), "catalog")
+    state = S.State(spark, folder(spark, "state"), "catalog")
     old = _named(spark, sf).filter("event_id % 10 <> 9").withColumn("run", F.col("event_id") % 3)
     for k in range(3):
         state.append(old.filter(F.col("run") == k).groupBy("template_id", "pattern").agg(F.count("*").alias("count")), f"r{k}", NOW - 3600 * (k + 1))
@@ -639,6 +630,28 @@ def _nodes(spark: SparkSession, sf: str, max_depth: int = jsondoc.MAX_DEPTH) ->
     return jsondoc.walk(C.orders_json(spark, sf), max_depth=max_depth)
 
 
+#: Orders in documents of their own for every 50,000 keys: an object with an array of objects, with a line for each.
+_FILE_JSON = "concat('{\"orderkey\":', o_orderkey, ',\"customer\":{\"key\":', o_custkey, '},\"priority\":\"', o_orderpriority, '\"}')"
+
+
+@query("""WITH o AS (SELECT o_orderkey // 50000 AS doc, * FROM orders), n AS (SELECT doc, count(*) AS n FROM o GROUP BY doc)
+    SELECT doc, '' AS path, 'object' AS type, 1 AS n, 2 AS size, NULL AS least, NULL AS most FROM n UNION ALL SELECT doc, 'rows', 'array', 1, n, NULL, NULL FROM n UNION ALL SELECT doc, 'kind', 'string', 1, NULL, NULL, NULL FROM n
+    UNION ALL SELECT doc, 'rows[]', 'object', count(*), 3 * count(*), NULL, NULL FROM o GROUP BY doc UNION ALL SELECT doc, 'rows[].customer', 'object', count(*), count(*), NULL, NULL FROM o GROUP BY doc
+    UNION ALL SELECT doc, 'rows[].priority', 'string', count(*), NULL, NULL, NULL FROM o GROUP BY doc
+    UNION ALL SELECT doc, 'rows[].orderkey', 'int', count(*), NULL, min(o_orderkey), max(o_orderkey) FROM o GROUP BY doc UNION ALL SELECT doc, 'rows[].customer.key', 'int', count(*), NULL, min(o_custkey), max(o_custkey) FROM o GROUP BY doc""")
+def json_files(spark, sf):  # noqa: ANN001, ANN201
+    """Files of one large document each, written and read again in blocks that end anywhere."""
+    path = folder(spark, "documents")
+    rows = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey div 50000 AS doc", "o_orderkey AS key", f"{_FILE_JSON} AS line")
+    first = rows.groupBy("doc").agg(F.min("key").alias("first"))
+    lines = rows.join(first, "doc").select("doc", "key", F.when(F.col("key") == F.col("first"), F.col("line")).otherwise(F.concat(F.lit(","), F.col("line"))).alias("line"))
+    ends = first.select("doc", F.inline(F.array(F.struct(F.lit(-1).cast("long").alias("key"), F.lit('{"kind":"a,b", "rows":[').alias("line")), F.struct(F.lit((1 << 63) - 1).alias("key"), F.lit("]}").alias("line")))))
+    lines.unionByName(ends).repartition("doc").sortWithinPartitions("doc", "key").select("doc", "line").write.partitionBy("doc").text(path)
+    nodes = jsondoc.walk_files(spark, f"{path}/*", block=1 << 18).withColumn("doc", F.regexp_extract("doc", "doc=([0-9]+)", 1).cast("long"))
+    number = F.when(F.col("type") == "int", F.col("value").cast("long"))
+    return nodes.groupBy("doc", "path", "type").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min(number).alias("least"), F.max(number).alias("most"))
+
+
 @query(f"SELECT doc, place, path, type, value FROM {_TREE}")
 def json_walk(spark, sf):  # noqa: ANN001, ANN201
     return _nodes(spark, sf).select("doc", "place", "path", "type", "value")

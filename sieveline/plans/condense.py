@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import detect, drain, fold, jsondoc, parse, render, score
+from ..operators.prefix import running_sum
+from ..session import written
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ def records(lines: DataFrame, options: Options = Options()) -> DataFrame:  # noq
     folded = fold.fold(lines, options.multiline_start, is_large(lines))
     form = options.format or detect.detect_format(lines)
     out = parse.parse(folded.withColumnRenamed("message", "line"), form) if form != "raw" else folded
-    files = lines.select("file").distinct().withColumn("place", F.row_number().over(Window.orderBy("file")).cast("long"))  # a row for each file
+    files = running_sum(lines.select("file").distinct().withColumn("_one", F.lit(1).cast("long")), "_one", ["file"], "place").drop("_one")
     return out.join(files, "file").withColumn("record_id", F.shiftleft("place", 40) + F.col("record_id")).drop("place")
 
 
@@ -108,11 +109,21 @@ def entries(messages: DataFrame, past: DataFrame | None = None, options: Options
     return out.withColumn("pattern", F.when(F.col("count") < options.min_cluster_size, F.col("examples")[0]).otherwise(F.col("pattern")))
 
 
-def condense_json(docs: DataFrame, past: DataFrame | None = None, options: Options = Options()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """Schema of JSON documents `doc, json`, and scored templates of the texts in them, which come in the order of a hash of their places."""
-    nodes = jsondoc.walk(docs, max_depth=options.max_depth)
-    texts = jsondoc.text_records(nodes, options.entropy_threshold).withColumn("record_id", F.xxhash64("doc", "place"))
-    return jsondoc.schema(nodes), condense(texts.select("record_id", "message"), past, options)
+def condense_json(nodes: DataFrame, past: DataFrame | None = None, options: Options = Options(), exact: bool = False) -> DataFrame:  # noqa: B008
+    """Entries of the texts in JSON documents, from the nodes of a walk, with the paths they come from.
+
+    Texts of several lines are folded, so each record of one counts; records come in the order of documents and places.
+    """
+    texts = jsondoc.text_records(nodes, options.entropy_threshold)
+    lines = texts.filter("class = 'line'").select("doc", "place", "source_path", F.lit(0).cast("long").alias("record_id"), "message")
+    rows = lines.unionByName(jsondoc.fold_texts(texts).select("doc", "place", "source_path", "record_id", "message"))
+    rows = in_order(rows, ["doc", "place", "record_id"])
+    return entries(rows.select("record_id", "message", "source_path"), past, options, exact)
+
+
+def in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` as a written table with a `record_id` that ascends in the order of `keys`: a sort by ranges, with no task for all of them."""
+    return written(rows.orderBy(*keys).withColumn("record_id", F.monotonically_increasing_id()), "ordered")
 
 
 def summary(scored: DataFrame, options: Options = Options()) -> list[str]:  # noqa: B008

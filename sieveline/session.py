@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own: list[str] = []
@@ -29,6 +30,21 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def folder(spark: SparkSession, what: str) -> str:
+    """A folder of one call in the shared one, removed when the session ends."""
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """`df` as a table in the shared folder: computed once, and not again if an executor is lost."""
+    path = folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application; they need not have it installed."""
     app = spark.sparkContext.applicationId

@@ -61,25 +61,6 @@ def first_nonempty(lines: DataFrame, n: int = 1000) -> DataFrame:
     return lines.filter("line <> ''").withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def read_documents(spark: SparkSession, path: str, whole: int = 1 << 30) -> DataFrame:
-    """`file, content` of JSON documents: whole files up to `whole` bytes.
-
-    A longer file has to be an array with its elements on lines of their own; each is a document `file:line` then, an array of
-    the one element, so that its paths are those of the whole.  Broken lines are skipped like broken documents.
-    """
-    files = spark.read.format("binaryFile").load(path)
-    small = files.filter(F.col("length") <= whole).select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-    large = [r["path"] for r in files.filter(F.col("length") > whole).select("path").collect()]  # names only
-    for name in large:
-        # the array's own brackets are before the first element and after the last
-        body = F.when(F.col("line_no") == 0, F.regexp_replace("line", r"^\s*\[", "")).otherwise(F.col("line"))
-        rows = read_lines(spark, name).withColumn("element", F.regexp_replace(body, r"^\s+|[\s,]+\z", ""))
-        closed = F.regexp_replace("element", r"\s*\]\z", "")
-        rows = rows.withColumn("element", F.when(F.try_parse_json("element").isNull(), closed).otherwise(F.col("element"))).filter("element <> ''")
-        small = small.unionByName(rows.select(F.concat_ws(":", "file", F.col("line_no").cast("string")).alias("file"), F.concat(F.lit("["), F.col("element"), F.lit("]")).alias("content")))
-    return small
-
-
 def write_ndjson(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 

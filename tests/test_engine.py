@@ -3,6 +3,7 @@
 import collections
 import gzip
 import io
+import json
 import math
 import random
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
-from sieveline.operators import detect, drain, fold, jsondoc, parse, render, score
+from sieveline.operators import detect, drain, fold, jsondoc, parse, prefix, render, score
 from sieveline.plans.condense import Options, condense, condense_json, condense_onward, entries, past_of, records, summary
 from sieveline.sources import dictionary
 from sieveline.sources import lines as L
@@ -229,15 +230,57 @@ def test_multiline_texts_are_folded(spark):
     assert [(r.place, r.message, r.n_lines) for r in jsondoc.fold_texts(texts).orderBy("place").collect()] == [(p, "NullPointerException: Cannot invoke foo()", 3) for p in ("$.error", "$.tags[1]")]
 
 
-def test_large_arrays_are_read_by_element(spark, tmp_path):
-    (tmp_path / "a.json").write_text('[{"k":1,"s":["x"]},\n {"k":2} ,\n[3,\n[4]],\n{"k":5}]\n')
-    (tmp_path / "b.json").write_text('[{"k":7}]')
-    both = lambda **how: jsondoc.walk(L.read_documents(spark, str(tmp_path), **how).select(F.col("file").alias("doc"), F.col("content").alias("json")))
-    got = {r.path: r.observed for r in jsondoc.type_counts(both(whole=20)).filter("path <> ''").collect()}
-    assert got == {"[]": 5, "[].k": 4, "[].s": 1, "[].s[]": 1, "[][]": 1}  # the element on two lines is broken but for its second line
-    (tmp_path / "a.json").write_text('[{"k":1,"s":["x"]},\n {"k":2} ,\n[3],\n{"k":5}\n]')
-    counts = lambda nodes: {(r.path, r.n_int, r.n_string, r.observed) for r in jsondoc.type_counts(nodes).filter("path <> ''").collect()}
-    assert counts(both(whole=20)) == counts(both())
+def json_like(rng, depth=0):
+    if depth > 4 or rng.random() < 0.35:
+        return rng.choice([1, -2.5, True, None, "a", "x,y", 'q"{[\\', "", "}]:,\\\\", "é,中", 10**25])
+    if rng.random() < 0.5:
+        return [json_like(rng, depth + 1) for _ in range(rng.randrange(5))]
+    return {rng.choice(["k", "a,b", 'x"y', "é", ":{", "z"]) + str(i): json_like(rng, depth + 1) for i in range(rng.randrange(5))}
+
+
+def test_files_cut_anywhere_have_the_same_nodes(spark, tmp_path):
+    rng = random.Random(2)
+    texts = []
+    for k in range(9):
+        doc = [json_like(rng) for _ in range(12)]
+        texts.append(json.dumps(doc, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5, separators=rng.choice([(",", ":"), (", ", ": ")])))
+    texts += ["", " ", "1", ' "a,b" ', "[1,2", "[1,]", '{"a":1,"b":2,"a":3}', '{"a" 1,"b":2}', "[1}", "[1 2,3]", '{"a":{"b":[1,2,3]},"a.b":[4,5],"x":1}', "[tru,1]", '["a" "b",1]', "[[],[1,[]],{}]", '\ufeff[1,2]']
+    for k, t in enumerate(texts):
+        (tmp_path / f"{k:03d}.json").write_text(t)
+    whole = spark.createDataFrame([(k, t.lstrip("\ufeff")) for k, t in enumerate(texts)], "doc long, json string")
+    rows = lambda nodes: sorted(tuple(str(x) for x in r) for r in nodes.withColumn("doc", F.regexp_extract(F.col("doc").cast("string"), "([0-9]+)([.]json)?$", 1).cast("int")).collect())
+    for depth, block, split in ((12, 1, "500"), (3, 40, "700"), (12, 4 << 20, "128m")):
+        expected = rows(jsondoc.walk(whole, max_depth=depth))
+        assert len(expected) > 300
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            assert rows(jsondoc.walk_files(spark, str(tmp_path), depth, block)) == expected
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for k, text in enumerate(("[1,2]\n[3]", "[1,2]]", "[1,2]x")):
+        (tmp_path / f"after{k}.json").write_text(text)
+    assert jsondoc.walk_files(spark, str(tmp_path / "after*")).count() == 0
+
+
+def test_large_document_has_the_statistics_of_the_whole(spark, tmp_path):
+    doc = {"head": "x", "rows": [{"k": i, "s": ["a"] * (i % 3)} for i in range(500)]}
+    for name, text in (("line", json.dumps(doc)), ("pretty", json.dumps(doc, indent=2)), ("rows", '{"head":"x","rows":[' + ",\n".join(json.dumps(r) for r in doc["rows"]) + "]}")):
+        (tmp_path / f"{name}.json").write_text(text)
+        nodes = jsondoc.walk_files(spark, str(tmp_path / f"{name}.json"), block=100)
+        assert {(r.path, r.arrays, r.least, r.most, r.total) for r in jsondoc.array_lengths(nodes).collect()} == {("rows", 1, 500, 500, 500), ("rows[].s", 500, 0, 2, 499)}
+        assert {(r.path, r.value, r.n) for r in jsondoc.leaf_scan(nodes, "rows[7].k").collect()} == {("rows[].k", "7", 1)}
+
+
+def test_running_sum(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(30), rng.randrange(100), k) for k in range(500)]
+    got = prefix.running_sum(spark.createDataFrame(rows, "a long, v long, k long").repartition(7), "v", [F.col("a").desc(), F.col("k")], "upto").collect()
+    total, expected = 0, {}
+    for a, v, k in sorted(rows, key=lambda r: (-r[0], r[2])):
+        total += v
+        expected[k] = total
+    assert {r.k: r.upto for r in got} == expected
+    assert prefix.running_sum(spark.createDataFrame([], "a long, v long"), "v", ["a"], "upto").count() == 0
 
 
 def test_spooled_input(spark):
@@ -347,9 +390,10 @@ def test_tiers(spark):
 
 def test_json_run(spark):
     text = "Error at start of a long line\\n\\tat com.example.Svc.handle(Svc.java:42) and so on it goes"
-    schema, out = condense_json(spark.createDataFrame([(1, f'{{"r":[{{"m":"{text}"}},{{"m":"{text}"}}]}}')], "doc long, json string"))
-    assert {r.path for r in schema.collect()} == {"", "r", "r[]", "r[].m"}
-    assert [(r.pattern, r["count"]) for r in out.collect()] == [("Error at start of a long line", 2)]
+    nodes = jsondoc.walk(spark.createDataFrame([(1, f'{{"r":[{{"m":"{text}"}},{{"m":"{text}"}}]}}')], "doc long, json string"))
+    out = condense_json(nodes)
+    assert {r.path for r in jsondoc.schema(nodes).collect()} == {"", "r", "r[]", "r[].m"}
+    assert [(r.pattern, r["count"], [(p.path, p.n) for p in r.paths]) for r in out.collect()] == [("Error at start of a long line", 2, [("r[].m", 2)])]
 
 
 def test_stream(spark, tmp_path):
