@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._bytes import U64, Words, chunks, scramble
 from ._shared import Scratch, lean
@@ -203,9 +202,11 @@ def _linkable(scratch: Scratch, open_: DataFrame, sets: DataFrame, percent: int)
     all these components have; its partner has at least the bucket's least size.
     """
     own = open_.select("id", "c").distinct().join(sets.hint("merge"), "id").select("id", "c", F.explode("shingles").alias("s"))
-    same = Window.partitionBy("s")  # a set has a shingle once, so no shingle has more than a small share of the rows
-    shared = own.withColumns({"low": F.min("c").over(same), "high": F.max("c").over(same)}).filter("low <> high")
-    support = scratch.table(shared.groupBy("id").agg(F.count("*").alias("support")), "support")
+    own = scratch.table(own, "shingles")
+    # a shingle that many sets share is summed up where it is read, and its rows are a hot key of a join, which is split
+    several = own.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("s")
+    support = scratch.table(own.join(several.hint("merge"), "s").groupBy("id").agg(F.count("*").alias("support")), "support")
+    scratch.drop(own)
     partner = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))
     fits = F.col("support") * (100 + percent) >= percent * (F.col("n") + partner)
     out = scratch.table(open_.join(support.hint("merge"), "id").filter(fits).select("band", "id", "n"), "linkable")

@@ -42,8 +42,10 @@ MARK = "▁"
 PIECES, NORMALIZER = 1, 3
 MAP, DUMMY_PREFIX, STRIP, ESCAPE = 2, 3, 4, 5
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
-#: Segmented runs that a worker remembers; beyond, it goes on with those of the last texts.
-REMEMBERED = 200_000
+#: Bytes of segmented runs that a worker remembers; beyond, it starts anew.  Longer runs than LONG are rare and are not remembered.
+REMEMBERED, LONG = 32 << 20, 64
+#: Bytes that an entry takes beside its run and its ids, about.
+ENTRY = 200
 
 
 def fields(data: bytes) -> list[tuple[int, int | bytes]]:
@@ -190,6 +192,7 @@ class Encoder:
         width = max(map(len, digits), default=0)
         self.digits = np.frombuffer(b"".join([d.ljust(width, b"\0") for d in digits]), dtype=np.uint8).reshape(-1, width)
         self.memory: dict[str, bytes] = {}
+        self.held = 0
 
     def _runs(self, text: str) -> list[str]:
         """Runs of MARK, each with what follows up to the next one."""
@@ -206,10 +209,16 @@ class Encoder:
                 lead = ""
         return [*out, lead] if lead else out
 
-    def _learn(self, runs: list[str]) -> None:
-        """Remember the ids of runs as 32-bit numbers, by one call of the library."""
-        for r, ids in zip(runs, self.segment.encode(runs, num_threads=1), strict=True):
-            self.memory[r] = array("i", ids).tobytes()
+    def _learn(self, runs: list[str]) -> dict[str, bytes]:
+        """The ids of runs as 32-bit numbers, by one call of the library; short runs are remembered."""
+        new = {r: array("i", ids).tobytes() for r, ids in zip(runs, self.segment.encode(runs, num_threads=1), strict=True)}
+        short = {r: ids for r, ids in new.items() if len(r) <= LONG}
+        self.held += sum(ENTRY + 2 * len(r) + len(ids) for r, ids in short.items())
+        if self.held > REMEMBERED:
+            self.memory, self.held = {}, 0
+        else:
+            self.memory.update(short)
+        return new
 
     def joined(self, ids: np.ndarray) -> bytes:
         """Ids in decimals, joined by commas."""
@@ -220,19 +229,17 @@ class Encoder:
         """Of each text ids, begins and ends (bytes of the source) of the pieces, and the ids joined by commas."""
         normal = [self.normalize(x) for x in texts]
         runs = [self._runs(n.decode()) if n else [] for n, _ in normal]
-        memory = self.memory
-        if new := {r for own in runs for r in own if r not in memory}:
-            self._learn(list(new))
+        known = {r: self.memory.get(r) for own in runs for r in own}
+        if new := [r for r, ids in known.items() if ids is None]:
+            known |= self._learn(new)
         out = []
         for (text, source), own in zip(normal, runs, strict=True):
-            ids = np.frombuffer(b"".join([memory[r] for r in own]), dtype=np.int32)
+            ids = np.frombuffer(b"".join([known[r] for r in own]), dtype=np.int32)
             sizes = self.sizes[ids]
             if (sizes < 0).any():  # unknown pieces without byte fallback: only the pieces' own texts tell
                 sizes = np.array([len(p.encode()) for p in self.segment.encode(text.decode(), out_type=str)], dtype=np.int64)
             spans = source[np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])]
             out.append((ids, spans[:-1], spans[1:], self.joined(ids).decode()))
-        if len(memory) > REMEMBERED:
-            self.memory = {r: memory[r] for own in runs for r in own if len(r) < 200}
         return out
 
     def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:

@@ -13,8 +13,8 @@ significantly more often and most documents with it are toxic; its support count
 neighbours it has there, so that copies of one document are one piece of evidence.
 
 Bounds: the model is fitted on the driver to at most `max_docs` labelled documents that are in the input, the first
-in the order of a hash of their ids, and to at most `max_bytes` of their texts; it keeps the `most_words` most
-significant features.  Scoring reads every text whole, in one pass without a shuffle.
+in the order of a hash of their ids, and to at most `max_bytes` of their texts; it keeps all significant features of
+these.  Scoring reads every text whole, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no sentences and the score of the leak alone; several labels of one id
 count as toxic if one is; null labels and labels of unknown ids are left out; without labels of both kinds the
@@ -46,8 +46,8 @@ SIGNIFICANT, SUPPORT, BEGINNINGS = 15.0, 3, (3, 4, 5, 6)
 PLAIN = -10.0
 #: Weight that a feature has without contrary evidence; the ridge draws to it.
 START = 4.0
-#: Weights of words that a worker remembers; then it starts anew.
-REMEMBERED = 100_000
+#: Weights of words that a worker remembers, none of more than LONG characters; then it starts anew.
+REMEMBERED, LONG = 100_000, 64
 
 
 def features(word: str) -> list[str]:
@@ -85,9 +85,10 @@ class Model:
         w = self.memory.get(word)
         if w is None:
             w = sum(self.weights.get(f, 0.0) for f in features(word)) if self.weights else 0.0
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            self.memory[word] = w
+            if len(word) <= LONG:
+                if len(self.memory) >= REMEMBERED:
+                    self.memory.clear()
+                self.memory[word] = w
         return w
 
     def document(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
@@ -104,7 +105,7 @@ class Model:
         return float(min(1.0, max(0.0, -math.expm1(clean)))), [(a, b, float(_sigmoid(PLAIN + w))) for a, b, w in found]
 
 
-def vocabulary(texts: Sequence[str], labels: np.ndarray, most: int) -> list[str]:
+def vocabulary(texts: Sequence[str], labels: np.ndarray) -> list[str]:
     """Features by significance.  Only those of toxic documents are counted, so memory follows these."""
     toxic: Counter[str] = Counter()
     for text, y in zip(texts, labels, strict=True):
@@ -136,16 +137,16 @@ def vocabulary(texts: Sequence[str], labels: np.ndarray, most: int) -> list[str]
         return out if b >= SUPPORT and b > a and b * n0 > a * n1 else 0.0
 
     scored = sorted(((g(f), f) for f in maybe), key=lambda x: (-x[0], x[1]))
-    return [f for s, f in scored[:most] if s >= SIGNIFICANT]
+    return [f for s, f in scored if s >= SIGNIFICANT]
 
 
-def fit(texts: Sequence[str], labels: Sequence[int], *, most_words: int = 4000, steps: int = 400, rate: float = 0.1, ridge: float = 1e-6) -> Model:
+def fit(texts: Sequence[str], labels: Sequence[int], *, steps: int = 400, rate: float = 0.1, ridge: float = 1e-6) -> Model:
     """Maximum likelihood with a small ridge, by Adam on all documents."""
     y = np.asarray(labels, dtype=np.int64)
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return Model(leak=math.log(share / (1 - share)) if 0 < share < 1 else (30.0 if share else -30.0))
-    names = vocabulary(texts, y, most_words)
+    names = vocabulary(texts, y)
     index = {f: i for i, f in enumerate(names)}
     doc, sent, feat = [], [], []
     for d, text in enumerate(texts):
@@ -172,7 +173,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], *, most_words: int = 4000,
     return Model(float(theta[0]), dict(zip(names, theta[1:].tolist(), strict=True)))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 3000, max_bytes: int = 64 << 20, most_words: int = 4000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = 3000, max_bytes: int = 64 << 20) -> Model:
     """Fit to labelled documents of `docs`, at most `max_docs` and `max_bytes` of text; `learn` is a condition on the label table's ids."""
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     known = known.filter(learn) if learn is not None else known
@@ -188,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, do
             taken.append((r["_h"],))
     chosen = docs.sparkSession.createDataFrame(sorted(set(taken)), "_h long")
     found = sorted((r["_t"], r["_y"]) for r in rows.join(F.broadcast(chosen), "_h", "left_semi").select("_t", "_y").collect())
-    return fit([t for t, _ in found], [y for _, y in found], most_words=most_words)
+    return fit([t for t, _ in found], [y for _, y in found])
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -19,6 +19,7 @@ extra columns are not read.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -29,6 +30,8 @@ from pyspark.sql.window import Window
 from ._shared import Scratch, bounded, fold_case
 
 VERDICT = "verdict="
+#: Frequent tokens of a group.
+GROUP = 3
 #: Bytes of the index of rules that are broadcast at most; a larger one is joined.
 INDEX_BYTES = 16 << 20
 
@@ -69,44 +72,47 @@ def tokens() -> Column:
         ), x -> x is not null)))""")
 
 
-def _same(labelled: DataFrame, least: float) -> DataFrame:
-    """`token, rep`: tokens in at least `least` rows; `rep` is the least of those that occur in exactly the same rows.
-
-    There are at most (tokens of a row) / (share of the rows) of them.
-    """
-    sets = labelled.groupBy("tokens").agg(F.count("*").alias("n"))
-    own = sets.select("n", F.xxhash64("tokens").alias("x"), F.xxhash64("tokens", F.lit(1)).alias("y"), F.explode("tokens").alias("token"))
-    own = own.groupBy("token").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter(F.col("n") >= least)
-    return own.select("token", F.min("token").over(Window.partitionBy("n", "x", "y")).alias("rep"))
-
-
 def mine(labelled: DataFrame, *, min_support: float = 0.01, min_confidence: float = 0.8, max_tokens: int = 3) -> DataFrame:
     """Rules `tokens, verdict, confidence, support` from rows with `tokens` (sorted array) and `verdict`; rules have at most `max_tokens` tokens.
 
-    FP-growth sees frequent tokens only, and one for all that occur in the same rows, for n of these alone would make 2 ** n
-    sets; they take its place in the rules again.
+    FP-growth makes frequent sets of all sizes, which are 2 ** n for n tokens that are common together.  So the frequent tokens
+    are dealt out to groups of GROUP, and every row gives a transaction for each combination of at most `max_tokens` of the groups that it has
+    tokens of, with the tokens of these.  A set of at most `max_tokens` tokens is counted where the groups are just its own, once for each of its rows;
+    no transaction has more than GROUP * max_tokens tokens.
     """
     scratch = Scratch(labelled.sparkSession, "mining")
     labelled = scratch.table(labelled.filter(F.size("tokens") > 0).select("tokens", "verdict", F.xxhash64("tokens").alias("set")), "labelled")
-    total = labelled.count()
-    same = scratch.table(_same(labelled, min_support * total), "same")
-    few = bounded(same, same.count())
-    reps = labelled.select("set", "tokens").distinct().select("set", F.explode("tokens").alias("token")).join(few, "token").groupBy("set").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
-    none = F.expr("cast(array() as array<string>)")
-    items = labelled.join(scratch.table(reps, "reps").hint("merge"), "set", "left").select(F.concat(F.coalesce("reps", none), F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    sets = model.freqItemsets.filter(F.size("items") <= max_tokens + 1)
+    total = max(1, labelled.count())
+    least = max(1, math.ceil(min_support * total - 1e-9))
+    # at most (tokens of a row) / (share of the rows)
+    often = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    group = F.floor((F.row_number().over(Window.orderBy(F.col("n").desc(), "token")) - 1) / GROUP).cast("int")
+    often = scratch.table(often.select("token", group.alias("g")), "often")
+    own = labelled.select("set", "tokens").distinct().select("set", F.explode("tokens").alias("token")).join(bounded(often, often.count()), "token")
+    own = own.groupBy("set", "g").agg(F.array_sort(F.collect_list("token")).alias("own")).groupBy("set").agg(F.array_sort(F.collect_list(F.struct("g", "own"))).alias("groups"))  # of one row
+    deal = F.transform("groups", lambda x: F.array(x))
+    every = deal
+    for _ in range(1, max_tokens):
+        deal = F.flatten(F.transform(deal, lambda c: F.transform(F.filter("groups", lambda x: x["g"] > F.element_at(c, -1)["g"]), lambda x: F.concat(c, F.array(x)))))
+        every = F.concat(every, deal)
+    dealt = own.select("set", F.explode(every).alias("c")).withColumn("name", F.array_join(F.transform("c", lambda x: x["g"].cast("string")), "."))
+    dealt = dealt.select("set", F.flatten(F.transform("c", lambda x: F.transform(x["own"], lambda t: F.concat_ws("|", "name", x["g"].cast("string"), t)))).alias("own"))
+    items = scratch.table(labelled.select("set", "verdict").join(dealt, "set").select(F.concat("own", F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items")), "items")
+    rows = items.count()
+    if not rows:
+        return labelled.select("tokens", "verdict", F.lit(1.0).alias("confidence"), F.lit(1.0).alias("support")).limit(0)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / rows), minConfidence=min_confidence).fit(items)
     is_verdict = lambda x: x.startswith(VERDICT)
-    sets = sets.select(F.array_sort(F.filter("items", lambda x: ~is_verdict(x))).alias("tokens"), F.element_at(F.concat(F.filter("items", is_verdict), F.array(F.lit(""))), 1).alias("verdict"), "freq")
+    sets = model.freqItemsets.filter(F.size("items") <= max_tokens + 1)
+    sets = sets.select(F.filter("items", lambda x: ~is_verdict(x)).alias("own"), F.element_at(F.concat(F.filter("items", is_verdict), F.array(F.lit(""))), 1).alias("verdict"), "freq")
+    parts = F.transform("own", lambda x: F.split(x, "[|]", 3))
+    sets = sets.filter(F.size("own").between(1, max_tokens)).withColumn("parts", parts)
+    groups = F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform("parts", lambda x: x[1].cast("int")))), lambda g: g.cast("string")), ".")
+    sets = sets.filter(F.col("parts")[0][0] == groups)  # the others are counted elsewhere
+    sets = scratch.table(sets.select(F.array_sort(F.transform("parts", lambda x: x[2])).alias("tokens"), "verdict", "freq"), "sets")
     base = sets.filter("verdict = ''").select("tokens", F.col("freq").alias("all"))
-    rules = sets.filter("verdict <> '' and size(tokens) > 0").join(base, "tokens").withColumn("confidence", F.col("freq") / F.col("all")).filter(F.col("confidence") >= min_confidence)
-    rules = scratch.table(rules.select("tokens", F.expr(f"substring(verdict, {len(VERDICT) + 1})").alias("verdict"), "confidence", (F.col("freq") / F.lit(max(1, total))).alias("support")), "rules")
-    for k in range(max_tokens):
-        at = F.get("tokens", F.lit(k))
-        other = few.select(F.col("rep"), F.col("token").alias("other"))
-        rules = rules.withColumn("rep", at).join(other, "rep", "left").withColumn("tokens", F.when(F.col("other").isNotNull(), F.expr(f"transform(tokens, (t, i) -> if(i = {k}, other, t))")).otherwise(F.col("tokens"))).drop("rep", "other")
-    # sets of tokens that occur in the same rows: two and three of one group are as sure as one, so pruning needs none of them
-    return rules.withColumn("tokens", F.array_sort("tokens"))
+    rules = sets.filter("verdict <> ''").join(base, "tokens").withColumn("confidence", F.col("freq") / F.col("all")).filter(F.col("confidence") >= min_confidence)
+    return scratch.table(rules.select("tokens", F.expr(f"substring(verdict, {len(VERDICT) + 1})").alias("verdict"), "confidence", (F.col("freq") / F.lit(total)).alias("support")), "rules")
 
 
 def prune(rules: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -69,8 +70,6 @@ def test_rules_against_counting(spark):
     rows = [(sorted({rng.choice("abcdef") for _ in range(4)}), rng.choice(["allow", "block", "block"])) for _ in range(300)]
     df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
     got = {(tuple(r.tokens), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in urls.mine(df, min_support=0.05, min_confidence=0.6).collect()}
-    import itertools
-
     want = {}
     for k in (1, 2, 3):
         for s in itertools.combinations("abcdef", k):
@@ -95,6 +94,21 @@ def test_tokens_of_the_same_rows_do_not_multiply_sets(spark):
     assert got == {((t,), "block"): 1.0 for t in many}
 
 
+def test_tokens_that_are_common_together_do_not_multiply_sets(spark):
+    rng = random.Random(40)
+    rows = [([f"t{k:02d}" for k in range(40) if rng.random() < 0.95], rng.choice(["allow", "block", "block"])) for _ in range(400)]  # all 2 ** 40 sets of up to a few tokens are frequent
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    got = {(tuple(r.tokens), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in urls.mine(df, min_support=0.3, min_confidence=0.66, max_tokens=2).collect()}
+    want = {}
+    for k in (1, 2):
+        for s in itertools.combinations([f"t{k:02d}" for k in range(40)], k):
+            own = [v for t, v in rows if set(s) <= set(t)]
+            for v in ("allow", "block"):
+                if own.count(v) >= 0.3 * 400 and own.count(v) / len(own) >= 0.66:
+                    want[s, v] = round(own.count(v) / len(own), 9), round(own.count(v) / 400, 9)
+    assert want and got == want
+
+
 def test_judging_against_every_rule(spark):
     rng = random.Random(8)
     urls_ = [f"http://{rng.choice(['a', 'www', 'm'])}.{rng.choice(['example', 'shop', 'news'])}.{rng.choice(['com', 'net', 'org', 'de'])}/{rng.choice(['en', 'es', 'fr'])}/{rng.choice(['x', 'y', '7', 'a/b/c'])}{rng.choice(['', '.html', '?id=1', '?id=1&q=2'])}" for _ in range(500)]
