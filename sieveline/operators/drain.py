@@ -6,20 +6,20 @@ first words go the same way, so these are aggregated first, a level is two windo
 one join brings the paths back to the records.
 
 In a leaf whose literal path covers the needed share of words all messages are alike enough, so it has exactly one
-template: a word where all agree, else a wildcard.  Other leaves are order dependent and go through the online loop,
-in one Python group each.
+template: a word where all agree, else a wildcard.  Other leaves are order dependent: their distinct messages go through the online
+loop, in one Python group for each leaf, and records are joined to what that says of their message.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..session import ship
+from ..session import ship, written
 
 #: Default parameters and the number of example records.
 DEPTH, MAX_CHILDREN, THRESHOLD, EXAMPLES = 4, 128, 0.5, 3
@@ -35,18 +35,33 @@ def shard(path: Column, level: Column, words: Column, shards: int) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % shards).cast("int")
 
 
-def route(records: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN) -> DataFrame:
-    """Adds `path` (array of L + word, or W for the shared child) to records with `record_id, tokens, word_count`."""
-    head = F.slice("tokens", 1, max(1, depth))
-    heads = records.groupBy("word_count", head.alias("head")).agg(F.min("record_id").alias("first"))
-    heads = heads.withColumn("path", F.expr("cast(array() as array<string>)"))
+def heads(records: DataFrame, depth: int = DEPTH, shard: str | None = None) -> DataFrame:
+    """The distinct beginnings of `record_id, tokens, word_count` with the record that was `first`; of each `shard` its own, if that is a column."""
+    root = F.concat(F.lit("S"), F.coalesce(F.col(shard).cast("string"), F.lit(""))) if shard else F.lit("")
+    return records.groupBy(root.alias("root"), "word_count", F.slice("tokens", 1, max(1, depth)).alias("head")).agg(F.min("record_id").alias("first"))
+
+
+def paths(beginnings: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN) -> DataFrame:
+    """`root, word_count, head, path`.  What comes later never moves what was there before, so beginnings can be added to those of earlier runs."""
+    out = beginnings.withColumn("path", F.when(F.col("root") == "", F.expr("cast(array() as array<string>)")).otherwise(F.array("root")))
     for k in range(depth):
         came = F.min("first").over(Window.partitionBy("word_count", "path", F.get("head", F.lit(k))))
-        heads = heads.withColumn("came", came)
+        out = out.withColumn("came", came)
         rank = F.dense_rank().over(Window.partitionBy("word_count", "path").orderBy("came"))
         step = F.when(F.col("rank") <= max_children, F.concat(F.lit("L"), F.get("head", F.lit(k)))).otherwise("W")
-        heads = heads.withColumn("rank", rank).withColumn("path", F.when(F.col("word_count") > k, F.concat("path", F.array(step))).otherwise(F.col("path")))
-    return records.withColumn("head", head).join(heads.select("word_count", "head", "path"), ["word_count", "head"]).drop("head")
+        out = out.withColumn("rank", rank).withColumn("path", F.when(F.col("word_count") > k, F.concat("path", F.array(step))).otherwise(F.col("path")))
+    return out.select("root", "word_count", "head", "path")
+
+
+def route(records: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, shard: str | None = None, beginnings: DataFrame | None = None) -> DataFrame:
+    """Adds `path` (array of L + word, or W for the shared child) to records with `record_id, tokens, word_count`.
+
+    With `shard`, a column, every value of it has a tree of its own.  `beginnings` are those of all records so far, if these are not all.
+    """
+    own = heads(records, depth, shard) if beginnings is None else beginnings
+    root = F.concat(F.lit("S"), F.coalesce(F.col(shard).cast("string"), F.lit(""))) if shard else F.lit("")
+    rows = records.withColumns({"head": F.slice("tokens", 1, max(1, depth)), "root": root})
+    return rows.join(paths(own, depth, max_children), ["root", "word_count", "head"]).drop("head", "root")
 
 
 def literal_share(path: Column, words: Column) -> Column:
@@ -99,22 +114,96 @@ def online(messages: list[list[str]], threshold: float) -> tuple[list[list[str |
     return templates, chosen
 
 
-def online_assigned(routed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Records of leaves that go through the online loop, with `template` (of the whole run) and `template_id`; further columns stay.
+def evolve(messages: list[list[str]], first: list[int], threshold: float, templates: list[list[str | None]] = ()) -> tuple[list[list[str | None]], list[list[tuple[int, int]]]]:  # noqa: B006
+    """Templates of a leaf after its distinct messages in the order of their `first` records, beginning with `templates`, and for each
+    message the records from which on a template is its own.
 
-    A leaf is one group, for each of its messages depends on those before; equal messages are looked up, not compared again.
+    A message that is repeated has a template that covers it, so it changes nothing; but which template is its own can change when
+    another message makes a template more general.  Where several cover it, that with the fewest wildcards has it, then the oldest.
+    """
+    number: dict[str, int] = {}
+    code = lambda words: [-1 if w is None else number.setdefault(w, len(number)) for w in words]
+    width = len(messages[0]) if messages else 0
+    rows = np.array([code(m) for m in messages], dtype=np.int64).reshape(len(messages), width)
+    known = np.full((max(16, 2 * len(templates)), width), -2, dtype=np.int64)
+    n = len(templates)
+    if n:
+        known[:n] = [code(t) for t in templates]
+    wild = (known == -1).sum(1)
+    covered: list[list[int]] = []
+    since: list[list[tuple[int, int]]] = []
+    best = lambda d: min(covered[d], key=lambda i: (wild[i], i))
+    for d, row in enumerate(rows):
+        same = ((known[:n] == row) | (known[:n] == -1)).sum(1)
+        covered.append(np.flatnonzero(same == width).tolist())
+        i = min(range(n), key=lambda i: (-same[i], wild[i], i)) if n and n <= 8 else int(np.lexsort((np.arange(n), wild[:n], -same))[0]) if n else -1
+        if i < 0 or (same[i] / width if width else 1.0) < threshold:
+            if n == len(known):
+                known, wild = np.concatenate([known, np.full_like(known, -2)]), np.concatenate([wild, np.zeros_like(wild)])
+            i, known[n], wild[n] = n, row, 0
+            n += 1
+            covered[d].append(i)
+        elif same[i] < width:
+            known[i][known[i] != row] = -1
+            wild[i] = (known[i] == -1).sum()
+            now = np.flatnonzero(((rows[:d] == known[i]) | (known[i] == -1)).all(1)) if d else []
+            for e in now:
+                if i not in covered[e]:
+                    covered[e].append(i)
+                if (own := best(e)) != since[e][-1][1]:
+                    since[e].append((first[d], own))
+            covered[d].append(i)
+        since.append([(first[d], i)])
+    words = list(number)
+    return [[None if c < 0 else words[c] for c in t] for t in known[:n].tolist()], since
+
+
+FOUND = "word_count int, path array<string>, k int, tokens array<string>, since array<struct<at: long, k: int>>"
+
+
+def _evolve_leaf(threshold: float):  # noqa: ANN202
+    """Functions without and with earlier templates: of a leaf's distinct messages (and the templates it had) the templates, with their number `k`, and the messages with `since`."""
+
+    def both(messages: pa.Table, earlier: pa.Table | None) -> pa.Table:
+        messages = messages.sort_by("first")
+        some = messages if len(messages) else earlier
+        old = earlier.sort_by("k").column("tokens").to_pylist() if earlier is not None else []
+        own = messages.column("tokens").to_pylist()
+        templates, since = evolve(own, messages.column("first").to_pylist(), threshold, old) if own else (old, [])
+        k = list(range(len(templates))) + [None] * len(own)
+        stamps = [None] * len(templates) + [[{"at": a, "k": i} for a, i in s] for s in since]
+        words, path = some.column("word_count")[0].as_py(), some.column("path")[0].as_py()
+        cols = [pa.array([words] * len(k), pa.int32()), pa.array([path] * len(k), pa.list_(pa.string())), pa.array(k, pa.int32()), pa.array(templates + own, pa.list_(pa.string())), pa.array(stamps, pa.list_(pa.struct([("at", pa.int64()), ("k", pa.int32())])))]
+        return pa.table(cols, names=["word_count", "path", "k", "tokens", "since"])
+
+    return (lambda messages: both(messages, None)), both
+
+
+def evolved(routed: DataFrame, threshold: float = THRESHOLD, earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Templates `word_count, path, k, tokens` of order-dependent leaves, and the records with their template's number `k`.
+
+    Only distinct messages go through the loop; records meet the stamps of their message by a join, in which a frequent message is
+    split.  `earlier` are templates of the same columns that the leaves had before.
     """
-    ship(routed.sparkSession)
+    spark = routed.sparkSession
+    ship(spark)
+    distinct = routed.groupBy("word_count", "path", "tokens").agg(F.min("record_id").alias("first"))
+    if earlier is None:
+        done = distinct.groupBy("word_count", "path").applyInArrow(_evolve_leaf(threshold)[0], FOUND)
+    else:
+        done = distinct.groupBy("word_count", "path").cogroup(earlier.select("word_count", "path", "k", "tokens").groupBy("word_count", "path")).applyInArrow(_evolve_leaf(threshold)[1], FOUND)
+    done = written(done, "leaves")
+    templates = done.filter("k is not null").select("word_count", "path", "k", "tokens")
+    stamps = done.filter("k is null").select("word_count", "path", "tokens", "since")
+    at = F.element_at(F.filter("since", lambda s: s["at"] <= F.col("record_id")), -1)["k"]
+    return templates, routed.join(stamps, ["word_count", "path", "tokens"]).withColumn("k", at).drop("since")
 
-    def leaf(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("record_id")
-        templates, chosen = online(rows.column("tokens").to_pylist(), threshold)
-        found = pa.array(templates, pa.list_(pa.string())).take(pa.array(chosen, pa.int64()))
-        return rows.append_column("template", found)
 
-    schema = T_.StructType([*routed.schema.fields, T_.StructField("template", T_.ArrayType(T_.StringType()))])
-    out = routed.groupBy("word_count", "path").applyInArrow(leaf, schema)
-    return out.withColumn("template_id", T.template_id("template"))
+def online_assigned(routed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Records of order-dependent leaves, with `template` (of the whole run) and `template_id`; further columns stay."""
+    templates, rows = evolved(routed, threshold)
+    out = rows.join(templates.withColumnRenamed("tokens", "template"), ["word_count", "path", "k"]).drop("k")
+    return out.select(*routed.columns, "template").withColumn("template_id", T.template_id("template"))
 
 
 def online_templates(routed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -132,9 +221,9 @@ def mine(records: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDRE
     return closed_templates(routed.filter(closed)).select(*cols).unionByName(online_templates(routed.filter(~closed), threshold).select(*cols))
 
 
-def assigned(records: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, threshold: float = THRESHOLD) -> DataFrame:
-    """Every record of `record_id, message, ...` with `tokens`, its `template` and `template_id`."""
-    routed = route(tokenised(records), depth, max_children)
+def assigned(records: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, threshold: float = THRESHOLD, shard: str | None = None) -> DataFrame:
+    """Every record of `record_id, message, ...` with `tokens`, its `template` and `template_id`; values of `shard` are mined apart."""
+    routed = route(tokenised(records), depth, max_children, shard)
     closed = literal_share(F.col("path"), F.col("word_count")) >= threshold
     shut = routed.filter(closed)
     return assign(shut, closed_templates(shut)).unionByName(online_assigned(routed.filter(~closed), threshold))
@@ -215,9 +304,12 @@ def merge_similar(templates: DataFrame, groups: list[str] | None = None, shard:
     return _finish(merged.drop("family"))
 
 
-def merged_records(assigned_: DataFrame) -> DataFrame:
-    """Assigned records whose templates went through the merge pass."""
-    out = _families(templates_of(assigned_), [], None).select("template_id", F.col("tokens").alias("template"))
+def merged_records(assigned_: DataFrame, shard: str | None = None) -> DataFrame:
+    """Assigned records whose templates went through the merge pass; with `shard`, a column, only templates that differ in it meet."""
+    templates = templates_of(assigned_)
+    if shard:
+        templates = templates.join(assigned_.select("template_id", F.coalesce(F.col(shard).cast("string"), F.lit("")).alias("_shard")).distinct(), "template_id")
+    out = _families(templates, [], "_shard" if shard else None).select("template_id", F.col("tokens").alias("template")).distinct()
     return assigned_.drop("template").join(out, "template_id").withColumn("template_id", T.template_id("template"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +15,8 @@ from ..session import written
 
 @dataclass(frozen=True)
 class Options:
-    """Parameters of a run; `mode` and `format` override what is detected, `merge` joins templates that differ in one word, and
-    templates with fewer records than `min_cluster_size` show their first record."""
+    """Parameters of a run; `mode` and `format` override what is detected, `merge` joins templates that differ in one word, `by_path` mines
+    messages of every `source_path` apart (and then only templates of different paths are joined), and templates with fewer records than `min_cluster_size` show their first record."""
 
     depth: int = drain.DEPTH
     max_children: int = drain.MAX_CHILDREN
@@ -32,6 +32,7 @@ class Options:
     tokens: int | None = None
     bytes_per_token: float = 4.0
     merge: bool = False
+    by_path: bool = False
 
 
 def is_large(lines: DataFrame) -> bool:
@@ -90,11 +91,12 @@ def entries(messages: DataFrame, past: DataFrame | None = None, options: Options
     """`condense` with the parts of each entry: `examples`, `slots`, and where `messages` has the columns, `paths` of `source_path`
     and `first_seen, last_seen` and quantiles `p50, p99` of the gaps of `ts`.
 
-    Every record is assigned to its template, so this reads more than `condense`; the lists are bounded by the template's words,
-    the examples and the distinct paths.
+    A template that several paths have is one entry.  The records with their templates are written once, for all parts; the lists are bounded by the template's
+    words, the examples and the distinct paths.
     """
-    own = drain.assigned(messages, options.depth, options.max_children, options.sim_threshold)
-    own = drain.merged_records(own) if options.merge else own
+    shard = "source_path" if options.by_path else None
+    own = drain.assigned(messages, options.depth, options.max_children, options.sim_threshold, shard)
+    own = written(drain.merged_records(own, shard) if options.merge else own, "assigned")
     templates = drain.templates_of(own)
     if past is None:
         past = messages.sparkSession.createDataFrame([], "template_id long, past long")
@@ -118,7 +120,7 @@ def condense_json(nodes: DataFrame, past: DataFrame | None = None, options: Opti
     lines = texts.filter("class = 'line'").select("doc", "place", "source_path", F.lit(0).cast("long").alias("record_id"), "message")
     rows = lines.unionByName(jsondoc.fold_texts(texts).select("doc", "place", "source_path", "record_id", "message"))
     rows = in_order(rows, ["doc", "place", "record_id"])
-    return entries(rows.select("record_id", "message", "source_path"), past, options, exact)
+    return entries(rows.select("record_id", "message", "source_path"), past, replace(options, by_path=True), exact)
 
 
 def in_order(rows: DataFrame, keys: list[str]) -> DataFrame:

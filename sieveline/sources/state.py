@@ -15,6 +15,9 @@ from . import dictionary
 
 HISTORY = "template_id long, count long, run_id string, run_ts long, project string"
 DICTIONARIES = "data binary, runs long, run_id string, project string"
+#: What mining goes on from: distinct beginnings of messages, and the templates of leaves.
+BEGINNINGS = "root string, word_count int, head array<string>, first long"
+LEAVES = "word_count int, path array<string>, k int, tokens array<string>, count long, first_record_id long"
 TEMPLATES = "template_id long, pattern string, count long, run_id string, run_ts long, project string"
 
 
@@ -49,6 +52,20 @@ class State:
     def templates(self) -> DataFrame:
         return self._read("templates", TEMPLATES)
 
+    def before(self, name: str, schema: str, run_id: str) -> DataFrame:
+        """Rows that runs before `run_id` have put into the table `name`."""
+        rows = self._read(name, f"{schema}, run_id string, project string").filter(F.col("run_id") < run_id)
+        return rows.drop("run_id", "project")
+
+    def latest(self, name: str, schema: str, run_id: str) -> DataFrame:
+        """Rows of the last run before `run_id`."""
+        rows = self._read(name, f"{schema}, run_id string, project string").filter(F.col("run_id") < run_id)
+        last = rows.agg(F.max("run_id")).first()[0]
+        return rows.filter(F.col("run_id") == F.lit(last)).drop("run_id", "project")
+
+    def put(self, name: str, rows: DataFrame, run_id: str) -> None:
+        self._write(rows.withColumns({"run_id": F.lit(run_id), "project": F.lit(self.project)}), name)
+
     def append(self, templates: DataFrame, run_id: str, run_ts: int) -> None:
         """Write the counts of a run; its partition is replaced if the run is repeated.
 
@@ -91,6 +108,6 @@ class State:
     def reset(self) -> None:
         """Forget the project."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in ("history", "templates", "dictionaries"):
+        for name in ("history", "templates", "dictionaries", "beginnings", "leaves"):
             p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/project={self.project}")
             p.getFileSystem(conf).delete(p, True)

@@ -409,6 +409,66 @@ def test_stream(spark, tmp_path):
     assert last == {"alpha one two": "normal", "brand new line here": "novelty"}
 
 
+def several_templates(rng, n=400):
+    """Messages of two lengths whose leaves hold several templates that change over time."""
+    words = lambda k: [rng.choice("abcdefg") for _ in range(k)]
+    return [" ".join([rng.choice(["p", "q", "r", "s", "t"]), *words(rng.choice([3, 4]))]) for _ in range(n)]
+
+
+def test_evolving_templates_equal_the_loop():
+    for seed in range(300):
+        rng = random.Random(seed)
+        width, least = rng.randrange(6), rng.choice([0.0, 0.3, 0.5, 0.7, 1.0])
+        messages = [[rng.choice("abc") for _ in range(width)] for _ in range(rng.randrange(1, 50))]
+        templates, chosen = drain.online(messages, least)
+        for cut in (0, rng.randrange(len(messages) + 1)):
+            now, got = [], []
+            for part in (list(enumerate(messages))[:cut], list(enumerate(messages))[cut:]):
+                first = {}
+                for i, m in part:
+                    first.setdefault(tuple(m), i)
+                if part:
+                    now, since = drain.evolve([list(m) for m in first], list(first.values()), least, now)
+                    by = dict(zip(first, since, strict=True))
+                    got += [[k for at, k in by[tuple(m)] if at <= i][-1] for i, m in part]
+            assert now == templates and got == chosen
+
+
+def test_records_of_order_dependent_leaves(spark):
+    messages = several_templates(random.Random(7))
+    rows = spark.createDataFrame(list(enumerate(messages)), "record_id long, message string").repartition(5)
+    routed = drain.route(drain.tokenised(rows), 2, 2)
+    got = {r.record_id: r.template for r in drain.online_assigned(routed, 0.6).collect()}
+    leaves = collections.defaultdict(list)
+    for r in sorted(routed.collect(), key=lambda r: r.record_id):
+        leaves[r.word_count, tuple(r.path)].append(r)
+    assert max(len(drain.online([r.tokens for r in own], 0.6)[0]) for own in leaves.values()) > 3
+    for own in leaves.values():
+        templates, chosen = drain.online([r.tokens for r in own], 0.6)
+        assert [got[r.record_id] for r in own] == [templates[c] for c in chosen]
+
+
+def test_batches_give_the_templates_of_one_run(spark, tmp_path):
+    from sieveline.sources.state import BEGINNINGS, LEAVES
+    from sieveline.streaming.batches import advance, templates_of
+
+    rng = random.Random(9)
+    messages = several_templates(rng) + [f"job {i} done" for i in range(60)] + ["", "one"] + several_templates(rng, 200)
+    rng.shuffle(messages)
+    frame = lambda part: spark.createDataFrame(part, "record_id long, message string")
+    numbered = list(enumerate(messages))
+    options = Options(depth=2, max_children=3, sim_threshold=0.6)
+    state = State(spark, str(tmp_path), "p")
+    for k, (a, b) in enumerate([(0, 150), (150, 400), (400, len(messages))]):
+        mined = advance(frame(numbered[a:b]), state.before("beginnings", BEGINNINGS, f"b{k}"), state.latest("leaves", LEAVES, f"b{k}"), options)
+        assert mined.templates.agg(F.sum("count")).first()[0] == b - a
+        state.put("beginnings", mined.beginnings, f"b{k}")
+        state.put("leaves", mined.leaves, f"b{k}")
+    key = lambda df: sorted((r.pattern, r["count"], r.first_record_id) for r in df.collect())
+    whole = drain.mine(frame(numbered), 2, 3, 0.6).groupBy("template_id", "pattern").agg(F.sum("count").alias("count"), F.min("first_record_id").alias("first_record_id"))
+    assert key(templates_of(state.latest("leaves", LEAVES, "b9"))) == key(whole)
+
+
 def test_templates_go_on(spark):
     first = spark.createDataFrame([(i, f"job {i} done") for i in range(5)] + [(9, "a * b"), (10, "")], "record_id long, message string")
     old = condense(first, None, Options(max_children=2)).select("template_id", "pattern", "count")
