@@ -130,6 +130,8 @@ def lines_of(spark: SparkSession, a: argparse.Namespace) -> Iterator[str]:
         yield from objects(render.ndjson(scored.orderBy(*score.ranking())), a.output) if a.format == "json" else shown(scored, a.format, options, a.file, stats)
         if not a.no_state:
             state.append(scored.select("template_id", "pattern", "count"), f"run-{now}", now)
+            if a.mode == "json":
+                state.put("sketches", jsondoc.sketches(nodes), f"run-{now}")
             state.refresh_dictionary(lines.select("line"))
     finally:
         scored.unpersist()

@@ -143,7 +143,57 @@ def focus(nodes: DataFrame, path: str) -> DataFrame:
 
 def leaf_scan(nodes: DataFrame, path: str) -> DataFrame:
     """All values at a path, over every element, without sampling."""
-    return focus(nodes, path).filter("type not in ('object', 'array')").groupBy("path", "value").agg(F.count("*").alias("n"))
+    return value_counts(focus(nodes, path))
+
+
+def value_counts(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("type not in ('object', 'array')").groupBy("path", "value").agg(F.count("*").alias("n"))
+
+
+def walk_at(docs: DataFrame, path: str, doc: str = "doc", json: str = "json", max_depth: int = MAX_DEPTH) -> DataFrame:
+    """focus(walk(docs), path) without the walk: the path becomes a chain of gets, and an explode for each [*]; what is beside it is
+    not entered."""
+    rows = docs.select(F.col(doc).alias("doc"), F.try_parse_json(F.col(json)).alias("v"), F.lit("$").alias("place"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("index"))
+    depth = 0
+    for step in steps(path):
+        depth += 1
+        rows = rows.withColumn("parent", F.col("place"))
+        if isinstance(step, str):
+            plain = not set(step) & set("'\\")
+            got = F.try_variant_get("v", f"$['{step}']", "variant") if plain else F.try_element_at(F.try_variant_get("v", "$", "map<string,variant>"), F.lit(step))
+            rows = rows.withColumns({"v": got, "place": F.concat("place", F.lit("." + step)), "path": F.when(F.col("path") == "", F.lit(step)).otherwise(F.concat("path", F.lit("." + step))), "index": F.lit(None).cast("int")})
+        elif step is None:
+            rows = rows.select("doc", "place", "path", "parent", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("index", "v"))
+        else:
+            rows = rows.withColumns({"v": F.try_variant_get("v", f"$[{step}]", "variant"), "index": F.lit(step)})
+        if not isinstance(step, str):
+            rows = rows.withColumns({"place": F.concat("place", F.lit("["), F.col("index").cast("string"), F.lit("]")), "path": F.concat("path", F.lit("[]"))})
+        rows = rows.filter("v is not null")
+    start = f"named_struct('place', place, 'path', path, 'parent', parent, 'depth', {depth}, 'index', index, 'v', v)"
+    return _nodes(rows.filter("v is not null").filter(F.lit(depth <= max_depth)), start, max(max_depth, 1))
+
+
+#: Sketches: 2 ** HLL_BITS registers (a standard error of 0.8 %), and the size of the quantile sketch (a rank error of about 1 %).
+HLL_BITS, KLL_SIZE = 14, 400
+
+
+def sketches(nodes: DataFrame) -> DataFrame:
+    """`path, hll, kll`: sketches of the distinct scalars and of the numbers of each path, which merged() puts together over documents, runs
+    and batches."""
+    scalar = F.when(~F.col("type").isin("object", "array", "null"), F.col("value"))
+    number = F.when(F.col("type").isin("int", "float"), F.col("value").try_cast("double"))
+    return nodes.groupBy("path").agg(F.hll_sketch_agg(scalar, HLL_BITS).alias("hll"), F.kll_sketch_agg_double(number, F.lit(KLL_SIZE)).alias("kll"))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("path").agg(F.hll_union_agg("hll").alias("hll"), F.kll_merge_agg_double("kll", F.lit(KLL_SIZE)).alias("kll"))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """`path, distinct, n, p50, p99` of sketches; `n` counts numbers."""
+    n = F.kll_sketch_get_n_double("kll")
+    quantile = lambda p: F.when(n > 0, F.kll_sketch_get_quantile_double("kll", F.lit(p)))
+    return rows.select("path", F.hll_sketch_estimate("hll").alias("distinct"), n.alias("n"), quantile(0.5).alias("p50"), quantile(0.99).alias("p99"))
 
 
 def key_tiers(nodes: DataFrame) -> DataFrame:

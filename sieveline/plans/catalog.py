@@ -15,7 +15,8 @@ from ..sources import corpora as C
 from ..sources import dictionary as D
 from ..sources import lines as L
 from ..sources import state as S
-from .condense import Options, condense, entries
+from ..streaming import batches
+from .condense import Options, condense, condense_json, entries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,11 +93,6 @@ def sink_ndjson(spark, sf):  # noqa: ANN001, ANN201
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query("SELECT p AS folder, left(md5(p), 16) AS slug FROM (VALUES ('/'), ('/srv/logs'), ('/var/log/app')) t(p)")
-def project_slug(spark, sf):  # noqa: ANN001, ANN201
-    return spark.createDataFrame([(p, S.project_slug(p)) for p in ("/", "/srv/logs", "/var/log/app")], "folder string, slug string")
-
-
 @query(f"SELECT event_id AS record_id, {C.EVENT} AS line FROM events")
 def dictionary_roundtrip(spark, sf):  # noqa: ANN001, ANN201
     """Lines packed with a dictionary that was trained on them, and unpacked again."""
@@ -358,6 +354,18 @@ def drain_general(spark, sf):  # noqa: ANN001, ANN201
     return drain.online_templates(_routed(spark, sf, C.EVENT, 4, 3)).select("template_id", "pattern", "wildcard_count", "word_count", F.array_join("path", " ").alias("path"), "count", "first_record_id")
 
 
+@query(_routed_sql(_EVENT, 4, 3) + "SELECT template_id, pattern, CAST(sum(count) AS BIGINT) AS count, min(first_record_id) AS first_record_id FROM tpl GROUP BY template_id, pattern")
+def drain_batches(spark, sf):  # noqa: ANN001, ANN201
+    """Three batches, each mined on top of what those before left: the templates and counts of one run."""
+    rows = C.events(spark, sf, C.EVENT)
+    share = F.floor(F.col("record_id") * 3 / (rows.agg(F.max("record_id")).first()[0] + 1))
+    beginnings, leaves = spark.createDataFrame([], S.BEGINNINGS), spark.createDataFrame([], S.LEAVES)
+    for k in range(3):
+        mined = batches.advance(rows.filter(share == k), beginnings, leaves, Options(depth=4, max_children=3))
+        beginnings, leaves = beginnings.unionByName(mined.beginnings.select(beginnings.columns)), mined.leaves
+    return batches.templates_of(leaves).select("template_id", "pattern", "count", "first_record_id")
+
+
 @query(_routed_sql(_SHORT, 4, 128) + "SELECT template_id, array_to_string(list(message ORDER BY record_id)[1:3], '|') AS examples FROM r4 JOIN tpl USING (word_count, path) GROUP BY template_id")
 def template_examples(spark, sf):  # noqa: ANN001, ANN201
     routed = _routed(spark, sf)
@@ -705,12 +713,59 @@ def json_depth_limit(spark, sf):  # noqa: ANN001, ANN201
 
 @query(f"SELECT doc, place, type, value FROM {_TREE} WHERE regexp_matches(place, '^\\$\\.orders\\[[0-9]+\\]\\.status([.\\[].*)?$')")
 def json_path_focus(spark, sf):  # noqa: ANN001, ANN201
-    return jsondoc.focus(_nodes(spark, sf), "orders[*].status").select("doc", "place", "type", "value")
+    return jsondoc.walk_at(C.orders_json(spark, sf), "orders[*].status").select("doc", "place", "type", "value")
 
 
 @query(f"SELECT path, value, count(*) AS n FROM {_TREE} WHERE path = 'orders[].status' GROUP BY path, value")
 def json_leaf_scan(spark, sf):  # noqa: ANN001, ANN201
-    return jsondoc.leaf_scan(_nodes(spark, sf), "orders[*].status")
+    return jsondoc.value_counts(jsondoc.walk_at(C.orders_json(spark, sf), "orders[*].status"))
+
+
+@query(f"SELECT doc, place, path, type, value FROM {_TREE} WHERE regexp_matches(place, '^\\$\\.orders\\[1\\]([.\\[].*)?$') UNION ALL SELECT doc, place, path, type, value FROM {_TREE} WHERE place = '$.who.name'")
+def json_path_steps(spark, sf):  # noqa: ANN001, ANN201
+    """One element with all below it, and the key of a key."""
+    docs = C.orders_json(spark, sf)
+    return jsondoc.walk_at(docs, "orders[1]").unionByName(jsondoc.walk_at(docs, ".who.name")).select("doc", "place", "path", "type", "value")
+
+
+def _merged_sketches(nodes: DataFrame) -> DataFrame:
+    """Sketches of four runs, put together."""
+    runs = [jsondoc.sketches(nodes.filter(F.col("doc") % 4 == k)) for k in range(4)]
+    return jsondoc.estimates(jsondoc.merged(runs[0].unionByName(runs[1]).unionByName(runs[2]).unionByName(runs[3])))
+
+
+@query(f"SELECT path, count(DISTINCT value) AS distinct, true AS close FROM {_TREE} WHERE type NOT IN ('object', 'array', 'null') GROUP BY path")
+def json_distinct_sketch(spark, sf):  # noqa: ANN001, ANN201
+    """Distinct values by sketches of four runs, within 2 % of the exact number."""
+    nodes = _nodes(spark, sf)
+    both = jsondoc.cardinality(nodes, exact=True).join(_merged_sketches(nodes).withColumnRenamed("distinct", "estimate"), "path")
+    return both.select("path", "distinct", (F.abs(F.col("estimate") - F.col("distinct")) <= 0.02 * F.col("distinct") + 0.5).alias("close"))
+
+
+@query(f"SELECT path, count(*) AS n, true AS close FROM {_TREE} WHERE type IN ('int', 'float') GROUP BY path")
+def json_quantile_sketch(spark, sf):  # noqa: ANN001, ANN201
+    """Quantiles by sketches of four runs, whose ranks in the values are within 2 % of what was asked for."""
+    nodes = _nodes(spark, sf)
+    found = _merged_sketches(nodes).filter("n > 0").select("path", "p50", "p99")
+    x = F.col("value").cast("double")
+    rank = lambda q, p: (F.avg((x < F.col(q)).cast("double")) <= p + 0.02) & (F.avg((x <= F.col(q)).cast("double")) >= p - 0.02)
+    return nodes.filter("type in ('int', 'float')").join(found, "path").groupBy("path").agg(F.count("*").alias("n"), (rank("p50", 0.5) & rank("p99", 0.99)).alias("close"))
+
+
+_SENT = "concat_ws(' ', upper(event_type), 'was', 'sent', 'to', CAST(user_id AS STRING), 'with', 'the', 'payload', 'that', 'follows', 'of', 'kind', event_type, props)"
+
+
+@query(f"""WITH e AS (SELECT event_type AS t, CASE WHEN event_id % 2 = 0 THEN 'log.text' ELSE 'errors[].text' END AS path, string_split({_SENT}, ' ') AS tokens FROM events),
+    s AS (SELECT t, path, len(tokens) AS size, pos, CASE WHEN min(tok) = max(tok) THEN min(tok) ELSE '*' END AS tok, count(*) AS n FROM (SELECT t, path, tokens, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS tok FROM e) GROUP BY ALL),
+    p AS (SELECT t, path, string_agg(tok, ' ' ORDER BY pos) AS pattern, max(n) AS n FROM s GROUP BY t, path, size)
+    SELECT pattern, CAST(sum(n) AS BIGINT) AS count, string_agg(path || '=' || n, '|' ORDER BY path) AS paths FROM p GROUP BY pattern""")
+def json_templates(spark, sf):  # noqa: ANN001, ANN201
+    """Templates of texts in documents, mined by path, with the paths they come from."""
+    text = F.expr(_SENT)
+    even = F.col("event_id") % 2 == 0
+    docs = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("doc"), F.to_json(F.when(even, F.struct(F.struct(text.alias("text")).alias("log"), F.lit(None).cast("array<struct<text:string>>").alias("errors"))).otherwise(F.struct(F.lit(None).cast("struct<text:string>").alias("log"), F.array(F.struct(text.alias("text"))).alias("errors")))).alias("json"))
+    found = condense_json(jsondoc.walk(docs), None, Options(entropy_threshold=8.0))
+    return found.select("pattern", "count", F.array_join(F.transform(F.array_sort(F.transform("paths", lambda p: F.struct(p["path"].alias("path"), p["n"].alias("n")))), lambda p: F.concat(p["path"], F.lit("="), p["n"].cast("string"))), "|").alias("paths"))
 
 
 @query(f"""WITH o AS (SELECT path AS object, count(*) AS total FROM {_TREE} WHERE type = 'object' GROUP BY path), k AS (SELECT regexp_replace(path, '\\.?[^.\\[\\]]+$', '') AS object, path, count(*) AS seen FROM {_TREE} WHERE index IS NULL AND parent IS NOT NULL GROUP BY ALL)

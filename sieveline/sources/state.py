@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import score
+from ..operators import jsondoc, score
 from ..session import on_one_machine, shared_folder
 from . import dictionary
 
@@ -18,6 +18,8 @@ DICTIONARIES = "data binary, runs long, run_id string, project string"
 #: What mining goes on from: distinct beginnings of messages, and the templates of leaves.
 BEGINNINGS = "root string, word_count int, head array<string>, first long"
 LEAVES = "word_count int, path array<string>, k int, tokens array<string>, count long, first_record_id long"
+#: Sketches of values by path (see operators.jsondoc), of every run.
+SKETCHES = "path string, hll binary, kll binary"
 TEMPLATES = "template_id long, pattern string, count long, run_id string, run_ts long, project string"
 
 
@@ -52,6 +54,10 @@ class State:
     def templates(self) -> DataFrame:
         return self._read("templates", TEMPLATES)
 
+    def sketches(self) -> DataFrame:
+        """Sketches of all runs, put together."""
+        return jsondoc.merged(self._read("sketches", f"{SKETCHES}, run_id string, project string").drop("run_id", "project"))
+
     def before(self, name: str, schema: str, run_id: str) -> DataFrame:
         """Rows that runs before `run_id` have put into the table `name`."""
         rows = self._read(name, f"{schema}, run_id string, project string").filter(F.col("run_id") < run_id)
@@ -108,6 +114,6 @@ class State:
     def reset(self) -> None:
         """Forget the project."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in ("history", "templates", "dictionaries", "beginnings", "leaves"):
+        for name in ("history", "templates", "dictionaries", "beginnings", "leaves", "sketches"):
             p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/project={self.project}")
             p.getFileSystem(conf).delete(p, True)

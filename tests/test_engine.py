@@ -271,6 +271,32 @@ def test_large_document_has_the_statistics_of_the_whole(spark, tmp_path):
         assert {(r.path, r.value, r.n) for r in jsondoc.leaf_scan(nodes, "rows[7].k").collect()} == {("rows[].k", "7", 1)}
 
 
+def test_walk_at_a_path_equals_the_focus_of_the_whole(spark):
+    rng = random.Random(3)
+    docs = [json.dumps({"a": [json_like(rng) for _ in range(4)], "it's": {"b": json_like(rng)}, "n": None}) for _ in range(40)] + ["", "[1]", "[tru", '{"a":{"0":1}}', None]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc long, json string")
+    nodes = jsondoc.walk(frame, max_depth=5).persist()
+    key = lambda df: sorted(map(str, df.select("doc", "place", "path", "parent", "depth", "type", "value", "index", "size").collect()))
+    for path in ("a[*]", "a[2]", "a", ".it's.b", "n", "a[*].k0", "a[0][*]", "[0]", "x.y", "a[*][1]"):
+        assert key(jsondoc.walk_at(frame, path, max_depth=5)) == key(jsondoc.focus(nodes, path)), path
+    plan = jsondoc.walk_at(frame, "a[2]")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1  # only the nodes below, no walk of the whole
+    nodes.unpersist()
+
+
+def test_sketches_of_runs(spark, tmp_path):
+    rows = [(i, json.dumps({"k": i % 3000, "s": f"v{i}", "e": []})) for i in range(6000)]
+    nodes = jsondoc.walk(spark.createDataFrame(rows, "doc long, json string").repartition(8))
+    state = State(spark, str(tmp_path), "p")
+    assert state.sketches().count() == 0
+    for k in range(3):
+        state.put("sketches", jsondoc.sketches(nodes.filter(F.col("doc") % 3 == k)), f"r{k}")
+    got = {r.path: r for r in jsondoc.estimates(state.sketches()).collect()}
+    assert abs(got["k"].distinct - 3000) <= 60 and abs(got["s"].distinct - 6000) <= 120
+    assert got["k"].n == 6000 and abs(got["k"].p50 - 1500) <= 60 and abs(got["k"].p99 - 2970) <= 60
+    assert got["e"].distinct == 0 and got["e"].p50 is None
+
+
 def test_running_sum(spark):
     rng = random.Random(4)
     rows = [(rng.randrange(30), rng.randrange(100), k) for k in range(500)]
