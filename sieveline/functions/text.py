@@ -52,8 +52,9 @@ def is_blank(line: Column | str) -> Column:
 
 
 def is_json(line: Column | str) -> Column:
-    """Any JSON value; the guard on the last character makes up for the parser's tolerance of trailing text."""
-    return F.try_parse_json(_col(line)).isNotNull() & F.regexp_like(_col(line), F.lit(r'[}\]"0-9a-z][ \t\n\f\r]*\z'))
+    """Any JSON value.  Only what begins and ends like one is parsed; the end also makes up for the parser's tolerance of trailing text."""
+    ends = F.regexp_like(_col(line), F.lit(r'^[ \t\n\f\r]*[{\["0-9tfn-]')) & F.regexp_like(_col(line), F.lit(r'[}\]"0-9a-z][ \t\n\f\r]*\z'))
+    return ends & F.try_parse_json(_col(line)).isNotNull()
 
 
 def is_logfmt(line: Column | str, compat: bool = False) -> Column:

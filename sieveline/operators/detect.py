@@ -42,8 +42,18 @@ def format_shares(lines: DataFrame, by: list[str], line: str = "line", compat: b
     return shares.withColumn("format", choice)
 
 
+def first_lines(lines: DataFrame, sample: int = 1000, line: str = "line") -> DataFrame:
+    """The first non-empty lines of each file, which its format is judged by."""
+    rank = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
+    return lines.filter(F.col(line) != "").withColumn("rank", rank).filter(F.col("rank") <= sample)
+
+
 def detect_format(lines: DataFrame, sample: int = 1000, line: str = "line") -> str:
     """The format of one input, from its first non-empty lines."""
-    first = lines.filter(F.col(line) != "").withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("line_no"))).filter(F.col("rank") <= sample)
-    row = format_shares(first, [], line).first()
+    row = format_shares(first_lines(lines, sample, line), [], line).first()
     return row["format"] if row else "raw"
+
+
+def formats(lines: DataFrame, sample: int = 1000, line: str = "line") -> DataFrame:
+    """`file, format` of files that have a line."""
+    return format_shares(first_lines(lines, sample, line), ["file"], line).select("file", "format")

@@ -43,8 +43,21 @@ def is_large(lines: DataFrame) -> bool:
 def records(lines: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
     """Folded and parsed records of `file, line_no, line`, with a long `record_id` in the order of files and lines."""
     folded = fold.fold(lines, options.multiline_start, is_large(lines))
-    form = options.format or detect.detect_format(lines)
-    out = parse.parse(folded.withColumnRenamed("message", "line"), form) if form != "raw" else folded
+    read = lambda rows, form: parse.parse(rows.withColumnRenamed("message", "line"), form) if form != "raw" else rows
+    if options.format:
+        out = read(folded, options.format)
+    else:
+        # every file has a format of its own; there are only a few formats
+        found = written(detect.formats(lines), "formats")
+        kinds = [r["format"] for r in found.select("format").distinct().orderBy("format").collect()]
+        if len(kinds) <= 1:
+            out = read(folded, kinds[0] if kinds else "raw")
+        else:
+            told = folded.join(found, "file", "left").withColumn("format", F.coalesce("format", F.lit("raw")))
+            parts = [read(told.filter(F.col("format") == k).drop("format"), k) for k in sorted({*kinds, "raw"})]
+            out = parts[0]
+            for part in parts[1:]:
+                out = out.unionByName(part, allowMissingColumns=True)
     files = running_sum(lines.select("file").distinct().withColumn("_one", F.lit(1).cast("long")), "_one", ["file"], "place").drop("_one")
     return out.join(files, "file").withColumn("record_id", F.shiftleft("place", 40) + F.col("record_id")).drop("place")
 

@@ -297,6 +297,16 @@ def test_sketches_of_runs(spark, tmp_path):
     assert got["e"].distinct == 0 and got["e"].p50 is None
 
 
+def test_every_file_has_its_format(spark, tmp_path):
+    (tmp_path / "a.log").write_text('{"level":"error","msg":"one two"}\n{"level":"info","msg":"three"}\n')
+    (tmp_path / "b.log").write_text("<34>1 2024-10-10T13:55:10Z host app 1 ID1 - hello there\n")
+    (tmp_path / "c.log").write_text("plain line one\n  folded\n")
+    (tmp_path / "d.log").write_text("")
+    rows = records(L.read_lines(spark, str(tmp_path)))
+    got = [(r.file[-5:], r.message, r.level) for r in rows.orderBy("record_id").collect()]
+    assert got == [("a.log", "one two", "ERROR"), ("a.log", "three", "INFO"), ("b.log", "hello there", got[2][2]), ("c.log", "plain line one", None)]
+
+
 def test_running_sum(spark):
     rng = random.Random(4)
     rows = [(rng.randrange(30), rng.randrange(100), k) for k in range(500)]
