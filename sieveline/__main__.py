@@ -58,6 +58,8 @@ def schema_lines(schema: DataFrame, samples: bool) -> list[str]:
             parts.append(f"{r['distinct']} distinct")
         if r["min"] is not None:
             parts.append(f"range=[{r['min']:g}, {r['max']:g}] p50={r['p50']:g} p99={r['p99']:g}")
+        if r["hidden"]:
+            parts.append(f"{r['becomes']} ×{r['hidden']}")
         if samples and r["samples"]:
             parts.append(", ".join(repr(s[:60]) for s in r["samples"]))
         out.append("  ".join(parts))
@@ -108,7 +110,7 @@ def lines_of(spark: SparkSession, a: argparse.Namespace) -> Iterator[str]:
             values = jsondoc.leaf_scan(nodes, a.json_path).orderBy(F.col("n").desc(), "path", "value")
             out = (f"{r['path']}: {r['value']} ×{r['n']}" for r in values.toLocalIterator())  # all of them, one after the other
         else:
-            out = schema_lines(jsondoc.schema(nodes), not a.schema_only)
+            out = schema_lines(jsondoc.bounded_schema(nodes), not a.schema_only)
         if a.schema_only:
             yield from out
             return

@@ -214,8 +214,8 @@ def online_templates(routed: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 
 def mine(records: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, threshold: float = THRESHOLD) -> DataFrame:
-    """Templates of `record_id, message`: closed leaves by aggregation, the others by the online loop."""
-    routed = route(tokenised(records), depth, max_children)
+    """Templates of `record_id, message`: closed leaves by aggregation, the others by the online loop.  Routed records are written once for both."""
+    routed = written(route(tokenised(records), depth, max_children).select("record_id", "word_count", "path", "tokens"), "routed")
     closed = literal_share(F.col("path"), F.col("word_count")) >= threshold
     cols = ["word_count", "path", "tokens", "count", "first_record_id", "template_id", "pattern", "wildcard_count"]
     return closed_templates(routed.filter(closed)).select(*cols).unionByName(online_templates(routed.filter(~closed), threshold).select(*cols))
@@ -223,7 +223,7 @@ def mine(records: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDRE
 
 def assigned(records: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, threshold: float = THRESHOLD, shard: str | None = None) -> DataFrame:
     """Every record of `record_id, message, ...` with `tokens`, its `template` and `template_id`; values of `shard` are mined apart."""
-    routed = route(tokenised(records), depth, max_children, shard)
+    routed = written(route(tokenised(records), depth, max_children, shard), "routed")
     closed = literal_share(F.col("path"), F.col("word_count")) >= threshold
     shut = routed.filter(closed)
     return assign(shut, closed_templates(shut)).unionByName(online_assigned(routed.filter(~closed), threshold))

@@ -221,6 +221,29 @@ def evict(counts: DataFrame, least_seen: int = 5, least_children: int = 2) -> Da
     return out.withColumn("evicted", gone).withColumn("becomes", F.when(gone, F.when(F.col("n_object") > 0, "<VAR_MAP>").otherwise("<OPAQUE_JSON>")))
 
 
+#: Paths that a bounded schema has at most, and those that are tracked while they are counted.
+SCHEMA_PATHS, TRACKED = 10_000, 100_000
+
+
+def frequent_paths(nodes: DataFrame, most: int = SCHEMA_PATHS, tracked: int = TRACKED) -> DataFrame:
+    """`path`: the `most` frequent ones, by a summary of bounded size that gives up rare paths while it aggregates.
+
+    A path with more than about 3.5 / `tracked` of all nodes is always among the tracked; with no more paths than that all counts are exact.
+    """
+    top = nodes.agg(F.expr(f"approx_top_k(path, {int(most)}, {int(tracked)})").alias("top"))
+    return top.select(F.explode("top").alias("t")).select("t.item").withColumnRenamed("item", "path").filter("path is not null")
+
+
+def bounded_schema(nodes: DataFrame, most: int = SCHEMA_PATHS, tracked: int = TRACKED, samples: bool = True) -> DataFrame:
+    """schema() of the most frequent paths, with exact statistics, and what stands for their other children: `hidden` counts these, and
+    `becomes` is what they are shown as."""
+    top = F.broadcast(frequent_paths(nodes, most, tracked))  # at most `most` rows
+    above = F.regexp_replace("path", r"(\.?[^.\[\]]+|\[\])\z", "")
+    rest = nodes.join(top, "path", "left_anti").filter("path <> ''").select(above.alias("path"), "index").join(top, "path", "left_semi")
+    hidden = rest.groupBy("path").agg(F.count("*").alias("hidden"), F.when(F.count("index") == 0, F.lit("<VAR_MAP>")).otherwise(F.lit("<OPAQUE_JSON>")).alias("becomes"))
+    return schema(nodes.join(top, "path", "left_semi"), samples).join(hidden, "path", "left").na.fill(0, ["hidden"])
+
+
 def schema(nodes: DataFrame, samples: bool = True) -> DataFrame:
     """One row for each path with all statistics, in one aggregate; without samples if only the schema is asked for."""
     number = F.when(F.col("type").isin("int", "float"), F.col("value").try_cast("double"))

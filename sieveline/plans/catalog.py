@@ -752,6 +752,12 @@ def json_quantile_sketch(spark, sf):  # noqa: ANN001, ANN201
     return nodes.filter("type in ('int', 'float')").join(found, "path").groupBy("path").agg(F.count("*").alias("n"), (rank("p50", 0.5) & rank("p99", 0.99)).alias("close"))
 
 
+@query(f"SELECT path, count(*) AS observed, CASE WHEN path = 'orders[]' THEN (SELECT count(*) FROM {_TREE} WHERE path = 'orders[].priority') ELSE 0 END AS hidden FROM {_TREE} WHERE path IN ('orders[]', 'orders[].orderkey', 'orders[].status') GROUP BY path")
+def json_bounded_schema(spark, sf):  # noqa: ANN001, ANN201
+    """The three most frequent paths, and how many children of theirs are not shown."""
+    return jsondoc.bounded_schema(_nodes(spark, sf), 3, samples=False).select("path", "observed", "hidden")
+
+
 _SENT = "concat_ws(' ', upper(event_type), 'was', 'sent', 'to', CAST(user_id AS STRING), 'with', 'the', 'payload', 'that', 'follows', 'of', 'kind', event_type, props)"
 
 

@@ -307,6 +307,16 @@ def test_every_file_has_its_format(spark, tmp_path):
     assert got == [("a.log", "one two", "ERROR"), ("a.log", "three", "INFO"), ("b.log", "hello there", got[2][2]), ("c.log", "plain line one", None)]
 
 
+def test_schema_of_random_keys_is_bounded(spark):
+    rows = [(i, json.dumps({"k": i, "m": {f"r{i}a": 1, f"r{i}b": [i]}, **({"rare": 1} if i < 3 else {})})) for i in range(3000)]
+    nodes = jsondoc.walk(spark.createDataFrame(rows, "doc long, json string").repartition(8))
+    got = {r.path: r for r in jsondoc.bounded_schema(nodes, most=3, tracked=512).collect()}
+    assert {p: (r.observed, r.dominant, r.hidden, r.becomes) for p, r in got.items()} == {"": (3000, "object", 3, "<VAR_MAP>"), "k": (3000, "int", 0, None), "m": (3000, "object", 6000, "<VAR_MAP>")}
+    assert (got["k"].min, got["k"].max) == (0, 2999)
+    whole = jsondoc.bounded_schema(nodes.filter("doc < 20")).drop("hidden", "becomes")
+    assert sorted(map(str, whole.collect())) == sorted(map(str, jsondoc.schema(nodes.filter("doc < 20")).select(whole.columns).collect()))
+
+
 def test_running_sum(spark):
     rng = random.Random(4)
     rows = [(rng.randrange(30), rng.randrange(100), k) for k in range(500)]
