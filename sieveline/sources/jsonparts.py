@@ -34,7 +34,7 @@ _STEP[list(b"}]")] = -1
 
 
 #: A scalar and nothing else; Spark's parser would pass over what follows one.
-_SCALAR = re.compile(rb'[ \t\r\n]*(?:"[^"\\\x00-\x1f]*(?:\\.[^"\\\x00-\x1f]*)*"|-?[0-9][0-9.eE+-]*|true|false|null)[ \t\r\n]*', re.DOTALL)
+_SCALAR = re.compile(rb'[ \t\r\n]*(?:"[^"\\\x00-\x1f]*(?:\\.[^"\\\x00-\x1f]*)*"|-?[0-9][0-9.eE+-]*|true|false|null)[ \t\r\n]*\Z', re.DOTALL)
 
 
 class Broken(ValueError):
@@ -162,7 +162,7 @@ def parts(state: State, text: bytes, last: bool, here: str) -> Iterator[tuple]:
     born: dict[str, tuple] = {}
 
     def value(raw: bytes, scalar: bool = True) -> tuple:
-        if scalar and not _SCALAR.fullmatch(raw):
+        if scalar and not _SCALAR.match(raw):
             raise Broken("no value")
         top = frames[-1]
         if top.kind == b"R" and top.values:
