@@ -651,10 +651,12 @@ def json_files(spark, sf):  # noqa: ANN001, ANN201
     """Files of one large document each, written and read again in blocks that end anywhere."""
     path = folder(spark, "documents")
     rows = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey div 50000 AS doc", "o_orderkey AS key", f"{_FILE_JSON} AS line")
-    first = rows.groupBy("doc").agg(F.min("key").alias("first"))
-    lines = rows.join(first, "doc").select("doc", "key", F.when(F.col("key") == F.col("first"), F.col("line")).otherwise(F.concat(F.lit(","), F.col("line"))).alias("line"))
-    ends = first.select("doc", F.inline(F.array(F.struct(F.lit(-1).cast("long").alias("key"), F.lit('{"kind":"a,b", "rows":[').alias("line")), F.struct(F.lit((1 << 63) - 1).alias("key"), F.lit("]}").alias("line")))))
-    lines.unionByName(ends).repartition("doc").sortWithinPartitions("doc", "key").select("doc", "line").write.partitionBy("doc").text(path)
+    # a window needs a document's rows in one task whatever becomes of joins before it, so a document is one file
+    ordered = Window.partitionBy("doc").orderBy("key")
+    before = F.when(F.row_number().over(ordered) == 1, F.lit('{"kind":"a,b", "rows":[\n')).otherwise(F.lit(","))
+    after = F.when(F.lead("key").over(ordered).isNull(), F.lit("\n]}")).otherwise(F.lit(""))
+    lines = rows.select("doc", "key", F.concat(before, "line", after).alias("line"))
+    lines.sortWithinPartitions("doc", "key").select("doc", "line").write.partitionBy("doc").text(path)
     nodes = jsondoc.walk_files(spark, f"{path}/*", block=1 << 18).withColumn("doc", F.regexp_extract("doc", "doc=([0-9]+)", 1).cast("long"))
     number = F.when(F.col("type") == "int", F.col("value").cast("long"))
     return nodes.groupBy("doc", "path", "type").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min(number).alias("least"), F.max(number).alias("most"))

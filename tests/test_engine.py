@@ -480,6 +480,23 @@ def test_evolving_templates_equal_the_loop():
             assert now == templates and got == chosen
 
 
+def test_a_json_document_is_one_file_when_joins_change(spark, tmp_path):
+    """Tables that are larger than a broadcast and in several parts."""
+    from sieveline.plans import catalog
+
+    orders = spark.range(120_000).selectExpr("id AS o_orderkey", "id % 1000 AS o_custkey", "concat('p', id % 5) AS o_orderpriority")
+    orders.repartition(6).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    try:
+        got = {(r.doc, r.path): (r.n, r.size, r.least, r.most) for r in catalog.json_files(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 3 * 8
+    for doc, n in enumerate((50_000, 50_000, 20_000)):
+        assert got[doc, "rows"] == (1, n, None, None)
+        assert got[doc, "rows[].orderkey"] == (n, None, 50_000 * doc, 50_000 * doc + n - 1)
+
+
 def test_records_of_order_dependent_leaves(spark):
     messages = several_templates(random.Random(7))
     rows = spark.createDataFrame(list(enumerate(messages)), "record_id long, message string").repartition(5)
