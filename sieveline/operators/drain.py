@@ -6,12 +6,14 @@ first words go the same way, so these are aggregated first, a level is two windo
 one join brings the paths back to the records.
 
 In a leaf whose literal path covers the needed share of words all messages are alike enough, so it has exactly one
-template: a word where all agree, else a wildcard.  Other leaves are order dependent: their distinct messages go through the online
-loop, in one Python group for each leaf, and records are joined to what that says of their message.
+template: a word where all agree, else a wildcard.  Other leaves are order dependent: the messages that can change their templates stream through the
+online loop, which writes every version of a template, and records meet the versions of their leaf.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -114,89 +116,155 @@ def online(messages: list[list[str]], threshold: float) -> tuple[list[list[str |
     return templates, chosen
 
 
-def evolve(messages: list[list[str]], first: list[int], threshold: float, templates: list[list[str | None]] = ()) -> tuple[list[list[str | None]], list[list[tuple[int, int]]]]:  # noqa: B006
-    """Templates of a leaf after its distinct messages in the order of their `first` records, beginning with `templates`, and for each
-    message the records from which on a template is its own.
+class Leaf:
+    """The templates of an order-dependent leaf while its messages pass; only words of templates are remembered."""
+
+    def __init__(self, width: int, templates: list[list[str | None]] = ()) -> None:  # noqa: B006
+        self.width, self.n = width, 0
+        self.number: dict[str, int] = {}
+        self.words: list[str] = []
+        self.known = np.full((16, width), -2, dtype=np.int64)
+        self.wild = np.zeros(16, dtype=np.int64)
+        for t in templates:
+            self.add(t)
+
+    def add(self, template: list[str | None]) -> int:
+        if self.n == len(self.known):
+            self.known, self.wild = np.concatenate([self.known, np.full_like(self.known, -2)]), np.concatenate([self.wild, np.zeros_like(self.wild)])
+        for at, w in enumerate(template):
+            if w is not None and w not in self.number:
+                self.number[w] = len(self.words)
+                self.words.append(w)
+            self.known[self.n, at] = -1 if w is None else self.number[w]
+        self.wild[self.n] = (self.known[self.n] == -1).sum()
+        self.n += 1
+        return self.n - 1
+
+    def take(self, message: list[str], threshold: float) -> int | None:
+        """The number of the template that a message makes or changes; None if one has all its words already."""
+        row = np.array([self.number.get(w, -3) for w in message], dtype=np.int64)
+        known = self.known[: self.n]
+        if not self.n:
+            return self.add(message)
+        same = ((known == row) | (known == -1)).sum(1)
+        most = same.max()
+        if (most / self.width if self.width else 1.0) < threshold:
+            return self.add(message)
+        if most == self.width:
+            return None
+        near = np.flatnonzero(same == most)
+        i = int(near[np.argmin(self.wild[near])])  # the first of those with the fewest wildcards
+        known[i][known[i] != row] = -1
+        self.wild[i] = (known[i] == -1).sum()
+        return i
+
+    def template(self, i: int) -> list[str | None]:
+        return [None if c < 0 else self.words[c] for c in self.known[i].tolist()]
 
-    A message that is repeated has a template that covers it, so it changes nothing; but which template is its own can change when
-    another message makes a template more general.  Where several cover it, that with the fewest wildcards has it, then the oldest.
-    """
-    number: dict[str, int] = {}
-    code = lambda words: [-1 if w is None else number.setdefault(w, len(number)) for w in words]
-    width = len(messages[0]) if messages else 0
-    rows = np.array([code(m) for m in messages], dtype=np.int64).reshape(len(messages), width)
-    known = np.full((max(16, 2 * len(templates)), width), -2, dtype=np.int64)
-    n = len(templates)
-    if n:
-        known[:n] = [code(t) for t in templates]
-    wild = (known == -1).sum(1)
-    covered: list[list[int]] = []
+
+def evolve(messages: list[list[str]], first: list[int], threshold: float, templates: list[list[str | None]] = ()) -> tuple[list[list[str | None]], list[list[tuple[int, int]]]]:  # noqa: B006
+    """What evolved() finds, of one leaf's distinct messages in a list, in the order of their `first` records: its templates, beginning
+    with `templates`, and for each message the records from which on a template is its own."""
+    leaf = Leaf(len(messages[0]) if messages else 0, templates)
+    versions = [(-1, k, list(t)) for k, t in enumerate(templates)]
+    for m, at in zip(messages, first, strict=True):
+        i = leaf.take(m, threshold)
+        if i is not None:
+            versions.append((at, i, leaf.template(i)))
     since: list[list[tuple[int, int]]] = []
-    best = lambda d: min(covered[d], key=lambda i: (wild[i], i))
-    for d, row in enumerate(rows):
-        same = ((known[:n] == row) | (known[:n] == -1)).sum(1)
-        covered.append(np.flatnonzero(same == width).tolist())
-        i = min(range(n), key=lambda i: (-same[i], wild[i], i)) if n and n <= 8 else int(np.lexsort((np.arange(n), wild[:n], -same))[0]) if n else -1
-        if i < 0 or (same[i] / width if width else 1.0) < threshold:
-            if n == len(known):
-                known, wild = np.concatenate([known, np.full_like(known, -2)]), np.concatenate([wild, np.zeros_like(wild)])
-            i, known[n], wild[n] = n, row, 0
-            n += 1
-            covered[d].append(i)
-        elif same[i] < width:
-            known[i][known[i] != row] = -1
-            wild[i] = (known[i] == -1).sum()
-            now = np.flatnonzero(((rows[:d] == known[i]) | (known[i] == -1)).all(1)) if d else []
-            for e in now:
-                if i not in covered[e]:
-                    covered[e].append(i)
-                if (own := best(e)) != since[e][-1][1]:
-                    since[e].append((first[d], own))
-            covered[d].append(i)
-        since.append([(first[d], i)])
-    words = list(number)
-    return [[None if c < 0 else words[c] for c in t] for t in known[:n].tolist()], since
-
-
-FOUND = "word_count int, path array<string>, k int, tokens array<string>, since array<struct<at: long, k: int>>"
-
-
-def _evolve_leaf(threshold: float):  # noqa: ANN202
-    """Functions without and with earlier templates: of a leaf's distinct messages (and the templates it had) the templates, with their number `k`, and the messages with `since`."""
-
-    def both(messages: pa.Table, earlier: pa.Table | None) -> pa.Table:
-        messages = messages.sort_by("first")
-        some = messages if len(messages) else earlier
-        old = earlier.sort_by("k").column("tokens").to_pylist() if earlier is not None else []
-        own = messages.column("tokens").to_pylist()
-        templates, since = evolve(own, messages.column("first").to_pylist(), threshold, old) if own else (old, [])
-        k = list(range(len(templates))) + [None] * len(own)
-        stamps = [None] * len(templates) + [[{"at": a, "k": i} for a, i in s] for s in since]
-        words, path = some.column("word_count")[0].as_py(), some.column("path")[0].as_py()
-        cols = [pa.array([words] * len(k), pa.int32()), pa.array([path] * len(k), pa.list_(pa.string())), pa.array(k, pa.int32()), pa.array(templates + own, pa.list_(pa.string())), pa.array(stamps, pa.list_(pa.struct([("at", pa.int64()), ("k", pa.int32())])))]
-        return pa.table(cols, names=["word_count", "path", "k", "tokens", "since"])
-
-    return (lambda messages: both(messages, None)), both
-
-
-def evolved(routed: DataFrame, threshold: float = THRESHOLD, earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    for m, began in zip(messages, first, strict=True):
+        live: dict[int, int] = {}
+        mine: dict[int, int] = {}
+        for at, k, t in versions:
+            if all(y is None or x == y for x, y in zip(m, t, strict=True)):
+                live[k] = t.count(None)
+            if live:
+                mine[max(at, began)] = min(live, key=lambda k: (live[k], k))
+        since.append(list(mine.items()))
+    return [leaf.template(i) for i in range(leaf.n)], since
+
+
+LEAF = ["word_count", "path"]
+#: Versions of templates: that with number `k` of its leaf has had `tokens` since the record `at`.
+VERSIONS = "word_count int, path array<string>, k int, at long, tokens array<string>"
+#: Records of each leaf that go through the loop before all others are held against its templates, and templates that one row lists.
+AHEAD, PAGE = 1000, 64
+
+
+def _grow(threshold: float):  # noqa: ANN202
+    """Of sorted leaves, in each the templates that it has (with `k`) and then messages, the versions that the messages make."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: tuple[int, list[str]] | None = None
+        leaf = Leaf(0)
+        kinds = (pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int64(), pa.list_(pa.string()))
+        names = ["word_count", "path", "k", "at", "tokens"]
+        for b in batches:
+            made: list[tuple] = []
+            for words, path, k, at, tokens in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if (words, path) != here:
+                    here, leaf = (words, path), Leaf(words)
+                if k is not None:
+                    leaf.add(tokens)
+                elif (i := leaf.take(tokens, threshold)) is not None:
+                    made.append((words, path, i, at, leaf.template(i)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], t) for i, t in enumerate(kinds)], names)
+
+    return run
+
+
+def _latest(versions: DataFrame) -> DataFrame:
+    return versions.groupBy(*LEAF, "k").agg(F.max_by("tokens", "at").alias("tokens"))
+
+
+def _grown(messages: DataFrame, templates: DataFrame | None, threshold: float) -> DataFrame:
+    """Versions that `messages` make of `templates`; a leaf streams through a task that holds its templates only."""
+    rows = messages.select(*LEAF, F.lit(None).cast("int").alias("k"), F.col("record_id").alias("at"), "tokens")
+    if templates is not None:
+        rows = rows.unionByName(templates.select(*LEAF, "k", F.lit(None).cast("long").alias("at"), "tokens"))
+    # by a hash of its own, for a shuffle that repeats one before would be left out, and what is before may change while it runs
+    placed = rows.repartition(F.xxhash64(*LEAF)).sortWithinPartitions(*LEAF, F.col("k").asc_nulls_last(), "at")
+    return written(placed.mapInArrow(_grow(threshold), VERSIONS), "versions")
+
+
+def _owned(rows: DataFrame, versions: DataFrame, page: int) -> DataFrame:
+    """Adds `k`: of the versions of its leaf at a record's time that have all its words, that with the fewest wildcards, then the oldest.
+
+    A leaf with more than `page` templates has them in several lists; what these say of a record is put together.
+    """
+    until = F.lead("at", 1, (1 << 63) - 1).over(Window.partitionBy(*LEAF, "k").orderBy("at"))
+    literals = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("tok"))), lambda w: w["tok"].isNotNull())
+    one = F.struct(T.wildcards("tokens").alias("wild"), "k", "at", "until", literals.alias("words"))
+    lists = versions.withColumn("until", until).groupBy(*LEAF, F.floor(F.col("k") / page).alias("page")).agg(F.collect_list(one).alias("versions"))
+    lists = lists.withColumn("lists", F.count("*").over(Window.partitionBy(*LEAF)))
+    has = lambda words: F.forall(words, lambda w: F.get("tokens", w["pos"]) == w["tok"])
+    fits = lambda v: (v["at"] <= F.col("record_id")) & (F.col("record_id") < v["until"]) & has(v["words"])
+    best = F.array_min(F.transform(F.filter("versions", fits), lambda v: F.struct(v["wild"].alias("wild"), v["k"].alias("k"))))
+    columns = [*rows.columns, "k"]
+    few = rows.join(lists.filter("page = 0").drop("page"), LEAF, "left").filter("coalesce(lists, 1) = 1").withColumn("k", best["k"])
+    keys = [*LEAF, "record_id", "tokens"]
+    found = rows.select(*keys).join(lists.filter("lists > 1"), LEAF).withColumn("best", best).filter("best is not null").groupBy(*keys).agg(F.min("best")["k"].alias("k"))
+    many = rows.join(lists.filter("page = 0 and lists > 1").select(*LEAF), LEAF, "left_semi").join(found, keys, "left")
+    return few.select(*columns).unionByName(many.select(*columns))
+
+
+def evolved(routed: DataFrame, threshold: float = THRESHOLD, earlier: DataFrame | None = None, ahead: int = AHEAD, page: int = PAGE) -> tuple[DataFrame, DataFrame]:
     """Templates `word_count, path, k, tokens` of order-dependent leaves, and the records with their template's number `k`.
 
-    Only distinct messages go through the loop; records meet the stamps of their message by a join, in which a frequent message is
-    split.  `earlier` are templates of the same columns that the leaves had before.
+    A template only ever gets more general, so a message that one has all words of changes nothing, then and later.  The first `ahead`
+    records of each leaf go through the loop; of the others only those that no template has by then.  `earlier` are templates of the
+    same columns that the leaves had before.
     """
-    spark = routed.sparkSession
-    ship(spark)
-    distinct = routed.groupBy("word_count", "path", "tokens").agg(F.min("record_id").alias("first"))
-    if earlier is None:
-        done = distinct.groupBy("word_count", "path").applyInArrow(_evolve_leaf(threshold)[0], FOUND)
-    else:
-        done = distinct.groupBy("word_count", "path").cogroup(earlier.select("word_count", "path", "k", "tokens").groupBy("word_count", "path")).applyInArrow(_evolve_leaf(threshold)[1], FOUND)
-    done = written(done, "leaves")
-    templates = done.filter("k is not null").select("word_count", "path", "k", "tokens")
-    stamps = done.filter("k is null").select("word_count", "path", "tokens", "since")
-    at = F.element_at(F.filter("since", lambda s: s["at"] <= F.col("record_id")), -1)["k"]
-    return templates, routed.join(stamps, ["word_count", "path", "tokens"]).withColumn("k", at).drop("since")
+    ship(routed.sparkSession)
+    messages = routed.select(*LEAF, "record_id", "tokens")
+    always = lambda templates: templates.select(*LEAF, "k", F.lit(-(1 << 63)).cast("long").alias("at"), "tokens")
+    missed = lambda templates: _owned(messages, always(templates), page).filter("k is null").drop("k")
+    rank = F.row_number().over(Window.partitionBy(*LEAF).orderBy("record_id"))
+    first = (messages if earlier is None else missed(earlier)).withColumn("rank", rank).filter(F.col("rank") <= ahead).drop("rank")
+    versions = _grown(first, earlier, threshold)
+    versions = versions if earlier is None else always(earlier).unionByName(versions)
+    versions = versions.unionByName(_grown(missed(_latest(versions)), _latest(versions), threshold))
+    return _latest(versions), _owned(routed, versions, page)
 
 
 def online_assigned(routed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

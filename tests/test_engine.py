@@ -511,6 +511,28 @@ def test_records_of_order_dependent_leaves(spark):
         assert [got[r.record_id] for r in own] == [templates[c] for c in chosen]
 
 
+def test_only_messages_that_change_a_template_meet_the_loop(spark):
+    """A few records ahead and one template in a list, so that both steps and several lists have something to do."""
+    messages = several_templates(random.Random(11))
+    rows = spark.createDataFrame(list(enumerate(messages)), "record_id long, message string").repartition(5)
+    routed = drain.route(drain.tokenised(rows), 2, 2).persist()
+    leaves = collections.defaultdict(list)
+    for r in sorted(routed.collect(), key=lambda r: r.record_id):
+        leaves[r.word_count, tuple(r.path)].append(r)
+    for ahead, page in ((3, 1), (40, 2)):
+        templates, owned = drain.evolved(routed, 0.6, ahead=ahead, page=page)
+        by = {(r.word_count, tuple(r.path), r.k): r.tokens for r in templates.collect()}
+        got = {r.record_id: by[r.word_count, tuple(r.path), r.k] for r in owned.collect()}
+        for own in leaves.values():
+            expected, chosen = drain.online([r.tokens for r in own], 0.6)
+            assert [got[r.record_id] for r in own] == [expected[c] for c in chosen]
+    routed.unpersist()
+    # what passes is not remembered, only the words of templates are
+    leaf = drain.Leaf(3)
+    changed = [leaf.take([f"w{i}", "is", "here"], 0.5) for i in range(5000)]
+    assert changed == [0, 0, *[None] * 4998] and leaf.template(0) == [None, "is", "here"] and len(leaf.words) == 3
+
+
 def test_batches_give_the_templates_of_one_run(spark, tmp_path):
     from sieveline.sources.state import BEGINNINGS, LEAVES
     from sieveline.streaming.batches import advance, templates_of
