@@ -55,15 +55,15 @@ def _nodes(rows: DataFrame, start: str, max_depth: int) -> DataFrame:
           e -> named_struct('place', concat(x.place, '.', e.key), 'path', if(x.path = '', e.key, concat(x.path, '.', e.key)), 'parent', x.place, 'depth', x.depth + 1, 'index', cast(null AS int), 'v', e.value)),
         transform(coalesce(try_variant_get(x.v, '$', 'array<variant>'), array()),
           (e, i) -> named_struct('place', concat(x.place, '[', i, ']'), 'path', concat(x.path, '[]'), 'parent', x.place, 'depth', x.depth + 1, 'index', i, 'v', e)))"""
+    # sizes come with the nodes: as columns after them they would be computed anew in every filter and condition on a type or value
+    elements, keys = (f"cast(size(try_variant_get(x.v, '$', '{t}')) as bigint)" for t in ("array<variant>", "map<string,variant>"))
     nodes = rows.selectExpr(
         "doc",
         f"""inline(aggregate(sequence(1, {max_depth}),
           named_struct('done', cast(array() as array<{node}>), 'front', cast(array({start}) as array<{node}>)),
-          (a, d) -> named_struct('done', concat(a.done, a.front), 'front', flatten(transform(filter(a.front, x -> x.depth < {max_depth}), x -> {children}))),
-          a -> concat(a.done, a.front)))""",
+          (a, d) -> if(size(a.front) = 0, a, named_struct('done', concat(a.done, a.front), 'front', flatten(transform(filter(a.front, x -> x.depth < {max_depth}), x -> {children})))),
+          a -> transform(concat(a.done, a.front), x -> named_struct('place', x.place, 'path', x.path, 'parent', x.parent, 'depth', x.depth, 'index', x.index, 'v', x.v, '_a', {elements}, '_o', {keys}))))""",
     )
-    arrays, objects = "size(try_variant_get(v, '$', 'array<variant>'))", "size(try_variant_get(v, '$', 'map<string,variant>'))"
-    nodes = nodes.withColumns({"_a": F.expr(f"cast({arrays} as bigint)"), "_o": F.expr(f"cast({objects} as bigint)")})
     scalar = F.col("_a").isNull() & F.col("_o").isNull()
     nodes = nodes.withColumn("type", F.when(F.col("_a").isNotNull(), "array").when(F.col("_o").isNotNull(), "object").otherwise(kind(F.col("v"))))
     return nodes.select("doc", "place", "path", "parent", "depth", "type", F.when(scalar, F.col("v").try_cast("string")).alias("value"), "index", F.coalesce("_a", "_o").alias("size"))

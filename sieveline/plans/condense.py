@@ -127,9 +127,12 @@ def entries(messages: DataFrame, past: DataFrame | None = None, options: Options
 def condense_json(nodes: DataFrame, past: DataFrame | None = None, options: Options = Options(), exact: bool = False) -> DataFrame:  # noqa: B008
     """Entries of the texts in JSON documents, from the nodes of a walk, with the paths they come from.
 
-    Texts of several lines are folded, so each record of one counts; records come in the order of documents and places.
+    Texts of several lines are folded, so each record of one counts; records come in the order of documents and places.  The texts are
+    written once, for lines, folded texts and the sort's sample would each walk all documents.
     """
     texts = jsondoc.text_records(nodes, options.entropy_threshold)
+    raw = F.when(F.col("class") == "multiline", F.col("raw_line")).alias("raw_line")
+    texts = written(texts.select("doc", "place", "source_path", "class", "message", raw), "texts")
     lines = texts.filter("class = 'line'").select("doc", "place", "source_path", F.lit(0).cast("long").alias("record_id"), "message")
     rows = lines.unionByName(jsondoc.fold_texts(texts).select("doc", "place", "source_path", "record_id", "message"))
     rows = in_order(rows, ["doc", "place", "record_id"])

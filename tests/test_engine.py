@@ -442,6 +442,23 @@ def test_json_run(spark):
     assert [(r.pattern, r["count"], [(p.path, p.n) for p in r.paths]) for r in out.collect()] == [("Error at start of a long line", 2, [("r[].m", 2)])]
 
 
+def test_json_run_walks_documents_once(spark):
+    walked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        walked.add(1)
+        return text
+
+    line = "ERROR was sent to {} with the payload that follows of kind some other word"
+    docs = [(k, json.dumps({"log": line.format(k)} if k % 3 else {"trace": line.format(k) + "\n\tat com.example.Main"})) for k in range(30)]
+    rows = spark.createDataFrame(docs, "doc long, json string").withColumn("json", counted.asNondeterministic()("json"))
+    out = condense_json(jsondoc.walk(rows), None, Options(entropy_threshold=8.0)).collect()
+    pattern = line.format("*")
+    assert {(r.pattern, r["count"], tuple(sorted((p.path, p.n) for p in r.paths))) for r in out} == {(pattern, 30, (("log", 20), ("trace", 10)))}
+    assert walked.value == 30
+
+
 def test_stream(spark, tmp_path):
     from sieveline.streaming.batches import condense_stream
 
