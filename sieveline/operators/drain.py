@@ -260,7 +260,9 @@ def evolved(routed: DataFrame, threshold: float = THRESHOLD, earlier: DataFrame
     always = lambda templates: templates.select(*LEAF, "k", F.lit(-(1 << 63)).cast("long").alias("at"), "tokens")
     missed = lambda templates: _owned(messages, always(templates), page).filter("k is null").drop("k")
     rank = F.row_number().over(Window.partitionBy(*LEAF).orderBy("record_id"))
-    first = (messages if earlier is None else missed(earlier)).withColumn("rank", rank).filter(F.col("rank") <= ahead).drop("rank")
+    if earlier is not None:
+        messages = written(missed(earlier), "missed")  # templates only get more general, so the others stay theirs
+    first = messages.withColumn("rank", rank).filter(F.col("rank") <= ahead).drop("rank")
     versions = _grown(first, earlier, threshold)
     versions = versions if earlier is None else always(earlier).unionByName(versions)
     versions = versions.unionByName(_grown(missed(_latest(versions)), _latest(versions), threshold))

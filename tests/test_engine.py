@@ -550,6 +550,25 @@ def test_only_messages_that_change_a_template_meet_the_loop(spark):
     assert changed == [0, 0, *[None] * 4998] and leaf.template(0) == [None, "is", "here"] and len(leaf.words) == 3
 
 
+def test_a_batch_looks_again_only_at_what_earlier_templates_lack(spark, monkeypatch):
+    frame = lambda part: spark.createDataFrame(part, "record_id long, message string")
+    route = lambda part: drain.route(drain.tokenised(frame(part)), 1, 1)
+    old = [(i, f"go job {i} ends well") for i in range(30)]
+    earlier, _ = drain.evolved(route(old), 0.6)
+    seen, owned = [], drain._owned
+
+    def counting(rows, *args):
+        seen.append(rows.count())
+        return owned(rows, *args)
+
+    monkeypatch.setattr(drain, "_owned", counting)
+    now = [(100 + i, f"go job {i} ends well") for i in range(40)] + [(200, "go far away from here"), (201, "go near away from here")]
+    templates, records = drain.evolved(route(now), 0.6, earlier, ahead=1)
+    assert seen == [42, 2, 42]
+    assert sorted(" ".join(t or "*" for t in r.tokens) for r in templates.collect()) == ["go * away from here", "go job * ends well"]
+    assert {r["k"]: r["n"] for r in records.groupBy("k").agg(F.count("*").alias("n")).collect()} == {0: 40, 1: 2}
+
+
 def test_batches_give_the_templates_of_one_run(spark, tmp_path):
     from sieveline.sources.state import BEGINNINGS, LEAVES
     from sieveline.streaming.batches import advance, templates_of
