@@ -272,8 +272,8 @@ def evolved(routed: DataFrame, threshold: float = THRESHOLD, earlier: DataFrame
 def online_assigned(routed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Records of order-dependent leaves, with `template` (of the whole run) and `template_id`; further columns stay."""
     templates, rows = evolved(routed, threshold)
-    out = rows.join(templates.withColumnRenamed("tokens", "template"), ["word_count", "path", "k"]).drop("k")
-    return out.select(*routed.columns, "template").withColumn("template_id", T.template_id("template"))
+    named = templates.withColumnRenamed("tokens", "template").withColumn("template_id", T.template_id("template"))  # once for a template
+    return rows.join(named, LEAF + ["k"]).select(*routed.columns, "template", "template_id")
 
 
 def online_templates(routed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

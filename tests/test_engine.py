@@ -569,6 +569,14 @@ def test_a_batch_looks_again_only_at_what_earlier_templates_lack(spark, monkeypa
     assert {r["k"]: r["n"] for r in records.groupBy("k").agg(F.count("*").alias("n")).collect()} == {0: 40, 1: 2}
 
 
+def test_templates_are_named_once_not_for_each_record(spark):
+    rows = spark.createDataFrame([(i, f"go job {i} ends well") for i in range(9)], "record_id long, message string")
+    own = drain.online_assigned(drain.route(drain.tokenised(rows), 1, 1), 0.6)
+    above = own._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]  # what is done to joined records
+    assert "md5" not in above
+    assert {tuple(r) for r in own.select("template_id", T.template_id("template")).distinct().collect()} == {(own.first().template_id,) * 2}
+
+
 def test_batches_give_the_templates_of_one_run(spark, tmp_path):
     from sieveline.sources.state import BEGINNINGS, LEAVES
     from sieveline.streaming.batches import advance, templates_of
